@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("analytics",)
+MODULES = ("analytics", "relational")
 
 
 def load():

@@ -191,23 +191,31 @@ IMAGE_SQL = """image_metrics AS (
 
 
 def image_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """64-bit sign hash of each embedding, held as one BIGINT."""
+    """64-bit sign hashes: each embedding, a rescan with up to seven flipped signs, and some exact rescans."""
+    e = table(spark, sf_dir, "embeddings")
+    flips = F.col("vec_id") % 8
+    again = e.withColumn("embedding", F.transform("embedding", lambda x, i: F.when(i < flips, -x).otherwise(x)))
+    again = again.withColumn("vec_id", F.col("vec_id") + RESCAN_OFFSET)
+    copies = e.filter(F.col("vec_id") % 5 == 0).withColumn("vec_id", F.col("vec_id") + 2 * RESCAN_OFFSET)
     bits = F.aggregate(
         "embedding",
         F.lit(0).cast("bigint"),
         lambda acc, x: F.shiftleft(acc, 1).bitwiseOR(F.when(x > 0, 1).otherwise(0).cast("bigint")),
     )
-    return table(spark, sf_dir, "embeddings").select(
+    return e.unionByName(again).unionByName(copies).select(
         F.col("vec_id").alias("id"), bits.alias("phash"), F.col("label").alias("document_type")
     )
 
 
-# The oracle keeps the hash as its 64-character bit string: DuckDB shifts overflow on signed 64-bit values.
-HASH_SQL = """image_hashes AS (
-  SELECT vec_id AS id,
-         array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS bits,
-         label AS document_type
-  FROM embeddings)"""
+RESCAN_OFFSET = 1_000_000_000
+
+# The oracle keeps the hash as its 64-character bit string.
+HASH_SQL = f"""image_hashes AS (
+  SELECT id, array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS bits, document_type
+  FROM (SELECT vec_id AS id, embedding, label AS document_type FROM embeddings
+    UNION ALL SELECT vec_id + {RESCAN_OFFSET},
+      list_transform(embedding, lambda x, i: CASE WHEN i <= vec_id % 8 THEN -x ELSE x END), label FROM embeddings
+    UNION ALL SELECT vec_id + 2 * {RESCAN_OFFSET}, embedding, label FROM embeddings WHERE vec_id % 5 = 0))"""
 
 
 def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
