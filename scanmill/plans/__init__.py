@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("analytics", "relational")
+MODULES = ("analytics", "relational", "textual")
 
 
 def load():
