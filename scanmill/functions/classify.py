@@ -131,15 +131,19 @@ def text_features(df: DataFrame, text: str = "text") -> DataFrame:
 
 def classify_cascade(df: DataFrame, text: str = "text") -> DataFrame:
     """Ordered word rules with fixed confidences."""
-    low, c = F.lower(text), F.col(text)
-    kind, conf = None, None
-    for t, words, p in CASCADE:
-        hit = hits(words, low) > 0
-        group = {"Aadhaar Card": "aadhaar", "PAN Card": "pan"}.get(t)
-        value = F.when(flag(c, group), F.lit(CASCADE_SURE)).otherwise(F.lit(p)) if group else F.lit(p)
-        kind = F.when(hit, F.lit(t)) if kind is None else kind.when(hit, F.lit(t))
-        conf = F.when(hit, value) if conf is None else conf.when(hit, value)
-    return df.withColumns({"document_type": kind.otherwise(F.lit(CASCADE_OTHER[0])), "confidence": conf.otherwise(F.lit(CASCADE_OTHER[1]))})
+    c = F.col(text)
+    groups = {"Aadhaar Card": "aadhaar", "PAN Card": "pan"}
+
+    def cascade(low: Column) -> Column:
+        out = None
+        for t, words, p in CASCADE:
+            sure = F.when(flag(c, groups[t]), F.lit(CASCADE_SURE)).otherwise(F.lit(p)) if t in groups else F.lit(p)
+            row = F.struct(F.lit(t).alias("document_type"), sure.alias("confidence"))
+            hit = hits(words, low) > 0
+            out = F.when(hit, row) if out is None else out.when(hit, row)
+        return out.otherwise(F.struct(F.lit(CASCADE_OTHER[0]).alias("document_type"), F.lit(CASCADE_OTHER[1]).alias("confidence")))
+
+    return df.withColumn("_c", let(F.lower(text), cascade)).select(*df.columns, "_c.*")
 
 
 # Words and patterns of the coarse detection, tested in this order.
@@ -163,7 +167,6 @@ MRZ_LENGTH = 40
 
 def detect_type(text: Column, mrz_type: Column | None = None) -> Column:
     """passport, id_card, driving_license or other: machine readable type, patterns, MRZ line, then words."""
-    low = F.lower(text)
     join = lambda ps: "(?iu)" + "|".join(f"(?:{p})" for p in ps)
     mrz_line = F.exists(
         F.split(text, "\n"),
@@ -173,34 +176,41 @@ def detect_type(text: Column, mrz_type: Column | None = None) -> Column:
         F.when(text.rlike(join(COARSE_ID_PATTERNS)), "id_card")
         .when(text.rlike(join(COARSE_LICENSE_PATTERNS)), "driving_license")
         .when(mrz_line, "passport")
-        .when(hits(COARSE_PASSPORT, low) > 0, "passport")
+    )
+    words = let(
+        F.lower(text),
+        lambda low: F.when(hits(COARSE_PASSPORT, low) > 0, "passport")
         .when(hits(COARSE_ID, low) > 0, "id_card")
-        .when(hits(COARSE_LICENSE, low) > 0, "driving_license")
+        .when(hits(COARSE_LICENSE, low) > 0, "driving_license"),
     )
+    out = F.coalesce(out, words)
     if mrz_type is None:
-        return out.otherwise("other")
+        return F.coalesce(out, F.lit("other"))
     first = F.when(mrz_type == "P", "passport").when(mrz_type.isin("I", "ID", "IC", "C"), "id_card")
-    return F.coalesce(first, out.when(mrz_type.isNotNull(), "passport").otherwise("other"))
+    return F.coalesce(first, out, F.when(mrz_type.isNotNull(), "passport"), F.lit("other"))
 
 
 def route_document(df: DataFrame, text: str = "text", packs: Sequence[Pack] = PACKS, order: str = "first") -> DataFrame:
     """Pack of a document: the first that recognises it, or with ``order='specific'`` the one with most matched criteria."""
-    c, low = F.col(text), F.lower(text)
-    if order == "specific":
-        ranked = F.array(
-            *[
-                F.struct(
-                    F.when(predicate(p.detect, c, low), criteria(p.detect, c, low)).otherwise(0).alias("n"),
-                    F.lit(-i).alias("before"),
-                    F.lit(p.code).alias("code"),
-                )
-                for i, p in enumerate(packs)
-            ]
-        )
-        return df.withColumn("pack", let(F.array_max(ranked), lambda b: F.when(b["n"] > 0, b["code"])))
-    if order != "first":
+    c = F.col(text)
+
+    def specific(low: Column) -> Column:
+        ranked = [
+            F.struct(
+                F.when(predicate(p.detect, c, low), criteria(p.detect, c, low)).otherwise(0).alias("n"),
+                F.lit(-i).alias("before"),
+                F.lit(p.code).alias("code"),
+            )
+            for i, p in enumerate(packs)
+        ]
+        return let(F.array_max(F.array(*ranked)), lambda b: F.when(b["n"] > 0, b["code"]))
+
+    def first(low: Column) -> Column:
+        return F.coalesce(*[F.when(predicate(p.detect, c, low), F.lit(p.code)) for p in packs])
+
+    if order not in ("first", "specific"):
         raise ValueError(f"unknown order: {order}")
-    return df.withColumn("pack", F.coalesce(*[F.when(predicate(p.detect, c, low), F.lit(p.code)) for p in packs]))
+    return df.withColumn("pack", let(F.lower(c), first if order == "first" else specific))
 
 
 def pack_text(p: Pack, c: Column) -> Column:

@@ -135,9 +135,13 @@ def extract_place(text: Column) -> Column:
         t = strip(F.regexp_replace(F.regexp_replace(raw, r"[^\p{L}\p{N}_\s,]", ""), r"\s+", " "))
         return F.filter(F.split(t, " "), lambda w: ~F.array_contains(stop, F.lower(w)) & (F.length(w) > 1))
 
+    # The last pattern backtracks over whole sentences: it runs only where one of its words occurs.
+    gate = F.lower(text).rlike("passport|authority|office")
+    raw = [F.regexp_extract(text, p.java(), 1) for p in PLACE_PROBES]
+    raw[-1] = F.when(gate, raw[-1]).otherwise("")
     tries = [
-        let(words(F.regexp_extract(text, p.java(), 1)), lambda ws: F.when(F.size(ws) > 0, F.initcap(F.array_join(ws, " "))))
-        for p in PLACE_PROBES
+        let(words(r), lambda ws: F.when(F.size(ws) > 0, F.initcap(F.array_join(ws, " "))))
+        for r in raw
     ]
     return F.coalesce(*tries)
 

@@ -189,10 +189,7 @@ def extract(f: Field, text: Column) -> Column:
     if f.const:
         hit = reduce(lambda a, b: a | b, [text.rlike(p.java()) for p in f.probes])
         return F.when(hit, F.lit(f.const))
-    plain = not (f.stop_words or f.max_words or f.between)
-    tries = []
-    for p in f.probes:
-        v = strip(F.regexp_extract(text, p.java(), p.group))
-        cond = (lambda x: F.length(x) > f.min_len) if plain else (lambda x: _kept(f, x))
-        tries.append(let(v, lambda x, cond=cond: F.when(cond(x), x)))
+    tries = [
+        let(strip(F.regexp_extract(text, p.java(), p.group)), lambda x: F.when(_kept(f, x), x)) for p in f.probes
+    ]
     return final_value(f.final, F.coalesce(*tries)) if f.final else F.coalesce(*tries)

@@ -80,7 +80,9 @@ def near_pairs(hashes: DataFrame, distance: int = 5, max_bucket: int = 1000, dep
             ),
         ).select("h", "first_id", "copies", F.col("_k.path").alias("path"), F.col("_k.v").alias("v"))
         sizes = keyed.groupBy("path", "v").agg(F.count("*").alias("_n")).filter("_n > 1")
-        last = level == depth - 1
+        hot = sizes.filter(F.col("_n") > max_bucket)
+        # Deeper levels are planned only when some bucket needs them.
+        last = level == depth - 1 or hot.isEmpty()
         small = keyed.join(sizes if last else sizes.filter(F.col("_n") <= max_bucket), ["path", "v"])
         before = F.array(*[F.array(*[F.lit(m) for m in e]).cast("array<bigint>") for e in earlier])
         a, b = small.alias("a"), small.alias("b")
@@ -96,10 +98,11 @@ def near_pairs(hashes: DataFrame, distance: int = 5, max_bucket: int = 1000, dep
                 F.col("a.copies").alias("copies1"), F.col("b.copies").alias("copies2"),
             )
         )
-        if not last:
-            rows = keyed.join(sizes.filter(F.col("_n") > max_bucket), ["path", "v"]).select(
+        if last:
+            break
+        rows = keyed.join(hot, ["path", "v"]).select(
                 "h", "first_id", "copies", "path"
-            )
+        )
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from scanmill.functions.rules import let
+
 
 def scans_with_users(scans: DataFrame, users: DataFrame) -> DataFrame:
     """Scans keep their row when the user is unknown; broadcast is left to the measured size."""
@@ -44,11 +46,11 @@ def alias_to_code(df: DataFrame, name: str, aliases: Mapping[str, str]) -> DataF
 
 def keyword_matches(docs: DataFrame, keywords: Mapping[str, str], text: str = "text") -> DataFrame:
     """One row per document and contained keyword, compiled to a filtered array instead of a join."""
-    lower = F.lower(text)
-    hits = F.array_compact(
-        F.array(*[F.when(lower.contains(k), F.struct(F.lit(g).alias("kind"), F.lit(k).alias("keyword"))) for k, g in keywords.items()])
-    )
-    return docs.withColumn("_hit", F.explode(hits)).select(*[c for c in docs.columns if c != text], "_hit.*")
+    table = F.array(*[F.struct(F.lit(g).alias("kind"), F.lit(k).alias("keyword")) for k, g in keywords.items()])
+    hits = let(F.lower(text), lambda t: F.filter(table, lambda k: F.contains(t, k["keyword"])))
+    # The outer form keeps the optimiser from testing the array in a filter of its own.
+    out = docs.withColumn("_hit", F.explode_outer(hits)).filter("_hit IS NOT NULL")
+    return out.select(*[c for c in docs.columns if c != text], "_hit.*")
 
 
 def cooccurring_keys(entries: DataFrame, context: str, key: str, ts: str, keys: Sequence[str], seconds: int = 60) -> DataFrame:

@@ -409,13 +409,13 @@ EXTRACT_SQL = f"{ROUTE_SQL}, fields AS (" + " UNION ALL ".join(_pack_rows_sql(p)
 
 
 def routed_fields(spark, d):
-    return K.extract_routed(K.route_document(corpus(spark, d))).filter(F.col("pack").isNotNull())
+    return K.extract_routed(K.route_document(corpus(spark, d)))
 
 
 @query("extract_fields", C(f", {EXTRACT_SQL} SELECT * FROM fields"))
 def extract_fields(spark, d):
     """Address blocks have their own query; the rest of every pack is compared here."""
-    e = routed_fields(spark, d).select("doc_id", "pack", F.explode("fields").alias("field", "value"))
+    e = routed_fields(spark, d).select("doc_id", "pack", F.explode_outer("fields").alias("field", "value"))
     return e.filter("field <> 'address'")
 
 
@@ -433,6 +433,11 @@ def extraction_confidence(spark, d):
     return e.select("doc_id", "pack", "confidence", "level")
 
 
+@query("route_counts", C(f", {ROUTE_SQL} SELECT pack, count(*) AS documents FROM routed GROUP BY pack"))
+def route_counts(spark, d):
+    return K.route_document(corpus(spark, d)).groupBy("pack").agg(F.count("*").alias("documents"))
+
+
 def _global_extract():
     """Number, name, birth date and gender of the country rule that matched first."""
     name_rx = r"(?i)(?:name[:\s]+|nom[:\s]+|nombre[:\s]+)([A-Za-z\s]+?)\n"

@@ -97,11 +97,11 @@ def _parts(template: str) -> list[tuple[bool, str]]:
 
 
 def identity_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("k") % len(TEMPLATES)
-    text = None
-    for i, tpl in enumerate(TEMPLATES):
-        body = F.concat(*[_spark_value(p) if ph else F.lit(p) for ph, p in _parts(tpl)])
-        text = F.when(t == i, body) if text is None else text.when(t == i, body)
+    """Template of the key with every placeholder replaced by its value."""
+    names = sorted({p for tpl in TEMPLATES for ph, p in _parts(tpl) if ph})
+    values = F.array(*[F.struct(F.lit("{" + n + "}").alias("name"), _spark_value(n).alias("value")) for n in names])
+    template = F.element_at(F.array(*[F.lit(t) for t in TEMPLATES]), (F.col("k") % len(TEMPLATES) + 1).cast("int"))
+    text = F.aggregate(values, template, lambda t, v: F.replace(t, v["name"], v["value"]))
     return (
         table(spark, sf_dir, "customer")
         .select(F.col("c_custkey").alias("k"))
