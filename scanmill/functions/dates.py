@@ -25,12 +25,17 @@ def _month_number(name: Column) -> Column:
     return F.element_at(table, F.upper(F.substring(name, 1, 3)))
 
 
+def number(digits: Column) -> Column:
+    """Whole number of a matched digit group; no match gives null (a failing try_cast costs an exception)."""
+    return F.nullif(digits, F.lit("")).cast("int")
+
+
 def _pad(c: Column) -> Column:
     return F.lpad(c, 2, "0")
 
 
 def _year(y: Column, pivot: int, exact_two: bool = False) -> Column:
-    n = y.try_cast("int")
+    n = number(y)
     full = F.when(n < pivot, n + 2000).otherwise(n + 1900).cast("string")
     return F.when(F.length(y) == 2, full).otherwise(y) if exact_two else F.when(F.length(y) == 4, y).otherwise(full)
 
@@ -96,7 +101,7 @@ def normalize_date_strict(c: Column) -> Column:
         for rx, year_first in STRICT:
             a, b, e = (F.regexp_extract(x, rx, i) for i in (1, 2, 3))
             d, m, y = (e, b, a) if year_first else (a, b, e)
-            ok = d.try_cast("int").between(1, 31) & m.try_cast("int").between(1, 12) & y.try_cast("int").between(1900, 2100)
+            ok = number(d).between(1, 31) & number(m).between(1, 12) & number(y).between(1900, 2100)
             tries.append(F.when(ok, F.concat_ws("/", _pad(d), _pad(m), y)))
         return F.coalesce(*tries, x)
 
@@ -118,7 +123,7 @@ def japanese_era_date(c: Column) -> Column:
 
 def _eras(c: Column) -> Column:
     g = lambda rx, i: F.regexp_extract(c, rx, i)
-    year = (g(ERA, 2).try_cast("int") + F.when(F.lower(g(ERA, 1)) == "h", HEISEI).otherwise(REIWA)).cast("string")
+    year = (number(g(ERA, 2)) + F.when(F.lower(g(ERA, 1)) == "h", HEISEI).otherwise(REIWA)).cast("string")
     dmy = lambda rx, d, m, y: F.concat_ws("/", _pad(g(rx, d)), _pad(g(rx, m)), g(rx, y))
     return (
         F.when(c.rlike(ERA), F.concat_ws("/", _pad(g(ERA, 4)), _pad(g(ERA, 3)), year))

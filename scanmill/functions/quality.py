@@ -147,7 +147,7 @@ def field_confidence(df: DataFrame, keys: Sequence[str], fields: str = "fields",
         ~F.col("field").isin(METADATA_KEYS)
     )
     has = F.coalesce(F.trim("value") != "", F.lit(False))
-    base = F.lit(50) + F.when(F.length("value") > 1, 30).otherwise(0) + F.when("_v", 15).otherwise(0)
+    base = F.lit(50) + F.when(F.length("value") > 1, 30).otherwise(0) + F.when(F.col("_v"), 15).otherwise(0)
     fixed = F.array_contains("_c", F.col("field"))
     return e.select(
         *keys, "field", "value",

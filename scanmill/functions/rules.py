@@ -125,7 +125,7 @@ def _kept(f: Field, v: Column) -> Column:
     if f.max_words:
         ok = ok & (F.size(F.split(v, r"\s+")) <= f.max_words)
     if f.between:
-        n = v.try_cast("int")
+        n = F.nullif(F.regexp_extract(v, "^[0-9]{1,9}$", 0), F.lit("")).cast("int")
         ok = ok & (n >= f.between[0]) & (n <= f.between[1])
     return ok
 
@@ -175,12 +175,8 @@ def slash_date(v: Column, month_first: bool) -> Column:
     rx = r"^([0-9]{1,2})[./\s-]+([0-9]{1,2})[./\s-]+([0-9]{4})$"
     a, b, y = (F.regexp_extract(v, rx, i) for i in (1, 2, 3))
     d, m = (b, a) if month_first else (a, b)
-    valid = (
-        v.rlike(rx)
-        & d.try_cast("int").between(1, 31)
-        & m.try_cast("int").between(1, 12)
-        & y.try_cast("int").between(1900, 2100)
-    )
+    num = lambda c: F.nullif(c, F.lit("")).cast("int")
+    valid = v.rlike(rx) & num(d).between(1, 31) & num(m).between(1, 12) & num(y).between(1900, 2100)
     return F.when(valid, F.concat_ws("/", F.lpad(a, 2, "0"), F.lpad(b, 2, "0"), y)).otherwise(v)
 
 

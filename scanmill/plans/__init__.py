@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("analytics", "relational", "textual")
+MODULES = ("analytics", "relational", "textual", "screened")
 
 
 def load():

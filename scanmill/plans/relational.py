@@ -357,7 +357,7 @@ _KEYWORDS = {k: t for _, t, _, _, kws, _, ti in C.COUNTRY_RULES for k in [*kws,
 @query("keyword_match_join", f"""WITH k(keyword, kind) AS (VALUES {', '.join(f'({lit(k.lower())}, {lit(v)})' for k, v in _KEYWORDS.items())})
 SELECT doc_id, lang, kind, keyword FROM documents JOIN k ON contains(lower(text), keyword)""")
 def keyword_match_join(spark, d):
-    docs = T.table(spark, d, "documents").select("doc_id", "lang", "text")
+    docs = T.spread(T.table(spark, d, "documents").select("doc_id", "lang", "text"))
     return J.keyword_matches(docs, {k.lower(): v for k, v in _KEYWORDS.items()})
 
 

@@ -11,7 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanmill.sources.tables import table
+from scanmill.sources.tables import spread, table
 
 ID_OFFSET = 1_000_000_000
 
@@ -122,7 +122,8 @@ IDENTITY_SQL = (
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents table and the rendered identity documents."""
-    return table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(identity_docs(spark, sf_dir))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.unionByName(identity_docs(spark, sf_dir))
 
 
 CORPUS_SQL = f"{IDENTITY_SQL}, corpus AS (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id, text FROM identity_docs)"

@@ -31,6 +31,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a small input over all cores before work that is heavy per row.
+
+    A file with one row group is read by one task. Inputs that already have enough splits, as any
+    large table has, are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def cents(c: Column | str) -> Column:
     """Two-decimal amount as whole hundredths: sums of BIGINT are exact and order-free."""
     c = F.col(c) if isinstance(c, str) else c
