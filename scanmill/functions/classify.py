@@ -10,7 +10,9 @@ from pyspark.sql.window import Window
 
 from scanmill.functions.packs import DEFAULT_WEIGHTS, PACKS
 from scanmill.functions.quality import completeness
-from scanmill.functions.rules import Pack, criteria, extract, hits, let, predicate, word
+from scanmill.functions.rules import (
+    Pack, any_of, contains, criteria, extract, final_value, FINALS, hits, let, let_sql, matches, predicate, raw_value, sql_str, word,
+)
 
 # Keyword rules as (type, keywords, negative keywords), required score and least confidence.
 KEYWORD_RULES = [
@@ -30,34 +32,32 @@ NUMBER_RULES = [
 ]
 
 
-def _found(lower: Column, w: str, whole_word: bool) -> Column:
-    return lower.rlike("(?U)" + word(w)) if whole_word else lower.contains(w)
-
-
 def classify_keywords(df: DataFrame, key: str, text: str = "text", rules=KEYWORD_RULES, whole_word: bool = False) -> DataFrame:
     """One row per type whose keyword score (+1, negatives -0.5) reaches the least confidence."""
-    low = F.lower(text)
-    structs = []
+    found = lambda w: matches("low", "(?U)" + word(w)) if whole_word else contains("low", w)
+    rows = []
     for t, pos, neg in rules:
-        score = F.lit(0)
-        for w in pos:
-            score = score + _found(low, w, whole_word).cast("int") * 2
-        for w in neg:
-            score = score - _found(low, w, whole_word).cast("int")
-        conf = F.least(score / 2 / REQUIRED_SCORE, F.lit(1.0))
-        structs.append(F.struct(F.lit(t).alias("type"), (score / 2).alias("score"), conf.alias("confidence")))
-    return df.select(key, F.inline(F.array(*structs))).filter(F.col("confidence") > MIN_CONFIDENCE)
+        half = " + ".join(f"2 * int({found(w)})" for w in pos) + "".join(f" - int({found(w)})" for w in neg)
+        rows.append(f"named_struct('type', {sql_str(t)}, 'score', ({half}) / 2)")
+    scores = F.expr(let_sql(f"lower({text})", "low", f"array({', '.join(rows)})"))
+    kept = F.filter(scores, lambda r: F.least(r["score"] / REQUIRED_SCORE, F.lit(1.0)) > MIN_CONFIDENCE)
+    # The outer form keeps the optimiser from evaluating the array again in a filter of its own.
+    return (
+        df.select(key, F.inline_outer(kept))
+        .filter("type IS NOT NULL")
+        .withColumn("confidence", F.least(F.col("score") / REQUIRED_SCORE, F.lit(1.0)))
+    )
 
 
 def classify_numbers(df: DataFrame, key: str, text: str = "text", rules=NUMBER_RULES) -> DataFrame:
     """One row per type with a matching number shape: the share of its shapes found."""
-    structs = []
-    for t, shapes in rules:
-        n = F.lit(0)
-        for p in shapes:
-            n = n + F.col(text).rlike("(?iu)" + p).cast("int")
-        structs.append(F.struct(F.lit(t).alias("type"), n.alias("matches"), (n / len(shapes)).alias("confidence")))
-    return df.select(key, F.inline(F.array(*structs))).filter("matches > 0")
+    rows = [
+        f"named_struct('type', {sql_str(t)}, 'matches', {' + '.join(f'int({matches(text, p, True)})' for p in shapes)}, 'shapes', {len(shapes)})"
+        for t, shapes in rules
+    ]
+    kept = F.filter(F.expr(f"array({', '.join(rows)})"), lambda r: r["matches"] > 0)
+    out = df.select(key, F.inline_outer(kept)).filter("type IS NOT NULL")
+    return out.withColumn("confidence", F.col("matches") / F.col("shapes")).drop("shapes")
 
 
 def merge_classifications(by_text: DataFrame, by_number: DataFrame, key: str, top: int = 3) -> DataFrame:
@@ -100,8 +100,9 @@ FLAG_PATTERNS = {
 SCRIPTS = {"hindi": r"[\x{0900}-\x{097F}]", "arabic": r"[\x{0600}-\x{06FF}]", "japanese": r"[\x{3040}-\x{309F}\x{30A0}-\x{30FF}\x{4E00}-\x{9FAF}]"}
 
 
-def flag(text: Column, group: str) -> Column:
-    return text.rlike("(?iu)" + "|".join(f"(?:{p})" for p in FLAG_PATTERNS[group]))
+def flag(text: str, group: str) -> str:
+    """SQL text of a pattern group test."""
+    return matches(text, "|".join(f"(?:{p})" for p in FLAG_PATTERNS[group]), True)
 
 
 def script_flags(df: DataFrame, text: str = "text") -> DataFrame:
@@ -122,7 +123,7 @@ def text_features(df: DataFrame, text: str = "text") -> DataFrame:
             "digit_ratio": ratio(r"\p{Nd}"),
             "upper_ratio": ratio(r"\p{Lu}"),
             "special_char_ratio": ratio(r"[^\p{L}\p{N}\s]"),
-            **{f"has_{g}_pattern": flag(c, g) for g in FLAG_PATTERNS},
+            **{f"has_{g}_pattern": F.expr(flag(text, g)) for g in FLAG_PATTERNS},
             "has_hindi_text": c.rlike(SCRIPTS["hindi"]),
             "has_arabic_text": c.rlike(SCRIPTS["arabic"]),
         }
@@ -131,19 +132,12 @@ def text_features(df: DataFrame, text: str = "text") -> DataFrame:
 
 def classify_cascade(df: DataFrame, text: str = "text") -> DataFrame:
     """Ordered word rules with fixed confidences."""
-    c = F.col(text)
     groups = {"Aadhaar Card": "aadhaar", "PAN Card": "pan"}
-
-    def cascade(low: Column) -> Column:
-        out = None
-        for t, words, p in CASCADE:
-            sure = F.when(flag(c, groups[t]), F.lit(CASCADE_SURE)).otherwise(F.lit(p)) if t in groups else F.lit(p)
-            row = F.struct(F.lit(t).alias("document_type"), sure.alias("confidence"))
-            hit = hits(words, low) > 0
-            out = F.when(hit, row) if out is None else out.when(hit, row)
-        return out.otherwise(F.struct(F.lit(CASCADE_OTHER[0]).alias("document_type"), F.lit(CASCADE_OTHER[1]).alias("confidence")))
-
-    return df.withColumn("_c", let(F.lower(text), cascade)).select(*df.columns, "_c.*")
+    row = lambda t, p: f"named_struct('document_type', {sql_str(t)}, 'confidence', double({p}))"
+    sure = lambda t, p: f"CASE WHEN {flag(text, groups[t])} THEN {CASCADE_SURE} ELSE {p} END" if t in groups else p
+    cases = " ".join(f"WHEN {any_of(ws, 'low')} THEN {row(t, sure(t, p))}" for t, ws, p in CASCADE)
+    cascade = let_sql(f"lower({text})", "low", f"CASE {cases} ELSE {row(*CASCADE_OTHER)} END")
+    return df.withColumn("_c", F.expr(cascade)).select(*df.columns, "_c.*")
 
 
 # Words and patterns of the coarse detection, tested in this order.
@@ -165,87 +159,100 @@ COARSE_LICENSE = [
 MRZ_LENGTH = 40
 
 
-def detect_type(text: Column, mrz_type: Column | None = None) -> Column:
+def detect_type(text: str, mrz_type: str | None = None) -> Column:
     """passport, id_card, driving_license or other: machine readable type, patterns, MRZ line, then words."""
-    join = lambda ps: "(?iu)" + "|".join(f"(?:{p})" for p in ps)
-    mrz_line = F.exists(
-        F.split(text, "\n"),
-        lambda x: (F.length(F.trim(x)) >= MRZ_LENGTH) & (F.length(x) - F.length(F.replace(x, F.lit("<"), F.lit(""))) >= 5),
+    join = lambda ps: matches("t", "|".join(f"(?:{p})" for p in ps), True)
+    mrz_line = (
+        f"exists(split(t, '\\n'), x -> length(trim(x)) >= {MRZ_LENGTH} AND length(x) - length(replace(x, '<', '')) >= 5)"
     )
-    out = (
-        F.when(text.rlike(join(COARSE_ID_PATTERNS)), "id_card")
-        .when(text.rlike(join(COARSE_LICENSE_PATTERNS)), "driving_license")
-        .when(mrz_line, "passport")
+    cases = (
+        f"WHEN {join(COARSE_ID_PATTERNS)} THEN 'id_card' WHEN {join(COARSE_LICENSE_PATTERNS)} THEN 'driving_license' WHEN {mrz_line} THEN 'passport' "
+        f"WHEN {any_of(COARSE_PASSPORT, 'low')} THEN 'passport' WHEN {any_of(COARSE_ID, 'low')} THEN 'id_card' "
+        f"WHEN {any_of(COARSE_LICENSE, 'low')} THEN 'driving_license'"
     )
-    words = let(
-        F.lower(text),
-        lambda low: F.when(hits(COARSE_PASSPORT, low) > 0, "passport")
-        .when(hits(COARSE_ID, low) > 0, "id_card")
-        .when(hits(COARSE_LICENSE, low) > 0, "driving_license"),
-    )
-    out = F.coalesce(out, words)
+    by_text = let_sql(text, "t", let_sql("lower(t)", "low", f"CASE {cases} END"))
     if mrz_type is None:
-        return F.coalesce(out, F.lit("other"))
-    first = F.when(mrz_type == "P", "passport").when(mrz_type.isin("I", "ID", "IC", "C"), "id_card")
-    return F.coalesce(first, out, F.when(mrz_type.isNotNull(), "passport"), F.lit("other"))
+        return F.expr(f"coalesce({by_text}, 'other')")
+    first = f"CASE WHEN {mrz_type} = 'P' THEN 'passport' WHEN {mrz_type} IN ('I', 'ID', 'IC', 'C') THEN 'id_card' END"
+    return F.expr(f"coalesce({first}, {by_text}, CASE WHEN {mrz_type} IS NOT NULL THEN 'passport' END, 'other')")
 
 
 def route_document(df: DataFrame, text: str = "text", packs: Sequence[Pack] = PACKS, order: str = "first") -> DataFrame:
     """Pack of a document: the first that recognises it, or with ``order='specific'`` the one with most matched criteria."""
-    c = F.col(text)
-
-    def specific(low: Column) -> Column:
-        ranked = [
-            F.struct(
-                F.when(predicate(p.detect, c, low), criteria(p.detect, c, low)).otherwise(0).alias("n"),
-                F.lit(-i).alias("before"),
-                F.lit(p.code).alias("code"),
-            )
+    if order == "first":
+        body = "coalesce(" + ", ".join(f"CASE WHEN {predicate(p.detect, text, 'low')} THEN '{p.code}' END" for p in packs) + ")"
+    elif order == "specific":
+        ranked = ", ".join(
+            f"named_struct('n', CASE WHEN {predicate(p.detect, text, 'low')} THEN {criteria(p.detect, text, 'low')} ELSE 0 END, 'before', {-i}, 'code', '{p.code}')"
             for i, p in enumerate(packs)
-        ]
-        return let(F.array_max(F.array(*ranked)), lambda b: F.when(b["n"] > 0, b["code"]))
+        )
+        body = let_sql(f"array_max(array({ranked}))", "b", "CASE WHEN b.n > 0 THEN b.code END")
+    else:
+        raise ValueError(f"unknown order: {order}")
+    return df.withColumn("pack", F.expr(let_sql(f"lower({text})", "low", body)))
 
-    def first(low: Column) -> Column:
-        return F.coalesce(*[F.when(predicate(p.detect, c, low), F.lit(p.code)) for p in packs])
 
-    if order not in ("first", "specific"):
-        raise ValueError(f"unknown order: {order}")
-    return df.withColumn("pack", let(F.lower(c), first if order == "first" else specific))
+def pack_text(p: Pack, text: str) -> str:
+    return f"replace({text}, '\\n', ' ')" if p.single_line else text
+
+
+ADDRESS_PACKS = ("aadhaar", "driving_license")
+NEXT_LINE_PACKS = ("us_drivers_license",)
 
 
-def pack_text(p: Pack, c: Column) -> Column:
-    return F.replace(c, F.lit("\n"), F.lit(" ")) if p.single_line else c
+def next_line_address(text: str) -> Column:
+    """Line after the first line that names an address."""
+    lines = f"transform(split({text}, '\\n'), x -> trim(x))"
+    body = let_sql("array_position(transform(ls, x -> contains(lower(x), 'addr')), true)", "i", "CASE WHEN i > 0 THEN get(ls, int(i)) END")
+    return F.expr(let_sql(lines, "ls", body))
 
 
-def pack_fields(p: Pack, text: Column) -> dict[str, Column]:
+def pack_fields(p: Pack, text: str) -> dict[str, Column]:
     """Columns of one pack by field name."""
-    t = pack_text(p, text)
-    out = {f.name: extract(f, t) for f in p.fields}
-    if p.code in ("aadhaar", "driving_license"):
-        from scanmill.functions.identifiers import address_block
-
-        out["address"] = address_block(text)
-    if p.code == "us_drivers_license":
-        lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
-        marks = F.transform(lines, lambda x: F.lower(x).rlike("addr"))
-        out["address"] = let(F.array_position(marks, True).cast("int"), lambda i: F.when(i > 0, F.get(lines, i)))
+    from scanmill.functions.identifiers import address_block
+
+    out = {f.name: extract(f, pack_text(p, text)) for f in p.fields}
+    if p.code in ADDRESS_PACKS:
+        out["address"] = address_block(F.col(text))
+    if p.code in NEXT_LINE_PACKS:
+        out["address"] = next_line_address(text)
     return out
 
 
 def extract_fields(df: DataFrame, key: str, pack: Pack, text: str = "text") -> DataFrame:
     """Wide table of the fields of one pack; use on documents routed to it."""
-    return df.select(key, *[c.alias(n) for n, c in pack_fields(pack, F.col(text)).items()])
+    return df.select(key, *[c.alias(n) for n, c in pack_fields(pack, text).items()])
 
 
 def extract_routed(df: DataFrame, text: str = "text", packs: Sequence[Pack] = PACKS) -> DataFrame:
-    """Map of the non-null fields of the routed pack; only that pack's patterns run on a document."""
-    out = None
-    for p in packs:
-        pairs = [x for n, c in pack_fields(p, F.col(text)).items() for x in (F.lit(n), c)]
-        m = F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull())
-        cond = F.col("pack") == p.code
-        out = F.when(cond, m) if out is None else out.when(cond, m)
-    return df.withColumn("fields", out)
+    """Map of the non-null fields of the routed pack; only that pack's patterns run on a document.
+
+    The patterns sit inside one bound expression: generated code for hundreds of them would exceed
+    what the compiler takes in one method. Values are brought to normal form after that, once per
+    kind and not once per field.
+    """
+    from scanmill.functions.identifiers import address_block
+
+    def entries(p: Pack) -> str:
+        rows = ", ".join(f"named_struct('k', '{f.name}', 'f', '{f.final}', 'v', {raw_value(f, 't')})" for f in p.fields)
+        return let_sql(pack_text(p, "s"), "t", f"array({rows})")
+
+    cases = " ".join(f"WHEN pack = '{p.code}' THEN {entries(p)}" for p in packs)
+    raw = F.filter(F.expr(let_sql(text, "s", f"CASE {cases} END")), lambda e: e["v"].isNotNull())
+
+    def normal(e: Column) -> Column:
+        out = None
+        for kind in FINALS:
+            cond, v = e["f"] == kind, final_value(kind, e["v"])
+            out = F.when(cond, v) if out is None else out.when(cond, v)
+        return F.struct(e["k"].alias("k"), out.otherwise(e["v"]).alias("v"))
+
+    address = F.when(F.col("pack").isin(*ADDRESS_PACKS), address_block(F.col(text))).when(
+        F.col("pack").isin(*NEXT_LINE_PACKS), next_line_address(text)
+    )
+    named = F.array(F.struct(F.lit("address").alias("k"), address.alias("v")))
+    both = F.filter(F.concat(F.transform(raw, normal), named), lambda e: e["v"].isNotNull())
+    return df.withColumn("fields", F.map_from_entries(both))
 
 
 def extraction_confidence(df: DataFrame, fields: str = "fields", packs: Sequence[Pack] = PACKS) -> DataFrame:
@@ -267,15 +274,8 @@ def java_digits(p: str) -> str:
 
 def detect_global(df: DataFrame, rules: Sequence, text: str = "text", least: int = 2) -> DataFrame:
     """Country rules with at least two matches, as ``country/type`` names in rule order."""
-    c = F.col(text)
-
-    def all_rules(low: Column) -> Column:
-        found = []
-        for country, kind, _, _, words, shapes, marks in rules:
-            n = hits([w.lower() for w in [*words, *marks]], low)
-            for p in shapes:
-                n = n + c.rlike("(?iu)" + java_digits(p)).cast("int")
-            found.append(F.when(n >= least, F.lit(f"{country}/{kind}")))
-        return F.array_compact(F.array(*found))
-
-    return df.withColumn("global_types", let(F.lower(c), all_rules))
+    found = []
+    for country, kind, _, _, keywords, shapes, marks in rules:
+        n = hits([w.lower() for w in [*keywords, *marks]], "low") + "".join(f" + int({matches(text, java_digits(p), True)})" for p in shapes)
+        found.append(f"CASE WHEN {n} >= {least} THEN {sql_str(f'{country}/{kind}')} END")
+    return df.withColumn("global_types", F.expr(let_sql(f"lower({text})", "low", f"array_compact(array({', '.join(found)}))")))

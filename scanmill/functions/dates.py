@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from scanmill.functions.rules import let
+from scanmill.functions.rules import let, literal_rows
 
 # Month names and numbers, long names first.
 MONTHS = [
@@ -21,7 +21,7 @@ MRZ_PIVOT = 31
 
 def _month_number(name: Column) -> Column:
     short = {m: n for m, n in MONTHS if len(m) == 3}
-    table = F.create_map(*[F.lit(x) for kv in short.items() for x in kv])
+    table = F.expr("map(" + ", ".join(f"'{m}', '{n}'" for m, n in short.items()) + ")")
     return F.element_at(table, F.upper(F.substring(name, 1, 3)))
 
 
@@ -89,7 +89,7 @@ STRICT = [
 def normalize_date_strict(c: Column) -> Column:
     """Month names become numbers; the first layout whose parts are in range gives the date."""
     t = F.regexp_replace(F.regexp_replace(c, r"^\s+|\s+$", ""), r"\s+", " ")
-    names = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(n).alias("n")) for m, n in MONTHS])
+    names = literal_rows(MONTHS, ["m", "n"])
 
     def numbered(x: Column) -> Column:
         up = F.upper(x)

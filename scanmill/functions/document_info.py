@@ -11,7 +11,7 @@ from scanmill.functions.classify import detect_type
 from scanmill.functions.dates import normalize_date
 from scanmill.functions.identifiers import clean_document_number, extract_place, found, nationality
 from scanmill.functions.names import best_name, clean_name
-from scanmill.functions.rules import LEFT, Probe, let, strip
+from scanmill.functions.rules import LEFT, Probe, let, strip, words
 
 # Labels and value shapes of the general extraction, in order of preference.
 _NUM = r"[0-9]{1,2}[\s./-][0-9]{1,2}[\s./-][0-9]{2,4}"
@@ -66,37 +66,42 @@ def labelled_line(text: Column, line_rx: str, other: str | None) -> Column:
 
 def document_info(df: DataFrame, countries: Sequence[tuple[str, str]], text: str = "text") -> DataFrame:
     """Eleven fields of a document of any kind; null where nothing is found."""
-    c = F.col(text)
-    low = F.lower(c)
-    any_of = lambda ws: F.exists(F.array(*[F.lit(w) for w in ws]), lambda w: F.contains(low, w))
-    has_eid = any_of(EMIRATES_WORDS) | c.rlike(EMIRATES)
-    eid = F.when(has_eid, found(F.regexp_extract(c, EMIRATES, 1)))
-    lic = F.when(any_of(LICENSE_WORDS), first_probe("license_number", c))
-    issue = F.when(any_of(LICENSE_WORDS), normalize_date(first_probe("issue_date", c)))
-    eid_name = F.when(has_eid, clean_name(first_probe("emirates_name", c)))
-    surname = labelled_line(c, SURNAME_LINE, None)
-    given = labelled_line(c, GIVEN_LINE, "(?i)(?:surname|family name)")
-    labelled = let(
-        F.struct(given.alias("g"), surname.alias("s")),
-        lambda n: F.when(n["g"].isNotNull() & n["s"].isNotNull(), F.concat_ws(" ", n["g"], n["s"])).otherwise(F.coalesce(n["g"], n["s"])),
-    )
-    nats = [
-        let(F.regexp_extract(c, p.java(), 1), lambda x: F.when(strip(x) != "", F.nullif(nationality(x, countries), F.lit("UNKNOWN"))))
-        for p in PROBES["nationality"]
-    ]
-    gender = F.coalesce(*[F.when(c.rlike(rx), F.lit(v)) for rx, v in GENDER])
-    kind = detect_type(c)
-    return df.withColumn("document_type", kind).withColumns(
-        {
-            "full_name": F.coalesce(eid_name, labelled, clean_name(best_name(c))),
-            "document_number": F.coalesce(eid, clean_document_number(lic), clean_document_number(first_probe("document_number", c))),
-            "date_of_birth": normalize_date(first_probe("date_of_birth", c)),
-            "date_of_expiry": normalize_date(first_probe("date_of_expiry", c)),
-            "nationality": F.coalesce(*nats),
-            "gender": gender,
-            "unified_number": F.replace(eid, F.lit("-"), F.lit("")),
-            "license_number": lic,
-            "issue_date": issue,
-            "place_of_issue": F.when(F.col("document_type") == "passport", extract_place(c)),
-        }
+    has = lambda c, ws: let(
+        F.lower(c), lambda low: F.exists(words(ws), lambda w: F.contains(low, w))
     )
+    has_eid = lambda c: has(c, EMIRATES_WORDS) | c.rlike(EMIRATES)
+    eid = lambda c: F.when(has_eid(c), found(F.regexp_extract(c, EMIRATES, 1)))
+    licence = lambda c: F.when(has(c, LICENSE_WORDS), first_probe("license_number", c))
+
+    def full_name(c: Column) -> Column:
+        surname = labelled_line(c, SURNAME_LINE, None)
+        given = labelled_line(c, GIVEN_LINE, "(?i)(?:surname|family name)")
+        labelled = let(
+            F.struct(given.alias("g"), surname.alias("s")),
+            lambda n: F.when(n["g"].isNotNull() & n["s"].isNotNull(), F.concat_ws(" ", n["g"], n["s"])).otherwise(F.coalesce(n["g"], n["s"])),
+        )
+        return F.coalesce(F.when(has_eid(c), clean_name(first_probe("emirates_name", c))), labelled, clean_name(best_name(c)))
+
+    def country(c: Column) -> Column:
+        return F.coalesce(
+            *[
+                let(F.regexp_extract(c, p.java(), 1), lambda x: F.when(strip(x) != "", F.nullif(nationality(x, countries), F.lit("UNKNOWN"))))
+                for p in PROBES["nationality"]
+            ]
+        )
+
+    fields = {
+        "full_name": full_name,
+        "document_number": lambda c: F.coalesce(eid(c), clean_document_number(licence(c)), clean_document_number(first_probe("document_number", c))),
+        "date_of_birth": lambda c: normalize_date(first_probe("date_of_birth", c)),
+        "date_of_expiry": lambda c: normalize_date(first_probe("date_of_expiry", c)),
+        "nationality": country,
+        "gender": lambda c: F.coalesce(*[F.when(c.rlike(rx), F.lit(v)) for rx, v in GENDER]),
+        "unified_number": lambda c: F.replace(eid(c), F.lit("-"), F.lit("")),
+        "license_number": licence,
+        "issue_date": lambda c: F.when(has(c, LICENSE_WORDS), normalize_date(first_probe("issue_date", c))),
+        "place_of_issue": lambda c: F.when(F.col("document_type") == "passport", extract_place(c)),
+    }
+    out = df.withColumn("document_type", detect_type(text))
+    # Each field is one bound expression over the text: unused ones are pruned, and no generated method grows too large.
+    return out.withColumns({n: let(F.col(text), fn) for n, fn in fields.items()})

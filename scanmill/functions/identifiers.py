@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanmill.functions.packs import EU_COUNTRIES
-from scanmill.functions.rules import LEFT, RIGHT, Probe, let, strip, word, word_group
+from scanmill.functions.rules import LEFT, RIGHT, Probe, let, literal_rows, strip, word_group, words as word_array
 
 # Number shapes in order of preference, and prefixes to drop.
 NUMBER_SHAPES = [
@@ -91,7 +91,7 @@ def address_block(text: Column, stops: Sequence[str] = ADDRESS_STOPS) -> Column:
 
     Text after a marker on its own line counts; short lines, numbers and dates do not.
     """
-    has = lambda x, ws: F.exists(F.array(*[F.lit(w) for w in ws]), lambda w: F.contains(F.lower(x), w))
+    has = lambda x, ws: F.exists(word_array(ws), lambda w: F.contains(F.lower(x), w))
     lines = F.filter(F.transform(F.split(text, "\n"), strip), lambda x: F.length(x) > 0)
     mark = lambda x: has(x, ADDRESS_MARKS)
 
@@ -129,7 +129,7 @@ NOT_PLACES = ["passport", "office", "authority", "department", "ministry", "date
 
 def extract_place(text: Column) -> Column:
     """Place of issue or birth: first pattern that leaves a real word."""
-    stop = F.array(*[F.lit(w) for w in NOT_PLACES])
+    stop = word_array(NOT_PLACES)
 
     def words(raw: Column) -> Column:
         t = strip(F.regexp_replace(F.regexp_replace(raw, r"[^\p{L}\p{N}_\s,]", ""), r"\s+", " "))
@@ -198,7 +198,7 @@ def nationality(text: Column, countries: Sequence[tuple[str, str]], number: Colu
 
     Keywords are tested by substring in table order; only those present are tested as whole words.
     """
-    table = F.array(*[F.struct(F.lit(c).alias("code"), F.lit(k.lower()).alias("kw")) for c, k in countries])
+    table = literal_rows([(c, k.lower()) for c, k in countries], ["code", "kw"])
     # A regular expression special character in a keyword stands for itself.
     quoted = lambda k: F.regexp_replace(k, r"([.\\+*?\[\]^$(){}|-])", r"\\$1")
 
@@ -229,7 +229,7 @@ def issuing_country(df: DataFrame, text: str = "text") -> DataFrame:
     adjective = F.create_map(*[F.lit(x) for c, adj, _ in EU_COUNTRIES for x in (c, adj)])
     words = "|".join(adj for code, adj, _ in EU_COUNTRIES if adj != code)
     bare = "(?iu)" + word_group(words)
-    table = F.array(*[F.struct(F.lit(c).alias("code"), F.lit(n).alias("kw")) for c, _, ns in EU_COUNTRIES for n in ns])
+    table = literal_rows([(c, n) for c, _, ns in EU_COUNTRIES for n in ns], ["code", "kw"])
     code = let(F.lower(text), lambda t: F.get(F.filter(table, lambda k: F.contains(t, k["kw"])), F.lit(0))["code"])
     return df.withColumn("country_code", code).withColumn(
         "nationality",

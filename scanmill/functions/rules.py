@@ -13,7 +13,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -76,37 +75,71 @@ class Pack:
     single_line: bool = False
 
 
-# ---- predicates ----
+def sql_str(s: str) -> str:
+    """SQL string literal."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def predicate(p: tuple, text: Column, lower: Column) -> Column:
-    """Compile ("any", words), ("count", words, n), ("rx", pattern), ("rxi", pattern), ("and"|"or", ...)."""
-    kind = p[0]
-    if kind == "any":
-        return reduce(lambda a, b: a | b, [lower.contains(w) for w in p[1]])
-    if kind == "count":
-        return hits(p[1], lower) >= p[2]
-    if kind == "rx":
-        return text.rlike(p[1])
-    if kind == "rxi":
-        return text.rlike("(?iu)" + p[1])
-    parts = [predicate(q, text, lower) for q in p[1:]]
-    return reduce((lambda a, b: a & b) if kind == "and" else (lambda a, b: a | b), parts)
+def sql_array(items: Sequence[str]) -> str:
+    return "array(" + ", ".join(sql_str(x) for x in items) + ")"
+
+
+def words(items: Sequence[str]) -> Column:
+    """Array literal of strings."""
+    return F.expr(sql_array(items))
+
+
+def literal_rows(rows: Sequence[Sequence[str]], names: Sequence[str]) -> Column:
+    """Array literal of structs of strings."""
+    one = lambda r: "named_struct(" + ", ".join(f"'{n}', {sql_str(v)}" for n, v in zip(names, r)) + ")"
+    return F.expr("array(" + ", ".join(one(r) for r in rows) + ")")
+
 
+# ---- predicates, as SQL text over a text and its lower-case form ----
 
-def hits(words: Sequence[str], lower: Column) -> Column:
+
+def contains(lower: str, w: str) -> str:
+    return f"contains({lower}, {sql_str(w)})"
+
+
+def matches(text: str, pattern: str, ignore_case: bool = False) -> str:
+    return f"rlike({text}, {sql_str(('(?iu)' if ignore_case else '') + pattern)})"
+
+
+def hits(items: Sequence[str], lower: str) -> str:
     """How many of the words occur."""
-    return reduce(lambda a, b: a + b, [lower.contains(w).cast("int") for w in words])
+    return "(" + " + ".join(f"int({contains(lower, w)})" for w in items) + ")"
+
 
+def any_of(items: Sequence[str], lower: str) -> str:
+    return "(" + " OR ".join(contains(lower, w) for w in items) + ")"
 
-def criteria(p: tuple, text: Column, lower: Column) -> Column:
+
+def predicate(p: tuple, text: str, lower: str) -> str:
+    """("any", words), ("count", words, n), ("rx", pattern), ("rxi", pattern), ("and"|"or", ...)."""
+    kind = p[0]
+    if kind == "any":
+        return any_of(p[1], lower)
+    if kind == "count":
+        return f"({hits(p[1], lower)} >= {p[2]})"
+    if kind in ("rx", "rxi"):
+        return matches(text, p[1], kind == "rxi")
+    return "(" + (" AND " if kind == "and" else " OR ").join(predicate(q, text, lower) for q in p[1:]) + ")"
+
+
+def criteria(p: tuple, text: str, lower: str) -> str:
     """Number of matched criteria of a predicate: one per word or pattern."""
     kind = p[0]
     if kind in ("any", "count"):
         return hits(p[1], lower)
     if kind in ("rx", "rxi"):
-        return predicate(p, text, lower).cast("int")
-    return reduce(lambda a, b: a + b, [criteria(q, text, lower) for q in p[1:]])
+        return f"int({predicate(p, text, lower)})"
+    return "(" + " + ".join(criteria(q, text, lower) for q in p[1:]) + ")"
+
+
+def let_sql(value: str, name: str, body: str) -> str:
+    """SQL text that binds a value to a name once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -117,22 +150,33 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 # ---- fields ----
 
 
-def _kept(f: Field, v: Column) -> Column:
-    ok = F.length(v) > f.min_len
+def strip_sql(v: str) -> str:
+    return f"regexp_replace({v}, {sql_str(WHITE_ENDS)}, '')"
+
+
+WHITE_ENDS = r"^\s+|\s+$"
+
+
+def raw_value(f: Field, text: str) -> str:
+    """SQL text of the first probe whose stripped value passes the filters of the field."""
+    if f.const:
+        hit = " OR ".join(f"rlike({text}, {sql_str(p.java())})" for p in f.probes)
+        return f"CASE WHEN {hit} THEN {sql_str(f.const)} END"
+    ok = f"length(x) > {f.min_len}"
     if f.stop_words:
-        low = F.lower(v)
-        ok = ok & ~reduce(lambda a, b: a | b, [low.contains(w) for w in f.stop_words])
+        ok += f" AND NOT {any_of(f.stop_words, 'lower(x)')}"
     if f.max_words:
-        ok = ok & (F.size(F.split(v, r"\s+")) <= f.max_words)
+        ok += f" AND size(split(x, {sql_str(chr(92) + 's+')})) <= {f.max_words}"
     if f.between:
-        n = F.nullif(F.regexp_extract(v, "^[0-9]{1,9}$", 0), F.lit("")).cast("int")
-        ok = ok & (n >= f.between[0]) & (n <= f.between[1])
-    return ok
+        n = "int(nullif(regexp_extract(x, '^[0-9]{1,9}$', 0), ''))"
+        ok += f" AND {n} BETWEEN {f.between[0]} AND {f.between[1]}"
+    probe = lambda p: strip_sql(f"regexp_extract({text}, {sql_str(p.java())}, {p.group})")
+    return "coalesce(" + ", ".join(let_sql(probe(p), "x", f"CASE WHEN {ok} THEN x END") for p in f.probes) + ")"
 
 
 def strip(c: Column) -> Column:
     """Trim all white space at both ends."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.regexp_replace(c, WHITE_ENDS, "")
 
 
 # Spellings of the two sexes.
@@ -180,12 +224,10 @@ def slash_date(v: Column, month_first: bool) -> Column:
     return F.when(valid, F.concat_ws("/", F.lpad(a, 2, "0"), F.lpad(b, 2, "0"), y)).otherwise(v)
 
 
-def extract(f: Field, text: Column) -> Column:
-    """First probe whose cleaned value passes the filters, in its normal form."""
-    if f.const:
-        hit = reduce(lambda a, b: a | b, [text.rlike(p.java()) for p in f.probes])
-        return F.when(hit, F.lit(f.const))
-    tries = [
-        let(strip(F.regexp_extract(text, p.java(), p.group)), lambda x: F.when(_kept(f, x), x)) for p in f.probes
-    ]
-    return final_value(f.final, F.coalesce(*tries)) if f.final else F.coalesce(*tries)
+FINALS = ("upper", "sex", "gender", "spaces", "plain_number", "alien", "emirates", "dmy", "mdy", "era", "named_dmy")
+
+
+def extract(f: Field, text: str) -> Column:
+    """Value of one field from a text column, in its normal form."""
+    v = F.expr(raw_value(f, text))
+    return final_value(f.final, v) if f.final else v

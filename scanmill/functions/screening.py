@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scanmill.functions.rules import hits, let, strip
+from scanmill.functions.rules import any_of, hits, let, let_sql, strip
 
 # Suspicious content patterns, in report order.
 SUSPICIOUS = [
@@ -157,7 +157,7 @@ MIN_SECONDS = 0.1
 
 def fraud_indicators(df: DataFrame, text: str, seconds: str, confidence: str) -> DataFrame:
     """Array of indicator names in fixed order, all from one pass over the text."""
-    c, low = F.col(text), F.lower(text)
+    c = F.col(text)
     unusual = F.length(F.regexp_replace(c, r"[\x00-\x7F]", ""))
     lengths = F.transform(F.filter(F.split(c, r"\s+"), lambda w: F.length(w) > 0), lambda w: F.length(w).cast("bigint"))
     zero = F.struct(F.lit(0).cast("bigint").alias("s"), F.lit(0).cast("bigint").alias("q"))
@@ -170,15 +170,14 @@ def fraud_indicators(df: DataFrame, text: str, seconds: str, confidence: str) ->
     scripts = (
         c.rlike(r"[\x00-\x7F]").cast("int") + c.rlike(r"[\x{0900}-\x{097F}]").cast("int") + c.rlike(r"[\x{0600}-\x{06FF}]").cast("int")
     )
-    known = [
-        F.when(hits(ws, low) > 0, F.lit(f"matches_known_fraud_pattern_{n}")) for n, ws in FRAUD_WORDS.items()
-    ]
+    known = [F.expr(f"CASE WHEN {any_of(ws, f'lower({text})')} THEN 'matches_known_fraud_pattern_{n}' END") for n, ws in FRAUD_WORDS.items()]
+    layout = F.expr(let_sql(f"lower({text})", "low", hits(LAYOUT_WORDS, "low")))
     found = F.array_compact(
         F.array(
             F.when((F.length(c) > 0) & (unusual.cast("double") / F.length(c) > MAX_UNUSUAL), F.lit("font_inconsistency")),
             F.when(uneven, F.lit("spacing_irregularity")),
             F.when(scripts > 2, F.lit("language_inconsistency")),
-            F.when(hits(LAYOUT_WORDS, low) < 2, F.lit("template_mismatch")),
+            F.when(layout < 2, F.lit("template_mismatch")),
             F.when(F.coalesce(F.col(seconds), F.lit(0.0)) < MIN_SECONDS, F.lit("suspiciously_fast_processing")),
             F.when(F.coalesce(F.col(confidence), F.lit(1.0)) == 1.0, F.lit("perfect_confidence_anomaly")),
             *known,

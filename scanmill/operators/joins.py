@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scanmill.functions.rules import let
+from scanmill.functions.rules import let, literal_rows
 
 
 def scans_with_users(scans: DataFrame, users: DataFrame) -> DataFrame:
@@ -46,7 +46,7 @@ def alias_to_code(df: DataFrame, name: str, aliases: Mapping[str, str]) -> DataF
 
 def keyword_matches(docs: DataFrame, keywords: Mapping[str, str], text: str = "text") -> DataFrame:
     """One row per document and contained keyword, compiled to a filtered array instead of a join."""
-    table = F.array(*[F.struct(F.lit(g).alias("kind"), F.lit(k).alias("keyword")) for k, g in keywords.items()])
+    table = literal_rows([(g, k) for k, g in keywords.items()], ["kind", "keyword"])
     hits = let(F.lower(text), lambda t: F.filter(table, lambda k: F.contains(t, k["keyword"])))
     # The outer form keeps the optimiser from testing the array in a filter of its own.
     out = docs.withColumn("_hit", F.explode_outer(hits)).filter("_hit IS NOT NULL")

@@ -361,7 +361,7 @@ def _coarse_sql() -> str:
 
 @query("detect_type_coarse", C(f"SELECT doc_id, {_coarse_sql()} AS document_type FROM c"))
 def detect_type_coarse(spark, d):
-    return corpus(spark, d).select("doc_id", K.detect_type(F.col("text")).alias("document_type"))
+    return corpus(spark, d).select("doc_id", K.detect_type("text").alias("document_type"))
 
 
 ROUTE_SQL = "routed AS (SELECT doc_id, text, low, CASE " + " ".join(f"WHEN {R.predicate(p.detect)} THEN '{p.code}'" for p in PACKS) + " END AS pack FROM c)"

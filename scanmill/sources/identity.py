@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scanmill.functions.rules import sql_array, words
 from scanmill.sources.tables import spread, table
 
 ID_OFFSET = 1_000_000_000
@@ -77,11 +78,11 @@ def quote(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def _spark_value(name: str) -> Column:
+def _spark_value(name: str) -> str:
     if name in _VALUES:
-        return F.expr(_VALUES[name].format(s="string"))
+        return _VALUES[name].format(s="string")
     items, step, case = _PICKS[name]
-    return F.element_at(F.array(*[F.lit(case(x)) for x in items]), ((F.col("k") * step) % len(items) + 1).cast("int"))
+    return f"element_at({sql_array([case(x) for x in items])}, int((k * {step}) % {len(items)} + 1))"
 
 
 def _sql_value(name: str) -> str:
@@ -99,8 +100,9 @@ def _parts(template: str) -> list[tuple[bool, str]]:
 def identity_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Template of the key with every placeholder replaced by its value."""
     names = sorted({p for tpl in TEMPLATES for ph, p in _parts(tpl) if ph})
-    values = F.array(*[F.struct(F.lit("{" + n + "}").alias("name"), _spark_value(n).alias("value")) for n in names])
-    template = F.element_at(F.array(*[F.lit(t) for t in TEMPLATES]), (F.col("k") % len(TEMPLATES) + 1).cast("int"))
+    pairs = ", ".join(f"named_struct('name', '{{{n}}}', 'value', {_spark_value(n)})" for n in names)
+    values = F.expr(f"array({pairs})")
+    template = F.element_at(words(TEMPLATES), (F.col("k") % len(TEMPLATES) + 1).cast("int"))
     text = F.aggregate(values, template, lambda t, v: F.replace(t, v["name"], v["value"]))
     return (
         table(spark, sf_dir, "customer")
