@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("analytics", "relational", "textual", "screened")
+MODULES = ("analytics", "relational", "textual", "screened", "remembered")
 
 
 def load():
