@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("analytics", "relational", "textual", "screened", "remembered", "streams")
+MODULES = ("analytics", "relational", "textual", "screened", "remembered", "streams", "learned")
 
 
 def load():
