@@ -180,16 +180,17 @@ def detect_type(text: str, mrz_type: str | None = None) -> Column:
 def route_document(df: DataFrame, text: str = "text", packs: Sequence[Pack] = PACKS, order: str = "first") -> DataFrame:
     """Pack of a document: the first that recognises it, or with ``order='specific'`` the one with most matched criteria."""
     if order == "first":
-        body = "coalesce(" + ", ".join(f"CASE WHEN {predicate(p.detect, text, 'low')} THEN '{p.code}' END" for p in packs) + ")"
+        body = "coalesce(" + ", ".join(f"CASE WHEN {predicate(p.detect, 't', 'low')} THEN '{p.code}' END" for p in packs) + ")"
     elif order == "specific":
         ranked = ", ".join(
-            f"named_struct('n', CASE WHEN {predicate(p.detect, text, 'low')} THEN {criteria(p.detect, text, 'low')} ELSE 0 END, 'before', {-i}, 'code', '{p.code}')"
+            f"named_struct('n', CASE WHEN {predicate(p.detect, 't', 'low')} THEN {criteria(p.detect, 't', 'low')} ELSE 0 END, 'before', {-i}, 'code', '{p.code}')"
             for i, p in enumerate(packs)
         )
         body = let_sql(f"array_max(array({ranked}))", "b", "CASE WHEN b.n > 0 THEN b.code END")
     else:
         raise ValueError(f"unknown order: {order}")
-    return df.withColumn("pack", F.expr(let_sql(f"lower({text})", "low", body)))
+    # The text is bound too: a filter on the pack may be pushed below the place where the text is computed.
+    return df.withColumn("pack", F.expr(let_sql(text, "t", let_sql("lower(t)", "low", body))))
 
 
 def pack_text(p: Pack, text: str) -> str:
@@ -276,6 +277,7 @@ def detect_global(df: DataFrame, rules: Sequence, text: str = "text", least: int
     """Country rules with at least two matches, as ``country/type`` names in rule order."""
     found = []
     for country, kind, _, _, keywords, shapes, marks in rules:
-        n = hits([w.lower() for w in [*keywords, *marks]], "low") + "".join(f" + int({matches(text, java_digits(p), True)})" for p in shapes)
+        n = hits([w.lower() for w in [*keywords, *marks]], "low") + "".join(f" + int({matches('t', java_digits(p), True)})" for p in shapes)
         found.append(f"CASE WHEN {n} >= {least} THEN {sql_str(f'{country}/{kind}')} END")
-    return df.withColumn("global_types", F.expr(let_sql(f"lower({text})", "low", f"array_compact(array({', '.join(found)}))")))
+    body = let_sql("lower(t)", "low", f"array_compact(array({', '.join(found)}))")
+    return df.withColumn("global_types", F.expr(let_sql(text, "t", body)))

@@ -14,7 +14,7 @@ from scanmill.plans import rule_sql as R
 from scanmill.plans.registry import query
 from scanmill.plans.textual import C, MERGED_SQL, merged
 from scanmill.sources import tables as T
-from scanmill.sources.identity import corpus, identity_docs, quote
+from scanmill.sources.identity import corpus, identity_docs
 
 LANGS = ["de", "en", "es", "fr"]
 

@@ -9,11 +9,10 @@ from scanmill.functions import document_info as DI
 from scanmill.functions import identifiers as I
 from scanmill.functions import quality as Q
 from scanmill.functions import screening as X
-from scanmill.functions.packs import DEFAULT_WEIGHTS, PACKS
 from scanmill.operators import aggregates as A
 from scanmill.plans import rule_sql as R
 from scanmill.plans.registry import query
-from scanmill.plans.textual import C, ROUTE_SQL, _coarse_sql, clean_name_sql, reorder_sql, routed_fields
+from scanmill.plans.textual import C, _coarse_sql
 from scanmill.sources import tables as T
 from scanmill.sources.identity import corpus, quote
 

@@ -2,23 +2,21 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from scanmill.functions import classify as K
 from scanmill.functions import dates as Dt
 from scanmill.functions import identifiers as I
 from scanmill.functions import names as N
-from scanmill.functions import quality as Q
-from scanmill.functions import screening as X
 from scanmill.functions.catalogue import COUNTRY_RULES
-from scanmill.functions.packs import DEFAULT_WEIGHTS, EU_COUNTRIES, PACKS
-from scanmill.functions.rules import LEFT, RIGHT, let
-from scanmill.operators import aggregates as A
+from scanmill.functions.packs import EU_COUNTRIES, PACKS
+from scanmill.functions.rules import LEFT, RIGHT, let, sql_str
 from scanmill.plans import rule_sql as R
-from scanmill.plans.analytics import mean_sql, pct_sql
 from scanmill.plans.registry import query
 from scanmill.sources import tables as T
-from scanmill.sources.identity import CORPUS_SQL, IDENTITY_SQL, corpus, identity_docs, quote
+from scanmill.sources.identity import CORPUS_SQL, corpus, quote
 
 LOW = "SELECT doc_id, text, lower(text) AS low FROM corpus"
 
@@ -148,7 +146,7 @@ _COUNTRIES = I.country_table()
 
 def _kw_sql() -> str:
     return "kw(ord, code, k, pat) AS (VALUES " + ", ".join(
-        f"({i}, {quote(c)}, {quote(k.lower())}, {quote(LEFT + '(?:' + __import__('re').escape(k.lower()).replace(chr(92) + ' ', ' ') + ')' + RIGHT)})"
+        f"({i}, {quote(c)}, {quote(k.lower())}, {quote(LEFT + '(?:' + re.escape(k.lower()).replace(chr(92) + ' ', ' ') + ')' + RIGHT)})"
         for i, (c, k) in enumerate(_COUNTRIES)
     ) + ")"
 
@@ -456,14 +454,13 @@ SELECT doc_id, rule, nullif({R.strip('CASE rule ' + ' '.join(f"WHEN {quote(r)} T
   CASE WHEN length(n) > 2 THEN n END AS full_name,
   coalesce(nullif(regexp_extract(text, {quote(_GL)}, 1), ''), nullif(regexp_extract(text, {quote(_GD)}, 1), '')) AS date_of_birth FROM x"""))
 def extract_fields_global(spark, d):
-    g = K.detect_global(corpus(spark, d), COUNTRY_RULES).withColumn("rule", F.get("global_types", F.lit(0))).filter("rule IS NOT NULL")
-    num = None
-    for r, p in _GNUM.items():
-        v = F.regexp_extract("text", "(?iu)" + p, 0)
-        num = F.when(F.col("rule") == r, v) if num is None else num.when(F.col("rule") == r, v)
+    g = K.detect_global(corpus(spark, d), COUNTRY_RULES).withColumn("rule", F.get("global_types", F.lit(0)))
+    cases = " ".join(f"WHEN {sql_str(r)} THEN regexp_extract(text, {sql_str('(?iu)' + p)}, 0)" for r, p in _GNUM.items())
+    num = F.expr(f"CASE rule {cases} END")
     name = F.regexp_replace(F.regexp_extract("text", _GN, 1), r"^\s+|\s+$", "")
-    return g.select(
+    out = g.select(
         "doc_id", "rule", I.found(F.regexp_replace(num, r"^\s+|\s+$", "")).alias("document_number"),
         let(name, lambda n: F.when(F.length(n) > 2, n)).alias("full_name"),
         F.coalesce(I.found(F.regexp_extract("text", _GL, 1)), I.found(F.regexp_extract("text", _GD, 1))).alias("date_of_birth"),
     )
+    return out.filter("rule IS NOT NULL")
