@@ -11,9 +11,11 @@ from pyspark.sql.window import Window
 from scanmill.functions.packs import DEFAULT_WEIGHTS, PACKS
 from scanmill.functions.quality import completeness
 from scanmill.functions.rules import (
-    Pack, any_of, contains, criteria, extract, final_value, FINALS, hits, let, let_sql, matches, predicate, raw_value, sql_str, word,
+    Pack, any_of, contains, criteria, extract, final_value, FINALS, hits, let, let_sql, match_any, match_lower, matches, predicate, raw_value, sql_str, word,
 )
 
+# Name of the lower-case text inside bound expressions.
+LOW = "low"
 # Keyword rules as (type, keywords, negative keywords), required score and least confidence.
 KEYWORD_RULES = [
     ("emirates_id", ["emirates id", "بطاقة الهوية", "federal authority", "uae"], ["passport", "license", "driving"]),
@@ -52,10 +54,10 @@ def classify_keywords(df: DataFrame, key: str, text: str = "text", rules=KEYWORD
 def classify_numbers(df: DataFrame, key: str, text: str = "text", rules=NUMBER_RULES) -> DataFrame:
     """One row per type with a matching number shape: the share of its shapes found."""
     rows = [
-        f"named_struct('type', {sql_str(t)}, 'matches', {' + '.join(f'int({matches(text, p, True)})' for p in shapes)}, 'shapes', {len(shapes)})"
+        f"named_struct('type', {sql_str(t)}, 'matches', {' + '.join(f'int({match_lower(LOW, p)})' for p in shapes)}, 'shapes', {len(shapes)})"
         for t, shapes in rules
     ]
-    kept = F.filter(F.expr(f"array({', '.join(rows)})"), lambda r: r["matches"] > 0)
+    kept = F.filter(F.expr(let_sql(f"lower({text})", LOW, f"array({', '.join(rows)})")), lambda r: r["matches"] > 0)
     out = df.select(key, F.inline_outer(kept)).filter("type IS NOT NULL")
     return out.withColumn("confidence", F.col("matches") / F.col("shapes")).drop("shapes")
 
@@ -100,9 +102,9 @@ FLAG_PATTERNS = {
 SCRIPTS = {"hindi": r"[\x{0900}-\x{097F}]", "arabic": r"[\x{0600}-\x{06FF}]", "japanese": r"[\x{3040}-\x{309F}\x{30A0}-\x{30FF}\x{4E00}-\x{9FAF}]"}
 
 
-def flag(text: str, group: str) -> str:
-    """SQL text of a pattern group test."""
-    return matches(text, "|".join(f"(?:{p})" for p in FLAG_PATTERNS[group]), True)
+def flag(lower: str, group: str) -> str:
+    """SQL text of a pattern group test on lower-case text."""
+    return match_any(lower, FLAG_PATTERNS[group])
 
 
 def script_flags(df: DataFrame, text: str = "text") -> DataFrame:
@@ -123,7 +125,7 @@ def text_features(df: DataFrame, text: str = "text") -> DataFrame:
             "digit_ratio": ratio(r"\p{Nd}"),
             "upper_ratio": ratio(r"\p{Lu}"),
             "special_char_ratio": ratio(r"[^\p{L}\p{N}\s]"),
-            **{f"has_{g}_pattern": F.expr(flag(text, g)) for g in FLAG_PATTERNS},
+            **{f"has_{g}_pattern": F.expr(flag(f"lower({text})", g)) for g in FLAG_PATTERNS},
             "has_hindi_text": c.rlike(SCRIPTS["hindi"]),
             "has_arabic_text": c.rlike(SCRIPTS["arabic"]),
         }
@@ -134,7 +136,7 @@ def classify_cascade(df: DataFrame, text: str = "text") -> DataFrame:
     """Ordered word rules with fixed confidences."""
     groups = {"Aadhaar Card": "aadhaar", "PAN Card": "pan"}
     row = lambda t, p: f"named_struct('document_type', {sql_str(t)}, 'confidence', double({p}))"
-    sure = lambda t, p: f"CASE WHEN {flag(text, groups[t])} THEN {CASCADE_SURE} ELSE {p} END" if t in groups else p
+    sure = lambda t, p: f"CASE WHEN {flag('low', groups[t])} THEN {CASCADE_SURE} ELSE {p} END" if t in groups else p
     cases = " ".join(f"WHEN {any_of(ws, 'low')} THEN {row(t, sure(t, p))}" for t, ws, p in CASCADE)
     cascade = let_sql(f"lower({text})", "low", f"CASE {cases} ELSE {row(*CASCADE_OTHER)} END")
     return df.withColumn("_c", F.expr(cascade)).select(*df.columns, "_c.*")
@@ -161,12 +163,11 @@ MRZ_LENGTH = 40
 
 def detect_type(text: str, mrz_type: str | None = None) -> Column:
     """passport, id_card, driving_license or other: machine readable type, patterns, MRZ line, then words."""
-    join = lambda ps: matches("t", "|".join(f"(?:{p})" for p in ps), True)
     mrz_line = (
         f"exists(split(t, '\\n'), x -> length(trim(x)) >= {MRZ_LENGTH} AND length(x) - length(replace(x, '<', '')) >= 5)"
     )
     cases = (
-        f"WHEN {join(COARSE_ID_PATTERNS)} THEN 'id_card' WHEN {join(COARSE_LICENSE_PATTERNS)} THEN 'driving_license' WHEN {mrz_line} THEN 'passport' "
+        f"WHEN {match_any('low', COARSE_ID_PATTERNS)} THEN 'id_card' WHEN {match_any('low', COARSE_LICENSE_PATTERNS)} THEN 'driving_license' WHEN {mrz_line} THEN 'passport' "
         f"WHEN {any_of(COARSE_PASSPORT, 'low')} THEN 'passport' WHEN {any_of(COARSE_ID, 'low')} THEN 'id_card' "
         f"WHEN {any_of(COARSE_LICENSE, 'low')} THEN 'driving_license'"
     )
@@ -277,7 +278,7 @@ def detect_global(df: DataFrame, rules: Sequence, text: str = "text", least: int
     """Country rules with at least two matches, as ``country/type`` names in rule order."""
     found = []
     for country, kind, _, _, keywords, shapes, marks in rules:
-        n = hits([w.lower() for w in [*keywords, *marks]], "low") + "".join(f" + int({matches('t', java_digits(p), True)})" for p in shapes)
+        n = hits([w.lower() for w in [*keywords, *marks]], "low") + "".join(f" + int({match_lower('low', java_digits(p))})" for p in shapes)
         found.append(f"CASE WHEN {n} >= {least} THEN {sql_str(f'{country}/{kind}')} END")
     body = let_sql("lower(t)", "low", f"array_compact(array({', '.join(found)}))")
     return df.withColumn("global_types", F.expr(let_sql(text, "t", body)))

@@ -11,6 +11,7 @@ next to accented letters.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -106,6 +107,34 @@ def matches(text: str, pattern: str, ignore_case: bool = False) -> str:
     return f"rlike({text}, {sql_str(('(?iu)' if ignore_case else '') + pattern)})"
 
 
+def lower_pattern(p: str) -> str:
+    """Pattern for lower-case text: letters outside escapes in lower case."""
+    return re.sub(r"(\\[pPx]\{[^}]*\}|\\.)|([^\\]+)", lambda m: m.group(1) or m.group(2).lower(), p)
+
+
+def match_lower(lower: str, pattern: str) -> str:
+    """Case-insensitive search as a plain search in lower-case text.
+
+    Plain words are substring tests. A pattern that starts with a word is tried only where the word
+    occurs: case-insensitive matching of whole texts is several times slower.
+    """
+    body = pattern[3:-1] if re.fullmatch(r"\(\?:[^()]*\)", pattern) else pattern
+    if "|" in body and not re.search(r"[()\[\]]", body):
+        return "(" + " OR ".join(match_lower(lower, alt) for alt in body.split("|")) + ")"
+    q = lower_pattern(body)
+    head = re.match(r"[^\\.\[\](){}|^$*+?]*", q).group(0)
+    if head == q:
+        return contains(lower, q)
+    if q[len(head)] in "*+?{":
+        head = head[:-1]
+    found = matches(lower, q)
+    return f"({contains(lower, head)} AND {found})" if len(head) > 2 else found
+
+
+def match_any(lower: str, patterns: Sequence[str]) -> str:
+    return "(" + " OR ".join(match_lower(lower, p) for p in patterns) + ")"
+
+
 def hits(items: Sequence[str], lower: str) -> str:
     """How many of the words occur."""
     return "(" + " + ".join(f"int({contains(lower, w)})" for w in items) + ")"
@@ -122,8 +151,10 @@ def predicate(p: tuple, text: str, lower: str) -> str:
         return any_of(p[1], lower)
     if kind == "count":
         return f"({hits(p[1], lower)} >= {p[2]})"
-    if kind in ("rx", "rxi"):
-        return matches(text, p[1], kind == "rxi")
+    if kind == "rx":
+        return matches(text, p[1])
+    if kind == "rxi":
+        return match_lower(lower, p[1])
     return "(" + (" AND " if kind == "and" else " OR ").join(predicate(q, text, lower) for q in p[1:]) + ")"
 
 

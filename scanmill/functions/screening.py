@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scanmill.functions.rules import any_of, hits, let, let_sql, strip
+from scanmill.functions.rules import any_of, hits, let, let_sql, match_any, match_lower, strip
 
 # Suspicious content patterns, in report order.
 SUSPICIOUS = [
@@ -25,7 +25,8 @@ MAX_DEPTH = 10
 
 def scan_malicious(df: DataFrame, col: str) -> DataFrame:
     """Safe flag and the numbers of the matching patterns."""
-    hits_ = F.array_compact(F.array(*[F.when(F.col(col).rlike("(?iu)" + p), F.lit(i)) for i, p in enumerate(SUSPICIOUS)]))
+    tests = ", ".join(f"CASE WHEN {match_lower('low', p)} THEN {i} END" for i, p in enumerate(SUSPICIOUS))
+    hits_ = F.expr(let_sql(f"lower({col})", "low", f"array_compact(array({tests}))"))
     return df.withColumn("hits", hits_).withColumn("is_safe", F.size("hits") == 0)
 
 
@@ -104,7 +105,6 @@ def unquote(c: Column) -> Column:
 def injection_flags(df: DataFrame, col: str) -> DataFrame:
     """Booleans for SQL injection, script injection and path traversal."""
     c = F.col(col)
-    union = lambda ps: "(?iu)" + "|".join(ps)
     decoded = unquote(unquote(unquote(c)))
 
     def bad_path(p: Column) -> Column:
@@ -117,8 +117,8 @@ def injection_flags(df: DataFrame, col: str) -> DataFrame:
 
     return df.withColumns(
         {
-            "sql_injection": c.rlike(union(SQL_PATTERNS)),
-            "xss": c.rlike(union(XSS_PATTERNS)),
+            "sql_injection": F.expr(let_sql(f"lower({col})", "low", match_any("low", SQL_PATTERNS))),
+            "xss": F.expr(let_sql(f"lower({col})", "low", match_any("low", XSS_PATTERNS))),
             "path_traversal": bad_path(c) | let(decoded, bad_path),
         }
     )
