@@ -207,18 +207,13 @@ def usage(df: DataFrame) -> DataFrame:
         .otherwise(0.0)
         .alias("average_session_duration"),
     )
-    actors = df.agg(F.countDistinct("user_id").alias("active_users"))
-    return (
-        totals.join(F.broadcast(actors))
-        .join(F.broadcast(top(hours, "hour")))
-        .join(F.broadcast(top(days, "weekday")))
-        .select(
-            "total_sessions",
-            "active_users",
-            F.format_string("%02d:00", "hour").alias("peak_usage_time"),
-            F.col("weekday").alias("peak_weekday"),
-            "average_session_duration",
-        )
+    # The other figures are single values: scalar subqueries, not joins.
+    return totals.select(
+        "total_sessions",
+        df.agg(F.countDistinct("user_id")).scalar().alias("active_users"),
+        F.format_string("%02d:00", top(hours, "hour").scalar()).alias("peak_usage_time"),
+        top(days, "weekday").scalar().alias("peak_weekday"),
+        "average_session_duration",
     )
 
 

@@ -67,11 +67,9 @@ def order_by_spec(df: DataFrame, spec: str, tie: Sequence[str] = (), allowed: Se
 def paginate(df: DataFrame, order: Sequence[Column], page: int = 1, per_page: int = 20) -> DataFrame:
     """Rows of one page with the page totals; the order must be total."""
     page, per_page = max(1, min(page, 10000)), max(1, min(per_page, 100))
-    total = df.agg(F.count("*").alias("total")).select(
-        "total", F.ceil(F.col("total") / per_page).cast("bigint").alias("pages")
-    )
+    total = df.agg(F.count("*")).scalar()
     rows = df.orderBy(*order).offset((page - 1) * per_page).limit(per_page)
-    return rows.join(F.broadcast(total)).withColumns(
+    return rows.withColumn("total", total).withColumn("pages", F.ceil(F.col("total") / per_page).cast("bigint")).withColumns(
         {"has_next": F.col("pages") > page, "has_prev": F.lit(page > 1)}
     )
 

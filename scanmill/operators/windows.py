@@ -151,10 +151,10 @@ def evict_lowest(df: DataFrame, score: Column, key: str, capacity: int, share: f
     are taken in key order the same way.
     """
     s = df.select(key, score.alias("score"))
-    n = s.agg(F.count("*").alias("_n"))
+    n = s.agg(F.count("*")).scalar()
     ranked = prefix_sums(s.withColumn("_all", F.lit(0)), ["_all"], ["score", key], {"rank": F.lit(1).cast("bigint")})
     return (
-        ranked.join(F.broadcast(n))
+        ranked.withColumn("_n", n)
         .filter((F.col("_n") > capacity * full) & (F.col("rank") <= F.floor(F.col("_n") * share)))
         .select(key, "score", "rank")
     )

@@ -57,8 +57,8 @@ def _rules_sql() -> str:
 @query("rule_catalogue_source", f"""WITH {_rules_sql()}
 SELECT country, type, count(*) AS patterns, (SELECT count(*) FROM documents) AS documents FROM rules GROUP BY country, type""")
 def rule_catalogue_source(spark, d):
-    docs = T.table(spark, d, "documents").agg(F.count("*").alias("documents"))
-    return C.load_rules(spark).groupBy("country", "type").agg(F.count("*").alias("patterns")).join(F.broadcast(docs))
+    docs = T.table(spark, d, "documents").agg(F.count("*")).scalar()
+    return C.load_rules(spark).groupBy("country", "type").agg(F.count("*").alias("patterns")).withColumn("documents", docs)
 
 
 @query("document_type_catalogue", f"""WITH t(code, country, display_name) AS (VALUES {', '.join(f'({lit(a)}, {lit(b)}, {lit(c)})' for a, b, c in C.TYPES)})
@@ -72,7 +72,7 @@ def document_type_catalogue(spark, d):
 
 
 def client_payloads(spark, d):
-    """Metric batches rendered from events: one JSON payload per user and day, in event order."""
+    """Metric batches rendered from events: one JSON payload per run of 250 event numbers, in event order."""
     e = T.scan_history(spark, d)
     m = F.struct(
         F.element_at(F.array(*map(F.lit, ["api_call", "error", "user_action", "performance", "other"])), F.col("k") % 5 + 1).alias("type"),
@@ -83,17 +83,16 @@ def client_payloads(spark, d):
         F.when(F.col("k") % 4 > 1, F.col("status")).alias("action"),
         F.when(F.col("k") % 3 > 1, F.col("processing_time")).alias("valueMs"),
     )
-    # A payload holds what one client sent in one hour, so its size does not grow with the table.
-    hour = F.date_format("created_at", "yyyyMMddHH").alias("hour")
-    g = e.groupBy("user_id", hour).agg(F.sort_array(F.collect_list(F.struct("id", m.alias("m")))).alias("x"))
-    return g.select("user_id", "hour", F.to_json(F.struct(F.transform("x", lambda r: r["m"]).alias("metrics"))).alias("payload"))
+    # Event numbers are unique, so a payload never holds more than 250 metrics.
+    g = e.groupBy(F.floor(F.col("id") / 250).alias("batch")).agg(F.sort_array(F.collect_list(F.struct("id", m.alias("m")))).alias("x"))
+    return g.select("batch", F.to_json(F.struct(F.transform("x", lambda r: r["m"]).alias("metrics"))).alias("payload"))
 
 
 @query("client_metrics_ingest", f"""WITH {S},
-x AS (SELECT user_id, strftime(created_at, '%Y%m%d%H') AS hour, k, document_type, processing_time, error_message, session_id, status,
-  CAST(row_number() OVER (PARTITION BY user_id, strftime(created_at, '%Y%m%d%H') ORDER BY id) - 1 AS INTEGER) AS position,
+x AS (SELECT CAST(floor(id / 250) AS BIGINT) AS batch, k, document_type, processing_time, error_message, session_id, status,
+  CAST(row_number() OVER (PARTITION BY floor(id / 250) ORDER BY id) - 1 AS INTEGER) AS position,
   ['api_call', 'error', 'user_action', 'performance', 'other'][k % 5 + 1] AS type FROM scan_history)
-SELECT user_id, hour, position, type,
+SELECT batch, position, type,
   CASE WHEN type = 'api_call' THEN CASE WHEN k % 3 > 0 THEN document_type ELSE 'unknown' END END AS endpoint,
   CASE WHEN type = 'api_call' THEN CASE WHEN k % 7 > 0 THEN error_message IS NULL ELSE TRUE END END AS success,
   CASE WHEN type = 'api_call' THEN CASE WHEN k % 2 > 0 THEN processing_time ELSE 0 END
@@ -115,7 +114,7 @@ def storage_stats(spark, d):
     return IO.storage_stats(IO.file_inventory(spark, d))
 
 
-@query("magic_bytes_type")
+@query("magic_bytes_type", """SELECT page_id, ['image/png', 'image/jpeg', 'image/webp', 'image/gif', 'image/tiff', 'image/bmp', 'image/jpeg'][page_id % 7 + 1] AS media_type FROM pages""")
 def magic_bytes_type(spark, d):
     """Media type of the rendered page bytes: signatures prefixed to whole page contents."""
     heads = ["89504E470D0A1A0A", "FFD8FFE0", "52494646000000005745425056", "47494638", "49492A00", "424D", "3C21"]

@@ -31,6 +31,15 @@ def predicate(p: tuple, text: str = "text", lower: str = "low") -> str:
     return "(" + (" AND " if kind == "and" else " OR ").join(predicate(q, text, lower) for q in p[1:]) + ")"
 
 
+def criteria(p: tuple, text: str = "text", lower: str = "low") -> str:
+    kind = p[0]
+    if kind in ("any", "count"):
+        return count_hits(p[1], lower)
+    if kind in ("rx", "rxi"):
+        return f"CAST({predicate(p, text, lower)} AS INTEGER)"
+    return "(" + " + ".join(criteria(q, text, lower) for q in p[1:]) + ")"
+
+
 def probe_pattern(p: Probe) -> str:
     flags = ("i" if p.ignore_case else "") + ("m" if p.multiline else "") + ("s" if p.dotall else "")
     return (f"(?{flags})" if flags else "") + p.pattern

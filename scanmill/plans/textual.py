@@ -370,7 +370,9 @@ def detect_processor_priority(spark, d):
     return K.route_document(corpus(spark, d)).select("doc_id", "pack")
 
 
-@query("detect_processor_specific")
+@query("detect_processor_specific", C(", s AS (" + " UNION ALL ".join(
+    f"SELECT doc_id, '{p.code}' AS code, {R.criteria(p.detect)} * 100 - {i} AS score FROM c WHERE {R.predicate(p.detect)}" for i, p in enumerate(PACKS)
+) + ") SELECT c.doc_id, arg_max(code, score) AS pack FROM c LEFT JOIN s USING (doc_id) GROUP BY c.doc_id"))
 def detect_processor_specific(spark, d):
     return K.route_document(corpus(spark, d), order="specific").select("doc_id", "pack")
 
