@@ -267,7 +267,7 @@ def extraction_confidence(df: DataFrame, fields: str = "fields", packs: Sequence
         cond = F.col("pack") == p.code
         conf = F.when(cond, c) if conf is None else conf.when(cond, c)
         level = F.when(cond, F.lit(p.threshold)) if level is None else level.when(cond, F.lit(p.threshold))
-    return df.withColumn("confidence", conf).withColumn("level", F.when(F.col("confidence") > level, "high").otherwise("medium"))
+    return df.withColumn("confidence", conf).withColumn("level", F.when(F.col("confidence") > level, "high").when(F.col("confidence").isNotNull(), "medium"))
 
 
 def java_digits(p: str) -> str:

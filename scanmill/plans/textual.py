@@ -11,7 +11,7 @@ from scanmill.functions import dates as Dt
 from scanmill.functions import identifiers as I
 from scanmill.functions import names as N
 from scanmill.functions.catalogue import COUNTRY_RULES
-from scanmill.functions.packs import EU_COUNTRIES, PACKS
+from scanmill.functions.packs import DEFAULT_WEIGHTS, EU_COUNTRIES, PACKS
 from scanmill.functions.rules import LEFT, RIGHT, let, sql_str
 from scanmill.plans import rule_sql as R
 from scanmill.plans.registry import query
@@ -113,15 +113,17 @@ _ADDR_MARK = "list_contains(list_transform(" + sql_list(I.ADDRESS_MARKS) + ", la
 _ADDR_STOP = "list_contains(list_transform(" + sql_list(I.ADDRESS_STOPS) + ", lambda w: contains(lower(x), w)), true)"
 
 
-@query("extract_address_block", C(f"""
-, l AS (SELECT doc_id, unnest(list_filter(list_transform(string_split(text, chr(10)), lambda x: {R.strip('x')}), lambda x: x <> '')) AS x,
+ADDRESS_SQL = f"""l AS (SELECT doc_id, unnest(list_filter(list_transform(string_split(text, chr(10)), lambda x: {R.strip('x')}), lambda x: x <> '')) AS x,
         generate_subscripts(list_filter(list_transform(string_split(text, chr(10)), lambda x: {R.strip('x')}), lambda x: x <> ''), 1) AS i FROM c),
 f AS (SELECT *, {_ADDR_MARK} AS mark, NOT {_ADDR_MARK} AND {_ADDR_STOP} AS stop FROM l),
 s AS (SELECT doc_id, min(i) FILTER (mark) AS a FROM f GROUP BY doc_id),
 e AS (SELECT f.doc_id, a, coalesce(min(i) FILTER (stop AND i > a), 1000000000) AS z FROM f JOIN s USING (doc_id) GROUP BY f.doc_id, a),
 v AS (SELECT f.doc_id, i, CASE WHEN mark THEN nullif({R.strip(f"regexp_extract(x, {quote(I.ADDRESS_LABEL.replace('(?iu)', '(?i)'))}, 1)")}, '')
-  WHEN length(x) > 5 AND NOT {R.rx('x', I.NOT_ADDRESS)} THEN x END AS y FROM f JOIN e USING (doc_id) WHERE i >= a AND i < z)
-SELECT c.doc_id, nullif(string_agg(y, ' ' ORDER BY i), '') AS address FROM c LEFT JOIN v USING (doc_id) GROUP BY c.doc_id"""))
+  WHEN length(x) > 5 AND NOT {R.rx('x', I.NOT_ADDRESS)} THEN x END AS y FROM f JOIN e USING (doc_id) WHERE i >= a AND i < z),
+addr AS (SELECT c.doc_id, nullif(string_agg(y, ' ' ORDER BY i), '') AS address FROM c LEFT JOIN v USING (doc_id) GROUP BY c.doc_id)"""
+
+
+@query("extract_address_block", C(f", {ADDRESS_SQL} SELECT * FROM addr"))
 def extract_address_block(spark, d):
     return corpus(spark, d).select("doc_id", I.address_block(F.col("text")).alias("address"))
 
@@ -427,7 +429,22 @@ def first_match_wins(spark, d):
     return K.extract_fields(docs, "doc_id", p).select("doc_id", "document_number").filter("document_number IS NOT NULL")
 
 
-@query("extraction_confidence")
+def _met(names: str, pattern: str) -> str:
+    """Some alternative has all its fields matching."""
+    one = lambda n: f"coalesce(bool_or(field = '{n}' AND {R.rx('value', pattern)}), FALSE)"
+    return " OR ".join("(" + " AND ".join(one(n) for n in alt.split("&")) + ")" for alt in names.split("|"))
+
+
+def _confidence_sql() -> str:
+    sums = {p.code: " + ".join(f"CASE WHEN {_met(ns, rx)} THEN {round(w * 100)} ELSE 0 END" for w, ns, rx in (p.weights or DEFAULT_WEIGHTS)) for p in PACKS}
+    conf = "CASE pack " + " ".join(f"WHEN '{c}' THEN least({x}, 100) / 100" for c, x in sums.items()) + " END"
+    limit = "CASE pack " + " ".join(f"WHEN '{p.code}' THEN {p.threshold}::DOUBLE" for p in PACKS) + " END"
+    return f"""{EXTRACT_SQL}, {ADDRESS_SQL}, allf AS (SELECT doc_id, field, value FROM fields UNION ALL SELECT doc_id, 'address', address FROM addr),
+g AS (SELECT r.doc_id, r.pack, {conf} AS confidence FROM routed r LEFT JOIN allf USING (doc_id) GROUP BY r.doc_id, r.pack)
+SELECT *, CASE WHEN confidence > {limit} THEN 'high' WHEN confidence IS NOT NULL THEN 'medium' END AS level FROM g"""
+
+
+@query("extraction_confidence", C(f", {_confidence_sql()}"))
 def extraction_confidence(spark, d):
     e = K.extraction_confidence(routed_fields(spark, d))
     return e.select("doc_id", "pack", "confidence", "level")
