@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from scanmill.functions.packs import DEFAULT_WEIGHTS, PACKS
 from scanmill.functions.quality import completeness
 from scanmill.functions.rules import (
-    Pack, any_of, contains, criteria, extract, final_value, FINALS, hits, let, let_sql, match_any, match_lower, matches, predicate, raw_value, sql_str, word,
+    Pack, any_of, contains, criteria, extract, final_value, FINALS, hits, let_sql, match_any, match_lower, matches, predicate, raw_value, sql_str, word,
 )
 
 # Name of the lower-case text inside bound expressions.
@@ -259,15 +259,10 @@ def extract_routed(df: DataFrame, text: str = "text", packs: Sequence[Pack] = PA
 
 def extraction_confidence(df: DataFrame, fields: str = "fields", packs: Sequence[Pack] = PACKS) -> DataFrame:
     """Weighted completeness of the routed pack and its level."""
-    conf, level = None, None
-    for p in packs:
-        names = {n for _, alts, _ in (p.weights or DEFAULT_WEIGHTS) for a in alts.split("|") for n in a.split("&")}
-        value = {n: F.element_at(fields, F.lit(n)) for n in names}
-        c = completeness(p.weights or DEFAULT_WEIGHTS, value)
-        cond = F.col("pack") == p.code
-        conf = F.when(cond, c) if conf is None else conf.when(cond, c)
-        level = F.when(cond, F.lit(p.threshold)) if level is None else level.when(cond, F.lit(p.threshold))
-    return df.withColumn("confidence", conf).withColumn("level", F.when(F.col("confidence") > level, "high").when(F.col("confidence").isNotNull(), "medium"))
+    conf = " ".join(f"WHEN '{p.code}' THEN {completeness(p.weights or DEFAULT_WEIGHTS, fields)}" for p in packs)
+    limit = " ".join(f"WHEN '{p.code}' THEN double({p.threshold})" for p in packs)
+    level = f"CASE WHEN confidence > CASE pack {limit} END THEN 'high' WHEN confidence IS NOT NULL THEN 'medium' END"
+    return df.withColumn("confidence", F.expr(f"CASE pack {conf} END")).withColumn("level", F.expr(level))
 
 
 def java_digits(p: str) -> str:

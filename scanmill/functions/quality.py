@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scanmill.functions.rules import sql_str
+
 # Weights of the image metrics and the bands of the total.
 IMAGE_WEIGHTS = {
     "blur": 0.25, "brightness": 0.15, "contrast": 0.20, "noise": 0.15, "skew": 0.10, "resolution": 0.10, "text_coverage": 0.05,
@@ -156,22 +158,17 @@ def field_confidence(df: DataFrame, keys: Sequence[str], fields: str = "fields",
     )
 
 
-def completeness(weights: Sequence[tuple[float, str, str]], value: Mapping[str, Column]) -> Column:
-    """Sum of the weights whose field matches; ``a|b`` is met by either field, ``a|b&c`` by a or both b and c."""
-    total = F.lit(0)
+def completeness(weights: Sequence[tuple[float, str, str]], fields: str) -> str:
+    """SQL text: sum of the weights whose field of a map matches, capped at one.
+
+    ``a|b`` is met by either field, ``a|b&c`` by a or by both b and c.
+    """
+    terms = []
     for w, names, rx in weights:
-        alts = []
-        for alt in names.split("|"):
-            both = [F.coalesce(value[n].rlike(rx), F.lit(False)) if n in value else F.lit(False) for n in alt.split("&")]
-            cond = both[0]
-            for c in both[1:]:
-                cond = cond & c
-            alts.append(cond)
-        met = alts[0]
-        for c in alts[1:]:
-            met = met | c
-        total = total + F.when(met, round(w * 100)).otherwise(0)
-    return F.least(total, F.lit(100)) / 100
+        one = lambda n: f"coalesce(rlike(element_at({fields}, '{n}'), {sql_str(rx)}), false)"  # noqa: B023, E731
+        met = " OR ".join("(" + " AND ".join(one(n) for n in alt.split("&")) + ")" for alt in names.split("|"))
+        terms.append(f"CASE WHEN {met} THEN {round(w * 100)} ELSE 0 END")
+    return f"least({' + '.join(terms)}, 100) / 100"
 
 
 def batch_quality(df: DataFrame, class_conf: str, ocr_conf: str, fields: str) -> DataFrame:

@@ -8,7 +8,6 @@ from scanmill.functions import classify as K
 from scanmill.operators import aggregates as A
 from scanmill.operators import joins as J
 from scanmill.operators import windows as W
-from scanmill.plans import rule_sql as R
 from scanmill.plans.analytics import ROLLUP_SQL, mean_sql
 from scanmill.plans.registry import query
 from scanmill.plans.relational import webhook_configs

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scanmill.operators.aggregates import histogram_quantile, latency_histogram, mean2
+from scanmill.operators.aggregates import mean2
 from scanmill.sources.tables import cents
 
 
