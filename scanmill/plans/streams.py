@@ -161,7 +161,7 @@ def _alert_sql(name, width, threshold, per_second, hold, severity) -> str:
        + " UNION ALL ".join(_alert_sql(*a) for a in TEST_ALERTS))
 def alert_rules(spark, d):
     """Errors per minute from the stream, rules over the minutes; thresholds fit the test events."""
-    m = run_append(SW.window_counts(timed(scan_stream(spark, d).filter("error_message IS NOT NULL")), "ts", "1 minute"))
+    m = run_append(SW.window_counts(timed(scan_stream(spark, d)), "ts", "1 minute", where=F.col("error_message").isNotNull()))
     minutes = m.select(F.floor(F.unix_seconds(F.col("window_start").cast("timestamp")) / 60).alias("minute"), "n")
     return SW.evaluate_alerts(minutes, TEST_ALERTS)
 

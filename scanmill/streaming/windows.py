@@ -17,10 +17,18 @@ def flat(w: str = "window") -> list[Column]:
     return [F.col(f"{w}.start").cast("timestamp_ntz").alias("window_start"), F.col(f"{w}.end").cast("timestamp_ntz").alias("window_end")]
 
 
-def window_counts(df: DataFrame, ts: str, length: str, slide: str | None = None, keys: Sequence[str] = ()) -> DataFrame:
-    """Rows per window and key."""
+def window_counts(
+    df: DataFrame, ts: str, length: str, slide: str | None = None, keys: Sequence[str] = (), where: Column | None = None
+) -> DataFrame:
+    """Rows per window and key.
+
+    With a condition, all rows still move the watermark, so a window closes even when no further row
+    meets the condition; a filter in front would stop it.
+    """
     w = F.window(ts, length, slide) if slide else F.window(ts, length)
-    return df.groupBy(w.alias("window"), *keys).agg(F.count("*").alias("n")).select(*flat(), *keys, "n")
+    n = F.count("*") if where is None else F.count_if(where)
+    out = df.groupBy(w.alias("window"), *keys).agg(n.alias("n")).select(*flat(), *keys, "n")
+    return out if where is None else out.filter("n > 0")
 
 
 def sliding_counts(df: DataFrame, ts: str, length: str, slide: str) -> DataFrame:
