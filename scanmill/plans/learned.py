@@ -101,5 +101,5 @@ def registered_pack(spark, d):
 @query("extract_spans")
 def extract_spans(spark, d):
     register_spans(spark)
-    K.route_document(identity_docs(spark, d)).filter("pack = 'us_green_card'").createOrReplaceTempView("routed_cards")
-    return spark.sql("SELECT doc_id, s.* FROM routed_cards, LATERAL extract_spans(text, pack) s")
+    K.route_document(T.spread(identity_docs(spark, d))).createOrReplaceTempView("routed_documents")
+    return spark.sql("SELECT doc_id, s.* FROM routed_documents, LATERAL extract_spans(text, pack) s")

@@ -77,9 +77,9 @@ def conversation_summary(spark, d):
 
 
 @query("important_turns", """SELECT conv_id || '-' || turn AS memory_id, 'conversation|conv_' || conv_id || '|' || role AS tags, 0.8::DOUBLE AS importance
-FROM conversations WHERE length(text) % 3 = 0""")
+FROM conversations WHERE role = 'system' OR length(text) > 200""")
 def important_turns(spark, d):
-    t = M.important_turns(T.table(spark, d, "conversations"), F.length("text") % 3 == 0)
+    t = M.important_turns(T.table(spark, d, "conversations"), (F.col("role") == "system") | (F.length("text") > 200))
     return t.select("memory_id", F.array_join("tags", "|").alias("tags"), "importance")
 
 

@@ -36,22 +36,18 @@ def malicious_content_scan(spark, d):
 
 
 def json_pages(spark, d):
-    """Pages as JSON payloads: the url and a nested part are scanned, the image value is not."""
+    """Pages as JSON payloads: url and nested html are scanned, the image value is not."""
     p = T.spread(T.table(spark, d, "pages"))
-    deep = F.concat(F.repeat(F.lit('{"a":'), 12), F.lit("1"), F.repeat(F.lit("}"), 12))
-    body = F.to_json(F.struct("page_id", "url", F.struct(F.array(F.left("html", F.lit(15))).alias("parts")).alias("meta"), F.col("html").alias("image")))
-    payload = F.when(F.col("page_id") % 9 == 0, deep).when(F.col("page_id") % 10 == 0, F.left(body, F.lit(20))).otherwise(body)
-    return p.select("page_id", payload.alias("payload"))
+    body = F.struct("page_id", "url", F.struct(F.array("html").alias("parts")).alias("meta"), F.col("html").alias("image"))
+    return p.select("page_id", F.to_json(body).alias("payload"))
 
 
 def _hit_count(e: str) -> str:
     return " + ".join(f"CAST({R.rx(e, p, True)} AS INTEGER)" for p in X.SUSPICIOUS)
 
 
-@query("json_payload_scan", f"""SELECT page_id, page_id % 9 > 0 AND page_id % 10 > 0 AND n = 0 AS is_valid,
-  CASE WHEN page_id % 9 = 0 THEN 'too deep' WHEN page_id % 10 = 0 THEN 'invalid' WHEN n > 0 THEN 'malicious' ELSE 'ok' END AS reason,
-  CAST(CASE WHEN page_id % 9 = 0 OR page_id % 10 = 0 THEN 0 ELSE n END AS INTEGER) AS hits
-FROM (SELECT page_id, {_hit_count('url')} + {_hit_count('substr(html, 1, 15)')} AS n FROM pages)""")
+@query("json_payload_scan", f"""SELECT page_id, n = 0 AS is_valid, CASE WHEN n > 0 THEN 'malicious' ELSE 'ok' END AS reason, CAST(n AS INTEGER) AS hits
+FROM (SELECT page_id, {_hit_count('url')} + {_hit_count('html')} AS n FROM pages)""")
 def json_payload_scan(spark, d):
     return X.json_payload_scan(json_pages(spark, d), "payload").select("page_id", "is_valid", "reason", "hits")
 
