@@ -127,8 +127,21 @@ def match_lower(lower: str, pattern: str) -> str:
         return contains(lower, q)
     if q[len(head)] in "*+?{":
         head = head[:-1]
-    found = matches(lower, q)
-    return f"({contains(lower, head)} AND {found})" if len(head) > 2 else found
+    return f"({contains(lower, head)} AND {matches(lower, q)})" if len(head) > 2 else match_number(lower, q)
+
+
+def digit_run(pattern: str) -> int:
+    """Digits in a row that every alternative of a pattern needs, 0 when some alternative needs none."""
+    body = pattern.replace(LEFT, "").replace(RIGHT, "")
+    runs = [max((int(n) for n in re.findall(r"\[0-9\]\{(\d+)", alt)), default=0) for alt in body.split("|")]
+    return min(runs)
+
+
+def match_number(text: str, pattern: str) -> str:
+    """Search for a number shape; the scan with word boundaries runs only where enough digits follow each other."""
+    n = digit_run(pattern)
+    found = matches(text, pattern)
+    return f"({matches(text, f'[0-9]{{{n}}}')} AND {found})" if n > 2 else found
 
 
 def match_any(lower: str, patterns: Sequence[str]) -> str:
@@ -152,7 +165,7 @@ def predicate(p: tuple, text: str, lower: str) -> str:
     if kind == "count":
         return f"({hits(p[1], lower)} >= {p[2]})"
     if kind == "rx":
-        return matches(text, p[1])
+        return match_number(text, p[1])
     if kind == "rxi":
         return match_lower(lower, p[1])
     return "(" + (" AND " if kind == "and" else " OR ").join(predicate(q, text, lower) for q in p[1:]) + ")"
