@@ -47,6 +47,15 @@ def prefix_sums(
     return out.select(*df.columns, *sums)
 
 
+def _with_total(run: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add the number of values per key; one scalar when there is no key, so that nothing is shuffled to one place."""
+    if not keys:
+        return run.withColumn("_total", run.agg(F.max("_cum")).scalar())
+    total = run.groupBy(*keys).agg(F.max("_cum").alias("_total"))
+    # One row per key on the right: broadcast when it is measured small, else split by the skew join.
+    return run.join(total, list(keys))
+
+
 def rank_percentiles(
     df: DataFrame, value: str, percents: Sequence[int], keys: Sequence[str] = (), prefix: str = "p"
 ) -> DataFrame:
@@ -61,9 +70,7 @@ def rank_percentiles(
         base = base.withColumn("_all", F.lit(0))
     counts = base.groupBy(*spark_keys, value).agg(F.count("*").alias("_n"))
     run = prefix_sums(counts, spark_keys, [value], {"_cum": F.col("_n")})
-    total = run.groupBy(*spark_keys).agg(F.max("_cum").alias("_total"))
-    # One row per key on the right; the optimiser broadcasts it only when measured small.
-    hit = run.join(total, spark_keys)
+    hit = _with_total(run, keys)
 
     def pick(p: int) -> Column:
         target = F.least(F.floor(F.col("_total") * p / 100), F.col("_total") - 1) + 1
@@ -87,8 +94,7 @@ def interpolated_quantiles(
         base = base.withColumn("_all", F.lit(0))
     counts = base.groupBy(*spark_keys, value).agg(F.count("*").alias("_n"))
     run = prefix_sums(counts, spark_keys, [value], {"_cum": F.col("_n")})
-    total = run.groupBy(*spark_keys).agg(F.max("_cum").alias("_total"))
-    hit = run.join(total, spark_keys)
+    hit = _with_total(run, keys)
     aggs, outs = [], []
     for name, q in quantiles.items():
         pos = (F.col("_total") + 1) * F.lit(float(q))
