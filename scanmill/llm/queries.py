@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanmill.llm import mixing, rules
+from scanmill.llm import mixing, ordinal, piece_counts, rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,3 +38,15 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", *rules.COUNTS, "base_failed", "kept", "quality_prob")
+
+
+@query("op4_ordinal_quality")
+def op4_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    graded = ordinal.classify(docs, ordinal.grades(table(spark, sf_dir, "labels")), n_grades=3, wanted=2)
+    return graded.select("doc_id", "expected_grade", "tail_prob", "kept")
+
+
+@query("op5_piece_counts")
+def op5_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_counts.count_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
