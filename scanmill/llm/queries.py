@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanmill.llm import mixing, ordinal, piece_counts, rules
+from scanmill.llm import jaccard_join, mixing, ordinal, piece_counts, rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,3 +50,8 @@ def op4_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_piece_counts")
 def op5_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_counts.count_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+@query("op8_ngram_join")
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
