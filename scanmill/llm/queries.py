@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanmill.llm import jaccard_join, mixing, ordinal, piece_counts, rules
+from scanmill.llm import jaccard_join, mixing, ordinal, piece_counts, rp_forest, rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,3 +55,8 @@ def op5_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_ngram_join")
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
+@query("op2_vector_neighbours")
+def op2_vector_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rp_forest.neighbours(table(spark, sf_dir, "embeddings"))
