@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanmill.llm import byte_bpe, jaccard_join, main_text, mixing, ordinal, piece_counts, rp_forest, rules
+from scanmill.llm import byte_bpe, gru_lm, jaccard_join, main_text, mixing, ordinal, piece_counts, rp_forest, rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,3 +73,8 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = main_text.main_text(table(spark, sf_dir, "pages"))
     return texts.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query("op3_gru_scores")
+def op3_gru_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru_lm.score(table(spark, sf_dir, "documents"))

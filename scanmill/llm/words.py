@@ -45,12 +45,13 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
 def split(texts: pa.Array, lower: bool = False) -> Words:
     """The words of each text; a null text has none. `lower` maps A-Z only."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    lists = pc.ascii_split_whitespace(texts)
     offsets, flat = lists.offsets.to_numpy(), lists.values
     full = pc.not_equal(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
     start = np.concatenate([[0], np.cumsum(full)])[offsets].astype(np.int64)
     flat = flat.filter(pa.array(full))
-    coded = flat.dictionary_encode()
+    # not on `texts`: on a slice of a batch ascii_lower gives wrong offsets in some versions of pyarrow
+    coded = (pc.ascii_lower(flat) if lower else flat).dictionary_encode()
     return Words(start - start[0], coded.indices.to_numpy(), coded.dictionary)
 
 
