@@ -34,6 +34,8 @@ from scanmill.session import stored
 
 #: Words with an output of their own; words whose counts are sent to all tasks (a few MB); rounds of training.
 VOCAB, SENT, CLASSES, SIZE, WINDOW, LANES, ROUNDS = 8192, 100_000, 64, 16, 32, 256, 2
+#: Windows over which a task's rate rises to its full value.
+WARM = 40
 OTHER, END = 0, 1
 SEED = 7
 
@@ -296,7 +298,7 @@ def train(docs: DataFrame, counts: Counts, rounds: int = ROUNDS, rate: float = 0
                     g *= min(1.0, valid.sum() / (LANES * WINDOW / 4))
                     mean = 0.9 * mean + 0.1 * g
                     var = 0.999 * var + 0.001 * g * g
-                    model.vector -= rate * np.sqrt(1 - 0.999**t) / (1 - 0.9**t) * mean / (np.sqrt(var) + 1e-6)
+                    model.vector -= rate * min(1.0, t / WARM) * np.sqrt(1 - 0.999**t) / (1 - 0.9**t) * mean / (np.sqrt(var) + 1e-6)
             for i, x in enumerate(np.array_split(model.vector.astype(np.float64) * seen, parts) if seen else []):
                 row = [pa.array([i], pa.int32()), pa.array([salt % 32], pa.int32()), pa.array([seen], pa.int64()), pa.array([x.tobytes()], pa.binary())]
                 yield pa.RecordBatch.from_arrays(row, names=["part", "salt", "seen", "total"])

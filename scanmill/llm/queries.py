@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanmill.llm import byte_bpe, gru_lm, jaccard_join, main_text, mixing, ordinal, piece_counts, rp_forest, rules
+from scanmill.llm import byte_bpe, gru_lm, jaccard_join, main_text, mixing, ordinal, pii, piece_counts, rp_forest, rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,3 +78,11 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_gru_scores")
 def op3_gru_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gru_lm.score(table(spark, sf_dir, "documents"))
+
+
+@query("op1_pii_spans")
+def op1_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    written = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"))
