@@ -79,58 +79,72 @@ def vote(name: str) -> Column:
     return F.expr(f"case when n_words = 0 then -1 when {bad} then 0 when {good} then 1 else -1 end")
 
 
+GOOD = "good"
+
+
 @dataclass
 class LabelModel:
-    """Share of good texts; for each rule the probability that its vote is "bad" on a bad text (hit) and on a good one (alarm)."""
-
-    prior: float
-    hit: dict[str, float]
-    alarm: dict[str, float]
+    """Latent kinds of text: good, and for each rule a kind of fault that it sees first. bad[kind][rule]: probability that a vote is for bad."""
 
-    def weights(self, rule: str) -> tuple[float, float]:
-        """What a vote for bad and a vote for good add to the log odds of good."""
-        return math.log(self.alarm[rule] / self.hit[rule]), math.log((1 - self.alarm[rule]) / (1 - self.hit[rule]))
+    share: dict[str, float]
+    bad: dict[str, dict[str, float]]
 
-    def probability(self, votes: dict[str, int]) -> float:
-        odds = math.log(self.prior / (1 - self.prior)) + sum(self.weights(r)[v] for r, v in votes.items() if v >= 0)
-        return 1 / (1 + math.exp(-odds))
+    def _constant(self, kind: str) -> float:
+        return math.log(self.share[kind] / self.share[GOOD])
 
-    def posterior(self) -> Column:
-        """`probability` over the vote columns."""
-        total = F.lit(math.log(self.prior / (1 - self.prior)))
-        for r in self.hit:
-            bad, good = self.weights(r)
-            total = total + F.when(F.col(f"vote_{r}") == 0, bad).when(F.col(f"vote_{r}") == 1, good).otherwise(0.0)
-        return 1 / (1 + F.exp(-total))
+    def _weights(self, kind: str, rule: str) -> tuple[float, float]:
+        """What a vote for bad and one for good add to the log odds of the kind against good."""
+        p, q = self.bad[kind][rule], self.bad[GOOD][rule]
+        return math.log(p / q), math.log((1 - p) / (1 - q))
 
+    def kinds(self, votes: dict[str, int]) -> dict[str, float]:
+        """Posterior of each kind."""
+        odds = {k: math.exp(self._constant(k) + sum(self._weights(k, r)[v] for r, v in votes.items() if v >= 0)) for k in self.share if k != GOOD}
+        total = 1 + sum(odds.values())
+        return {GOOD: 1 / total, **{k: v / total for k, v in odds.items()}}
 
-def fit(patterns: list[tuple[dict[str, int], int]], rounds: int = 100, most_alarm: float = 0.005) -> LabelModel:
+    def posterior(self) -> Column:
+        """The probability of good, over the vote columns."""
+        total = F.lit(1.0)
+        for k in RULES:
+            odds = F.lit(self._constant(k))
+            for r in RULES:
+                bad, good = self._weights(k, r)
+                odds = odds + F.when(F.col(f"vote_{r}") == 0, bad).when(F.col(f"vote_{r}") == 1, good).otherwise(0.0)
+            total = total + F.exp(odds)
+        return 1 / total
+
+
+def fit(patterns: list[tuple[dict[str, int], int]], rounds: int = 100, alarm: tuple[float, float] = (0.002, 0.01)) -> LabelModel:
     """Expectation-maximisation over (votes, number of documents).
 
-    A rule speaks of one kind of fault: it starts, and by the bounds stays, as one that finds part of the bad texts and
-    is wrong about at most one good text in two hundred (`most_alarm`). The bounds also fix which class is the good one; without them the
-    bad class shrinks to the kinds of fault that several rules see at once.
+    With one bad class, rules would be believed only where several fire at once; with a kind for each rule, a fault that one
+    rule alone can see is found too, if it is more frequent than the rule's false alarms. `alarm` bounds the share of
+    good texts that a rule calls bad: the upper bound fixes which kind is the good one, the lower one keeps a rule
+    that hardly ever fires from deciding alone.
     """
-    model = LabelModel(0.8, dict.fromkeys(RULES, 0.25), dict.fromkeys(RULES, most_alarm))
+    low, high = alarm
+    kinds = [GOOD, *RULES]
+    model = LabelModel(
+        {k: 0.8 if k == GOOD else 0.2 / len(RULES) for k in kinds},
+        {k: {r: (0.005 if k == GOOD else 0.9 if k == r else 0.1) for r in RULES} for k in kinds},
+    )
     total = sum(n for _, n in patterns)
     for _ in range(rounds if total else 0):
-        good = 0.0
-        cast = {r: [1e-9, 1e-9] for r in RULES}  # votes on bad, on good texts
-        bad = {r: [0.0, 0.0] for r in RULES}
+        mass = dict.fromkeys(kinds, 0.0)
+        cast = {k: dict.fromkeys(RULES, 1e-9) for k in kinds}
+        bad = {k: dict.fromkeys(RULES, 0.0) for k in kinds}
         for votes, n in patterns:
-            p = model.probability(votes)
-            good += n * p
-            for r, v in votes.items():
-                if v >= 0:
-                    cast[r][0] += n * (1 - p)
-                    cast[r][1] += n * p
-                    bad[r][0] += n * (1 - p) * (v == 0)
-                    bad[r][1] += n * p * (v == 0)
-        clamp = lambda x, low, high: min(high, max(low, x))
+            for k, p in model.kinds(votes).items():
+                mass[k] += n * p
+                for r, v in votes.items():
+                    if v >= 0:
+                        cast[k][r] += n * p
+                        bad[k][r] += n * p * (v == 0)
+        bound = lambda k, r: (low, high) if k == GOOD else (0.5, 0.99) if k == r else (0.01, 0.99)
         model = LabelModel(
-            clamp(good / total, 0.05, 0.95),
-            {r: clamp(bad[r][0] / cast[r][0], 0.1, 0.95) for r in RULES},
-            {r: clamp(bad[r][1] / cast[r][1], 0.0005, most_alarm) for r in RULES},
+            {k: max(1e-4, mass[k] / total) for k in kinds},
+            {k: {r: min(bound(k, r)[1], max(bound(k, r)[0], bad[k][r] / cast[k][r])) for r in RULES} for k in kinds},
         )
     return model
 
