@@ -34,8 +34,10 @@ from scanmill.session import stored
 
 #: Words with an output of their own; words whose counts are sent to all tasks (a few MB); rounds of training.
 VOCAB, SENT, CLASSES, SIZE, WINDOW, LANES, ROUNDS = 8192, 100_000, 64, 16, 32, 256, 2
+#: Lanes in training: fewer tokens for each step of the weights.
+TRAIN_LANES = 96
 #: Windows over which a task's rate rises to its full value.
-WARM = 40
+WARM = 20
 OTHER, END = 0, 1
 SEED = 7
 
@@ -287,7 +289,7 @@ def train(docs: DataFrame, counts: Counts, rounds: int = ROUNDS, rate: float = 0
             salt = 0
             for batch in pieces(batches):
                 begin, number, _, _ = reader.read(batch.column("text"))
-                lanes = Lanes.of(reader.texts(begin, number))
+                lanes = Lanes.of(reader.texts(begin, number), TRAIN_LANES)
                 salt ^= xxhash.xxh3_64_intdigest(lanes.token.tobytes())
                 h = np.zeros((len(lanes.length), SIZE), np.float32)
                 for at, valid in lanes.windows():
@@ -295,7 +297,7 @@ def train(docs: DataFrame, counts: Counts, rounds: int = ROUNDS, rate: float = 0
                     h = last
                     t, seen = t + 1, seen + int(valid.sum())
                     # a window of few lanes tells less and moves the weights less
-                    g *= min(1.0, valid.sum() / (LANES * WINDOW / 4))
+                    g *= min(1.0, valid.sum() / (TRAIN_LANES * WINDOW / 4))
                     mean = 0.9 * mean + 0.1 * g
                     var = 0.999 * var + 0.001 * g * g
                     model.vector -= rate * min(1.0, t / WARM) * np.sqrt(1 - 0.999**t) / (1 - 0.9**t) * mean / (np.sqrt(var) + 1e-6)

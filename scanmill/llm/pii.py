@@ -210,7 +210,7 @@ def fit(examples: list[tuple[Lattice, list[Span]]], steps: int = 80, rate: float
 
 
 def examples_of(texts: list[str], seed: int = 5, copies: int = 3) -> list[tuple[Lattice, list[Span]]]:
-    """Places of the texts with their base spans, and copies of the spans among other digits and marks."""
+    """Places of the texts with their base spans, copies of the spans among other digits and marks, and broken copies."""
     rng, out = random.Random(seed), []
     for text in texts:
         spans = base_spans(text)
@@ -226,6 +226,9 @@ def examples_of(texts: list[str], seed: int = 5, copies: int = 3) -> list[tuple[
                         left = ""
                     made = left + text[a:b] + right
                     out.append((Lattice.of(made, 0, len(made)), [(kind, len(left), len(left) + b - a)]))
+                    if kind in ("card", "ip"):  # what breaks the rule of the kind is no span
+                        broken = text[a : b - 1] + str((int(text[b - 1]) + 1 + rng.randrange(8)) % 10) if kind == "card" else f"{rng.randrange(256, 1000)}{text[text.index('.', a) : b]}"
+                        out.append((Lattice.of(made := left + broken + right, 0, len(made)), []))
     return out
 
 

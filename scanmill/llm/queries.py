@@ -28,6 +28,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Smallest node reachable from each node of `links` (a, b); the closure stays small where components are.
+_REACH = """
+ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(node, other) AS (SELECT a, b FROM ways UNION SELECT node, b FROM reach JOIN ways ON other = a),
+low AS (SELECT node, min(other) AS other FROM reach GROUP BY node)
+"""
+
+OP2_SQL = f"""
+WITH RECURSIVE
+e AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+links AS (
+    SELECT p.vec_id AS a, q.vec_id AS b FROM e p JOIN e q ON p.label = q.label AND len(p.v) = len(q.v) AND p.vec_id < q.vec_id
+    WHERE list_cosine_similarity(p.v, q.v) >= 0.93
+),
+{_REACH},
+n AS (SELECT a, count(*) AS n FROM ways GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, least(vec_id, low.other) AS component_id, vec_id = least(vec_id, low.other) AS kept
+FROM embeddings LEFT JOIN n ON vec_id = n.a LEFT JOIN low ON vec_id = node
+"""
+
+OP8_SQL = f"""
+WITH RECURSIVE
+w AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+    FROM documents
+),
+s AS (
+    SELECT doc_id, CASE
+        WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s
+    FROM w
+),
+g AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+links AS (
+    SELECT p.doc_id AS a, q.doc_id AS b FROM g p JOIN g q ON p.g = q.g AND p.doc_id < q.doc_id
+    GROUP BY p.doc_id, q.doc_id, p.n, q.n HAVING 100 * count(*) >= 80 * (p.n + q.n - count(*))
+),
+{_REACH}
+SELECT doc_id, len(s) AS n_shingles, least(doc_id, low.other) AS component_id FROM s LEFT JOIN low ON doc_id = node
+"""
+
+
 @query("op10_source_mix")
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
@@ -52,12 +98,12 @@ def op5_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_counts.count_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-@query("op8_ngram_join")
+@query("op8_ngram_join", OP8_SQL)
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
 
-@query("op2_vector_neighbours")
+@query("op2_vector_neighbours", OP2_SQL)
 def op2_vector_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rp_forest.neighbours(table(spark, sf_dir, "embeddings"))
 
