@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -146,9 +147,9 @@ def extract_place(text: Column) -> Column:
     return F.coalesce(*tries)
 
 
-# Further countries after the European ones, as (code, names). A caller can pass a longer table.
-OTHER_COUNTRIES = [
-    ("USA", ["united states", "america", "usa", "united states of america"]),
+# Countries as (code, names), in the order in which they are tried. A caller can pass another table.
+COUNTRIES = [
+    ("USA", ["united states", "america", "usa", "u.s.a", "u.s.", "united states of america"]),
     ("GBR", ["united kingdom", "great britain", "uk", "england", "britain", "scotland", "wales", "northern ireland"]),
     ("CAN", ["canada", "canadian"]),
     ("AUS", ["australia", "australian"]),
@@ -169,6 +170,7 @@ OTHER_COUNTRIES = [
     ("ZAF", ["south africa", "south african"]),
     ("NGA", ["nigeria", "nigerian"]),
     ("KEN", ["kenya", "kenyan"]),
+    ("GHA", ["ghana", "ghanaian"]),
     ("SGP", ["singapore", "singaporean"]),
     ("MYS", ["malaysia", "malaysian"]),
     ("IDN", ["indonesia", "indonesian"]),
@@ -178,39 +180,103 @@ OTHER_COUNTRIES = [
     ("PAK", ["pakistan", "pakistani"]),
     ("BGD", ["bangladesh", "bangladeshi"]),
     ("TUR", ["turkey", "turkish", "türkiye", "turkiye"]),
+    ("IRN", ["iran", "iranian", "persia", "persian"]),
+    ("ISR", ["israel", "israeli"]),
     ("NLD", ["netherlands", "dutch", "holland"]),
+    ("BEL", ["belgium", "belgian"]),
     ("CHE", ["switzerland", "swiss"]),
+    ("SWE", ["sweden", "swedish"]),
+    ("NOR", ["norway", "norwegian"]),
+    ("DNK", ["denmark", "danish"]),
+    ("FIN", ["finland", "finnish"]),
+    ("POL", ["poland", "polish"]),
+    ("AUT", ["austria", "austrian"]),
+    ("HUN", ["hungary", "hungarian"]),
+    ("CZE", ["czech republic", "czech", "czechia"]),
+    ("GRC", ["greece", "greek", "hellenic"]),
+    ("PRT", ["portugal", "portuguese"]),
+    ("IRL", ["ireland", "irish"]),
+    ("NZL", ["new zealand", "kiwi"]),
+    ("ARG", ["argentina", "argentinian"]),
+    ("CHL", ["chile", "chilean"]),
+    ("COL", ["colombia", "colombian"]),
+    ("PER", ["peru", "peruvian"]),
+    ("VEN", ["venezuela", "venezuelan"]),
+    ("CUB", ["cuba", "cuban"]),
+    ("JAM", ["jamaica", "jamaican"]),
+    ("CRI", ["costa rica", "costa rican"]),
+    ("PAN", ["panama", "panamanian"]),
+    ("UKR", ["ukraine", "ukrainian"]),
+    ("BLR", ["belarus", "belarusian"]),
+    ("KAZ", ["kazakhstan", "kazakh"]),
+    ("UZB", ["uzbekistan", "uzbek"]),
+    ("MAR", ["morocco", "moroccan"]),
+    ("DZA", ["algeria", "algerian"]),
+    ("TUN", ["tunisia", "tunisian"]),
+    ("LBY", ["libya", "libyan"]),
+    ("ETH", ["ethiopia", "ethiopian"]),
+    ("ZWE", ["zimbabwe", "zimbabwean"]),
     ("NPL", ["nepal", "nepalese"]),
     ("LKA", ["sri lanka", "sri lankan"]),
-    ("NZL", ["new zealand", "kiwi"]),
+    ("MMR", ["myanmar", "burmese", "burma"]),
+    ("KHM", ["cambodia", "cambodian"]),
+    ("LAO", ["laos", "lao"]),
+    ("MNG", ["mongolia", "mongolian"]),
+    ("PRK", ["north korea", "dprk"]),
+    ("TWN", ["taiwan", "taiwanese"]),
+    ("HKG", ["hong kong"]),
+    ("MAC", ["macao", "macau"]),
+    ("FJI", ["fiji", "fijian"]),
+    ("PNG", ["papua new guinea"]),
+    ("ISL", ["iceland", "icelandic"]),
+    ("LUX", ["luxembourg", "luxembourgish"]),
+    ("MLT", ["malta", "maltese"]),
+    ("CYP", ["cyprus", "cypriot"]),
+    ("EST", ["estonia", "estonian"]),
+    ("LVA", ["latvia", "latvian"]),
+    ("LTU", ["lithuania", "lithuanian"]),
+    ("SVN", ["slovenia", "slovenian"]),
+    ("SVK", ["slovakia", "slovak"]),
+    ("HRV", ["croatia", "croatian"]),
+    ("BIH", ["bosnia", "bosnian", "herzegovina"]),
+    ("SRB", ["serbia", "serbian"]),
+    ("MNE", ["montenegro", "montenegrin"]),
+    ("ALB", ["albania", "albanian"]),
+    ("MKD", ["north macedonia", "macedonian"]),
+    ("BGR", ["bulgaria", "bulgarian"]),
+    ("ROU", ["romania", "romanian"]),
+    ("MDA", ["moldova", "moldovan"]),
+    ("QAT", ["qatar", "qatari"]),
+    ("BHR", ["bahrain", "bahraini"]),
+    ("KWT", ["kuwait", "kuwaiti"]),
+    ("OMN", ["oman", "omani"]),
+    ("JOR", ["jordan", "jordanian"]),
+    ("LBN", ["lebanon", "lebanese"]),
+    ("SYR", ["syria", "syrian"]),
+    ("IRQ", ["iraq", "iraqi"]),
+    ("AFG", ["afghanistan", "afghan"]),
+    ("YEM", ["yemen", "yemeni"]),
 ]
 
 
 def country_table() -> list[tuple[str, str]]:
-    """(code, keyword) in table order: the further countries, then the European ones not yet named."""
-    rows = [(c, k) for c, names in OTHER_COUNTRIES for k in names]
-    seen = {k for _, k in rows}
-    return rows + [(c, k) for c, adjective, names in EU_COUNTRIES for k in [*names, adjective.lower()] if k not in seen and len(k) > 3]
+    """(code, keyword) in table order."""
+    return [(c, k) for c, names in COUNTRIES for k in names]
 
 
 def nationality(text: Column, countries: Sequence[tuple[str, str]], number: Column | None = None) -> Column:
     """Country code: first keyword found as a whole word, else first keyword found at all, else by number shape.
 
-    Keywords are tested by substring in table order; only those present are tested as whole words.
+    Each keyword is a literal test; the pattern for the whole word is only tried on texts that hold the keyword.
     """
-    table = literal_rows([(c, k.lower()) for c, k in countries], ["code", "kw"])
     # A regular expression special character in a keyword stands for itself.
-    quoted = lambda k: F.regexp_replace(k, r"([.\\+*?\[\]^$(){}|-])", r"\\$1")
+    quoted = lambda k: re.sub(r"([.\\+*?\[\]^$(){}|-])", r"\\\1", k)
 
     def pick(t: Column) -> Column:
-        def choose(present: Column) -> Column:
-            whole = F.filter(present, lambda k: F.regexp(t, F.concat(F.lit(LEFT + "(?:"), quoted(k["kw"]), F.lit(")" + RIGHT))))
-            return let(
-                whole,
-                lambda w: F.when(F.size(w) > 0, F.element_at(w, 1)["code"]).when(F.size(present) > 0, F.element_at(present, 1)["code"]),
-            )
-
-        return let(F.filter(table, lambda k: F.contains(t, k["kw"])), choose)
+        rows = [(c, k.lower()) for c, k in countries]
+        whole = [F.when(F.contains(t, F.lit(k)) & t.rlike(LEFT + "(?:" + quoted(k) + ")" + RIGHT), c) for c, k in rows]
+        part = [F.when(F.contains(t, F.lit(k)), c) for c, k in rows]
+        return F.coalesce(*whole, *part)
 
     by_number = (
         F.lit(None).cast("string")

@@ -65,8 +65,9 @@ def order_by_spec(df: DataFrame, spec: str, tie: Sequence[str] = (), allowed: Se
 
 
 def paginate(df: DataFrame, order: Sequence[Column], page: int = 1, per_page: int = 20) -> DataFrame:
-    """Rows of one page with the page totals; the order must be total."""
-    page, per_page = max(1, min(page, 10000)), max(1, min(per_page, 100))
+    """Rows of one page with the page totals; the order must be total. A page or size out of range is an error."""
+    if not 1 <= page <= 10000 or not 1 <= per_page <= 100:
+        raise ValueError(f"page must be 1 to 10000 and per_page 1 to 100: {page}, {per_page}")
     total = df.agg(F.count("*")).scalar()
     rows = df.orderBy(*order).offset((page - 1) * per_page).limit(per_page)
     return rows.withColumn("total", total).withColumn("pages", F.ceil(F.col("total") / per_page).cast("bigint")).withColumns(

@@ -53,39 +53,23 @@ def keyword_matches(docs: DataFrame, keywords: Mapping[str, str], text: str = "t
     return out.select(*[c for c in docs.columns if c != text], "_hit.*")
 
 
-def cooccurring_keys(entries: DataFrame, context: str, key: str, ts: str, keys: Sequence[str], seconds: int = 60) -> DataFrame:
+def cooccurring_keys(entries: DataFrame, context: str, key: str, ts: str, seconds: int = 60) -> DataFrame:
     """Influence between keys of a context: +0.1 for each setting of one while another was set in the last minute.
 
-    Settings are counted per (context, second) as one column per key, so the window frame does the
-    work of a self-join: no pairs are formed and a hot context has at most one row per second.
+    Settings are counted per (context, second, key), so the window frame does the work of a self-join: it gathers
+    the distinct keys of the last minute, and no pairs of settings are formed. Days are blocks with the minute before.
     """
     block = 86400
     sec = F.unix_seconds(F.col(ts).cast("timestamp"))
-    grid = entries.groupBy(context, sec.alias("second")).agg(
-        *[F.count_if(F.col(key) == k).alias(f"n{i}") for i, k in enumerate(keys)]
-    )
+    grid = entries.groupBy(context, sec.alias("second"), F.col(key).alias("key")).agg(F.count("*").alias("n"))
     grid = grid.withColumn("_home", F.floor(F.col("second") / block)).withColumn(
         "_block", F.explode(F.sequence("_home", F.floor((F.col("second") + seconds) / block)))
     )
     w = Window.partitionBy(context, "_block").orderBy("second").rangeBetween(-(seconds - 1), 0)
-    seen = grid.withColumns({f"w{i}": F.sum(f"n{i}").over(w) for i in range(len(keys))}).filter("_block = _home")
-    sums = seen.agg(
-        *[
-            F.sum(F.when(F.col(f"w{j}") > 0, F.col(f"n{i}")).otherwise(0)).alias(f"s{i}_{j}")
-            for i in range(len(keys))
-            for j in range(len(keys))
-            if i != j
-        ]
-    )
-    rows = F.array(
-        *[
-            F.struct(F.lit(a).alias("key"), F.lit(b).alias("influenced_by"), F.col(f"s{i}_{j}").alias("times"))
-            for i, a in enumerate(keys)
-            for j, b in enumerate(keys)
-            if i != j
-        ]
-    )
-    return sums.select(F.inline(rows)).filter("times > 0").withColumn("influence", F.col("times").cast("double") * 0.1)
+    seen = grid.withColumn("_seen", F.collect_set("key").over(w)).filter("_block = _home")
+    pairs = seen.select("key", "n", F.explode("_seen").alias("influenced_by")).filter("key <> influenced_by")
+    out = pairs.groupBy("key", "influenced_by").agg(F.sum("n").alias("times"))
+    return out.withColumn("influence", F.col("times").cast("double") * 0.1)
 
 
 def feedback_accuracy(pred: DataFrame, actual: DataFrame, key: str, group: str) -> DataFrame:

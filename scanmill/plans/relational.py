@@ -99,7 +99,7 @@ SELECT batch, position, type,
     WHEN type = 'performance' THEN CASE WHEN k % 3 > 1 THEN processing_time ELSE 0 END END AS value_ms,
   CASE WHEN type IN ('error', 'performance') THEN CASE WHEN k % 4 > 0 THEN session_id ELSE 'unknown' END END AS component,
   CASE WHEN type IN ('error', 'user_action') THEN CASE WHEN k % 4 > 1 THEN status ELSE 'unknown' END END AS action
-FROM x WHERE type <> 'other' AND position < 200""")
+FROM x WHERE type <> 'other'""")
 def client_metrics_ingest(spark, d):
     return IO.ingest_client_metrics(client_payloads(spark, d))
 
@@ -392,7 +392,7 @@ SELECT key, influenced_by, count(*) AS times, CAST(count(*) AS DOUBLE) * 0.1::DO
     "document_type AS k FROM", "document_type AS k, id AS rowid_ FROM"))
 def cooccurring_keys(spark, d):
     s = T.scan_history(spark, d).withColumn("day", F.to_date("created_at"))
-    return J.cooccurring_keys(s, "day", "document_type", "created_at", ["click", "error", "purchase", "signup", "view"])
+    return J.cooccurring_keys(s, "day", "document_type", "created_at")
 
 
 @query("feedback_accuracy", """SELECT lang, count(*) AS items, count(*) FILTER (CAST(n_chars > 800 AS INTEGER) = quality) AS correct,

@@ -205,11 +205,16 @@ def name_quality_flags(spark, d):
     return w.select("word", N.is_artefact(F.col("word")).alias("is_artefact"), N.is_plausible(F.col("word")).alias("is_plausible"))
 
 
+# Invented lists of the test names.
+GIVEN = ["LIORA", "AHMED", "MOHAMMED", "SARA", "ALI"]
+FIXES = {"KLIORA": "LIORA", "OLIORA": "LIORA", "K/IORA": "LIORA"}
+
+
 def raw_names(spark, d):
     """Names as recognised: labels, titles, artefacts, repeats and swapped order mixed in by key."""
     k = F.col("c_custkey")
-    g = ["rajesh", "MOHAMMED", "sara", "John", "KVED", "Anna", "VED", "É-lise"]
-    s = ["KUMAR", "hassan", "Smith", "thampi", "Müller", "llllk", "o'neil"]
+    g = ["rajesh", "MOHAMMED", "sara", "John", "KLIORA", "Anna", "LIORA", "É-lise"]
+    s = ["KUMAR", "hassan", "Smith", "tamlin", "Müller", "llllk", "o'neil"]
     pick = lambda xs, m: F.element_at(F.array(*map(F.lit, xs)), ((k * m) % len(xs) + 1).cast("int"))
     pre = pick(["Mr ", "Name: ", "", "surname ", "123 "], 1)
     mid = pick([" ", "  kkkkk ", " Singh ", "-"], 3)
@@ -221,14 +226,14 @@ def raw_names(spark, d):
 
 RAW_NAMES_SQL = """raw_names AS (SELECT k AS c_custkey, CASE WHEN k % 17 = 0 THEN '' WHEN k % 19 = 0 THEN 'xx 12 zz' WHEN k % 2 = 0 THEN pre || s || mid || g ELSE pre || g || mid || s || ' ' || g END AS raw
 FROM (SELECT c_custkey AS k, ['Mr ', 'Name: ', '', 'surname ', '123 '][c_custkey % 5 + 1] AS pre, [' ', '  kkkkk ', ' Singh ', '-'][(c_custkey * 3) % 4 + 1] AS mid,
-  ['rajesh', 'MOHAMMED', 'sara', 'John', 'KVED', 'Anna', 'VED', 'É-lise'][(c_custkey * 7) % 8 + 1] AS g,
-  ['KUMAR', 'hassan', 'Smith', 'thampi', 'Müller', 'llllk', 'o''neil'][(c_custkey * 5) % 7 + 1] AS s FROM customer))"""
+  ['rajesh', 'MOHAMMED', 'sara', 'John', 'KLIORA', 'Anna', 'LIORA', 'É-lise'][(c_custkey * 7) % 8 + 1] AS g,
+  ['KUMAR', 'hassan', 'Smith', 'tamlin', 'Müller', 'llllk', 'o''neil'][(c_custkey * 5) % 7 + 1] AS s FROM customer))"""
 
 
 def reorder_sql(c: str) -> str:
-    fix = "CASE " + " ".join(f"WHEN w = {quote(a)} THEN {quote(b)}" for a, b in N.TOKEN_FIXES.items()) + " ELSE w END"
+    fix = "CASE " + " ".join(f"WHEN w = {quote(a)} THEN {quote(b)}" for a, b in FIXES.items()) + " ELSE w END"
     parts = f"list_transform(regexp_split_to_array({R.strip(f'upper({c})')}, '\\s+'), lambda w: {fix})"
-    known = sql_list(N.GIVEN_NAMES)
+    known = sql_list(GIVEN)
     at = f"list_position(p, list_filter(p, lambda w: list_contains({known}, w))[1])"
     return (
         f"list_transform([{parts}], lambda p: CASE WHEN {at} > 1 OR ({at} >= 1 AND len(p) >= 3) THEN array_to_string(list_concat([p[{at}]], p[1:{at} - 1], p[{at} + 1:]), ' ')"
@@ -238,7 +243,7 @@ def reorder_sql(c: str) -> str:
 
 @query("reorder_name", f"WITH {RAW_NAMES_SQL} SELECT c_custkey, CASE WHEN raw = '' THEN raw ELSE {reorder_sql('raw')} END AS name FROM raw_names")
 def reorder_name(spark, d):
-    return raw_names(spark, d).select("c_custkey", N.reorder_name(F.col("raw")).alias("name"))
+    return raw_names(spark, d).select("c_custkey", N.reorder_name(F.col("raw"), GIVEN, FIXES).alias("name"))
 
 
 def clean_name_sql(c: str) -> str:
@@ -258,7 +263,7 @@ def clean_name_sql(c: str) -> str:
 @query("clean_name", f"""WITH {RAW_NAMES_SQL}, x AS (SELECT c_custkey, raw, CASE WHEN raw <> '' THEN {clean_name_sql('raw')} END AS n FROM raw_names)
 SELECT c_custkey, CASE WHEN n IS NOT NULL THEN {reorder_sql('n')} END AS name FROM x""")
 def clean_name(spark, d):
-    return raw_names(spark, d).select("c_custkey", N.clean_name(F.col("raw")).alias("name"))
+    return raw_names(spark, d).select("c_custkey", N.clean_name(F.col("raw"), GIVEN, FIXES).alias("name"))
 
 
 _BAD = "(" + " OR ".join(f"contains(lower(p), '{w}')" for w in N.BAD_WORDS) + ")"
@@ -414,11 +419,17 @@ def routed_fields(spark, d):
     return K.extract_routed(K.route_document(corpus(spark, d)))
 
 
-@query("extract_fields", C(f", {EXTRACT_SQL} SELECT * FROM fields"))
+_NEXT_LINE = "list_transform(string_split(text, chr(10)), lambda x: trim(x))"
+
+
+@query("extract_fields", C(f""", {EXTRACT_SQL}, {ADDRESS_SQL},
+next_line AS (SELECT doc_id, {_NEXT_LINE}[list_position(list_transform({_NEXT_LINE}, lambda x: contains(lower(x), 'addr')), true) + 1] AS address FROM c)
+SELECT * FROM fields
+UNION ALL SELECT doc_id, pack, 'address', address FROM routed JOIN addr USING (doc_id) WHERE pack IN ({sql_list(K.ADDRESS_PACKS)[1:-1]}) AND address IS NOT NULL
+UNION ALL SELECT doc_id, pack, 'address', address FROM routed JOIN next_line USING (doc_id) WHERE pack IN ({sql_list(K.NEXT_LINE_PACKS)[1:-1]}) AND address IS NOT NULL"""))
 def extract_fields(spark, d):
-    """Address blocks have their own query; the rest of every pack is compared here."""
-    e = routed_fields(spark, d).select("doc_id", "pack", F.explode_outer("fields").alias("field", "value"))
-    return e.filter("field <> 'address'")
+    """Every field of every pack that has a value."""
+    return routed_fields(spark, d).select("doc_id", "pack", F.explode_outer("fields").alias("field", "value")).filter("value IS NOT NULL")
 
 
 @query("first_match_wins", C(f", {EXTRACT_SQL} SELECT doc_id, value AS document_number FROM fields WHERE pack = 'voter_id' AND field = 'document_number'"))

@@ -16,8 +16,8 @@ from scanmill.sources.tables import spread, table
 
 ID_OFFSET = 1_000_000_000
 
-GIVEN = ["Rajesh", "Mohammed", "Sara", "John", "Marie", "Ahmed", "Yuki", "Anna", "Ved", "Carlos", "Ünal"]
-SURNAMES = ["Kumar", "Hassan", "Smith", "Dupont", "Müller", "Sharma", "Tanaka", "Garcia", "Thampi", "Rossi", "O'Neil", "Lee", "Kllllk"]
+GIVEN = ["Rajesh", "Mohammed", "Sara", "John", "Marie", "Ahmed", "Yuki", "Anna", "Liora", "Carlos", "Ünal"]
+SURNAMES = ["Kumar", "Hassan", "Smith", "Dupont", "Müller", "Sharma", "Tanaka", "Garcia", "Tamlin", "Rossi", "O'Neil", "Lee", "Kllllk"]
 CITIES = ["Mumbai", "Dubai", "London", "Paris", "Berlin", "Toronto", "Sydney", "Osaka", "Madrid"]
 MONTHS = ["JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC"]
 SEXES = ["M", "F", "Male", "Female", "X"]

@@ -17,16 +17,15 @@ METRIC_SCHEMA = (
     "metrics ARRAY<STRUCT<type STRING, endpoint STRING, durationMs DOUBLE, success BOOLEAN, component STRING, "
     "action STRING, metric STRING, valueMs DOUBLE, errorId STRING, message STRING>>, clientTimestamp BIGINT"
 )
-# Accepted metric types and the largest batch that is read.
+# Accepted metric types.
 METRIC_TYPES = ["api_call", "error", "user_action", "performance"]
-MAX_METRICS = 200
 
 
-def ingest_client_metrics(df: DataFrame, payload: str = "payload") -> DataFrame:
-    """One row per accepted metric of a batch; the batch limit is part of the protocol."""
+def ingest_client_metrics(df: DataFrame, payload: str = "payload", limit: int | None = None) -> DataFrame:
+    """One row per accepted metric of a batch. With a limit, `surplus` tells the metrics beyond it; none is dropped."""
     m = df.withColumn("_m", F.from_json(payload, METRIC_SCHEMA))
     keep = [c for c in df.columns if c != payload]
-    e = m.select(*keep, F.posexplode(F.slice("_m.metrics", 1, MAX_METRICS)).alias("position", "x"))
+    e = m.select(*keep, F.posexplode("_m.metrics").alias("position", "x"))
     t = F.col("x.type")
     unknown = F.lit("unknown")
     return e.filter(t.isin(METRIC_TYPES)).select(
@@ -40,6 +39,7 @@ def ingest_client_metrics(df: DataFrame, payload: str = "payload") -> DataFrame:
         .alias("value_ms"),
         F.when(t.isin("error", "performance"), F.coalesce("x.component", unknown)).alias("component"),
         F.when(t.isin("error", "user_action"), F.coalesce("x.action", unknown)).alias("action"),
+        *([] if limit is None else [(F.col("position") >= limit).alias("surplus")]),
     )
 
 

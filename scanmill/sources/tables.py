@@ -42,9 +42,11 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def cents(c: Column | str) -> Column:
-    """Two-decimal amount as whole hundredths: sums of BIGINT are exact and order-free."""
+    """Two-decimal amount as whole hundredths: sums of BIGINT are exact and order-free. A finer value is an error, not rounded."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.rint(c * 100).cast("bigint")
+    whole = F.rint(c * 100)
+    exact = c.isNull() | (F.abs(c * 100 - whole) <= 1e-6 * F.greatest(F.lit(1.0), F.abs(whole)))
+    return F.when(exact, whole).otherwise(F.raise_error(F.lit("amount finer than hundredths"))).cast("bigint")
 
 
 def _k() -> Column:

@@ -33,7 +33,7 @@ def values(spark, fn, inputs):
         (Dt.japanese_era_date, [("H31.4.30", "30/04/2019"), ("R1.5.1", "01/05/2019"), ("2020年1月2日", "02/01/2020")]),
         (I.clean_document_number, [("AB1234567", "AB1234567"), ("Passport No: AB1234567", "AB1234567"), ("784-1990-1234567-8", "784-1990-1234567-8"), ("KA123456", "KA123456"), ("", None)]),
         (I.format_emirates_id, [("ID 784 1990 1234567 8", "784-1990-1234567-8"), ("none", None)]),
-        (N.reorder_name, [("THAMPI VED", "VED THAMPI"), ("KVED", "VED"), ("Jane Doe", "Jane Doe"), ("", "")]),
+        (lambda c: N.reorder_name(c, ["LIORA"], {"KLIORA": "LIORA"}), [("TAMLIN LIORA", "LIORA TAMLIN"), ("KLIORA", "LIORA"), ("Jane Doe", "Jane Doe"), ("", "")]),
         (N.clean_name, [("Mr. JOHN smith smith", "John Smith"), ("Name: lllll Anna", "Anna"), (None, None)]),
         (N.best_name, [("the Passport Office of John Michael Smith", "John Michael Smith"), ("nothing here", None)]),
         (I.extract_place, [("Place of birth: new delhi\nx", "New Delhi"), ("no such thing", None)]),
