@@ -34,7 +34,7 @@ def tfidf_features(spark, d):
 @query("train_random_forest")
 def train_random_forest(spark, d):
     train, test = L.hash_split(labelled_vectors(spark, d), "vec_id")
-    model = L.train_random_forest(train, trees=20)
+    model = L.train_random_forest(train, trees=100)
     return L.accuracy(model.transform(train)).withColumn("part", F.lit("train")).unionByName(
         L.accuracy(model.transform(test)).withColumn("part", F.lit("test"))
     )
@@ -43,7 +43,7 @@ def train_random_forest(spark, d):
 @query("train_soft_voting")
 def train_soft_voting(spark, d):
     train, test = L.hash_split(labelled_vectors(spark, d), "vec_id")
-    return L.soft_vote(L.train_soft_voting(train, trees=20), test, "vec_id")
+    return L.soft_vote(L.train_soft_voting(train, trees=100), test, "vec_id")
 
 
 @query("classify_chain", C(f""", {MERGED_SQL}, b AS (SELECT doc_id, type, confidence FROM merged WHERE rank = 1)

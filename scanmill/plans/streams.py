@@ -9,7 +9,7 @@ from scanmill.operators import aggregates as A
 from scanmill.operators import joins as J
 from scanmill.operators import windows as W
 from scanmill.plans.analytics import ROLLUP_SQL, mean_sql
-from scanmill.plans.registry import query
+from scanmill.plans.registry import AS_OF, query
 from scanmill.plans.relational import webhook_configs
 from scanmill.plans.textual import _cascade_sql
 from scanmill.sources import tables as T
@@ -127,17 +127,23 @@ def lockout_stream(spark, d):
     return run_append(St.lockouts(bad, "user_id", "ts", limit=2, window=86400))
 
 
-@query("idempotent_events")
+@query("idempotent_events", """WITH RECURSIVE e AS (SELECT DISTINCT user_id, event_type AS document_type, CAST(epoch_us(ts) AS BIGINT) AS t FROM events),
+r AS (SELECT user_id, document_type, min(t) AS t FROM e GROUP BY ALL
+  UNION ALL SELECT user_id, document_type, t FROM (SELECT e.*, row_number() OVER (PARTITION BY e.user_id, e.document_type ORDER BY e.t) AS i
+    FROM r JOIN e ON e.user_id = r.user_id AND e.document_type = r.document_type AND e.t >= r.t + 300000000) WHERE i = 1)
+SELECT user_id, document_type, t AS at FROM r""")
 def idempotent_events(spark, d):
     s = timed(scan_stream(spark, d), delay="300 seconds")
-    return run_append(St.idempotent(s.select("ts", "user_id", "document_type"), ["user_id", "document_type"]))
+    return run_append(St.idempotent(s, ["user_id", "document_type"], life=300))
 
 
-@query("ttl_latest", """SELECT CAST(user_id AS VARCHAR) AS key, value, CAST(epoch_us(ts) AS BIGINT) AS at, CAST(epoch_us(ts) + 3600000000 AS BIGINT) AS expires_at
-FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, value DESC) AS rn FROM events) WHERE rn = 1""")
+@query("ttl_latest", f"""SELECT CAST(user_id AS VARCHAR) AS key, value, CAST(epoch_us(ts) AS BIGINT) AS at, CAST(epoch_us(ts) + 864000000000 AS BIGINT) AS expires_at
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, value DESC) AS rn FROM events) WHERE rn = 1 AND epoch_us(ts) + 864000000000 > epoch_us(TIMESTAMP '{AS_OF}')""")
 def ttl_latest(spark, d):
+    """Values alive at the time of reading; expired ones are not seen."""
     s = timed(scan_stream(spark, d))
-    return run_update(St.ttl_latest(s, "user_id", "processing_time", "ts", ttl=3600), ["key"])
+    latest = run_update(St.ttl_latest(s, "user_id", "processing_time", "ts", ttl=864000), ["key"])
+    return latest.filter(F.col("expires_at") > F.unix_micros(F.lit(AS_OF).cast("timestamp")))
 
 
 @query("session_usage", f"""WITH o AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 6 HOUR THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
@@ -206,12 +212,16 @@ def webhook_dispatch(spark, d):
     return run_append(sched.drop("next_retry_at"))
 
 
-@query("stream_duplicates")
+@query("stream_duplicates", f"""WITH {T.HASH_SQL}, x AS (SELECT id, bits FROM image_hashes WHERE id < 2 * {T.RESCAN_OFFSET})
+SELECT q.id, min(o.id) AS matching_id, CAST(arg_min(hamming(q.bits, o.bits), o.id) AS INTEGER) AS distance FROM x q JOIN x o ON o.id < q.id AND hamming(q.bits, o.bits) <= 5 GROUP BY q.id""")
 def stream_duplicates(spark, d):
-    """Hashes arriving in files: the first batch registers, later batches are checked. One file here, so nothing matches."""
-    e = stream_table(spark, d, "embeddings", files_per_trigger=1)
-    bits = F.aggregate("embedding", F.lit(0).cast("bigint"), lambda a, x: F.shiftleft(a, 1).bitwiseOR(F.when(x > 0, 1).otherwise(0).cast("bigint")))
-    return SD.run_stream_duplicates(e.select(F.col("vec_id").alias("id"), bits.alias("h")), shared_folder(spark))
+    """Scans and rescans arriving as a stream, each checked against all earlier ones."""
+    e = stream_table(spark, d, "embeddings")
+    rescan = F.transform("embedding", lambda x, i: F.when(i < F.col("vec_id") % 8, -x).otherwise(x))
+    both = F.array(F.struct(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), F.struct((F.col("vec_id") + T.RESCAN_OFFSET).alias("id"), rescan.alias("v")))
+    rows = e.select(F.inline(both))
+    bits = F.aggregate("v", F.lit(0).cast("bigint"), lambda a, x: F.shiftleft(a, 1).bitwiseOR(F.when(x > 0, 1).otherwise(0).cast("bigint")))
+    return SD.run_stream_duplicates(rows.select("id", bits.alias("h")), shared_folder(spark))
 
 
 @query("match_registered", f"""WITH {T.HASH_SQL}, o AS (SELECT bits, min(id) AS id FROM image_hashes WHERE id < 1000000000 GROUP BY bits), n AS (SELECT bits, min(id) AS id FROM image_hashes WHERE id >= 1000000000 GROUP BY bits)

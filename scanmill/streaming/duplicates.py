@@ -10,8 +10,8 @@ from scanmill.operators.duplicates import BITS, blocks, hamming, mask_of
 HASH_SCHEMA = "h BIGINT, first_id BIGINT"
 
 
-def match_registered(new: DataFrame, registered: DataFrame, distance: int = 5) -> DataFrame:
-    """Earliest registered hash within the distance of each new hash; both sides hold distinct hashes."""
+def earliest_within(new: DataFrame, registered: DataFrame, distance: int = 5) -> DataFrame:
+    """(h, first_id, m) of each new hash with a registered one within the distance: m is the earliest, with its distance."""
     masks = [mask_of(b) for b in blocks(list(range(BITS)), distance + 1)]
 
     def banded(df: DataFrame) -> DataFrame:
@@ -21,28 +21,36 @@ def match_registered(new: DataFrame, registered: DataFrame, distance: int = 5) -
     a, b = banded(new).alias("a"), banded(registered).alias("b")
     hit = (F.col("a.i") == F.col("b.i")) & (F.col("a.v") == F.col("b.v")) & (hamming(F.col("a.h"), F.col("b.h")) <= distance)
     first = F.min(F.struct(F.col("b.first_id").alias("id"), hamming(F.col("a.h"), F.col("b.h")).alias("distance")))
-    return a.join(b, hit).groupBy("a.h", "a.first_id").agg(first.alias("m")).select(
-        F.col("first_id").alias("id"), F.col("m.id").alias("matching_id"), F.col("m.distance").alias("distance")
-    )
+    return a.join(b, hit).groupBy("a.h", "a.first_id").agg(first.alias("m"))
+
+
+def match_registered(new: DataFrame, registered: DataFrame, distance: int = 5) -> DataFrame:
+    """Earliest registered hash within the distance of each new hash; both sides hold distinct hashes."""
+    found = earliest_within(new, registered, distance)
+    return found.select(F.col("first_id").alias("id"), F.col("m.id").alias("matching_id"), F.col("m.distance").alias("distance"))
 
 
 def run_stream_duplicates(hashes: DataFrame, folder: str) -> DataFrame:
-    """Check each batch of a stream (h, id) against the registry folder, then register its hashes.
+    """(id, matching_id, distance) of each arrival (h, id) with an earlier one within the distance: the earliest of them.
 
-    Rewriting the batch's own folders makes a retried batch harmless.
+    Arrival is by id. A batch is checked against the registry and itself, and only hashes that are new go into the registry,
+    so the cut into batches does not change the result. Rewriting the batch's own folders makes a retried batch harmless.
     """
     spark: SparkSession = hashes.sparkSession
 
     def batch(df: DataFrame, n: int) -> None:
-        new = df.groupBy("h").agg(F.min("id").alias("first_id")).persist()
-        old = spark.read.schema(HASH_SCHEMA).option("recursiveFileLookup", "true").parquet(f"{folder}/registry") if n else None
-        if old is not None:
-            old = old.groupBy("h").agg(F.min("first_id").alias("first_id"))
-            match_registered(new, old).write.mode("overwrite").parquet(f"{folder}/matches/b={n}")
-        else:
-            match_registered(new.limit(0), new).write.mode("overwrite").parquet(f"{folder}/matches/b={n}")
-        new.select("h", "first_id").write.mode("overwrite").parquet(f"{folder}/registry/b={n}")
-        new.unpersist()
+        rows = df.select("id", "h").persist()
+        new = rows.groupBy("h").agg(F.min("id").alias("first_id"))
+        fresh = pool = new
+        if n:
+            past = spark.read.schema(HASH_SCHEMA).parquet(*[f"{folder}/registry/b={k}" for k in range(n)])
+            fresh = new.join(past, "h", "left_anti")
+            pool = past.unionByName(fresh)
+        fresh.write.mode("overwrite").parquet(f"{folder}/registry/b={n}")
+        found = earliest_within(new, pool).select("h", "m")
+        out = rows.join(found, "h").where("m.id < id").select("id", F.col("m.id").alias("matching_id"), F.col("m.distance").alias("distance"))
+        out.write.mode("overwrite").parquet(f"{folder}/matches/b={n}")
+        rows.unpersist()
 
     q = hashes.writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}/_state").trigger(availableNow=True).start()
     q.awaitTermination()

@@ -2,23 +2,19 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scanmill.session import shared_folder as base_folder
 from scanmill.sources.tables import SCHEMAS
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """New folder under the one the cluster names for checkpoints; a local one only where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        base = os.path.join(tempfile.gettempdir(), "scanmill")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """New folder under the one the cluster names for checkpoints."""
+    return f"{base_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int | None = None) -> DataFrame:

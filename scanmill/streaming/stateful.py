@@ -192,6 +192,28 @@ def quality_history(df: DataFrame, key: str, value: str, order: str, keep: int =
     )
 
 
-def idempotent(df: DataFrame, keys: list[str]) -> DataFrame:
-    """First event per key within the watermark delay; the input carries the watermark."""
-    return df.dropDuplicatesWithinWatermark(keys)
+def idempotent(df: DataFrame, keys: list[str], ts: str = "ts", life: int = 300) -> DataFrame:
+    """Events that start a new life of their key: at least ``life`` seconds after the last one kept.
+
+    A repeat does not renew the life. Events of a key are taken in event time, so the cut into micro-batches of an ordered
+    input does not matter; state ends when the watermark of the input passes the life.
+    """
+    narrow = df.select(*keys, ts, F.unix_micros(ts).alias("at"))
+
+    def step(k, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else None
+        kept = []
+        for at in sorted(int(x) for b in batches for x in b["at"]):
+            if last is None or at >= last + life * 1_000_000:
+                kept.append(at)
+                last = at
+        state.update((last,))
+        state.setTimeoutTimestamp(max(last // 1000 + life * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({**{c: [v] * len(kept) for c, v in zip(keys, k, strict=True)}, "at": kept})
+
+    types = dict(df.dtypes)
+    schema = ", ".join([*(f"{c} {types[c]}" for c in keys), "at bigint"])
+    return narrow.groupBy(*keys).applyInPandasWithState(step, schema, "last bigint", "append", GroupStateTimeout.EventTimeTimeout)

@@ -74,7 +74,7 @@ def test_stream_duplicates_over_batches(spark, tmp_path):
         os.utime(f"{tmp_path}/all/f{i}.parquet", (1_000_000 + i, 1_000_000 + i))
     s = spark.readStream.schema("id bigint, h bigint").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/all")
     got = SD.run_stream_duplicates(s, f"{tmp_path}/state")
-    assert sorted((r["id"], r["matching_id"], r["distance"]) for r in got.collect()) == [(3, 1, 1), (5, 4, 1), (6, 1, 3)]
+    assert sorted((r["id"], r["matching_id"], r["distance"]) for r in got.collect()) == [(2, 1, 5), (3, 1, 1), (5, 4, 1), (6, 1, 3)]
 
 
 def test_late_rows_are_dropped(spark, split_dir):
@@ -82,3 +82,30 @@ def test_late_rows_are_dropped(spark, split_dir):
     e = files(spark, split_dir).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "10 minutes")
     n = run_append(e.groupBy(F.window("ts", "1 day")).agg(F.count("*").alias("n")).select(F.col("window.start").alias("d"), "n"))
     assert n.groupBy("d").count().filter("count > 1").count() == 0
+
+
+def in_files(spark, rows, schema, n, path):
+    """Rows in n ordered files, read one per micro-batch."""
+    size = -(-len(rows) // n)
+    os.makedirs(path)
+    for i in range(n):
+        part = rows[i * size : (i + 1) * size]
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{path}/in{i}")
+        src = next(f for f in os.listdir(f"{path}/in{i}") if f.endswith(".parquet"))
+        os.makedirs(f"{path}/all", exist_ok=True)
+        os.rename(f"{path}/in{i}/{src}", f"{path}/all/f{i:02}.parquet")
+        os.utime(f"{path}/all/f{i:02}.parquet", (1_000_000 + i, 1_000_000 + i))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/all")
+
+
+def test_results_do_not_depend_on_the_cut_into_files(spark, sf, tmp_path):
+    events = [tuple(r) for r in T.scan_history(spark, sf).orderBy("created_at", "id").select(F.col("created_at").alias("ts"), "user_id", "document_type").collect()]
+    hashes = [(i, (i * i * 2654435761) % 4096) for i in range(120)]
+    kept, matched = [], []
+    for n in (1, 3, 10):
+        s = in_files(spark, events, "ts timestamp, user_id bigint, document_type string", n, f"{tmp_path}/e{n}").withWatermark("ts", "300 seconds")
+        kept.append(sorted(tuple(r) for r in run_append(St.idempotent(s, ["user_id", "document_type"], life=86400)).collect()))
+        h = in_files(spark, hashes, "id bigint, h bigint", n, f"{tmp_path}/h{n}")
+        matched.append(sorted(tuple(r) for r in SD.run_stream_duplicates(h, f"{tmp_path}/s{n}").collect()))
+    assert kept[0] == kept[1] == kept[2] and 0 < len(kept[0]) < len(events)
+    assert matched[0] == matched[1] == matched[2] and matched[0]
