@@ -198,6 +198,13 @@ def pack_text(p: Pack, text: str) -> str:
     return f"replace({text}, '\\n', ' ')" if p.single_line else text
 
 
+def recognised_packs(df: DataFrame, text: str = "text", packs: Sequence[Pack] = PACKS) -> DataFrame:
+    """One row for each pack that recognises a document, in one pass over the texts."""
+    codes = ", ".join(f"CASE WHEN {predicate(p.detect, 't', 'low')} THEN '{p.code}' END" for p in packs)
+    found = let_sql(text, "t", let_sql("lower(t)", "low", f"array_compact(array({codes}))"))
+    return df.withColumn("pack", F.explode(F.expr(found)))
+
+
 ADDRESS_PACKS = ("aadhaar", "driving_license")
 NEXT_LINE_PACKS = ("us_drivers_license",)
 

@@ -422,16 +422,30 @@ def routed_fields(spark, d):
 _NEXT_LINE = "list_transform(string_split(text, chr(10)), lambda x: trim(x))"
 
 
-@query("extract_fields", C(f""", {EXTRACT_SQL}, {ADDRESS_SQL},
+def _fields_sql(routed: str) -> str:
+    return C(f""", {routed}, fields AS ({" UNION ALL ".join(_pack_rows_sql(p) for p in PACKS)}), {ADDRESS_SQL},
 next_line AS (SELECT doc_id, {_NEXT_LINE}[list_position(list_transform({_NEXT_LINE}, lambda x: contains(lower(x), 'addr')), true) + 1] AS address FROM c)
 SELECT * FROM fields
 UNION ALL SELECT doc_id, pack, 'address', address FROM routed JOIN addr USING (doc_id) WHERE pack IN ({sql_list(K.ADDRESS_PACKS)[1:-1]}) AND address IS NOT NULL
-UNION ALL SELECT doc_id, pack, 'address', address FROM routed JOIN next_line USING (doc_id) WHERE pack IN ({sql_list(K.NEXT_LINE_PACKS)[1:-1]}) AND address IS NOT NULL"""))
+UNION ALL SELECT doc_id, pack, 'address', address FROM routed JOIN next_line USING (doc_id) WHERE pack IN ({sql_list(K.NEXT_LINE_PACKS)[1:-1]}) AND address IS NOT NULL""")
+
+
+@query("extract_fields", _fields_sql(ROUTE_SQL))
 def extract_fields(spark, d):
     """Every field of every pack that has a value."""
     return routed_fields(spark, d).select("doc_id", "pack", F.explode_outer("fields").alias("field", "value")).filter("value IS NOT NULL")
 
 
+RECOGNISED_SQL = "routed AS (" + " UNION ALL ".join(f"SELECT doc_id, text, low, '{p.code}' AS pack FROM c WHERE {R.predicate(p.detect)}" for p in PACKS) + ")"
+
+
+@query("extract_fields_by_pack", _fields_sql(RECOGNISED_SQL))
+def extract_fields_by_pack(spark, d):
+    """All fourteen packs, each on every document that it recognises, not only on the first pack's."""
+    e = K.extract_routed(K.recognised_packs(corpus(spark, d)))
+    return e.select("doc_id", "pack", F.explode_outer("fields").alias("field", "value")).filter("value IS NOT NULL")
+
+
 @query("first_match_wins", C(f", {EXTRACT_SQL} SELECT doc_id, value AS document_number FROM fields WHERE pack = 'voter_id' AND field = 'document_number'"))
 def first_match_wins(spark, d):
     """One pack as a wide table: the first pattern that matches gives the value."""

@@ -45,6 +45,9 @@ TEMPLATES = [
     "Republic of Singapore\nNational Registration Identity Card\nS{n7}{L}\nName: {G} {S}\nDate of birth {dd}-{mm}-{y}\nSex: {sex}",
     "Invoice from {G} {S}\nContact: {g}.{n4}@example.com or +91 9{n9}\nShip to {city} {n5}\nTotal due by {mon} {dd}, 2024",
     "SAMPLE SPECIMEN\nName: {G} {S}\nBirth date {mon} {dd} {y}\nValid until {exp}\nNationality: {city}",
+    "EUROPEAN UNION\nIDENTITY CARD\nFrance\nFR{n7}\nSurname: {S}\nGiven Names: {G}\nDate of Birth: {dd}.{mm}.{y}\nPlace of Birth: {city}\nSex: {sex}\nNationality: French\nDate of Issue: {dd}.{mm}.2019\nDate of Expiry: {dd}.{mm}.2029\nIssuing Authority: Prefecture of {city}",
+    "REPUBLIC OF INDIA\nType: P\nCountry Code: IND\nPassport No: {L}{n7}\nSurname: {S}\nGiven Name: {G}\nNationality: INDIAN\nDate of Birth: {dmy}\nSex: {sex}\nPlace of Birth: {city}\nPlace of Issue: {city}\nDate of Issue: {dmy}\nDate of Expiry: {exp}\nFile No: BO{n7}/15",
+    "日本\nマイナンバーカード\n個人番号: {n4} {m4} {o4}\n氏名: 佐藤 花子\nフリガナ: サトウ ハナコ\n生年月日: {y}年{mm}月{dd}日\n性別: 女\n住所: 大阪府大阪市北区梅田2-2\n発行日: 2020年{mm}月{dd}日\n有効期限: 2030年{mm}月{dd}日\nデジタル庁",
     "name: {G}\n<script>alert('{S}')</script>\nselect * from users where 1 = 1",
 ]
 
