@@ -132,6 +132,18 @@ def percentiles_approx(spark, d):
     return a.select("document_type", *[F.col("p")[i].alias(f"p{int(q * 100)}") for i, q in enumerate(ps)])
 
 
+@query("percentiles_approx_error", with_(S, "SELECT document_type, TRUE AS within FROM scan_history WHERE processing_time IS NOT NULL GROUP BY 1"))
+def percentiles_approx_error(spark, d):
+    """Whether the rank of each estimate is within 1/10000 of the rows, and one row, of the wanted rank."""
+    rows = T.scan_history(spark, d).select("document_type", "processing_time").filter("processing_time IS NOT NULL")
+    joined = rows.join(percentiles_approx(spark, d), "document_type")
+    n, ok = F.count("*"), F.lit(True)
+    for q in (0.5, 0.9, 0.95, 0.99):
+        v, p = F.col("processing_time"), F.col(f"p{int(q * 100)}")
+        ok = ok & (F.count_if(v < p) <= (q + 1e-4) * n + 1) & (F.count_if(v <= p) >= (q - 1e-4) * n - 1)
+    return joined.groupBy("document_type").agg(ok.alias("within"))
+
+
 @query("error_analysis", with_(S, """
 SELECT * FROM (SELECT error_message, count(*) AS occurrences,
   CAST(sum(count(*)) OVER () AS BIGINT) AS total_scans,
@@ -191,6 +203,14 @@ def usage_metrics(spark, d):
     return A.usage(T.scan_history(spark, d))
 
 
+@query("distinct_users_approx_error", with_(S, "SELECT document_type, TRUE AS within FROM scan_history GROUP BY 1"))
+def distinct_users_approx_error(spark, d):
+    """Whether each estimate is within three standard errors of the exact count."""
+    exact = T.scan_history(spark, d).groupBy("document_type").agg(F.countDistinct("user_id").alias("users"))
+    both = exact.join(distinct_users_approx(spark, d), "document_type")
+    return both.select("document_type", (F.abs(F.col("approx_users") - F.col("users")) <= 3 * 0.02 * F.col("users") + 1).alias("within"))
+
+
 @query("distinct_users_approx")
 def distinct_users_approx(spark, d):
     return T.scan_history(spark, d).groupBy("document_type").agg(

@@ -82,6 +82,17 @@ def detect_language(spark, d):
     return out.select("doc_id", "lang", "language")
 
 
+@query("detect_language_accuracy", f"SELECT lang, TRUE AS accurate FROM documents WHERE lang IN ({', '.join(repr(x) for x in LANGS)}) GROUP BY lang")
+def detect_language_accuracy(spark, d):
+    """Whether at least nine in ten held-out documents of each language are recognised, of those long enough to be judged."""
+    docs = T.spread(T.table(spark, d, "documents").select("doc_id", "text", "lang"))
+    train, test = L.hash_split(docs, "doc_id")
+    out = L.detect_language(L.train_language(train, LANGS), test, LANGS).filter(F.length("text") >= 200)
+    codes = F.create_map(*[F.lit(x) for kv in L.LANGUAGE_CODES.items() for x in kv])
+    right = F.count_if(F.element_at(codes, F.col("lang")) == F.col("language"))
+    return out.filter(F.col("lang").isin(*LANGS)).groupBy("lang").agg((right >= 0.9 * F.count("*")).alias("accurate"))
+
+
 # A user's own pack: invoices, routed after the built-in packs.
 INVOICE = Pack(
     "invoice", "any", ("count", ["invoice", "total due", "ship to"], 2),
