@@ -121,7 +121,7 @@ def _rules_sql() -> str:
 
 @query("context_recommendations", f"WITH {ENTRIES_SQL} {_rules_sql()}")
 def context_recommendations(spark, d):
-    return M.context_recommendations(entries(spark, d)).orderBy("context_id", F.desc("weight"))
+    return M.context_recommendations(entries(spark, d))
 
 
 @query("context_conflicts", f"""WITH {ENTRIES_SQL}, g AS (SELECT context_id, max(value) FILTER (layer = 'immediate' AND key = 'quality_requirement') AS q,

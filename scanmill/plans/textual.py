@@ -157,7 +157,7 @@ def _kw_sql() -> str:
 m AS (SELECT doc_id, code, ord + CASE WHEN regexp_matches(low, pat) THEN 0 ELSE 10000 END AS r FROM c JOIN kw ON contains(low, k))
 SELECT c.doc_id, coalesce(arg_min(code, r), 'UNKNOWN') AS nationality FROM c LEFT JOIN m USING (doc_id) GROUP BY c.doc_id"""))
 def nationality_code(spark, d):
-    return corpus(spark, d).select("doc_id", I.nationality(F.col("text"), _COUNTRIES).alias("nationality"))
+    return corpus(spark, d).select("doc_id", I.nationality("text", _COUNTRIES).alias("nationality"))
 
 
 @query("issuing_country", C(f""", eu(ord, code, adj, k) AS (VALUES {', '.join(f"({i}, '{c}', '{a}', {quote(n)})" for i, (c, a, ns) in enumerate(EU_COUNTRIES) for n in ns)}),
