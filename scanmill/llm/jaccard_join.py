@@ -19,6 +19,7 @@ are read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -33,8 +34,8 @@ from scanmill.llm.components import components
 from scanmill.llm.words import hashes, pieces, split
 from scanmill.session import stored
 
-#: Cells of the count table, groups of a point, points on one side of a unit of work, points of a leaf.
-CELLS, GROUPS, UNIT, LEAF = 1 << 18, 256, 2048, 32
+#: Cells of the count table (a byte each when sent), groups of a point, points on one side of a unit of work, points of a leaf.
+CELLS, GROUPS, UNIT, LEAF = 1 << 23, 256, 2048, 32
 #: Ids (8 bytes each) up to which the documents to verify are found by a broadcast.
 SMALL_IDS = 1_000_000
 
@@ -59,34 +60,50 @@ def grams(batch: pa.RecordBatch, n: int) -> list[np.ndarray]:
     return out
 
 
-def cell_counts(docs: DataFrame, n: int) -> np.ndarray:
-    """How many n-grams of all documents fall into each cell; CELLS numbers, however large the input."""
+def cell_ranks(docs: DataFrame, n: int) -> np.ndarray:
+    """For each cell a byte that grows with the logarithm of the n-grams of all documents in it; CELLS bytes, however large the input.
+
+    A task sends its counts in parts, deflated: cells are many, so most counts are small.
+    """
+    parts = 64
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, np.int64)
         for batch in pieces(batches):
-            total += np.bincount((np.concatenate(grams(batch, n)) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
-        for k, part in enumerate(np.split(total, 64)):
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["part", "counts"])
+            cells, times = np.unique((np.concatenate(grams(batch, n)) % np.uint64(CELLS)).astype(np.int64), return_counts=True)
+            total[cells] += times
+        if total.any():
+            for k, part in enumerate(np.split(total, parts)):
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_deflate(part)], pa.binary())], names=["part", "counts"])
 
     def add(key: tuple, rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(CELLS // 64, np.int64)
+        total = np.zeros(CELLS // parts, np.int64)
         for pdf in rows:
             for x in pdf["counts"]:
-                total += np.frombuffer(x, np.int64)
-        yield pd.DataFrame({"part": [key[0]], "counts": [total.tobytes()]})
+                total += _inflate(x)
+        # steps of a sixth of a doubling, fine enough to tell a rare n-gram's cell from a frequent one's
+        ranks = np.minimum(255, np.round(6 * np.log2(total + 1))).astype(np.uint8)
+        yield pd.DataFrame({"part": [key[0]], "ranks": [ranks.tobytes()]})
+
+    counted = docs.select("text").mapInArrow(count, "part int, counts binary")
+    out = np.zeros((parts, CELLS // parts), np.uint8)
+    for r in counted.groupBy("part").applyInPandas(add, "part int, ranks binary").collect():
+        out[r["part"]] = np.frombuffer(r["ranks"], np.uint8)
+    return out.ravel()
+
+
+def _deflate(counts: np.ndarray) -> bytes:
+    kind = np.uint8 if counts.max() < 256 else np.uint32 if counts.max() < 1 << 32 else np.int64
+    return bytes([np.dtype(kind).itemsize]) + zlib.compress(counts.astype(kind).tobytes(), 1)
+
 
-    parts = docs.select("text").mapInArrow(count, "part int, counts binary")
-    rows = parts.groupBy("part").applyInPandas(add, "part int, counts binary").collect()
-    total = np.zeros((64, CELLS // 64), np.int64)
-    for r in rows:
-        total[r["part"]] = np.frombuffer(r["counts"], np.int64)
-    return total.ravel()
+def _inflate(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data[1:]), {1: np.uint8, 4: np.uint32, 8: np.int64}[data[0]])
 
 
 def points(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
     """(doc_id, sid, n_grams, keys, point): the hash of the set, its size, the n-grams it meets others by, its group counts."""
-    counts = docs.sparkSession.sparkContext.broadcast(cell_counts(docs, n))
+    ranks = docs.sparkSession.sparkContext.broadcast(cell_ranks(docs, n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -95,7 +112,7 @@ def points(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
                 sid.append(xxhash.xxh3_128_digest(g.tobytes()) if len(g) else None)
                 size.append(len(g))
                 first = len(g) - -(-threshold.numerator * len(g) // threshold.denominator) + 1 if len(g) else 0
-                order = np.lexsort((g, counts.value[(g % np.uint64(CELLS)).astype(np.int64)]))[:first]
+                order = np.lexsort((g, ranks.value[(g % np.uint64(CELLS)).astype(np.int64)]))[:first]
                 keys.append(g[order].astype(np.int64))
                 point.append(np.bincount((g >> np.uint64(56)).astype(np.int64), minlength=GROUPS).astype(np.int32))
             offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
@@ -208,8 +225,8 @@ def _candidates(meet: DataFrame, points: DataFrame, labels: DataFrame | None, t:
     open_keys = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", F.ceil(F.col("n") / UNIT).cast("int").alias("blocks"))
     rows = labelled.join(open_keys, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = rows.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), (F.col("block") <= F.col("other")).alias("left"), "id", "label", "n_grams")
-    units = units.join(points.select(F.col("doc_id").alias("id"), "point"), "id")
+    units = rows.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), (F.col("block") <= F.col("other")).alias("left"), "id", "label")
+    units = units.join(points.select(F.col("doc_id").alias("id"), "n_grams", "point"), "id")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,10 +307,10 @@ def join(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5)) -> D
     same_row = (F.col("doc_id") == F.col("rep")) & (F.col("sid") == F.col("_sid"))
     reps = every.join(first.withColumnRenamed("sid", "_sid"), same_row, "left_semi").dropDuplicates(["doc_id", "sid"])
     # Only n-grams at which two points meet go on.
-    keyed = reps.select(F.col("doc_id").alias("id"), "n_grams", F.explode("keys").alias("key"))
-    shared = keyed.select("key", "id", "n_grams", F.count("*").over(Window.partitionBy("key")).alias("n")).where("n > 1").drop("n")
+    keyed = reps.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key"))
+    shared = keyed.select("key", "id", F.count("*").over(Window.partitionBy("key")).alias("n")).where("n > 1").drop("n")
     meet = stored(shared)
-    at = reps.select("doc_id", "point")
+    at = reps.select("doc_id", "n_grams", "point")
     links = stored(verified(_candidates(meet, at, None, threshold, True), docs, n, threshold))
     rest = stored(verified(_candidates(meet, at, components(links), threshold, False), docs, n, threshold))
     texts = members.select("doc_id", "sid").distinct()
