@@ -33,9 +33,11 @@ from scanmill.llm.words import pieces, split
 from scanmill.session import stored
 
 #: Words with an output of their own; words whose counts are sent to all tasks (a few MB); rounds of training.
-VOCAB, SENT, CLASSES, SIZE, WINDOW, LANES, ROUNDS = 8192, 100_000, 64, 16, 32, 256, 2
+VOCAB, SENT, CLASSES, SIZE, WINDOW, LANES, ROUNDS = 4096, 100_000, 64, 16, 32, 512, 2
 #: Lanes in training: fewer tokens for each step of the weights.
-TRAIN_LANES = 96
+TRAIN_LANES = 384
+#: Bytes of text that are laid out in lanes at once: many texts, so that the longest leaves few steps for itself.
+PIECE = 16 << 20
 #: Windows over which a task's rate rises to its full value.
 WARM = 20
 OTHER, END = 0, 1
@@ -156,27 +158,35 @@ class Model:
         dout = np.zeros_like(after)
         _, dout[valid] = self.outputs(after[valid], token[valid], grad)
         e, w, u = (self.part(self.vector, k) for k in "ewu")
-        dgx = np.empty((*prev.shape, 3 * SIZE), np.float32)
-        dh = np.zeros_like(h)
-        for t in range(prev.shape[1] - 1, -1, -1):
+        lanes, steps = prev.shape
+        gate = np.empty((steps, lanes, 3 * SIZE), h.dtype)  # gradients of what the recurrent weights give
+        cell = np.empty((steps, lanes, SIZE), h.dtype)
+        back, dh = np.ascontiguousarray(u.T), np.zeros_like(h)
+        for t in range(steps - 1, -1, -1):
             h0, z, r, q, n = trace[t]
-            dh = dh + dout[:, t]
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (h0 - n) * z * (1 - z)
-            dr = dn * q * r * (1 - r)
-            g = dgx[:, t]
-            g[:, :SIZE], g[:, SIZE : 2 * SIZE], g[:, 2 * SIZE :] = dz, dr, dn
-            gh = np.concatenate([dz, dr, dn * r], 1)
-            self.part(grad, "u")[...] += h0.T @ gh
-            self.part(grad, "b")[1] += gh.sum(0)
-            dh = np.where(new[:, t, None], np.float32(0), dh * z + gh @ u.T)
-        flat = dgx.reshape(-1, 3 * SIZE)
+            dh += dout[:, t]
+            dn = dh * (1 - z)
+            dn *= 1 - n * n
+            g = gate[t]
+            np.multiply(dh * (h0 - n), z * (1 - z), out=g[:, :SIZE])
+            np.multiply(dn * q, r * (1 - r), out=g[:, SIZE : 2 * SIZE])
+            np.multiply(dn, r, out=g[:, 2 * SIZE :])
+            cell[t] = dn
+            dh = dh * z
+            dh += g @ back
+            dh[new[:, t]] = 0
+        before = np.stack([x[0] for x in trace]).reshape(-1, SIZE)
+        flat = gate.reshape(-1, 3 * SIZE)
+        self.part(grad, "u")[...] += before.T @ flat
+        self.part(grad, "b")[1] += flat.sum(0)
+        flat[:, 2 * SIZE :] = cell.reshape(-1, SIZE)
         self.part(grad, "b")[0] += flat.sum(0)
-        self.part(grad, "w")[...] += e[prev].reshape(-1, SIZE).T @ flat
+        read = prev.T.ravel()
+        self.part(grad, "w")[...] += e[read].T @ flat
         de = flat @ w.T
         ge = self.part(grad, "e")
         for k in range(SIZE):
-            ge[:, k] += np.bincount(prev.ravel(), de[:, k], len(ge)).astype(np.float32)
+            ge[:, k] += np.bincount(read, de[:, k], len(ge))
         grad /= max(1, int(valid.sum()))
         return last, grad
 
@@ -225,14 +235,13 @@ class Reader:
     """Words of texts as numbers: 0.. by falling count, -1 for those that were not sent."""
 
     def __init__(self, counts: Counts) -> None:
-        self.number = {w: i for i, w in enumerate(counts.words)}
+        self.words = pa.array(counts.words, pa.large_string())
 
-    def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
+    def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
         """(starts, number of each word, dictionary, code of each word)."""
         found = split(texts, lower=True)
-        words = found.words.to_pylist()
-        number = np.fromiter((self.number.get(w, -1) for w in words), np.int64, len(words))
-        return found.start, number[found.codes] if len(words) else np.zeros(0, np.int64), words, found.codes
+        number = pc.fill_null(pc.index_in(found.words, self.words), -1).to_numpy().astype(np.int64)
+        return found.start, number[found.codes] if len(number) else np.zeros(0, np.int64), found.words, found.codes
 
     @staticmethod
     def texts(start: np.ndarray, number: np.ndarray) -> list[np.ndarray]:
@@ -287,7 +296,7 @@ def train(docs: DataFrame, counts: Counts, rounds: int = ROUNDS, rate: float = 0
             model.vector[...] = given.value
             mean, var, t, seen = np.zeros_like(model.vector), np.zeros_like(model.vector), 0, 0
             salt = 0
-            for batch in pieces(batches):
+            for batch in pieces(batches, most=PIECE):
                 begin, number, _, _ = reader.read(batch.column("text"))
                 lanes = Lanes.of(reader.texts(begin, number), TRAIN_LANES)
                 salt ^= xxhash.xxh3_64_intdigest(lanes.token.tobytes())
@@ -329,7 +338,7 @@ def score(docs: DataFrame, held_out: int = 1) -> DataFrame:
         model, reader = Model(counts), Reader(counts)
         model.vector[...] = vector.value
         logc = np.log10(np.append(counts.count, 0) + 0.5)
-        for batch in pieces(batches):
+        for batch in pieces(batches, most=PIECE):
             start, number, words, codes = reader.read(batch.column("text"))
             n_rows, n_words = batch.num_rows, np.diff(start)
             rows = np.repeat(np.arange(n_rows), n_words)
@@ -350,7 +359,7 @@ def score(docs: DataFrame, held_out: int = 1) -> DataFrame:
             rare = np.flatnonzero(~sent)
             pairs, times = np.unique(rows[rare] * max(len(words), 1) + codes[rare], return_counts=True)
             ends = np.searchsorted(pairs // max(len(words), 1), np.arange(n_rows + 1)).astype(np.int32)
-            taken = pa.array([words[c] for c in (pairs % max(len(words), 1)).tolist()], pa.string())
+            taken = words.take(pa.array(pairs % max(len(words), 1))).cast(pa.string())
             texts = pc.fill_null(batch.column("text"), "").to_pylist()
             columns = {
                 "doc_id": batch.column("doc_id"),
