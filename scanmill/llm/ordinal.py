@@ -19,10 +19,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scanmill.llm.words import Words, hashes, pieces, split
+from scanmill.session import stored
 
 #: Patterns whose share of words is a feature; `repeat` is added to them.
 SHAPES = {
@@ -76,18 +78,9 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -500, 500)))
 
 
-def fit(rows: list[tuple[int, bytes, bytes]], n_grades: int, min_rows: int = 5, steps: int = 500, rate: float = 0.05, l1: float = 2e-4) -> OrdinalModel:
-    """Maximum likelihood with a lasso, by proximal steps of Adam over all rows; rows are (grade, word hashes, shares)."""
-    grade = np.array([r[0] for r in rows])
-    words = [np.unique(np.frombuffer(r[1], np.uint64)) for r in rows]
-    shares = np.stack([np.frombuffer(r[2], np.float64) for r in rows])
-    keys, inverse, seen = np.unique(np.concatenate(words), return_inverse=True, return_counts=True)
-    of = np.repeat(np.arange(len(rows)), [len(w) for w in words])
-    wide = seen >= min_rows
-    number = np.cumsum(wide) - 1
-    use = wide[inverse]
-    of, col, keys = of[use], number[inverse[use]], keys[wide]
-    n, m = len(rows), len(keys)
+def fit(grade: np.ndarray, of: np.ndarray, col: np.ndarray, shares: np.ndarray, keys: np.ndarray, n_grades: int, steps: int = 500, rate: float = 0.05, l1: float = 2e-4) -> OrdinalModel:
+    """Maximum likelihood with a lasso, by proximal steps of Adam over all rows; row of[i] holds the word keys[col[i]]."""
+    n, m = len(grade), len(keys)
     below = np.cumsum(np.bincount(grade, minlength=n_grades))[:-1]
     share = (below + 0.5) / (n + 1)
     first = np.log(share / (1 - share))
@@ -118,24 +111,46 @@ def fit(rows: list[tuple[int, bytes, bytes]], n_grades: int, min_rows: int = 5,
     return OrdinalModel(keys[used], w[used], x[m : m + N_SHAPES], cut)
 
 
-def train(docs: DataFrame, ratings: DataFrame, n_grades: int, max_rows: int = 20_000) -> OrdinalModel | None:
-    """Fit on (doc_id, grade) rows, grades 0 to n_grades - 1; None without any."""
+def train(docs: DataFrame, ratings: DataFrame, n_grades: int, max_rows: int = 20_000, min_rows: int = 5) -> OrdinalModel | None:
+    """Fit on (doc_id, grade) rows, grades 0 to n_grades - 1; None without any. Only words of at least `min_rows` rows reach the driver."""
     rated = ratings.where("doc_id is not null and grade is not null").select("doc_id", "grade")
     sample = rated.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(max_rows)  # at most max_rows rows, so small enough to send
     text = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             row, word, shares = features(split(batch.column("text")))
             ends = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            sets = [word[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("grade").cast(pa.int32()), pa.array(sets, pa.binary()), pa.array([s.tobytes() for s in shares], pa.binary())], names=["grade", "words", "shares"]
-            )
-
-    rows = [tuple(r) for r in text.mapInArrow(run, "grade int, words binary, shares binary").collect()]
-    rows.sort()  # the order of tasks does not matter
-    return fit(rows, n_grades) if rows else None
+            sets = _lists(word.astype(np.int64), ends)
+            order = [xxhash.xxh3_64_intdigest(np.sort(word[a:z]).tobytes()) >> 1 for a, z in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("grade").cast(pa.int32()), pa.array(order, pa.int64()), sets, _lists(shares.ravel(), np.arange(batch.num_rows + 1) * N_SHAPES)], names=["grade", "row", "words", "shares"])
+
+    rows = stored(text.mapInArrow(read, "grade int, row long, words array<long>, shares array<double>"))
+    frequent = rows.select(F.explode("words").alias("word")).groupBy("word").count().where(F.col("count") >= min_rows).select("word")
+    keys = np.sort(frequent.toArrow().column("word").to_numpy().astype(np.uint64))
+    sent = docs.sparkSession.sparkContext.broadcast(keys)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("words")
+            words, offsets = lists.values.to_numpy().astype(np.uint64), lists.offsets.to_numpy()
+            at = np.minimum(np.searchsorted(sent.value, words), max(0, len(sent.value) - 1))
+            known = sent.value[at] == words if len(sent.value) else np.zeros(len(words), bool)
+            ends = np.concatenate([[0], np.cumsum(known)])[offsets]
+            yield pa.RecordBatch.from_arrays([batch.column("grade"), batch.column("row"), _lists(at[known].astype(np.int32), ends - ends[0]), batch.column("shares")], names=["grade", "row", "words", "shares"])
+
+    table = rows.mapInArrow(number, "grade int, row long, words array<int>, shares array<double>").toArrow()
+    if not table.num_rows:
+        return None
+    table = table.sort_by([("row", "ascending"), ("grade", "ascending")])  # the order of tasks does not matter
+    grade, lists = table.column("grade").to_numpy(), table.column("words").combine_chunks()
+    of = np.repeat(np.arange(len(grade), dtype=np.int32), np.diff(lists.offsets.to_numpy()))
+    shares = table.column("shares").combine_chunks().flatten().to_numpy().reshape(-1, N_SHAPES)
+    return fit(grade, of, lists.flatten().to_numpy(), shares, keys, n_grades)
+
+
+def _lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))
 
 
 def classify(docs: DataFrame, ratings: DataFrame, n_grades: int, wanted: int, least: float = 0.5, max_rows: int = 20_000) -> DataFrame:

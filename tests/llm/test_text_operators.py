@@ -199,11 +199,9 @@ def test_ordinal_held_out(spark):
 def test_thresholds_are_ordered():
     rng = np.random.default_rng(0)
     keys = np.arange(50, dtype=np.uint64)
-    data = []
-    for _ in range(400):
-        g = int(rng.integers(0, 4))
-        data.append((g, rng.choice(keys[10 * g : 10 * g + 15], 4, replace=False).tobytes(), np.zeros(ordinal.N_SHAPES).tobytes()))
-    m = ordinal.fit(data, 4)
+    grade = rng.integers(0, 4, 400)
+    col = np.concatenate([rng.choice(np.arange(10 * g, 10 * g + 15), 4, replace=False) for g in grade])
+    m = ordinal.fit(grade, np.repeat(np.arange(400), 4), col, np.zeros((400, ordinal.N_SHAPES)), keys, 4)
     assert (np.diff(m.thresholds) > 0).all()
     tails = m.tails(np.linspace(-3, 3, 7))
     assert (np.diff(tails, axis=1) <= 0).all() and (np.diff(tails[:, 0]) > 0).all()
