@@ -26,7 +26,9 @@ from pyspark.sql import DataFrame
 from scanmill.llm.words import pieces
 
 #: Words of results kept in a task; bytes of words in one query; bytes from which a word counts as long.
-KEPT, QUERY_BYTES, LONG = 300_000, 400_000, 64
+KEPT, QUERY_BYTES, LONG = 300_000, 200_000, 64
+#: Bytes of text whose words are held as Python objects at once.
+PIECE = 1 << 20
 
 _FINISH = """
 SELECT w, list(id ORDER BY p) AS ids FROM t WHERE done GROUP BY w ORDER BY w
@@ -153,7 +155,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, find = Coder(sent.value), regex.compile(pattern).findall
-        for batch in pieces(batches):
+        for batch in pieces(batches, most=PIECE):
             found = [find(t or "") for t in batch.column("text").to_pylist()]
             coder.learn({w for words in found for w in words})
             known = coder.known
