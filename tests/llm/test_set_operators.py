@@ -180,6 +180,41 @@ def test_neighbours_recall(spark, monkeypatch, unit):
     assert sum(r[1] for r in got) >= 0.97 * sum(r[1] for r in want)
 
 
+@pytest.mark.parametrize(("noise", "unit"), [(0.24, 2048), (0.1, 500)])
+def test_neighbours_of_a_dense_group_in_deep_trees(spark, monkeypatch, noise, unit):
+    monkeypatch.setattr(rp_forest, "LEAF", 8)
+    monkeypatch.setattr(rp_forest, "UNIT", unit)
+    rng = np.random.default_rng(21)
+    centre, single = rng.normal(size=64), rng.normal(size=(3000, 64))
+    group = centre / np.linalg.norm(centre) + noise * rng.normal(size=(2000, 64)) / 8
+    pairs = np.concatenate([single[:1000], single[:1000] + 0.25 * rng.normal(size=(1000, 64)), single[1000:]])
+    x = np.concatenate([group, pairs]).astype(np.float32)
+    assert 8 < np.log2(len(pairs) / 8) < 10
+    x64 = x / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    want = (x64 @ x64.T >= 0.93).sum(1) - 1
+    rows = [(i, v, 1) for i, v in enumerate(x.tolist())]
+    got = {r["vec_id"]: r for r in rp_forest.neighbours(spark.createDataFrame(rows, VECTORS).repartition(5)).collect()}
+    found = np.array([got[i]["n_links"] for i in range(len(x))])
+    print("links of the group", found[:2000].sum() / want[:2000].sum(), "others", found[2000:].sum() / want[2000:].sum())
+    assert (found <= want).all() and found[:2000].sum() >= 0.999 * want[:2000].sum() and found[2000:].sum() >= 0.95 * want[2000:].sum()
+    assert all(got[i]["component_id"] == 0 for i in range(2000) if want[i] > 20)
+
+
+def test_cells_of_groups_that_overlap_lose_no_link():
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=8) + 0.8 * rng.normal(size=(12, 8))
+    x = np.concatenate([centres[k % 12] + 0.25 * rng.normal(size=8) for k in range(1500)]).reshape(-1, 8)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    groups = rp_forest.Groups.fit(x[:700], 0.93)
+    home, inside = groups.place(x)
+    assert len(groups.centres) > 3 and (home >= 0).any() and (inside.sum(1) > 1).any()
+    i, j = np.nonzero(np.triu(x @ x.T >= 0.93, 1))
+    last = len(groups.centres)
+    first = np.minimum(np.where(home[i] < 0, last, home[i]), np.where(home[j] < 0, last, home[j]))
+    some = first < last
+    assert inside[i[some], first[some]].all() and inside[j[some], first[some]].all()
+
+
 def test_neighbours_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, None, 1), (2, [0.0, 0.0], 1), (3, [nan, 1.0], 1), (4, [inf, 1.0], 1), (5, [1.0, None], 1), (6, [1.0, 2.0], None), (7, [1.0, 2.0], 1), (8, [2.0, 4.0], 1)]
