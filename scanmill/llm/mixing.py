@@ -30,7 +30,10 @@ _WORD = r"[^\x20\x09-\x0D]+"
 
 def fill(lengths: np.ndarray, counts: np.ndarray, budget: int, exact: int = EXACT) -> np.ndarray:
     """How many documents to take of each length, at most `counts`, so that the words come as near below `budget` as found."""
-    take = np.zeros(len(lengths), np.int64)
+    take, worded = np.zeros(len(lengths), np.int64), lengths > 0
+    if not worded.all():  # documents without words fill nothing
+        take[worded] = fill(lengths[worded], counts[worded], budget, exact)
+        return take
     total = int((lengths * counts).sum())
     if budget <= 0 or total == 0:
         return take

@@ -273,6 +273,20 @@ def test_fill_is_exact_where_a_subset_is():
             assert best - got <= 60
 
 
+def test_documents_without_words_beside_others(make):
+    assert mixing.fill(np.array([0, 3, 5]), np.array([4, 2, 2]), 8).tolist() == [0, 1, 1]
+    texts = {"a": [None, "", " \n", *["w " * n for n in (3, 4, 5, 6)]], "b": ["", *["w " * n for n in (2, 5, 7)]], "c": [None, "w w", "w"]}
+    got = mixing.mix(make([(k * 100 + i, t, s) for k, (s, ts) in enumerate(texts.items()) for i, t in enumerate(ts)])).collect()
+    assert len(got) == sum(map(len, texts.values()))
+    for s in texts:
+        rows = [r for r in got if r["source"] == s]
+        whole = int(rows[0]["target"] // rows[0]["source_size"])
+        assert all(r["mix_copies"] == whole for r in rows if r["mix_size"] == 0)
+        assert abs(sum(r["mix_size"] * r["mix_copies"] for r in rows) - rows[0]["target"]) <= 2
+    partial = {r["target"] % r["source_size"] for r in got}
+    assert any(0 < p for p in partial)
+
+
 def test_mix_on_the_table(spark, sf):
     query = queries.QUERIES["op10_source_mix"]
     got = sorted(tuple(r) for r in query(spark, sf).collect())
