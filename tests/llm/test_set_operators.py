@@ -273,6 +273,33 @@ def test_fill_is_exact_where_a_subset_is():
             assert best - got <= 60
 
 
+@pytest.mark.parametrize("lengths,counts,budget,best", [([21_000, 22_000, 23_000], [1, 1, 1], 50_000, 45_000), ([25_000, 30_000], [2, 1], 50_000, 50_000), ([25_000, 33_000], [4, 3], 100_000, 100_000), ([90_000, 100_001], [3, 2], 290_001, 280_001)])
+def test_fill_with_very_long_documents(lengths, counts, budget, best):
+    take = mixing.fill(np.array(lengths), np.array(counts), budget)
+    assert (take <= counts).all() and int((take * lengths).sum()) == best
+
+
+def test_fill_of_long_documents_is_the_best_subset():
+    rng = np.random.default_rng(12)
+    for _ in range(25):
+        lengths = np.sort(rng.choice(np.arange(1_000, 90_000), 5, replace=False))
+        counts = rng.integers(1, 4, 5)
+        budget = int(rng.integers(0, (lengths * counts).sum() + 1))
+        take = mixing.fill(lengths, counts, budget)
+        sums = {sum(k * n for k, n in zip(ks, lengths.tolist(), strict=True)) for ks in itertools.product(*(range(c + 1) for c in counts))}
+        assert (take >= 0).all() and (take <= counts).all() and int((take * lengths).sum()) == max(x for x in sums if x <= budget)
+
+
+def test_equal_rows_are_split(make):
+    rows = [(1, "w " * 10, "a")] * 40 + [(k, "w " * 7, "b") for k in range(2, 42)] + [(99, "w " * 3, None)] * 50
+    mixed = mixing.mix(make(rows).withColumn("_nth", F.lit("mine"))).cache()
+    assert mixed.count() == len(rows)
+    for r in mixed.groupBy("source").agg(F.first("target").alias("t"), F.sum(F.col("mix_size") * F.col("mix_copies")).alias("taken"), F.max("mix_size").alias("size")).collect():
+        assert abs(r["taken"] - r["t"]) <= r["size"]
+    a = {r["mix_copies"] for r in mixed.where("source = 'a'").collect()}
+    assert len(a) == 2
+
+
 def test_documents_without_words_beside_others(make):
     assert mixing.fill(np.array([0, 3, 5]), np.array([4, 2, 2]), 8).tolist() == [0, 1, 1]
     texts = {"a": [None, "", " \n", *["w " * n for n in (3, 4, 5, 6)]], "b": ["", *["w " * n for n in (2, 5, 7)]], "c": [None, "w w", "w"]}
