@@ -3,7 +3,10 @@
 A page is a sequence of text pieces and tags. Words add a weight by the element that holds them, tags subtract one by
 their name and class; one linear scan finds the contiguous run of the largest sum. Weights are log odds of standing inside
 the content, counted on labelled pages: those that mark their content by an article or main element, at most `max_pages`
-of them with the smallest hashes of their ids. Menus, adverts, forms and the like inside the run are left out.
+of them with the smallest hashes of their ids. Menus, adverts, forms and the like inside the run are left out; they are
+known by tag, or by a class, id or role all of whose parts are such words ("cookie-notice", not "no-sidebar"). The page itself,
+article and main are never left out, nor is a header, form or marked element that holds most of the page's words, unless an article, main
+or first heading stands outside it and none inside.
 
 Defined cases: a null or empty page, or one where no run has a positive sum, gives an empty text; unclosed tags and comments end where
 the page ends; without labelled pages every word adds 1 and every tag takes 1; other columns pass through unread.
@@ -36,7 +39,11 @@ _INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i im
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CLOSED_BY = {"p": frozenset("p div ul ol li h1 h2 h3 h4 h5 h6 table section article main aside nav footer header form blockquote pre".split()), "li": frozenset(["li"])}
 _BOILERPLATE_TAGS = frozenset("head title nav aside footer header form button dialog menu".split())
-_BOILERPLATE_KIND = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|nav|navigation|menu|breadcrumbs?|header|footer|sidebar|cookies?|consent|notice|newsletter|subscribe|share|social|related|comments?|respond|popup|modal|search)(?:$|[\s_-])", re.IGNORECASE)
+_BOILERPLATE_WORD = r"(?:ad|ads|advert\w*?|banner|sponsor\w*?|promo\w*?|nav|navigation|menu|breadcrumbs?|header|footer|sidebar|cookies?|consent|notice|newsletter|subscribe|share|social|related|comments?|respond|popup|modal|search)"
+_BOILERPLATE_KIND = re.compile(rf"(?:^|\s){_BOILERPLATE_WORD}(?:[_-]+{_BOILERPLATE_WORD})*(?:$|\s)", re.IGNORECASE)
+_NEVER = frozenset(["html", "body", "main", "article"])
+#: What can stand round a whole page: a form or header, and any element marked only by its class, id or role.
+_WRAPS = frozenset(["form", "header"])
 
 
 @dataclass
@@ -52,13 +59,17 @@ class Item:
 
 def items(page: str) -> list[Item]:
     out: list[Item] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, name with class, boilerplate, marked
+    stack: list[tuple[str, str, int, bool]] = [("", "", 0, False)]  # tag, name with class, element, marked; the first is the page
+    elements = [_Element(0, False, False)]
+    of: list[int] = []  # the element that decides about each item
     at = 0
 
     def text(piece: str) -> None:
         if piece and not piece.isspace():
-            holder = next((x for x in reversed(stack) if x[0] not in _INLINE or x[0] == "a"), ("", "", False, False))
-            out.append(Item(holder[1], piece, bool(stack) and stack[-1][2], bool(stack) and stack[-1][3]))
+            holder = next(x for x in reversed(stack) if x[0] not in _INLINE or x[0] == "a")
+            out.append(Item(holder[1], piece, False, stack[-1][3]))
+            of.append(stack[-1][2])
+            elements[stack[-1][2]].words += len(piece.split())
 
     for m in _TOKEN.finditer(page):
         text(page[at : m.start()])
@@ -67,29 +78,58 @@ def items(page: str) -> list[Item]:
         if tag is None:
             continue
         tag = tag.lower()
-        top = stack[-1] if stack else ("", "", False, False)
+        top = stack[-1]
         if m["close"]:
-            found = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
+            found = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), None)
             name = stack[found][1] if found is not None else tag
-            out.append(Item("/" + name, None, top[2], top[3], tag not in _INLINE))
+            out.append(Item("/" + name, None, False, top[3], tag not in _INLINE))
+            of.append(top[2])
             if found is not None:
                 del stack[found:]
             continue
-        while stack and tag in _CLOSED_BY.get(_open_block(stack), ()):
+        while tag in _CLOSED_BY.get(_open_block(stack), ()):
             del stack[max(k for k in range(len(stack)) if stack[k][0] not in _INLINE) :]
-        top = stack[-1] if stack else ("", "", False, False)
+        top = stack[-1]
         kind = " ".join(next(filter(None, g), "") for g in _KIND.findall(m["attrs"]))
         name = f"{tag}.{kind.lower().strip()}" if kind.strip() else tag
-        bad = top[2] or tag in _BOILERPLATE_TAGS or bool(_BOILERPLATE_KIND.search(kind))
+        bad = tag not in _NEVER and (tag in _BOILERPLATE_TAGS or bool(_BOILERPLATE_KIND.search(kind)))
         good = top[3] or tag in ("article", "main")
-        out.append(Item(name, None, bad, good, tag not in _INLINE))
+        own = len(elements)
+        elements.append(_Element(top[2], bad, tag in _WRAPS or tag not in _BOILERPLATE_TAGS, int(tag in ("article", "main", "h1"))))
+        out.append(Item(name, None, False, good, tag not in _INLINE))
+        of.append(own)
         if tag not in _VOID and not m["attrs"].endswith("/"):
-            stack.append((tag, name, bad, good))
+            stack.append((tag, name, own, good))
     text(page[at:])
+    left_out = _left_out(elements)
+    for item, e in zip(out, of, strict=True):
+        item.boilerplate = left_out[e]
     return out
 
 
-def _open_block(stack: list[tuple[str, str, bool, bool]]) -> str:
+@dataclass
+class _Element:
+    """Counts are of the element itself, then of all it holds."""
+
+    parent: int
+    bad: bool
+    wraps: bool
+    marks: int = 0  # article, main and h1
+    words: int = 0
+
+
+def _left_out(elements: list[_Element]) -> list[bool]:
+    for e in elements[:0:-1]:
+        elements[e.parent].words += e.words
+        elements[e.parent].marks += e.marks
+    page, out = elements[0], [False]
+    for e in elements[1:]:
+        whole = e.wraps and 2 * e.words > page.words and (e.marks > 0 or page.marks == 0)
+        out.append(out[e.parent] or e.bad and not whole)
+    return out
+
+
+def _open_block(stack: list[tuple[str, str, int, bool]]) -> str:
     return next((x[0] for x in reversed(stack) if x[0] not in _INLINE), "")
 
 

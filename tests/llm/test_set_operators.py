@@ -364,6 +364,31 @@ def test_boilerplate_and_blocks():
     assert text.split("\n")[-6:] == want
 
 
+BODY = "<p>First words of the text here.</p><p>More words follow in this one.</p>"
+TEXT = "First words of the text here.\nMore words follow in this one."
+
+
+@pytest.mark.parametrize("kind", ["no-sidebar", "has-sidebar", "content with-nav", "post header-image", "search-results", "not-ad", "main_no_comments"])
+def test_classes_that_only_hold_a_boilerplate_word(kind):
+    for page in (f'<html><body class="{kind}">{BODY}</body></html>', f'<div class="{kind}">{BODY}</div><div>Other words that stand outside, as many as there are inside, or some more of them</div>'):
+        assert main_text.extract(page, main_text.Weights({}, {"body": -0.1})).startswith(TEXT)
+
+
+@pytest.mark.parametrize("tag", ["body", "article", "main", "html"])
+def test_page_elements_are_never_boilerplate(tag):
+    assert main_text.extract(f'<{tag} class="header search">{BODY}</{tag}>', main_text.Weights()) == TEXT
+
+
+def test_wrappers_of_the_whole_page():
+    nav = "<nav>Home and more</nav>"
+    for start, end in (("<form>", "</form>"), ('<div class="modal">', "</div>"), ("<header>", "</header>")):
+        assert main_text.extract(f"<body>{start}{nav}<h1>Head</h1>{BODY}<footer>Foot of it</footer>{end}</body>", main_text.Weights()).replace("\nHead", "Head").endswith(TEXT)
+        assert "Home" not in main_text.extract(f"<body>{start}{nav}{BODY}{end}</body>", main_text.Weights())
+    for more in ('<section class="comments">', '<div class="ad-banner">', "<form>", "<nav>", '<div id="cookie_notice" class="x">'):
+        page = f"<article>{BODY}</article>{more}{'<p>many other words that are no text</p>' * 9}</{more[1:].split()[0].strip('>')}>"
+        assert main_text.extract(page, main_text.Weights()) == TEXT
+
+
 def test_best_run_is_the_maximum():
     rng = np.random.default_rng(3)
     for _ in range(200):
