@@ -242,12 +242,17 @@ def _apart(spans: list[Span]) -> list[Span]:
 
 
 def train(docs: DataFrame, max_texts: int = 300) -> dict[str, float]:
-    """Weights from at most `max_texts` texts that hold an at sign or eight digits close together, those with the smallest hashes."""
-    likely = docs.select("text").where(F.col("text").rlike(r"@|[0-9](?:[ ().-]{0,2}[0-9]){7}"))
+    """Weights from at most `max_texts` different texts that hold an at sign or eight digits close together, those with the smallest hashes.
+
+    Of each text the first 20 places with their neighbours are used, and at most 400 characters of a place.
+    """
+    likely = docs.select("text").where(F.col("text").rlike(r"@|[0-9](?:[ ().-]{0,2}[0-9]){7}")).withColumn("h", F.xxhash64("text"))
     near = F.transform(
         F.regexp_extract_all("text", F.lit(r"((?:\S{1,40}\s){0,3}\S{0,80}[@0-9]\S{0,80}(?: \S{0,80}[@0-9]\S{0,80}){0,6}(?:\s\S{1,40}){0,2})"), 1), lambda x: F.substring(x, 1, 400)
     )
-    rows = likely.select(F.array_join(F.slice(near, 1, 20), "\n").alias("text"), F.xxhash64("text").alias("h")).orderBy("h", "text").limit(max_texts).collect()
+    chosen = F.broadcast(likely.select("h").distinct().orderBy("h").limit(max_texts))  # at most max_texts hashes
+    places = likely.join(chosen, "h", "left_semi").select("h", F.array_join(F.slice(near, 1, 20), "\n").alias("text")).distinct()
+    rows = places.orderBy("h", "text").collect()
     return fit(examples_of([r["text"] for r in rows]))
 
 

@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from scanmill.llm import byte_bpe, gru_lm, ordinal, pii, piece_counts, queries, rules
 
@@ -95,6 +96,17 @@ def test_decoding_is_the_best_segmentation():
         assert math.isclose(got, best(len(lattice.bounds) - 1), abs_tol=1e-9)
 
 
+def test_pii_sample_is_of_different_texts(spark, make, monkeypatch):
+    seen = []
+    monkeypatch.setattr(pii, "examples_of", lambda texts: seen.extend(texts) or [])
+    monkeypatch.setattr(pii, "fit", lambda examples: {})
+    texts = [f"write to name{i}@mail.example or call 555 123 {4000 + i}" for i in range(6)]
+    hashes = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(F.xxhash64("t")).collect()]
+    hot = texts[hashes.index(min(hashes))]
+    pii.train(make([(i, t, "a") for i, t in enumerate([hot] * 10 + texts)]), 4)
+    assert len(seen) == len(set(seen)) == 4
+
+
 def test_pii_odd_rows(odd, empty):
     assert pii.find(odd).count() == odd.count()
     assert pii.find(empty).count() == 0
