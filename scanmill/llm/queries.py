@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanmill.llm import byte_bpe, gru_lm, jaccard_join, main_text, mixing, ordinal, pii, piece_counts, rp_forest, rules
+from scanmill.llm import byte_bpe, divergence, filter_audit, gru_lm, jaccard_join, main_text, mixing, ordinal, packing, pii, piece_counts, rp_forest, rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,6 +73,83 @@ links AS (
 SELECT doc_id, len(s) AS n_shingles, least(doc_id, low.other) AS component_id FROM s LEFT JOIN low ON doc_id = node
 """
 
+OP11_SQL = """
+WITH
+docs AS (SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+words AS (
+    SELECT d, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x60\x7B-\x7F]+')) AS term
+    FROM docs
+),
+kept AS (SELECT lang, term, count(*)::HUGEINT AS total FROM words GROUP BY lang, term HAVING count(DISTINCT d) >= 3),
+counts AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM words JOIN kept USING (lang, term) GROUP BY ALL),
+langs AS (SELECT lang, coalesce(sum(total), 0) AS n, count(term) AS v FROM (SELECT DISTINCT lang FROM docs) LEFT JOIN kept USING (lang) GROUP BY lang),
+sources AS (SELECT lang, source, coalesce(sum(n), 0) AS n FROM (SELECT DISTINCT lang, source FROM docs) LEFT JOIN counts USING (lang, source) GROUP BY ALL),
+grid AS (
+    SELECT lang, s.source, term, coalesce(c.n, 0) AS n, 1 + 1000000000 * (coalesce(c.n, 0) + 1) // (s.n + l.v)::HUGEINT AS p
+    FROM sources s JOIN langs l USING (lang) JOIN kept USING (lang) LEFT JOIN counts c USING (lang, source, term)
+),
+pairs AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item,
+        coalesce((SELECT sum((x.p - y.p) * (x.p - y.p) // y.p) FROM grid x JOIN grid y USING (lang, term) WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0) AS value
+    FROM sources a JOIN sources b ON a.lang = b.lang AND a.source <> b.source
+),
+terms AS (
+    SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value
+    FROM (SELECT grid.lang, source, term, grid.n, p, 1 + 1000000000 * (total + 1) // (langs.n + v)::HUGEINT AS q FROM grid JOIN kept USING (lang, term) JOIN langs USING (lang))
+    WHERE n > 0 AND p > q
+),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank
+    FROM (SELECT lang, source, part, item, value::BIGINT AS value FROM pairs UNION ALL SELECT lang, source, part, item, value::BIGINT FROM terms)
+)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+OP12_SQL = """
+WITH
+flags AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+w AS (
+    SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+        list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+    FROM documents
+),
+fails AS (
+    SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+        (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+        + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT
+        + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS mask
+    FROM w LEFT JOIN flags USING (doc_id)
+),
+masks AS (
+    SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM fails GROUP BY part, mask
+),
+f(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders AS (
+    SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+    FROM f a JOIN f b ON b.bit <> a.bit JOIN f c ON c.bit NOT IN (a.bit, b.bit) JOIN f d ON d.bit NOT IN (a.bit, b.bit, c.bit)
+        JOIN f e ON e.bit NOT IN (a.bit, b.bit, c.bit, d.bit)
+),
+steps AS (
+    SELECT filter_order, step::INT AS step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS before
+    FROM orders, range(1, 6) r(step)
+),
+rows AS (
+    SELECT part, filter_order, step, bit,
+        sum(n) FILTER (mask & (before | bit) = 0) AS kept,
+        sum(n) FILTER (mask & before = 0 AND mask & bit <> 0) AS removed,
+        sum(n) FILTER (mask & before <> 0 AND mask & bit <> 0) AS redundant,
+        sum(n) FILTER (mask = bit) AS unique_fails,
+        sum(good) FILTER (mask & before = 0 AND mask & bit <> 0) AS good_lost,
+        sum(toxic) FILTER (mask & before = 0 AND mask & bit <> 0) AS toxic_lost
+    FROM steps, masks GROUP BY part, filter_order, step, bit
+),
+filled AS (SELECT part, filter_order, step, bit, coalesce(removed, 0) AS removed, coalesce(kept, 0) AS kept, coalesce(redundant, 0) AS redundant,
+    coalesce(unique_fails, 0) AS unique_fails, coalesce(good_lost, 0) AS good_lost, coalesce(toxic_lost, 0) AS toxic_lost FROM rows)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+    good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM filled
+"""
+
 
 @query("op10_source_mix")
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,3 +209,18 @@ def op1_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"))
+
+
+@query("op11_source_divergence", OP11_SQL)
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@query("op12_filter_interactions", OP12_SQL)
+def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op13_best_fit_packing")
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

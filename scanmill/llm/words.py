@@ -61,3 +61,12 @@ def hashes(words: pa.Array) -> np.ndarray:
 
     digest = xxhash.xxh3_64_intdigest
     return np.fromiter((digest(w) for w in words.cast(pa.large_binary()).to_pylist()), np.uint64, len(words))
+
+
+def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all texts, where each text starts and the last one ends); a null text has none."""
+    texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
+    _, offsets, data = texts.buffers()
+    start = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(data, np.uint8)[start[0] : start[-1]] if data is not None and len(texts) else np.zeros(0, np.uint8)
+    return data, start - start[0]
