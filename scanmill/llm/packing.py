@@ -32,7 +32,7 @@ from scanmill.llm.words import pieces, split
 from scanmill.session import stored
 
 #: Bytes of remembered words in a Python worker; the memory starts afresh beyond.
-KEPT_BYTES = 64 << 20
+KEPT_BYTES = 160 << 20
 #: A word of Latin letters between ASCII punctuation without apostrophes: lower-casing and splitting it need no tables.
 _PLAIN = regex.compile(r"([!-&(-/:-@\[-`{-~]*)([A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF]+)([!-&(-/:-@\[-`{-~]*)")
 
@@ -68,6 +68,13 @@ class WordCoder:
             self._keep(core, found)
         return found
 
+    def _marks(self, run: str) -> bytes:
+        found = self.known.get(run)
+        if found is None:
+            found = self._whole(run)
+            self._keep(run, found)
+        return found
+
     def _keep(self, word: str, ids: bytes) -> None:
         self.known[word] = ids
         self.size += 200 + 2 * len(word) + len(ids)
@@ -89,9 +96,9 @@ class WordCoder:
                     before, core, after = m.groups()
                     ids = self._letters(core.lower())
                     if before:
-                        ids = self.encode([before])[0] + ids
+                        ids = self._marks(before) + ids
                     if after:
-                        ids += self.encode([after])[0]
+                        ids += self._marks(after)
                 self._keep(w, ids)
             out.append(ids)
         return out
