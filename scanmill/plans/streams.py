@@ -20,6 +20,8 @@ from scanmill.streaming.runner import run_append, run_update, shared_folder, str
 
 # Append results are final once the watermark, ten minutes behind the newest event, passes the window end.
 FINAL = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
+# A second is decided when the watermark has passed its end.
+SECOND_FINAL = f"date_trunc('second', ts)::TIMESTAMP + INTERVAL 1 SECOND <= {FINAL}"
 MINUTE = "date_trunc('minute', ts)::TIMESTAMP"
 
 
@@ -72,7 +74,7 @@ def stream_frames(spark, d):
 @query("stream_quality_history", f"""WITH {T.SCAN_SQL} SELECT CAST(user_id AS VARCHAR) AS key, count(*) AS kept, CAST(sum(CAST(round(quality_score * 100) AS BIGINT)) AS BIGINT) AS hundredths
 FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY id DESC) AS rn FROM scan_history) WHERE rn <= 50 GROUP BY 1""")
 def stream_quality_history(spark, d):
-    return run_update(St.quality_history(scan_stream(spark, d), "user_id", "quality_score", "id", keep=50), ["key"])
+    return run_update(St.quality_history(timed(scan_stream(spark, d)), "user_id", "quality_score", "id", "ts", keep=50), ["key"])
 
 
 def _limits_sql(unit: str, limit: int) -> str:
@@ -102,7 +104,7 @@ def identifier_priority(spark, d):
 
 
 @query("rate_limiter_stream", f"""WITH RECURSIVE s AS (SELECT CAST(user_id AS VARCHAR) AS key, CAST(floor(epoch(ts)) AS BIGINT) AS second, count(*) AS n,
-    row_number() OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch(ts)) AS BIGINT)) AS i FROM events GROUP BY user_id, CAST(floor(epoch(ts)) AS BIGINT)),
+    row_number() OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch(ts)) AS BIGINT)) AS i FROM events WHERE {SECOND_FINAL} GROUP BY user_id, CAST(floor(epoch(ts)) AS BIGINT)),
 r AS (SELECT key, second, i, least(n, 3) AS admitted, n - least(n, 3) AS denied, [{{'s': second, 'c': least(n, 3)}}] AS st FROM s WHERE i = 1
   UNION ALL SELECT key, second, i, take, n - take, CASE WHEN take > 0 THEN list_append(kept, {{'s': second, 'c': take}}) ELSE kept END FROM (
     SELECT s.key, s.second, s.i, s.n, list_filter(r.st, lambda x: x.s > s.second - 86400) AS kept,
@@ -111,10 +113,10 @@ r AS (SELECT key, second, i, least(n, 3) AS admitted, n - least(n, 3) AS denied,
 SELECT key, second, admitted, denied FROM r""")
 def rate_limiter_stream(spark, d):
     """Three requests a day per user, so that the test events meet the limit."""
-    return run_append(St.rate_limiter(scan_stream(spark, d), "user_id", "ts", limit=3, window=86400))
+    return run_append(St.rate_limiter(timed(scan_stream(spark, d)), "user_id", "ts", limit=3, window=86400))
 
 
-@query("lockout_stream", f"""WITH RECURSIVE s AS (SELECT CAST(user_id AS VARCHAR) AS key, CAST(floor(epoch(ts)) AS BIGINT) AS second, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY user_id, 2),
+@query("lockout_stream", f"""WITH RECURSIVE s AS (SELECT CAST(user_id AS VARCHAR) AS key, CAST(floor(epoch(ts)) AS BIGINT) AS second, count(*) AS n FROM events WHERE event_type = 'error' AND {SECOND_FINAL} GROUP BY user_id, 2),
 c AS (SELECT key, second, CAST(sum(n) OVER (PARTITION BY key ORDER BY second RANGE BETWEEN 86399 PRECEDING AND CURRENT ROW) AS BIGINT) AS failures FROM s),
 hot AS (SELECT * FROM c WHERE failures >= 2),
 r AS (SELECT key, second AS locked_at, failures FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY second) AS i FROM hot) WHERE i = 1
@@ -123,8 +125,8 @@ r AS (SELECT key, second AS locked_at, failures FROM (SELECT *, row_number() OVE
 SELECT key, locked_at, locked_at + 86400 AS locked_until, failures FROM r""")
 def lockout_stream(spark, d):
     """Two failures within a day, so that the test events meet the limit."""
-    bad = scan_stream(spark, d).filter("document_type = 'error'")
-    return run_append(St.lockouts(bad, "user_id", "ts", limit=2, window=86400))
+    bad = F.col("document_type") == "error"
+    return run_append(St.lockouts(timed(scan_stream(spark, d)), "user_id", "ts", limit=2, window=86400, failed=bad))
 
 
 @query("idempotent_events", """WITH RECURSIVE e AS (SELECT DISTINCT user_id, event_type AS document_type, CAST(epoch_us(ts) AS BIGINT) AS t FROM events),
@@ -186,7 +188,7 @@ def alert_latency_quantile(spark, d):
     return A.histogram_quantile(h, 0.95, ["window_start", "window_end"]).filter("quantile > 60")
 
 
-@query("breaker_state", f"""WITH {T.API_SQL}, s AS (SELECT endpoint, CAST(floor(epoch(ts)) AS BIGINT) AS second, count(*) FILTER (status_code >= 400) AS bad, count(*) FILTER (status_code < 400) AS good FROM api_requests GROUP BY 1, 2),
+@query("breaker_state", f"""WITH {T.API_SQL}, s AS (SELECT endpoint, CAST(floor(epoch(ts)) AS BIGINT) AS second, count(*) FILTER (status_code >= 400) AS bad, count(*) FILTER (status_code < 400) AS good FROM api_requests WHERE {SECOND_FINAL} GROUP BY 1, 2),
 o AS (SELECT *, coalesce(sum(CASE WHEN good > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY endpoint ORDER BY second ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM s),
 c AS (SELECT *, sum(bad) OVER (PARTITION BY endpoint, run ORDER BY second ROWS UNBOUNDED PRECEDING) AS streak, max(CASE WHEN good > 0 THEN second END) OVER (PARTITION BY endpoint, run) AS ok_at,
   max(CASE WHEN bad > 0 THEN second END) OVER (PARTITION BY endpoint, run ORDER BY second ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_bad FROM o),
@@ -197,7 +199,7 @@ t AS (SELECT DISTINCT endpoint, open_at AS second, 'open' AS state FROM b WHERE
   UNION ALL SELECT endpoint, second, 'open' FROM b WHERE open_at IS NOT NULL AND second > open_at AND second - prev_bad >= 60 AND bad > 0)
 SELECT endpoint AS key, CAST(second AS BIGINT) AS second, state FROM t""")
 def breaker_state(spark, d):
-    return run_append(St.breaker_transitions(api_stream(spark, d), "endpoint", "ts", "status_code >= 400", threshold=2, recovery=60))
+    return run_append(St.breaker_transitions(timed(api_stream(spark, d)), "endpoint", "ts", "status_code >= 400", threshold=2, recovery=60))
 
 
 @query("webhook_dispatch", """WITH e AS (SELECT event_id, ts, user_id, event_type, event_id % 4 + 1 AS attempt FROM events),

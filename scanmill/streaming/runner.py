@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,29 +32,45 @@ def timed(df: DataFrame, ts: str = "ts", delay: str = "10 minutes") -> DataFrame
     return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
 
 
-def run_append(df: DataFrame) -> DataFrame:
-    """Append results of everything available now."""
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextlib.contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """State on disk, with changes only in the checkpoint: a stream takes the store that is set when it starts."""
+    before = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(_PROVIDER, before)
+
+
+def run_append(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """Append results of everything available now; ``folder`` (a new one by default) holds them and, in ``_state``, the state."""
     spark = df.sparkSession
-    out = shared_folder(spark)
-    q = (
-        df.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{out}/_state")
-        .trigger(availableNow=True).start(f"{out}/rows")
-    )
-    q.awaitTermination()
+    out = folder or shared_folder(spark)
+    with rocksdb(spark):
+        q = (
+            df.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{out}/_state")
+            .trigger(availableNow=True).start(f"{out}/rows")
+        )
+        q.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{out}/rows")
 
 
-def run_update(df: DataFrame, keys: list[str]) -> DataFrame:
+def run_update(df: DataFrame, keys: list[str], folder: str | None = None) -> DataFrame:
     """Latest update of each key after everything available now: batches are written, the newest row per key wins."""
     spark = df.sparkSession
-    out = shared_folder(spark)
+    out = folder or shared_folder(spark)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         # Overwriting the batch's own folder makes a retried batch harmless.
         batch.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/rows/b={batch_id}")
 
-    q = df.writeStream.outputMode("update").option("checkpointLocation", f"{out}/_state").foreachBatch(write).trigger(availableNow=True).start()
-    q.awaitTermination()
+    with rocksdb(spark):
+        q = df.writeStream.outputMode("update").option("checkpointLocation", f"{out}/_state").foreachBatch(write).trigger(availableNow=True).start()
+        q.awaitTermination()
     rows = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("_batch", T.IntegerType())])).option("recursiveFileLookup", "true").parquet(f"{out}/rows")
     values = [c for c in df.columns if c not in keys]
     best = F.max_by(F.struct(*values), F.col("_batch")).alias("_v")

@@ -1,137 +1,190 @@
 """Operators that need state beyond a window: rate limiter, lockout, breaker, value cache, quality history.
 
-Decisions of these operators depend on earlier decisions for the same key. Each receives its rows
-already combined per (key, second) inside every input task, so a hot key sends seconds, not events,
-and keeps a small bounded state.
+Decisions of these operators depend on earlier decisions for the same key, so they follow event time and not arrival. Rows
+are combined per (key, second) inside every input task, so a hot key sends seconds, not events. A second waits in list state
+until the watermark has passed it; then an event-time timer decides it, once, however many files or batches it was spread
+over. What a key remembers is a value of bounded size with a time after which it means nothing; a timer at that time
+removes it, so idle keys hold no state. The input needs a watermark; rows later than that are dropped and counted by Spark.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 
-def combine_seconds(df: DataFrame, key: str, ts: str) -> DataFrame:
-    """(key, second, n) with events counted inside each task before the shuffle."""
-    narrow = df.select(F.col(key).cast("string").alias("key"), F.unix_seconds(F.col(ts).cast("timestamp")).alias("second"))
+def combine_seconds(df: DataFrame, key: str, ts: str, **counts: Column) -> DataFrame:
+    """(key, ts, second, counts...) summed inside each task before the shuffle; ts is the second's latest and keeps the watermark."""
+    second = F.unix_seconds(F.col(ts).cast("timestamp")).alias("second")
+    narrow = df.select(F.col(key).cast("string").alias("key"), ts, second, *(c.cast("bigint").alias(n) for n, c in counts.items()))
+    how, names = {ts: "max", **dict.fromkeys(counts, "sum")}, narrow.columns
 
     def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.groupby(["key", "second"], as_index=False).size().rename(columns={"size": "n"})
+            yield b.groupby(["key", "second"], as_index=False).agg(how)[names]
 
-    return narrow.mapInPandas(combine, "key string, second bigint, n bigint")
+    return narrow.mapInPandas(combine, narrow.schema)
 
 
-def per_second(batches: Iterator[pd.DataFrame]) -> list[tuple[int, int]]:
-    """Ordered (second, events) of one key in one micro-batch."""
-    parts = [b.groupby("second")["n"].sum() for b in batches]
-    if not parts:
-        return []
-    s = pd.concat(parts).groupby(level=0).sum().sort_index()
-    return [(int(k), int(v)) for k, v in s.items()]
+class BySecond(StatefulProcessor):
+    """Decides the seconds of a key in event time, each when the watermark has passed it.
+
+    Subclasses give `memory` (the schema of what a key remembers), `start`, `columns` of the output, and the two rules:
+    `decide` takes what is remembered and a second's counts, `ends` says from which second on the memory is as good as none.
+    """
+
+    memory: str
+    start: tuple
+    columns: Sequence[str]
+
+    def __init__(self, counts: Sequence[str]) -> None:
+        self.counts = list(counts)
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", ", ".join(f"{c} bigint" for c in ("second", *self.counts)))
+        self.kept = handle.getValueState("kept", self.memory)
+
+    def decide(self, memory: tuple, second: int, *counts: int) -> tuple[tuple, list[tuple]]:
+        raise NotImplementedError
+
+    def ends(self, memory: tuple) -> int:
+        raise NotImplementedError
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        seconds = pd.concat([b.groupby("second")[self.counts].sum() for b in rows]).groupby(level=0).sum()
+        self.waiting.appendList([tuple(int(x) for x in r) for r in seconds.itertuples()])
+        self.handle.registerTimer((int(seconds.index.min()) + 1) * 1000)
+        yield pd.DataFrame([], columns=["key", *self.columns])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        seconds: dict[int, list[int]] = {}
+        for second, *counts in self.waiting.get():
+            seconds[second] = [a + b for a, b in zip(seconds.get(second, [0] * len(counts)), counts, strict=True)]
+        memory = tuple(self.kept.get()) if self.kept.exists() else self.start
+        final = sorted(s for s in seconds if (s + 1) * 1000 <= now)
+        rows = []
+        for s in final:
+            memory, out = self.decide(memory, s, *seconds.pop(s))
+            rows += out
+        if final:
+            self.waiting.clear()
+            if seconds:
+                self.waiting.put([(s, *c) for s, c in sorted(seconds.items())])
+        end = self.ends(memory) * 1000
+        if end <= now:
+            self.kept.clear()
+        else:
+            if final:
+                self.kept.update(memory)
+            self.handle.registerTimer(end)
+        if seconds:
+            self.handle.registerTimer((min(seconds) + 1) * 1000)
+        yield pd.DataFrame([(key[0], *r) for r in rows], columns=["key", *self.columns])
+
+    def close(self) -> None:
+        pass
+
+
+def by_second(combined: DataFrame, processor: BySecond, schema: str) -> DataFrame:
+    return combined.groupBy("key").transformWithStateInPandas(processor, f"key string, {schema}", "Append", "EventTime")
+
+
+class _Limiter(BySecond):
+    memory, start, columns = "s array<bigint>, c array<bigint>", ([], []), ("second", "admitted", "denied")
+
+    def __init__(self, limit: int, window: int) -> None:
+        super().__init__(["n"])
+        self.limit, self.window = limit, window
+
+    def decide(self, memory, second, n):
+        admitted = [(s, c) for s, c in zip(*memory, strict=True) if s > second - self.window]
+        take = min(n, max(0, self.limit - sum(c for _, c in admitted)))
+        if take:  # at most `limit` entries: there is one only where something was admitted
+            admitted.append((second, take))
+        return ([s for s, _ in admitted], [c for _, c in admitted]), [(second, take, n - take)]
+
+    def ends(self, memory):
+        return max(memory[0], default=-self.window) + self.window
 
 
 def rate_limiter(df: DataFrame, key: str, ts: str, limit: int, window: int) -> DataFrame:
     """Admitted and denied requests per key and second; denied requests do not count against the window."""
+    return by_second(combine_seconds(df, key, ts, n=F.lit(1)), _Limiter(limit, window), "second bigint, admitted bigint, denied bigint")
 
-    def step(k, batches, state):
-        admitted = [tuple(x) for x in (zip(*state.get) if state.exists else [])]
-        rows = []
-        for sec, n in per_second(batches):
-            admitted = [(s, c) for s, c in admitted if s > sec - window]
-            take = min(n, max(0, limit - sum(c for _, c in admitted)))
-            if take:
-                admitted.append((sec, take))
-            rows.append((k[0], sec, take, n - take))
-        # At most ``limit`` entries: an entry exists only where something was admitted.
-        state.update(([s for s, _ in admitted], [c for _, c in admitted]))
-        yield pd.DataFrame(rows, columns=["key", "second", "admitted", "denied"])
 
-    return (
-        combine_seconds(df, key, ts)
-        .groupBy("key")
-        .applyInPandasWithState(
-            step, "key string, second bigint, admitted bigint, denied bigint", "s array<bigint>, c array<bigint>", "append",
-            GroupStateTimeout.NoTimeout,
-        )
-    )
+class _Lockout(BySecond):
+    memory, start, columns = "s array<bigint>, c array<bigint>, u bigint", ([], [], -1), ("locked_at", "locked_until", "failures")
 
+    def __init__(self, limit: int, window: int) -> None:
+        super().__init__(["n"])
+        self.limit, self.window = limit, window
 
-def lockouts(failures: DataFrame, key: str, ts: str, limit: int = 5, window: int = 900) -> DataFrame:
-    """Seconds at which a key with ``limit`` failures in the window becomes locked; a lock lasts one window."""
+    def decide(self, memory, second, n):
+        recent = [(s, c) for s, c in zip(*memory[:2], strict=True) if s > second - self.window] + ([(second, n)] if n else [])
+        until, rows, total = memory[2], [], sum(c for _, c in recent)
+        if n and total >= self.limit and second >= until:
+            until = second + self.window
+            rows.append((second, until, total))
+        return ([s for s, _ in recent], [c for _, c in recent], until), rows
 
-    def step(k, batches, state):
-        recent, until = ([tuple(x) for x in zip(*state.get[:2])], state.get[2]) if state.exists else ([], -1)
-        rows = []
-        for sec, n in per_second(batches):
-            recent = [(s, c) for s, c in recent if s > sec - window] + [(sec, n)]
-            total = sum(c for _, c in recent)
-            if total >= limit and sec >= until:
-                until = sec + window
-                rows.append((k[0], sec, until, total))
-        state.update(([s for s, _ in recent], [c for _, c in recent], until))
-        yield pd.DataFrame(rows, columns=["key", "locked_at", "locked_until", "failures"])
-
-    return (
-        combine_seconds(failures, key, ts)
-        .groupBy("key")
-        .applyInPandasWithState(
-            step, "key string, locked_at bigint, locked_until bigint, failures bigint", "s array<bigint>, c array<bigint>, u bigint", "append",
-            GroupStateTimeout.NoTimeout,
-        )
-    )
+    def ends(self, memory):
+        return max([memory[2], *(s + self.window for s in memory[0])])
 
 
-def breaker_transitions(df: DataFrame, key: str, ts: str, failed: str, threshold: int = 5, recovery: int = 60) -> DataFrame:
-    """State changes of a circuit breaker per service, at second granularity.
+def lockouts(attempts: DataFrame, key: str, ts: str, failed: Column, limit: int = 5, window: int = 900) -> DataFrame:
+    """Seconds at which a key with ``limit`` failures in the window becomes locked; a lock lasts one window.
 
-    Outcomes are combined per second inside each task; within one second failures count first, then
-    a success resets. Open at the threshold, half-open once the recovery time has passed since the
-    last failure, closed by a success.
+    All attempts move the watermark, so a lock is known without waiting for further failures; a filter in front would not.
     """
-    narrow = df.select(
-        F.col(key).cast("string").alias("key"), F.unix_seconds(F.col(ts).cast("timestamp")).alias("second"),
-        F.expr(f"int({failed})").cast("bigint").alias("bad"), F.expr(f"int(NOT ({failed}))").cast("bigint").alias("good"),
-    )
+    return by_second(combine_seconds(attempts, key, ts, n=F.when(failed, 1).otherwise(0)), _Lockout(limit, window), "locked_at bigint, locked_until bigint, failures bigint")
 
-    def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.groupby(["key", "second"], as_index=False).sum()
 
-    def step(k, batches, state):
-        mode, count, last = state.get if state.exists else ("closed", 0, -1)
-        parts = [b.groupby("second")[["bad", "good"]].sum() for b in batches]
-        secs = pd.concat(parts).groupby(level=0).sum().sort_index() if parts else pd.DataFrame(columns=["bad", "good"])
+class _Breaker(BySecond):
+    memory, start, columns = "mode string, count bigint, last bigint, seen bigint", ("closed", 0, -1, -1), ("second", "state")
+
+    def __init__(self, threshold: int, recovery: int, forget: int) -> None:
+        super().__init__(["bad", "good"])
+        self.threshold, self.recovery, self.forget = threshold, recovery, forget
+
+    def decide(self, memory, second, bad, good):
+        mode, count, last, _ = memory
         rows = []
-        for sec, bad, good in secs.itertuples():
-            sec = int(sec)
-            if mode == "open" and sec - last >= recovery:
-                mode = "half_open"
-                rows.append((k[0], last + recovery, mode))
-            if bad:
-                count, last = count + int(bad), sec
-                if count >= threshold and mode != "open":
-                    mode = "open"
-                    rows.append((k[0], sec, mode))
-            if good:
-                count = 0
-                if mode != "closed":
-                    mode = "closed"
-                    rows.append((k[0], sec, mode))
-        state.update((mode, count, last))
-        yield pd.DataFrame(rows, columns=["key", "second", "state"])
+        if mode == "open" and second - last >= self.recovery:
+            mode = "half_open"
+            rows.append((last + self.recovery, mode))
+        if bad:
+            count, last = count + bad, second
+            if count >= self.threshold and mode != "open":
+                mode = "open"
+                rows.append((second, mode))
+        if good:
+            count = 0
+            if mode != "closed":
+                mode = "closed"
+                rows.append((second, mode))
+        return (mode, count, last, second), rows
+
+    def ends(self, memory):
+        mode, count, _, seen = memory
+        return -1 if mode == "closed" and not count else seen + self.forget
+
+
+def breaker_transitions(df: DataFrame, key: str, ts: str, failed: str, threshold: int = 5, recovery: int = 60, forget: int = 7 * 86400) -> DataFrame:
+    """State changes of a circuit breaker per service, at second granularity.
 
-    return (
-        narrow.mapInPandas(combine, "key string, second bigint, bad bigint, good bigint")
-        .groupBy("key")
-        .applyInPandasWithState(
-            step, "key string, second bigint, state string", "mode string, count bigint, last bigint", "append", GroupStateTimeout.NoTimeout
-        )
-    )
+    Within one second failures count first, then a success resets. Open at the threshold, half-open once the recovery time
+    has passed since the last failure, closed by a success. A service without calls for ``forget`` seconds starts afresh;
+    a closed one without failures has no state at all.
+    """
+    combined = combine_seconds(df, key, ts, bad=F.expr(f"int({failed})"), good=F.expr(f"int(NOT ({failed}))"))
+    return by_second(combined, _Breaker(threshold, recovery, forget), "second bigint, state string")
 
 
 def ttl_latest(df: DataFrame, key: str, value: str, ts: str, ttl: int) -> DataFrame:
@@ -167,29 +220,53 @@ def ttl_latest(df: DataFrame, key: str, value: str, ts: str, ttl: int) -> DataFr
     )
 
 
-def quality_history(df: DataFrame, key: str, value: str, order: str, keep: int = 100) -> DataFrame:
-    """Mean and number of the last ``keep`` values of a key, after each micro-batch.
+class _History(StatefulProcessor):
+    """The last values of a key in the order of the events, whenever they arrive; forgotten when the key has been idle for ``life``."""
+
+    def __init__(self, keep: int, life: int) -> None:
+        self.keep, self.life = keep, life
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.values = handle.getListState("values", "ord bigint, value double")
+        self.seen = handle.getValueState("seen", "ms bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        old = pd.DataFrame(list(self.values.get()), columns=["ord", "value"])
+        new = pd.concat(list(rows))
+        kept = (pd.concat([old, new[["ord", "value"]]]) if len(old) else new).sort_values(["ord", "value"]).tail(self.keep)
+        self.values.put([(int(o), float(v)) for o, v in zip(kept["ord"], kept["value"], strict=True)])
+        seen = max(self.seen.get()[0] if self.seen.exists() else 0, int(new["ms"].max()))
+        self.seen.update((seen,))
+        self.handle.registerTimer(seen + self.life * 1000)
+        yield pd.DataFrame([(key[0], len(kept), int(round(float(kept["value"].sum()) * 100)))], columns=["key", "kept", "hundredths"])
 
-    Each task passes on only its last ``keep`` values per key: no older one can be among the key's.
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.seen.exists() and self.seen.get()[0] + self.life * 1000 <= timerValues.getCurrentWatermarkInMs():
+            self.values.clear()
+            self.seen.clear()
+        yield pd.DataFrame([], columns=["key", "kept", "hundredths"])
+
+    def close(self) -> None:
+        pass
+
+
+def quality_history(df: DataFrame, key: str, value: str, order: str, ts: str, keep: int = 100, life: int = 31 * 86400) -> DataFrame:
+    """Mean and number of the last ``keep`` values of a key by ``order``, after each micro-batch.
+
+    Each task passes on only its last ``keep`` values per key: no older one can be among the key's. The input needs a
+    watermark; a key's history ends ``life`` seconds after its last event.
     """
-    narrow = df.select(F.col(key).cast("string").alias("key"), F.col(order).cast("bigint").alias("ord"), F.col(value).cast("double").alias("value"))
+    narrow = df.select(
+        F.col(key).cast("string").alias("key"), ts, F.unix_millis(F.col(ts).cast("timestamp")).alias("ms"), F.col(order).cast("bigint").alias("ord"), F.col(value).cast("double").alias("value")
+    )
 
     def tail(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.sort_values("ord").groupby("key", as_index=False).tail(keep)
+            yield b.sort_values(["ord", "value"]).groupby("key", as_index=False).tail(keep)
 
-    def step(k, batches, state):
-        kept = pd.DataFrame({"ord": state.get[0], "value": state.get[1]}) if state.exists else pd.DataFrame({"ord": [], "value": []})
-        for b in batches:
-            kept = pd.concat([kept, b[["ord", "value"]]]).sort_values("ord").tail(keep)
-        state.update(([int(x) for x in kept["ord"]], [float(x) for x in kept["value"]]))
-        yield pd.DataFrame([(k[0], len(kept), int(round(float(kept["value"].sum()) * 100)))], columns=["key", "kept", "hundredths"])
-
-    return (
-        narrow.mapInPandas(tail, narrow.schema)
-        .groupBy("key")
-        .applyInPandasWithState(step, "key string, kept bigint, hundredths bigint", "o array<bigint>, v array<double>", "update", GroupStateTimeout.NoTimeout)
-    )
+    grouped = narrow.mapInPandas(tail, narrow.schema).groupBy("key")
+    return grouped.transformWithStateInPandas(_History(keep, life), "key string, kept bigint, hundredths bigint", "Update", "EventTime")
 
 
 def idempotent(df: DataFrame, keys: list[str], ts: str = "ts", life: int = 300) -> DataFrame:

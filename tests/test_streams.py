@@ -10,6 +10,7 @@ from scanmill.operators import aggregates as A
 from scanmill.sources import tables as T
 from scanmill.streaming import duplicates as SD
 from scanmill.streaming import stateful as St
+from scanmill.streaming.dropped import counting_dropped, dropped_rows
 from scanmill.streaming.runner import run_append, run_update
 
 
@@ -29,7 +30,8 @@ def split_dir(spark, sf, tmp_path_factory):
 
 def files(spark, d):
     e = spark.readStream.schema(T.SCHEMAS["events"]).option("pathGlobFilter", "events*.parquet").option("maxFilesPerTrigger", 1).parquet(d)
-    return e.select("event_id", "ts", "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    e = e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    return e.withWatermark("ts", "10 minutes")
 
 
 def same(a, b):
@@ -38,7 +40,7 @@ def same(a, b):
 
 def test_type_stats_over_batches(spark, sf, split_dir):
     s = files(spark, split_dir).select(
-        F.col("event_type").alias("document_type"), F.col("ts").alias("created_at"), F.col("value").alias("processing_time"), (F.col("k") / 100).alias("confidence_score"),
+        F.col("event_type").alias("document_type"), F.col("ts").cast("timestamp_ntz").alias("created_at"), F.col("value").alias("processing_time"), (F.col("k") / 100).alias("confidence_score"),
         (((F.col("k") * 37) % 101) / 100).alias("quality_score"), F.when(F.col("k") < 20, "e").alias("error_message"),
     )
     assert same(run_update(A.type_rollup(s), ["document_type"]), A.type_rollup(T.scan_history(spark, sf)))
@@ -48,18 +50,20 @@ def test_rate_limiter_keeps_state_over_batches(spark, sf, split_dir):
     got = run_append(St.rate_limiter(files(spark, split_dir), "event_type", "ts", limit=3, window=86400))
     # Plain replay of the rule.
     admitted, want = {}, {}
+    last = T.table(spark, sf, "events").agg(F.max(F.unix_millis(F.col("ts").cast("timestamp")))).first()[0] - 600_000
     for r in T.table(spark, sf, "events").orderBy("ts").select("event_type", F.unix_seconds(F.col("ts").cast("timestamp")).alias("s")).collect():
         kept = [x for x in admitted.get(r["event_type"], []) if x > r["s"] - 86400]
         ok = len(kept) < 3
         admitted[r["event_type"]] = kept + ([r["s"]] if ok else [])
         a, b = want.get((r["event_type"], r["s"]), (0, 0))
         want[(r["event_type"], r["s"])] = (a + ok, b + (not ok))
+    want = {k: v for k, v in want.items() if (k[1] + 1) * 1000 <= last}
     assert {(r["key"], r["second"]): (r["admitted"], r["denied"]) for r in got.collect()} == want
 
 
 def test_quality_history_over_batches(spark, sf, split_dir):
     s = files(spark, split_dir).withColumn("q", F.col("k") / 100)
-    got = {r["key"]: (r["kept"], r["hundredths"]) for r in run_update(St.quality_history(s, "event_type", "q", "event_id", keep=20), ["key"]).collect()}
+    got = {r["key"]: (r["kept"], r["hundredths"]) for r in run_update(St.quality_history(s, "event_type", "q", "event_id", "ts", keep=20), ["key"]).collect()}
     want = {}
     for r in T.scan_history(spark, sf).orderBy("id").collect():
         want.setdefault(r["document_type"], []).append(r["k"])
@@ -116,3 +120,76 @@ def test_results_do_not_depend_on_the_cut_into_files(spark, sf, tmp_path):
         matched.append(sorted(tuple(r) for r in SD.run_stream_duplicates(h, f"{tmp_path}/s{n}").collect()))
     assert kept[0] == kept[1] == kept[2] and 0 < len(kept[0]) < len(events)
     assert matched[0] == matched[1] == matched[2] and matched[0]
+
+
+def state(spark, folder, name):
+    return spark.read.format("statestore").option("path", f"{folder}/_state").option("stateVarName", name).load()
+
+
+def clock(spark, rows, n, path, delay="60 seconds"):
+    """(key, ts[, failed]) rows by seconds since an hour, in files of one batch each."""
+    start = datetime.datetime(2024, 1, 1)
+    made = [(k, start + datetime.timedelta(seconds=s), *rest) for k, s, *rest in rows]
+    return in_files(spark, made, "key string, ts timestamp" + (", failed boolean" if len(rows[0]) > 2 else ""), n, path).withWatermark("ts", delay)
+
+
+BASE = 1704067200
+
+
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """Small streams: a state store and a worker for each partition of each batch cost more than the rows."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_limiter_decides_by_event_time_whatever_the_files(spark, tmp_path):
+    """A second in two files is one row, a late second is decided before those after it."""
+    rows = [("a", 10), ("a", 10), ("b", 5), ("a", 10), ("a", 40), ("a", 20), ("b", 30), ("a", 21), ("b", 400), ("a", 500), ("c", 9000), ("c", 9001)]
+    want = [("a", 10, 3, 0), ("a", 20, 1, 0), ("a", 21, 0, 1), ("a", 40, 0, 1), ("a", 500, 1, 0), ("b", 5, 1, 0), ("b", 30, 1, 0), ("b", 400, 1, 0)]
+    for n in (1, 4):
+        s = clock(spark, rows, n, f"{tmp_path}/l{n}")
+        got = run_append(St.rate_limiter(s, "key", "ts", limit=4, window=100)).collect()
+        assert sorted((r["key"], r["second"] - BASE, r["admitted"], r["denied"]) for r in got) == want
+
+
+def test_state_of_idle_keys_ends(spark, tmp_path):
+    rows = [(k, s, f) for s in range(3) for k, f in (("a", True), ("b", False), ("c", True))] + [("c", 9500, True), ("d", 10_000, False), ("d", 10_001, False)]
+    made = {
+        "kept": [
+            (St.rate_limiter(clock(spark, rows, 4, f"{tmp_path}/r"), "key", "ts", 2, 900), {"c"}),
+            (St.lockouts(clock(spark, rows, 4, f"{tmp_path}/l"), "key", "ts", F.col("failed"), 2, 900), {"c"}),
+            (St.breaker_transitions(clock(spark, rows, 4, f"{tmp_path}/b"), "key", "ts", "failed", forget=900), {"c"}),
+        ],
+        "waiting": [(St.rate_limiter(clock(spark, rows, 4, f"{tmp_path}/w"), "key", "ts", 2, 900), {"d"})],
+        "values": [(St.quality_history(clock(spark, rows, 4, f"{tmp_path}/h").withColumn("v", F.lit(0.5)).withColumn("o", F.lit(1)), "key", "v", "o", "ts", life=900), {"c", "d"})],
+    }
+    for name, streams in made.items():
+        for i, (stream, alive) in enumerate(streams):
+            folder = f"{tmp_path}/{name}{i}"
+            run_update(stream, ["key"], folder) if name == "values" else run_append(stream, folder)
+            assert {r["key"]["key"] for r in state(spark, folder, name).select("key").collect()} == alive, (name, i)
+
+
+def test_lock_and_breaker_by_event_time(spark, tmp_path):
+    rows = [("a", 100, True), ("a", 101, True), ("a", 400, False), ("a", 50, True), ("a", 51, False), ("a", 1300, True), ("a", 1301, True), ("z", 9000, False), ("z", 9001, False)]
+    for n in (1, 3):
+        lock = run_append(St.lockouts(clock(spark, rows, n, f"{tmp_path}/k{n}", "400 seconds"), "key", "ts", F.col("failed"), 2, 900)).collect()
+        assert sorted((r["key"], r["locked_at"] - BASE, r["locked_until"] - BASE, r["failures"]) for r in lock) == [("a", 100, 1000, 2), ("a", 1301, 2201, 2)]
+        turn = run_append(St.breaker_transitions(clock(spark, rows, n, f"{tmp_path}/t{n}", "400 seconds"), "key", "ts", "failed", threshold=2)).collect()
+        assert sorted((r["second"] - BASE, r["state"]) for r in turn) == [(101, "open"), (161, "half_open"), (400, "closed"), (1301, "open")]
+
+
+def test_dropped_rows_are_counted(spark, tmp_path):
+    """The one late row of the stream is in the table of dropped rows, with its query and batch."""
+    at = lambda day: (datetime.datetime(2024, 1, day),)
+    for k, (rows, late) in enumerate([([at(10), at(20), at(5), at(28)], 1), ([at(5), at(10), at(20), at(28)], 0)]):
+        s = in_files(spark, rows, "ts timestamp", 4, f"{tmp_path}/d{k}").withWatermark("ts", "10 minutes")
+        table = f"{tmp_path}/dropped{k}"
+        with counting_dropped(spark, table):
+            run_append(s.groupBy(F.window("ts", "1 day")).agg(F.count("*").alias("n")).select(F.dayofmonth("window.start").alias("d"), "n"))
+        assert os.path.exists(table) == bool(late)
+        if late:
+            assert [(r["batch_id"], r["dropped"]) for r in dropped_rows(spark, table).collect()] == [(2, 1)]
