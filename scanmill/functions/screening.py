@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import json
-import re
+import functools
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from scanmill.functions.rules import any_of, hits, let, let_sql, match_any, match_lower, strip
+from scanmill.session import stored
 
 # Suspicious content patterns, in report order.
 SUSPICIOUS = [
@@ -30,56 +28,46 @@ def scan_malicious(df: DataFrame, col: str) -> DataFrame:
     return df.withColumn("hits", hits_).withColumn("is_safe", F.size("hits") == 0)
 
 
-_JSON_RESULT = T.StructType(
-    [T.StructField("is_valid", T.BooleanType()), T.StructField("reason", T.StringType()), T.StructField("hits", T.IntegerType())]
-)
+def _hit_number(low: str) -> str:
+    return " + ".join(f"int({match_lower(low, p)})" for p in SUSPICIOUS)
 
 
 def json_payload_scan(df: DataFrame, col: str) -> DataFrame:
-    """Size, syntax, nesting and string values of a JSON payload.
+    """Size, syntax, nesting and strings of a JSON payload: is_valid, reason, hits, depth and too_large.
 
-    JSON of unknown shape has no fixed schema to walk natively; a batch helper parses it.
+    The payload is parsed once into a variant and opened level by level until no container is left; a level is written to the
+    shared folder with the number of matching patterns of each key and string, so that only containers go on to the next.
+    Payloads of any size and depth are scanned; size and depth above the limits are findings, in the order too large,
+    invalid, too deep, malicious. Values below an unscanned key and inline images are opened, for the depth, but not
+    matched. A key that an object holds twice makes it invalid; a null payload has null results.
     """
-    rx = [re.compile(p.replace(r"[\p{L}\p{N}_]", r"\w"), re.IGNORECASE) for p in SUSPICIOUS]
-    skip, limit, depth_limit = set(UNSCANNED_KEYS), MAX_PAYLOAD, MAX_DEPTH
-
-    def walk(root):
-        """Yield (depth, string to scan or None); keys count as strings."""
-        stack = [(root, 0, True)]
-        while stack:
-            node, depth, scanned = stack.pop()
-            text = scanned and isinstance(node, str) and not node.startswith("data:image")
-            yield depth, node if text else None
-            if isinstance(node, dict):
-                for k, v in node.items():
-                    yield depth, k if scanned else None
-                    stack.append((v, depth + 1, scanned and k not in skip))
-            elif isinstance(node, list):
-                stack.extend((v, depth + 1, scanned) for v in node)
-
-    def check(payload):
-        if payload is None:
-            return None, None, None
-        if len(payload) > limit:
-            return False, "too large", 0
-        try:
-            data = json.loads(payload)
-        except (ValueError, RecursionError):
-            return False, "invalid", 0
-        found, deepest = 0, 0
-        for depth, s in walk(data):
-            deepest = max(deepest, depth)
-            if s is not None:
-                found += sum(1 for r in rx if r.search(s))
-        if deepest > depth_limit:
-            return False, "too deep", found
-        return (False, "malicious", found) if found else (True, "ok", 0)
-
-    @F.pandas_udf(_JSON_RESULT)
-    def scan(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([check(x) for x in s], columns=["is_valid", "reason", "hits"])
-
-    return df.withColumn("_j", scan(F.col(col))).select(*df.columns, "_j.*")
+    spark = df.sparkSession
+    base = stored(df.withColumn("_id", F.monotonically_increasing_id()).withColumn("_root", F.try_parse_json(col)))
+    nodes = base.where("_root is not null").selectExpr("_id", "0 as depth", "true as by", "cast(null as string) as key", "_root as value")
+    skipped = ", ".join(f"'{k}'" for k in UNSCANNED_KEYS)
+    levels = []
+    while True:
+        kinds = nodes.selectExpr("*", "schema_of_variant(value) as kind", f"by and coalesce(key not in ({skipped}), true) as scanned")
+        strings = kinds.selectExpr(
+            "_id", "depth", "scanned", "kind rlike '^(OBJECT|ARRAY)' as holds", "value", "if(by, lower(key), null) as low_key",
+            "if(scanned and kind = 'STRING', lower(variant_get(value, '$', 'string')), null) as low",
+        )
+        found = f"coalesce({_hit_number('low_key')}, 0) + coalesce(if(low like 'data:image%', 0, {_hit_number('low')}), 0)"
+        level = stored(strings.selectExpr("_id", "depth", "scanned", f"{found} as found", "if(holds, value, null) as value"))
+        levels.append(level.select("_id", "depth", "found"))
+        inside = level.where("value is not null")
+        if inside.isEmpty():
+            break
+        opened = inside.alias("t").lateralJoin(spark.tvf.variant_explode(F.col("t.value").outer()).alias("e"))
+        nodes = opened.selectExpr("t._id", "t.depth + 1 as depth", "t.scanned as by", "e.key", "e.value")
+    seen = functools.reduce(DataFrame.unionAll, levels).groupBy("_id").agg(F.max("depth").alias("_depth"), F.sum("found").cast("int").alias("_found"))
+    given = f"`{col}` is not null"
+    reason = f"case when not {given} then null when too_large then 'too large' when depth is null then 'invalid' when depth > {MAX_DEPTH} then 'too deep' when hits > 0 then 'malicious' else 'ok' end"
+    joined = base.join(seen, "_id", "left").selectExpr(
+        *(f"`{c}`" for c in df.columns), f"if({given}, coalesce(_found, 0), null) as hits", "_depth as depth", f"length(`{col}`) > {MAX_PAYLOAD} as too_large"
+    )
+    judged = joined.withColumn("reason", F.expr(reason)).withColumn("is_valid", F.expr("reason = 'ok'"))
+    return judged.select(*df.columns, "is_valid", "reason", "hits", "depth", "too_large")
 
 
 # SQL, script and path patterns of the input validator.

@@ -36,9 +36,14 @@ def malicious_content_scan(spark, d):
 
 
 def json_pages(spark, d):
-    """Pages as JSON payloads: url and nested html are scanned, the image value is not."""
-    p = T.spread(T.table(spark, d, "pages"))
-    body = F.struct("page_id", "url", F.struct(F.array("html").alias("parts")).alias("meta"), F.col("html").alias("image"))
+    """Pages as JSON payloads: url and nested html are scanned, the image value is not.
+
+    Every 40th page holds its html as often as makes it larger than a payload may be, every 40th next to it is nested too deep.
+    """
+    p = T.spread(T.table(spark, d, "pages")).withColumn("html", F.coalesce("html", F.lit("")))
+    times = F.expr(f"if(page_id % 40 = 7 and html <> '', cast({X.MAX_PAYLOAD} / length(html) + 1 as int), 1)")
+    deep = F.expr("if(page_id % 40 = 8, from_json(concat(repeat('[', 12), '1', repeat(']', 12)), 'array<array<array<array<array<array<array<array<array<array<array<array<int>>>>>>>>>>>>'), null)")
+    body = F.struct("page_id", "url", F.struct(F.array_repeat("html", times).alias("parts")).alias("meta"), F.col("html").alias("image"), deep.alias("more"))
     return p.select("page_id", F.to_json(body).alias("payload"))
 
 
@@ -46,10 +51,12 @@ def _hit_count(e: str) -> str:
     return " + ".join(f"CAST({R.rx(e, p, True)} AS INTEGER)" for p in X.SUSPICIOUS)
 
 
-@query("json_payload_scan", f"""SELECT page_id, n = 0 AS is_valid, CASE WHEN n > 0 THEN 'malicious' ELSE 'ok' END AS reason, CAST(n AS INTEGER) AS hits
-FROM (SELECT page_id, {_hit_count('url')} + {_hit_count('html')} AS n FROM pages)""")
+@query("json_payload_scan", f"""SELECT page_id, NOT too_large AND n = 0 AND depth <= 10 AS is_valid,
+  CASE WHEN too_large THEN 'too large' WHEN depth > 10 THEN 'too deep' WHEN n > 0 THEN 'malicious' ELSE 'ok' END AS reason, CAST(n AS INTEGER) AS hits, depth, too_large
+FROM (SELECT page_id, page_id % 40 = 7 AND html <> '' AS too_large, CASE WHEN page_id % 40 = 8 THEN 13 ELSE 3 END AS depth,
+  {_hit_count('url')} + ({_hit_count('html')}) * CASE WHEN page_id % 40 = 7 AND html <> '' THEN {X.MAX_PAYLOAD} // length(html) + 1 ELSE 1 END AS n FROM (SELECT page_id, url, coalesce(html, '') AS html FROM pages))""")
 def json_payload_scan(spark, d):
-    return X.json_payload_scan(json_pages(spark, d), "payload").select("page_id", "is_valid", "reason", "hits")
+    return X.json_payload_scan(json_pages(spark, d), "payload").drop("payload")
 
 
 def paths(spark, d):

@@ -111,7 +111,7 @@ def test_field_confidence_and_batch_quality(spark):
 
 def test_json_payload(spark):
     df = spark.createDataFrame([('{"a": 1}',), ('{"a": "drop table x"}',), ('{"password": "drop table x"}',), ("{",), ("[" * 12 + "1" + "]" * 12,)], "p string")
-    assert [r["reason"] for r in X.json_payload_scan(df, "p").collect()] == ["ok", "malicious", "ok", "invalid", "too deep"]
+    assert [r["reason"] for r in sorted(X.json_payload_scan(df, "p").collect(), key=lambda r: len(r["p"]))] == ["invalid", "ok", "malicious", "too deep", "ok"]
 
 
 def test_filters_reject_unknown(spark):
@@ -130,3 +130,22 @@ def test_pack_round_trip():
         assert pack_from_json(pack_to_json(p)).code == p.code
     with pytest.raises(ValueError):
         register_pack(PACKS[0])
+
+
+def test_payloads_of_any_size_and_depth_are_scanned(spark):
+    big = '{"notes": [' + ", ".join(['"plain words %d"' % i for i in range(260_000)]) + ', "javascript: x"], "password": {"a": "eval(1)"}}'
+    cases = [
+        (1, big, ("too large", 1, 2, True)),
+        (2, "[" * 40 + '"../x"' + "]" * 40, ("too deep", 1, 40, False)),
+        (3, '{"onload =": 1, "file": {"onload =": "eval(1)"}, "n": 1, "b": null, "img": "data:image eval(1)"}', ("malicious", 1, 2, False)),
+        (4, "[1,", ("invalid", 0, None, False)),
+        (5, None, (None, None, None, None)),
+        (6, '"eval(1)"', ("malicious", 1, 0, False)),
+        (7, "{}", ("ok", 0, 0, False)),
+        (7, "{}", ("ok", 0, 0, False)),
+    ]
+    df = X.json_payload_scan(spark.createDataFrame([c[:2] for c in cases], "k int, p string").repartition(3), "p")
+    assert "Python" not in df._jdf.queryExecution().toString() and "Pandas" not in df._jdf.queryExecution().toString()
+    assert len(big) > 5 << 20
+    got = sorted((r["k"], (r["reason"], r["hits"], r["depth"], r["too_large"])) for r in df.collect())
+    assert got == [(k, want) for k, _, want in cases]
