@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from scanmill.functions import classify as K
 from scanmill.operators import aggregates as A
@@ -13,6 +14,7 @@ from scanmill.plans.registry import AS_OF, query
 from scanmill.plans.relational import webhook_configs
 from scanmill.plans.textual import _cascade_sql
 from scanmill.sources import tables as T
+from scanmill.streaming import alerts as AL
 from scanmill.streaming import duplicates as SD
 from scanmill.streaming import stateful as St
 from scanmill.streaming import windows as SW
@@ -156,25 +158,68 @@ def session_usage(spark, d):
     return run_append(SW.session_usage(timed(scan_stream(spark, d)), "user_id", "ts", "6 hours"))
 
 
-TEST_ALERTS = [("HighErrorRate", 5, 0.006, True, 2, "warning"), ("OCRProcessingFailures", 60, 5, False, 1, "warning"), ("UnauthorizedRequests", 30, 3, False, 1, "critical")]
-
-
-def _alert_sql(name, width, threshold, per_second, hold, severity) -> str:
-    value = f"CAST(sum(n) AS DOUBLE) / {width * 60}.0" if per_second else "CAST(sum(n) AS DOUBLE)"
-    return f"""SELECT '{name}' AS alert, '{severity}' AS severity, min(a) AS pending_from, min(a) + {hold} AS firing_from, max(a) AS until, max(value) AS peak FROM (
-  SELECT *, a - row_number() OVER (ORDER BY a) AS run FROM (SELECT minute + o AS a, {value} AS value FROM m, range({width}) r(o) GROUP BY 1) WHERE value > {threshold}::DOUBLE) GROUP BY run HAVING max(a) - min(a) >= {hold}"""
+_BUCKETS = [5, 10, 25, 50, 100, 250, 500]
 
 
-@query("alert_rules", f"WITH m AS (SELECT CAST(floor(epoch(ts) / 60) AS BIGINT) AS minute, count(*) AS n FROM events WHERE CAST(json_extract_string(props, '$.k') AS INTEGER) < 20 AND date_trunc('minute', ts) + INTERVAL 1 MINUTE <= {FINAL} GROUP BY 1) "
-       + " UNION ALL ".join(_alert_sql(*a) for a in TEST_ALERTS))
+# Rules of every kind, with thresholds that fit the test events.
+_T = AL.Term
+TEST_ALERTS = [
+    AL.rule("HighErrorRate", _T("errors_total", "rate", 5), ">", 0.006, 2, "warning"),
+    AL.rule("OCRProcessingFailures", _T("errors_total", "increase", 10), ">", 1.0, 1, "warning"),
+    AL.rule("HighErrorRatio", _T("errors_total", "rate", 10), ">", 0.5, 5, "critical", _T("requests_total", "rate", 10)),
+    AL.rule("HighOCRLatency", _T("duration_bucket", "quantile", 10, 0.95), ">", 200.0, 5, "warning"),
+    AL.rule("OCRQueueBacklog", _T("queue_size", "gauge", 5), ">", 90.0, 3, "warning"),
+    AL.rule("DiskSpaceLow", _T("disk_avail", "gauge", 5), "<", 0.05, 2, "critical", _T("disk_size", "gauge", 5)),
+    AL.rule("PoolExhausted", _T("disk_avail", "gauge", 5), ">=", 0.0, 2, "critical", _T("queue_size", "gauge", 5), "-"),
+    AL.rule("HighCPUUsage", _T("disk_avail", "rate", 5), ">", 70.0, 4, "warning", scale=-100.0, offset=100.0),
+    AL.rule("ServiceDown", _T("up", "gauge", 1), "=", 0.0, 0, "critical"),
+]
+
+
+def _rows_sql(rows) -> str:
+    value = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else f"{v}::DOUBLE" if isinstance(v, float) else str(v)
+    return ", ".join(f"({', '.join(map(value, r))})" for r in rows)
+
+
+_HEADS, _TERMS = map(_rows_sql, AL.rule_rows(TEST_ALERTS))
+# Series by the minute: counters restart each day; gauges are the minute's events.
+_SERIES = [("errors_total", "errors", True), ("requests_total", "requests", True), ("queue_size", "queue", False), ("disk_avail", "avail", False), ("disk_size", "size", False), ("up", "up", False)]
+_GAUGES = {"queue": "max(k)", "avail": "min(k)", "size": "max(100 + k)", "up": "max(int(k < 95))"}
+
+_SAMPLES_SQL = f"""e AS (SELECT CAST(floor(epoch(ts) / 60) AS BIGINT) AS minute, CAST(user_id % 2 AS VARCHAR) AS instance, value, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k
+  FROM events WHERE date_trunc('minute', ts) + INTERVAL 1 MINUTE <= {FINAL}),
+m AS (SELECT minute, instance, minute // 1440 AS day, count(*) AS requests, count(*) FILTER (k < 20) AS errors, {', '.join(f"{v.replace('int(k < 95)', 'CAST(k < 95 AS INTEGER)')} AS {c}" for c, v in _GAUGES.items())},
+  {', '.join(f"count(*) FILTER (value <= {b}) AS b{i}" for i, b in enumerate(_BUCKETS))}, count(*) AS binf FROM e GROUP BY ALL),
+samples AS ({' UNION ALL '.join(f"SELECT '{n}' AS series, instance, NULL::DOUBLE AS le, minute, CAST({f'sum({c}) OVER (PARTITION BY instance, day ORDER BY minute)' if counter else c} AS DOUBLE) AS value FROM m" for n, c, counter in _SERIES)}
+  {' '.join(f"UNION ALL SELECT 'duration_bucket', instance, {le}, minute, CAST(sum({c}) OVER (PARTITION BY instance, day ORDER BY minute) AS DOUBLE) FROM m" for c, le in [*((f'b{i}', b) for i, b in enumerate(_BUCKETS)), ('binf', 'NULL')])})"""
+
+
+@query("alert_rules", f"""WITH heads(alert, joins, scale, off, op, threshold, hold, severity) AS (VALUES {_HEADS}), terms(alert, side, series, how, width, q) AS (VALUES {_TERMS}),
+{_SAMPLES_SQL},
+i AS (SELECT *, lag(value) OVER (PARTITION BY series, instance, le ORDER BY minute) AS b FROM samples),
+u AS (SELECT *, CASE WHEN b IS NULL THEN 0 WHEN value >= b THEN value - b ELSE value END AS up FROM i),
+o AS (SELECT alert, side, instance, how, width, q, le, minute + unnest(range(width)) AS a, minute, value, up FROM u JOIN terms USING (series)),
+g AS (SELECT alert, side, instance, how, width, q, le, a, CASE how WHEN 'gauge' THEN arg_max(value, minute) WHEN 'rate' THEN sum(up) / (width * 60.0::DOUBLE) ELSE sum(up) END AS value FROM o GROUP BY alert, side, instance, how, width, q, le, a),
+h AS (SELECT *, coalesce(lag(le) OVER w, 0.0) AS pl, coalesce(lag(value) OVER w, 0) AS pc, max(value) OVER (PARTITION BY alert, side, instance, a) AS n FROM g WHERE how = 'quantile' WINDOW w AS (PARTITION BY alert, side, instance, a ORDER BY le NULLS LAST)),
+s AS (SELECT alert, side, instance, a, value FROM g WHERE how <> 'quantile' UNION ALL
+  SELECT alert, side, instance, a, arg_min(CASE WHEN le IS NULL THEN pl WHEN value = pc THEN le ELSE pl + (q * n - pc) / (value - pc) * (le - pl) END, coalesce(le, 1e308)) FROM h WHERE n > 0 AND value >= q * n GROUP BY ALL),
+x AS (SELECT alert, instance, a, max(value) FILTER (side = 'left') AS l, max(value) FILTER (side = 'right') AS r FROM s GROUP BY ALL),
+v AS (SELECT alert, severity, instance, a, hold, op, threshold, scale * (CASE joins WHEN '/' THEN l / nullif(r, 0) WHEN '-' THEN l - r ELSE l END) + off AS v FROM x JOIN heads USING (alert)),
+y AS (SELECT *, a - row_number() OVER (PARTITION BY alert, instance ORDER BY a) AS run FROM v WHERE CASE op WHEN '>' THEN v > threshold WHEN '>=' THEN v >= threshold WHEN '<' THEN v < threshold ELSE v = threshold END)
+SELECT alert, severity, instance, min(a) AS pending_from, min(a) + hold AS firing_from, max(a) AS until, CASE WHEN op = '<' THEN min(v) ELSE max(v) END AS peak
+FROM y GROUP BY alert, severity, instance, hold, op, run HAVING max(a) - min(a) >= hold""")
 def alert_rules(spark, d):
-    """Errors per minute from the stream, rules over the minutes; thresholds fit the test events."""
-    m = run_append(SW.window_counts(timed(scan_stream(spark, d)), "ts", "1 minute", where=F.col("error_message").isNotNull()))
-    minutes = m.select(F.floor(F.unix_seconds(F.col("window_start").cast("timestamp")) / 60).alias("minute"), "n")
-    return SW.evaluate_alerts(minutes, TEST_ALERTS)
-
-
-_BUCKETS = [5, 10, 25, 50, 100, 250, 500]
+    """Counts and gauges of each minute and instance from the stream, then all rules over their samples."""
+    s = timed(scan_stream(spark, d)).withColumn("instance", (F.col("user_id") % 2).cast("string"))
+    counts = [F.count("*").alias("requests"), F.count_if(F.col("k") < 20).alias("errors"), *(F.expr(v).alias(c) for c, v in _GAUGES.items())]
+    counts += [F.count_if(F.col("processing_time") <= b).alias(f"b{i}") for i, b in enumerate(_BUCKETS)] + [F.count("*").alias("binf")]
+    m = run_append(s.groupBy(F.window("ts", "1 minute").alias("w"), "instance").agg(*counts).withColumn("minute", F.floor(F.unix_seconds("w.start") / 60)).drop("w"))
+    so_far = Window.partitionBy("instance", F.floor(F.col("minute") / 1440)).orderBy("minute")
+    rows = [(n, None, F.sum(c).over(so_far) if counter else F.col(c)) for n, c, counter in _SERIES]
+    rows += [("duration_bucket", float(b), F.sum(f"b{i}").over(so_far)) for i, b in enumerate(_BUCKETS)] + [("duration_bucket", None, F.sum("binf").over(so_far))]
+    values = F.array(*(F.struct(F.lit(n).alias("series"), F.lit(le).cast("double").alias("le"), v.cast("double").alias("value")) for n, le, v in rows))
+    samples = m.withColumn("values", values).select("minute", "instance", F.inline("values"))
+    return AL.evaluate(samples, TEST_ALERTS)
 
 
 @query("alert_latency_quantile", f"""WITH h AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS window_start, b.le, count(*) FILTER (b.le IS NULL OR value <= b.le) AS cum FROM events,

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from scanmill.operators.aggregates import mean2
 from scanmill.sources.tables import cents
@@ -74,48 +73,6 @@ def identifier(user: str, api_key: str, ip: str) -> Column:
     )
 
 
-# Alert rules as (name, window minutes, threshold, per second, minutes sustained, severity).
-ALERTS = [
-    ("HighErrorRate", 5, 0.1, True, 2, "warning"),
-    ("CriticalErrorRate", 5, 0.5, True, 1, "critical"),
-    ("DatabaseConnectionFailures", 5, 5, False, 1, "critical"),
-    ("OCRProcessingFailures", 10, 10, False, 1, "warning"),
-    ("RateLimitExceeded", 5, 50, False, 1, "warning"),
-    ("UnauthorizedRequests", 5, 20, False, 1, "warning"),
-    ("SecurityValidationFailures", 5, 10, False, 1, "critical"),
-]
-
-
-def evaluate_alerts(minutes: DataFrame, rules: Sequence[tuple] = ALERTS) -> DataFrame:
-    """Firing periods of each rule from per-minute counts (minute BIGINT, n BIGINT).
-
-    A rule looks at the sum of its window, as an increase or a rate per second, and fires once its
-    condition has held for its time. The input has one row per minute with events, so the windows
-    run over a small table whatever the event volume.
-    """
-    parts = []
-    for name, width, threshold, per_second, hold, severity in rules:
-        # A count in minute m is seen by the windows ending in m .. m+width-1.
-        spread = minutes.select("n", F.explode(F.sequence(F.col("minute"), F.col("minute") + width - 1)).alias("at"))
-        sums = spread.groupBy("at").agg(F.sum("n").alias("n"))
-        value = F.col("n").cast("double") / (width * 60.0) if per_second else F.col("n").cast("double")
-        on = sums.withColumn("value", value).filter(F.col("value") > threshold)
-        run = F.col("at") - F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("at"))
-        periods = on.withColumn("run", run).groupBy("run").agg(
-            F.min("at").alias("pending_from"), F.max("at").alias("until"), F.max("value").alias("peak")
-        )
-        parts.append(
-            periods.filter(F.col("until") - F.col("pending_from") >= hold).select(
-                F.lit(name).alias("alert"), F.lit(severity).alias("severity"), "pending_from",
-                (F.col("pending_from") + hold).alias("firing_from"), "until", "peak",
-            )
-        )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 def latency_quantile_windows(df: DataFrame, ts: str, value: str, length: str, buckets: Sequence[float]) -> DataFrame:
     """Cumulative latency buckets per time window."""
     counts = [F.count_if(F.col(value) <= float(b)).alias(f"b{i}") for i, b in enumerate(buckets)]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from scanmill.operators import aggregates as A
 from scanmill.sources import tables as T
+from scanmill.streaming import alerts as AL
 from scanmill.streaming import duplicates as SD
 from scanmill.streaming import stateful as St
 from scanmill.streaming.dropped import counting_dropped, dropped_rows
@@ -193,3 +194,41 @@ def test_dropped_rows_are_counted(spark, tmp_path):
         assert os.path.exists(table) == bool(late)
         if late:
             assert [(r["batch_id"], r["dropped"]) for r in dropped_rows(spark, table).collect()] == [(2, 1)]
+
+
+def test_every_kind_of_alert(spark):
+    """Each kind of rule against values worked out by hand; a counter that restarts counts from zero."""
+    T_ = AL.Term
+    rules = [
+        AL.rule("rate", T_("errors", "rate", 2), ">", 0.1, 1, "w"), AL.rule("rise", T_("errors", "increase", 3), ">", 20.0, 0, "w"),
+        AL.rule("ratio", T_("errors", "rate", 1), ">", 0.5, 0, "c", T_("requests", "rate", 1)), AL.rule("low", T_("avail"), "<", 0.2, 1, "w", T_("size")),
+        AL.rule("pool", T_("avail"), ">=", 0.0, 0, "w", T_("floor"), "-"), AL.rule("down", T_("up"), "=", 0.0, 1, "c"),
+        AL.rule("busy", T_("idle", "rate", 1), ">", 80.0, 0, "w", scale=-100.0, offset=100.0), AL.rule("slow", T_("b", "quantile", 1, 0.5), ">", 1.0, 0, "w"),
+    ]
+    series = {
+        "errors": [0, 10, 20, 3, 4], "requests": [0, 100, 115, 5, 100], "avail": [50, 10, 15, 30, 5], "size": [100] * 5, "floor": [60, 10, 20, 30, 9],
+        "up": [1, 0, 0, 1, 0], "idle": [0, 60, 61, 62, 122],
+    }
+    rows = [(s, "i", None, m, float(v)) for s, vs in series.items() for m, v in enumerate(vs)]
+    rows += [("b", "i", le, m, float(v)) for le, vs in ((1.0, [0, 4, 4]), (2.0, [0, 8, 12]), (None, [0, 8, 13])) for m, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "series string, instance string, le double, minute bigint, value double").repartition(3)
+    got = {}
+    for r in AL.evaluate(df, rules).collect():
+        got.setdefault(r["alert"], []).append((r["pending_from"], r["firing_from"], r["until"], round(r["peak"], 4)))
+    # errors rise by 0, 10, 10, 3 (restart), 1; requests by 0, 100, 15, 5 (restart), 95
+    assert {k: sorted(v) for k, v in got.items()} == {
+        "rate": [(2, 3, 3, 0.1667)],
+        "rise": [(3, 3, 3, 23.0)],
+        "ratio": [(2, 2, 3, 0.6667)],
+        "low": [(1, 2, 2, 0.1)],
+        "pool": [(1, 1, 1, 0.0), (3, 3, 3, 0.0)],
+        "down": [(1, 2, 2, 0.0)],
+        "busy": [(0, 0, 0, 100.0), (2, 2, 3, 98.3333)],
+        "slow": [(2, 2, 2, 1.625)],
+    }
+
+
+def test_all_alert_rules_compile(spark):
+    df = spark.createDataFrame([('up{job="redis"}', "i", None, m, 0.0) for m in range(3)], "series string, instance string, le double, minute bigint, value double")
+    assert [r["alert"] for r in AL.evaluate(df).collect()] == ["RedisDown"]
+    assert len(AL.RULES) == 24
