@@ -5,8 +5,9 @@ contracts the leftmost pair of the smallest rank in each word, until no pair of
 contract all pairs of the smallest rank at once where that gives the same: where no merge of the new token has a smaller
 rank, the leftmost smallest pair stays one of them until all are gone.
 
-Words that were met before in the task are taken from a bounded memory of results. The connection lives in memory and
-within a bound of its own; nothing is written to local disk.
+Words that a Python worker met before, in this task or an earlier one, are taken from a memory of results that is bounded in bytes:
+when the young generation is full it becomes the old one, and words that are met again move back. The connection lives in
+memory and within a bound of its own; nothing is written to local disk.
 
 Defined cases: a null text is empty; an empty text has no tokens; every byte has a token, so any text can be encoded, and
 decoding gives back its bytes; `docs` columns other than the id and text are not read.
@@ -25,8 +26,10 @@ from pyspark.sql import DataFrame
 
 from scanmill.llm.words import pieces
 
-#: Words of results kept in a task; bytes of words in one query; bytes from which a word counts as long.
-KEPT, QUERY_BYTES, LONG = 300_000, 400_000, 64
+#: Bytes of results kept in a generation, of which there are two; bytes of words in one query; bytes from which a word counts as long.
+KEPT_BYTES, QUERY_BYTES, LONG = 24 << 20, 400_000, 64
+#: Bytes of text worked on at once, unless one text is longer.
+PIECE = 2 << 20
 
 _FINISH = """
 SELECT w, list(id ORDER BY p) AS ids FROM t WHERE done GROUP BY w ORDER BY w
@@ -94,10 +97,10 @@ class Merges:
 class Coder:
     """Encodes and decodes words within one task."""
 
-    def __init__(self, merges: Merges, memory: str = "400MB") -> None:
+    def __init__(self, merges: Merges, memory: str = "300MB") -> None:
         import duckdb
 
-        self.single, self.known = merges.single, {}
+        self.single, self.known, self.old, self.size = merges.single, {}, {}, 0
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": memory, "temp_directory": ""})
         self._table("merges", {"l": merges.left, "r": merges.right, "m": merges.token})
         low = merges.token < np.maximum(merges.left, merges.right)
@@ -111,10 +114,17 @@ class Coder:
         self.db.unregister("rows")
 
     def learn(self, words: set[str]) -> None:
-        """Add words to `known`: word -> (its ids as int32 bytes, the bytes that these ids decode to)."""
-        if len(self.known) > KEPT:
-            self.known.clear()
-        new = sorted(words - self.known.keys(), key=len)
+        """Add words to `known`: word -> (its ids as int32 bytes, the bytes that these ids decode to; None for the word's own)."""
+        if self.size > KEPT_BYTES:
+            self.known, self.old, self.size = {}, self.known, 0
+        known, old, new = self.known, self.old, []
+        for w in words:
+            if w not in known:
+                if w in old:
+                    self._keep(w, old[w])
+                else:
+                    new.append(w)
+        new.sort(key=len)
         raw = [w.encode() for w in new]
         start, size = 0, 0
         for i, r in enumerate(raw):
@@ -124,6 +134,14 @@ class Coder:
                 self._solve(new[start : i + 1], raw[start : i + 1])
                 start, size = i + 1, 0
 
+    def _keep(self, word: str, coded: tuple[bytes, bytes | None]) -> None:
+        self.known[word] = coded
+        self.size += 250 + 2 * len(word) + len(coded[0])
+
+    def decoded(self, word: str) -> bytes:
+        own = self.known[word][1]
+        return word.encode() if own is None else own
+
     def _solve(self, words: list[str], raw: list[bytes]) -> None:
         lengths = np.array([len(r) for r in raw])
         first = np.cumsum(lengths) - lengths
@@ -143,8 +161,19 @@ class Coder:
         decoded = self.db.sql(DECODE_SQL).to_arrow_table().column("bytes").to_pylist()
         self.db.unregister("coded")
         flat = ids.tobytes()
-        for w, a, b, d in zip(words, (offsets[:-1] * 4).tolist(), (offsets[1:] * 4).tolist(), decoded, strict=True):
-            self.known[w] = flat[a:b], d
+        for w, r, a, b, d in zip(words, raw, (offsets[:-1] * 4).tolist(), (offsets[1:] * 4).tolist(), decoded, strict=True):
+            self._keep(w, (flat[a:b], None if d == r else d))
+
+
+_CODERS: dict[str, Coder] = {}
+
+
+def _coder(path: str, merges: Merges) -> Coder:
+    """The worker's coder for a vocabulary file; one file's at a time."""
+    if path not in _CODERS:
+        _CODERS.clear()
+        _CODERS[path] = Coder(merges)
+    return _CODERS[path]
 
 
 def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -152,13 +181,13 @@ def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(Merges.read(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, find = Coder(sent.value), regex.compile(pattern).findall
-        for batch in pieces(batches):
+        coder, find = _coder(path, sent.value), regex.compile(pattern).findall
+        for batch in pieces(batches, most=PIECE):
             found = [find(t or "") for t in batch.column("text").to_pylist()]
             coder.learn({w for words in found for w in words})
             known = coder.known
             ids = [b"".join([known[w][0] for w in words]) for words in found]
-            decoded = [b"".join([known[w][1] for w in words]) for words in found]
+            decoded = [b"".join(map(coder.decoded, words)) for words in found]
             offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array(decoded, pa.binary())], names=["doc_id", "ids", "decoded"])
