@@ -27,9 +27,9 @@ from pyspark.sql import DataFrame
 from scanmill.llm.words import pieces
 
 #: Bytes of results kept in a generation, of which there are two; bytes of words in one query; bytes from which a word counts as long.
-KEPT_BYTES, QUERY_BYTES, LONG = 24 << 20, 400_000, 64
+KEPT_BYTES, QUERY_BYTES, LONG = 64 << 20, 400_000, 64
 #: Bytes of text worked on at once, unless one text is longer.
-PIECE = 2 << 20
+PIECE = 4 << 20
 
 _FINISH = """
 SELECT w, list(id ORDER BY p) AS ids FROM t WHERE done GROUP BY w ORDER BY w
@@ -97,9 +97,10 @@ class Merges:
 class Coder:
     """Encodes and decodes words within one task."""
 
-    def __init__(self, merges: Merges, memory: str = "300MB") -> None:
+    def __init__(self, merges: Merges, memory: str = "400MB", kept: int = KEPT_BYTES) -> None:
         import duckdb
 
+        self.kept = kept
         self.single, self.known, self.old, self.size = merges.single, {}, {}, 0
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": memory, "temp_directory": ""})
         self._table("merges", {"l": merges.left, "r": merges.right, "m": merges.token})
@@ -115,7 +116,7 @@ class Coder:
 
     def learn(self, words: set[str]) -> None:
         """Add words to `known`: word -> (its ids as int32 bytes, the bytes that these ids decode to; None for the word's own)."""
-        if self.size > KEPT_BYTES:
+        if self.size > self.kept:
             self.known, self.old, self.size = {}, self.known, 0
         known, old, new = self.known, self.old, []
         for w in words:
@@ -165,24 +166,27 @@ class Coder:
             self._keep(w, (flat[a:b], None if d == r else d))
 
 
-_CODERS: dict[str, Coder] = {}
+_CODERS: dict[tuple[str, int], Coder] = {}
 
 
-def _coder(path: str, merges: Merges) -> Coder:
-    """The worker's coder for a vocabulary file; one file's at a time."""
-    if path not in _CODERS:
+def _coder(path: str, kept: int, merges: Merges) -> Coder:
+    """The worker's coder for a vocabulary file; one at a time."""
+    if (path, kept) not in _CODERS:
         _CODERS.clear()
-        _CODERS[path] = Coder(merges)
-    return _CODERS[path]
+        _CODERS[path, kept] = Coder(merges, kept=kept)
+    return _CODERS[path, kept]
 
 
-def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, ids array<int>, decoded binary) for each row of `docs`: the tokens of the text and the bytes they decode to."""
+def encode_decode(docs: DataFrame, path: str, pattern: str, piece: int = PIECE, kept: int = KEPT_BYTES) -> DataFrame:
+    """(doc_id, ids array<int>, decoded binary) for each row of `docs`: the tokens of the text and the bytes they decode to.
+
+    Smaller pieces and a smaller memory of words (both in bytes) cost more CPU and less memory of a worker; results do not change.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(Merges.read(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, find = _coder(path, sent.value), regex.compile(pattern).findall
-        for batch in pieces(batches, most=PIECE):
+        coder, find = _coder(path, kept, sent.value), regex.compile(pattern).findall
+        for batch in pieces(batches, most=piece):
             found = [find(t or "") for t in batch.column("text").to_pylist()]
             coder.learn({w for words in found for w in words})
             known = coder.known
