@@ -36,8 +36,12 @@ _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
 @contextlib.contextmanager
-def rocksdb(spark: SparkSession) -> Iterator[None]:
-    """State on disk, with changes only in the checkpoint: a stream takes the store that is set when it starts."""
+def rocksdb(df: DataFrame) -> Iterator[None]:
+    """The RocksDB store for plans with transformWithState, which need it: a stream takes the store that is set when it starts."""
+    spark = df.sparkSession
+    if "TransformWithState" not in df._jdf.queryExecution().logical().toString():
+        yield
+        return
     before = spark.conf.get(_PROVIDER)
     spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
@@ -50,7 +54,7 @@ def run_append(df: DataFrame, folder: str | None = None) -> DataFrame:
     """Append results of everything available now; ``folder`` (a new one by default) holds them and, in ``_state``, the state."""
     spark = df.sparkSession
     out = folder or shared_folder(spark)
-    with rocksdb(spark):
+    with rocksdb(df):
         q = (
             df.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{out}/_state")
             .trigger(availableNow=True).start(f"{out}/rows")
@@ -68,7 +72,7 @@ def run_update(df: DataFrame, keys: list[str], folder: str | None = None) -> Dat
         # Overwriting the batch's own folder makes a retried batch harmless.
         batch.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/rows/b={batch_id}")
 
-    with rocksdb(spark):
+    with rocksdb(df):
         q = df.writeStream.outputMode("update").option("checkpointLocation", f"{out}/_state").foreachBatch(write).trigger(availableNow=True).start()
         q.awaitTermination()
     rows = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("_batch", T.IntegerType())])).option("recursiveFileLookup", "true").parquet(f"{out}/rows")
