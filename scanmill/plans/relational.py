@@ -375,7 +375,7 @@ SELECT id, matching_id, distance FROM (SELECT a.id, b.id AS matching_id, CAST(ha
 def first_duplicate_of(spark, d):
     rows = T.image_hashes(spark, d)
     h = D.distinct_hashes(rows, "id", "phash")
-    return D.first_duplicates(rows, h, D.near_pairs(h), "id", "phash")
+    return D.first_duplicates(rows, h, "id", "phash")
 
 
 @query("exact_duplicates", """SELECT sha256(text) AS content_hash, count(*) AS copies, min(doc_id) AS first_id

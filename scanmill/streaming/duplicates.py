@@ -5,25 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanmill.operators.duplicates import BITS, blocks, hamming, mask_of
+from scanmill.operators.duplicates import earliest_within
 
 HASH_SCHEMA = "h BIGINT, first_id BIGINT"
 
 
-def earliest_within(new: DataFrame, registered: DataFrame, distance: int = 5) -> DataFrame:
-    """(h, first_id, m) of each new hash with a registered one within the distance: m is the earliest, with its distance."""
-    masks = [mask_of(b) for b in blocks(list(range(BITS)), distance + 1)]
-
-    def banded(df: DataFrame) -> DataFrame:
-        bands = F.array(*[F.struct(F.lit(i).alias("i"), F.col("h").bitwiseAND(F.lit(m)).alias("v")) for i, m in enumerate(masks)])
-        return df.select("h", "first_id", F.inline(bands))
-
-    a, b = banded(new).alias("a"), banded(registered).alias("b")
-    hit = (F.col("a.i") == F.col("b.i")) & (F.col("a.v") == F.col("b.v")) & (hamming(F.col("a.h"), F.col("b.h")) <= distance)
-    first = F.min(F.struct(F.col("b.first_id").alias("id"), hamming(F.col("a.h"), F.col("b.h")).alias("distance")))
-    return a.join(b, hit).groupBy("a.h", "a.first_id").agg(first.alias("m"))
-
-
 def match_registered(new: DataFrame, registered: DataFrame, distance: int = 5) -> DataFrame:
     """Earliest registered hash within the distance of each new hash; both sides hold distinct hashes."""
     found = earliest_within(new, registered, distance)

@@ -33,9 +33,8 @@ def test_interpolated_quantiles_follow_the_exclusive_method(spark):
     assert r["p95"] == pytest.approx(statistics.quantiles(xs, n=20)[18])
 
 
-@pytest.mark.parametrize("max_bucket", [1, 8, 10_000])
-def test_near_pairs_equal_brute_force(spark, max_bucket):
-    """Small bucket limits push the work through the deeper levels."""
+def clustered():
+    """Distinct signed hashes: near ones of forty, and a third of all within a few bits of one."""
     rnd = random.Random(5)
     base = [rnd.getrandbits(64) for _ in range(40)]
     hs = set(base)
@@ -46,17 +45,44 @@ def test_near_pairs_equal_brute_force(spark, max_bucket):
                 x ^= 1 << b
             hs.add(x)
     # Many hashes that agree on most bits.
-    hs |= {base[0] ^ (1 << i) ^ (1 << j) for i in range(12) for j in range(i)}
+    hs |= {base[0] ^ (1 << i) ^ (1 << j) for i in range(16) for j in range(i)}
     signed = [h - (1 << 64) if h >= 1 << 63 else h for h in sorted(hs)]
+    rnd.shuffle(signed)
+    return signed
+
+
+@pytest.mark.parametrize("unit", [7, 10_000])
+@pytest.mark.parametrize("distance", [5, 2])
+def test_near_pairs_equal_brute_force(spark, unit, distance):
+    """Small cells cut the keys that many hashes hold."""
+    signed = clustered()
     df = spark.createDataFrame([(h, i, 1) for i, h in enumerate(signed)], "h bigint, first_id bigint, copies bigint")
-    got = [(r["id1"], r["id2"], r["distance"]) for r in D.near_pairs(df, 5, max_bucket=max_bucket).collect()]
+    got = [(r["id1"], r["id2"], r["distance"]) for r in D.near_pairs(df, distance, unit).collect()]
     want = []
     for i, a in enumerate(signed):
         for j in range(i + 1, len(signed)):
             d = ((a ^ signed[j]) & ((1 << 64) - 1)).bit_count()
-            if d <= 5:
+            if d <= distance:
                 want.append((i, j, d))
     assert sorted(got) == sorted(want)
+    first = {}
+    for i, j, d in sorted(want):
+        first.setdefault(j, (i, d))
+    stars = D.earliest_within(df, None, distance, unit).collect()
+    assert {r["first_id"]: tuple(r["m"]) for r in stars} == first
+    old, new = df.where("first_id % 3 = 0"), df.where("first_id % 3 > 0")
+    cross = {}
+    for i, j, d in sorted(want):
+        for a, b in ((i, j), (j, i)):
+            if a % 3 == 0 and b % 3 and a < cross.get(b, (1 << 60, 0))[0]:
+                cross[b] = (a, d)
+    assert {r["first_id"]: tuple(r["m"]) for r in D.earliest_within(new, old, distance, unit).collect()} == cross
+
+
+def test_near_pairs_start_no_job_while_planned(spark):
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    D.near_pairs(spark.range(1000).select((F.col("id") * 99991).alias("h"), F.col("id").alias("first_id"), F.lit(1).alias("copies")))
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == before
 
 
 def test_counts_in_window_across_blocks(spark):
@@ -71,5 +97,5 @@ def test_copies_cost_one_row(spark):
     df = spark.range(1000).select("id", F.when(F.col("id") % 3 > 0, F.lit(0x5555555555555555)).otherwise(F.col("id") * 99991).alias("h"))
     h = D.distinct_hashes(df, "id", "h")
     assert h.filter(F.col("h") == 0x5555555555555555).collect()[0]["copies"] == 666
-    first = D.first_duplicates(df, h, D.near_pairs(h), "id", "h")
+    first = D.first_duplicates(df, h, "id", "h")
     assert first.filter("matching_id = 1 AND distance = 0").count() == 665
