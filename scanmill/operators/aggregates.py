@@ -362,8 +362,13 @@ def usage_daily(requests: DataFrame) -> DataFrame:
 def merge_usage(old: DataFrame, new: DataFrame) -> DataFrame:
     """Keyed upsert of daily usage: add the counters of both sides."""
     cols = ["api_key_id", "date", "endpoint", "request_count", "error_count", "latency_hundredths"]
-    u = old.select(*cols).unionByName(new.select(*cols))
-    return with_rates(u.groupBy(*cols[:3]).agg(*[F.sum(c).alias(c) for c in cols[3:]]))
+    return sum_usage(old.select(*cols).unionByName(new.select(*cols)))
+
+
+def sum_usage(parts: DataFrame) -> DataFrame:
+    """Counters of one key, day and endpoint from all parts that hold some."""
+    counters = ["request_count", "error_count", "latency_hundredths"]
+    return with_rates(parts.groupBy("api_key_id", "date", "endpoint").agg(*[F.sum(c).alias(c) for c in counters]))
 
 
 def with_rates(g: DataFrame) -> DataFrame:

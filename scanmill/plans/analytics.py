@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import datetime
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scanmill.operators import aggregates as A
 from scanmill.operators import ordered as O
+from scanmill.operators import sketches as Sk
 from scanmill.operators import windows as W
 from scanmill.plans.registry import AS_OF, query
+from scanmill.session import shared_folder, stored
+from scanmill.sources import daily as Da
 from scanmill.sources import tables as T
 
 START, END = "2024-01-16 00:00:00", AS_OF
@@ -218,6 +226,42 @@ def distinct_users_approx(spark, d):
     )
 
 
+_RANGES = {"month": ("2024-01-01", "2024-01-31"), "week": ("2024-01-05", "2024-01-11"), "day": ("2024-01-20", "2024-01-20")}
+_RANKS = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+
+
+def _sketched(spark, d):
+    """The daily sketches are written once; each range reads only them."""
+    days = stored(Sk.daily_sketches(T.scan_history(spark, d), "created_at", ["document_type"], "processing_time", "user_id"))
+    of_range = lambda name, a, b: Sk.over_days(days, ["document_type"], datetime.date.fromisoformat(a), datetime.date.fromisoformat(b), _RANKS).withColumn("range", F.lit(name))
+    return reduce(DataFrame.unionByName, (of_range(n, a, b) for n, (a, b) in _RANGES.items()))
+
+
+@query("sketched_ranges")
+def sketched_ranges(spark, d):
+    """Rows, users and latency quantiles of three ranges of days from one table of daily sketches."""
+    return _sketched(spark, d)
+
+
+@query("sketched_ranges_error", with_(S, " UNION ALL ".join(
+    f"""(SELECT '{n}' AS "range", document_type, count(*) AS "rows", TRUE AS users_within, TRUE AS quantiles_within FROM scan_history
+WHERE CAST(created_at AS DATE) BETWEEN DATE '{a}' AND DATE '{b}' GROUP BY document_type)""" for n, (a, b) in _RANGES.items())))
+def sketched_ranges_error(spark, d):
+    """Whether merged users are within three standard errors and merged quantiles within 1.5 % of their rank, in each range."""
+    got = _sketched(spark, d)
+    bounds = F.array(*[F.struct(F.lit(n).alias("range"), F.lit(a).cast("date").alias("a"), F.lit(b).cast("date").alias("b")) for n, (a, b) in _RANGES.items()])
+    scans = T.scan_history(spark, d).select("document_type", "user_id", F.col("processing_time").alias("v"), F.to_date("created_at").alias("day"))
+    scans = scans.select("*", F.inline(bounds)).where(F.col("day").between(F.col("a"), F.col("b"))).drop("day", "a", "b")
+    at = scans.join(got.drop("rows"), ["range", "document_type"])
+    n = F.count("v")
+    ranks = [(F.count_if(F.col("v") < F.col(p)) <= (r + 0.015) * n + 1) & (F.count_if(F.col("v") <= F.col(p)) >= (r - 0.015) * n - 1) for p, r in _RANKS.items()]
+    users = F.countDistinct("user_id")
+    return at.groupBy("range", "document_type").agg(
+        F.count("*").alias("rows"), (F.abs(F.first("members") - users) <= 3 * 0.0081 * users + 1).alias("users_within"),
+        reduce(lambda x, y: x & y, ranks).alias("quantiles_within"),
+    )
+
+
 @query("user_activity", with_(S, f"""
 SELECT count(*) AS active_users, count(*) FILTER (first_seen >= TIMESTAMP '{START}') AS new_users,
   count(*) FILTER (first_seen < TIMESTAMP '{START}') AS returning_users,
@@ -331,6 +375,19 @@ def derived_rates(spark, d):
     return A.usage_daily(T.api_requests(spark, d)).select("api_key_id", "date", "endpoint", "avg_latency_ms", "error_rate")
 
 
+@query("api_usage_stored", f"WITH {T.API_SQL}, {DAILY_SQL} SELECT *, {_RATES} FROM daily WHERE date >= DATE '2024-01-08'")
+def api_usage_stored(spark, d):
+    """Usage kept as a fact by day: two batches, the second added twice, days before the eighth dropped."""
+    r = T.api_requests(spark, d)
+    cut = A.ts("2024-01-16 12:00:00")
+    path = f"{shared_folder(spark)}/usage-{uuid.uuid4().hex}"
+    first, second = (A.usage_daily(r.filter(c)).drop("avg_latency_ms", "error_rate") for c in (F.col("ts") < cut, F.col("ts") >= cut))
+    for rows, batch in ((first, "a"), (second, "b"), (second, "b")):
+        Da.add_batch(rows, path, batch)
+    Da.drop_days_before(spark, path, datetime.date(2024, 1, 8))
+    return A.sum_usage(Da.read_batches(spark, path, first.schema))
+
+
 @query("api_usage_overview", f"""WITH {T.API_SQL}, {DAILY_SQL}
 SELECT date, CAST(sum(request_count) AS BIGINT) AS requests, CAST(sum(error_count) AS BIGINT) AS errors,
   CAST(sum(latency_hundredths) AS DOUBLE) / CAST(sum(request_count) AS DOUBLE) / 100.0 AS avg_latency_ms,

@@ -9,6 +9,7 @@ from scanmill.operators import aggregates as A
 from scanmill.operators import duplicates as D
 from scanmill.operators import filters as Fi
 from scanmill.operators import joins as J
+from scanmill.operators import phrases as P
 from scanmill.operators import ranking as R
 from scanmill.operators import windows as W
 from scanmill.plans.registry import AS_OF, query
@@ -360,6 +361,18 @@ def keyword_match_join(spark, d):
     return J.keyword_matches(docs, {k.lower(): v for k, v in _KEYWORDS.items()})
 
 
+@query("phrase_match_join", r"""WITH w AS (SELECT item_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
+p AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 1), lambda i: concat(w[i], ' ', w[i + 1], ' ', w[i + 2]))) AS phrase FROM w)
+SELECT doc_id, lang, item_id, phrase FROM documents JOIN p ON contains(lower(text), phrase)""")
+def phrase_match_join(spark, d):
+    """Documents that contain three successive words of a benchmark item: a rule table that grows with its source."""
+    w = F.regexp_extract_all(F.lower("text"), F.lit(r"([^\x20\x09-\x0D]+)"))
+    three = F.transform("w", lambda x, i: F.array_join(F.slice("w", i + 1, 3), " "))
+    items = T.table(spark, d, "benchmark").select("item_id", w.alias("w")).where("size(w) > 2")
+    table = items.select("item_id", F.explode(F.slice(three, F.lit(1), F.size("w") - 2)).alias("phrase")).distinct()
+    return P.phrase_matches(T.table(spark, d, "documents").select("doc_id", "lang", "text"), table)
+
+
 @query("hamming_duplicates", f"""WITH {T.HASH_SQL}, h AS (SELECT bits, min(id) AS id, count(*) AS copies FROM image_hashes GROUP BY bits)
 SELECT a.id AS id1, b.id AS id2, CAST(hamming(a.bits, b.bits) AS INTEGER) AS distance, a.copies AS copies1, b.copies AS copies2
 FROM h a JOIN h b ON a.id < b.id AND hamming(a.bits, b.bits) <= 5""")

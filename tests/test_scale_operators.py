@@ -1,5 +1,8 @@
 """Distributed forms against direct computation, including hot keys and full buckets."""
 
+import datetime
+import glob
+import os
 import random
 
 import pytest
@@ -8,7 +11,10 @@ from pyspark.sql.window import Window
 
 from scanmill.operators import duplicates as D
 from scanmill.operators import ordered as O
+from scanmill.operators import phrases as P
+from scanmill.operators import sketches as Sk
 from scanmill.operators import windows as W
+from scanmill.sources import daily as Da
 
 
 def test_prefix_sums_with_a_hot_key(spark):
@@ -99,3 +105,63 @@ def test_copies_cost_one_row(spark):
     assert h.filter(F.col("h") == 0x5555555555555555).collect()[0]["copies"] == 666
     first = D.first_duplicates(df, h, "id", "h")
     assert first.filter("matching_id = 1 AND distance = 0").count() == 665
+
+
+def test_phrases_equal_brute_force(spark):
+    """Short, long, null, empty and repeated phrases; null, empty, repeated and very long texts; letters beyond the first plane."""
+    rnd = random.Random(8)
+    words = ["ab", "abc", "invoice", "number", "Total", "due", "\U0001F600x", "\u00e9t\u00e9", "\n"]
+    make = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    texts = [make(rnd.randint(0, 12)) for _ in range(80)] + [None, "", make(40_000)] + ["invoice number Total due"] * 40
+    phrases = [make(rnd.randint(1, 5)) for _ in range(150)] + ["a", "ab", "\U0001F600", "INVOICE NUMBER", "nowhere to be found", "", None, "a", "%", "_"]
+    docs = spark.createDataFrame([(i % 60 if i % 7 else None, t, i) for i, t in enumerate(texts)], "doc_id long, text string, n int")
+    table = spark.createDataFrame([(p, i) for i, p in enumerate(phrases)], "phrase string, kind int")
+    got = sorted((r["n"], r["kind"]) for r in P.phrase_matches(docs, table).collect())
+    want = sorted((i, k) for i, t in enumerate(texts) for k, p in enumerate(phrases) if t is not None and p and p.lower() in t.lower())
+    assert got == want
+    assert P.phrase_matches(docs.limit(0), table).count() == 0 and P.phrase_matches(docs, table.limit(0)).count() == 0
+
+
+def test_phrases_meet_by_key(spark):
+    docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    table = spark.range(1000).select(F.concat(F.lit("some phrase "), F.col("id")).alias("phrase"))
+    plan = P.phrase_matches(docs, table)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_a_batch_writes_its_days_only(spark, tmp_path):
+    path = f"{tmp_path}/fact"
+    rows = lambda days: spark.createDataFrame([(k, datetime.date(2024, 1, n) if n else None, 1) for n in days for k in range(5)], "k long, date date, n long")
+    files = lambda: {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{path}/*/*/*.parquet")}
+    a, b = rows([1, 2, 3, 0]), rows([3, 4])
+    Da.add_batch(a, path, "a")
+    before = files()
+    Da.add_batch(b, path, "b")
+    assert before.items() <= files().items()
+    read = lambda: sorted((r["date"] or datetime.date(1, 1, 1), r["k"], r["n"]) for r in Da.read_batches(spark, path, b.schema).groupBy("date", "k").agg(F.sum("n").alias("n")).collect())
+    once = read()
+    Da.add_batch(b, path, "b")
+    assert read() == once and len(once) == 25 and {x[2] for x in once if x[0].day == 3} == {2}
+    changed = {f for f, at in files().items() if before.get(f) != at}
+    assert len(changed) == 2 and all("batch=b" in f for f in changed)
+    kept = {f: at for f, at in files().items() if "date=2024-01-0" not in f or f.split("date=2024-01-0")[1][0] >= "3"}
+    assert Da.drop_days_before(spark, path, datetime.date(2024, 1, 3)) == [datetime.date(2024, 1, 1), datetime.date(2024, 1, 2)]
+    assert files() == kept and len(read()) == 15
+
+
+def test_sketches_merge_over_days(spark):
+    df = spark.range(60_000).select(
+        F.timestamp_seconds(F.col("id") % 6 * 86400).alias("ts"), F.when(F.col("id") % 3 > 0, "hot").otherwise("cold").alias("g"),
+        F.when(F.col("id") % 10 > 0, F.col("id") * 7919 % 60_000).alias("v"), (F.col("id") % 5000).alias("u"),
+    )
+    days = Sk.daily_sketches(df.union(spark.createDataFrame([(datetime.datetime(1970, 1, 2), None, None, None)], "ts timestamp, g string, v long, u long")), "ts", ["g"], "v", "u")
+    got = {r["g"]: r for r in Sk.over_days(days, ["g"], datetime.date(1970, 1, 2), datetime.date(1970, 1, 4), {"half": 0.5, "most": 0.9}).collect()}
+    assert got[None]["rows"] == 1 and got[None]["half"] is None and got[None]["members"] == 0
+    kept = df.where(F.to_date("ts").between("1970-01-02", "1970-01-04"))
+    for g in ("hot", "cold"):
+        vs = sorted(r["v"] for r in kept.where((F.col("g") == g) & F.col("v").isNotNull()).collect())
+        for name, rank in (("half", 0.5), ("most", 0.9)):
+            assert abs(sum(v <= got[g][name] for v in vs) / len(vs) - rank) < 0.015
+        exact = kept.where(F.col("g") == g).agg(F.countDistinct("u")).first()[0]
+        assert abs(got[g]["members"] - exact) <= 3 * 0.0081 * exact + 1
+    assert not Sk.over_days(days, ["g"], datetime.date(1980, 1, 2), datetime.date(1980, 1, 4), {"half": 0.5}).collect()
