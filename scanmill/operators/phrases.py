@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scanmill.session import stored
+
 
 def grams(text: Column, q: int) -> Column:
     """All substrings of q characters, in linear time: an empty match with a look-ahead at each place."""
@@ -32,18 +34,20 @@ def phrase_matches(docs: DataFrame, phrases: DataFrame, text: str = "text", phra
 
     Phrases shorter than q characters are their own gram. A null or empty phrase is in no text, a null text holds none;
     repeated rows on either side give repeated rows. Equal texts are matched once and joined by their hash. The two tables
-    may share no column name. Planning reads the lengths of the phrases below q: at most q numbers.
+    may share no column name. Planning reads the lengths of the phrases
+    below q (at most q numbers) and writes the q-grams of the phrases and those that the texts share with them.
     """
     low = F.lower(F.col(phrase))
     table = phrases.where(F.length(phrase) > 0).withColumn("_p", low)
     names = table.select(F.col("_p").alias("phrase")).distinct()
     short = [r[0] for r in names.select(F.length("phrase").alias("n")).where(F.col("n") < q).distinct().collect()]
     own = F.when(F.length("phrase") < q, F.array("phrase")).otherwise(F.array_distinct(grams(F.col("phrase"), q)))
-    of_phrase = names.select("phrase", F.explode(own).alias("gram"))
+    # Written, so that the engine knows its size: a small index is broadcast before the texts' q-grams are shuffled.
+    of_phrase = stored(names.select("phrase", F.explode(own).alias("gram")))
     # A key, not the row's id: ids may repeat or be null, and copies of a text are one text.
     keyed = docs.where(F.col(text).isNotNull()).withColumn("_t", F.sha2(text, 256)).withColumn("_low", F.lower(text))
     of_text = F.concat(*[grams(F.col("_low"), n) for n in sorted({q, *short})])
-    hits = keyed.select("_t", F.explode(of_text).alias("gram")).join(of_phrase.select("gram").distinct(), "gram", "left_semi").distinct()
+    hits = stored(keyed.select("_t", F.explode(of_text).alias("gram")).join(of_phrase.select("gram"), "gram", "left_semi").distinct())
     met = hits.join(phrase_index(hits, of_phrase), "gram").select("_t", F.col("phrase").alias("_p"))
     found = keyed.join(met, "_t").where(F.contains("_low", "_p"))
     return found.join(table, "_p").select(*[c for c in docs.columns if c != text], *phrases.columns)

@@ -370,7 +370,7 @@ def phrase_match_join(spark, d):
     three = F.transform("w", lambda x, i: F.array_join(F.slice("w", i + 1, 3), " "))
     items = T.table(spark, d, "benchmark").select("item_id", w.alias("w")).where("size(w) > 2")
     table = items.select("item_id", F.explode(F.slice(three, F.lit(1), F.size("w") - 2)).alias("phrase")).distinct()
-    return P.phrase_matches(T.table(spark, d, "documents").select("doc_id", "lang", "text"), table)
+    return P.phrase_matches(T.spread(T.table(spark, d, "documents").select("doc_id", "lang", "text")), table)
 
 
 @query("hamming_duplicates", f"""WITH {T.HASH_SQL}, h AS (SELECT bits, min(id) AS id, count(*) AS copies FROM image_hashes GROUP BY bits)
