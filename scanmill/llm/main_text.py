@@ -29,7 +29,7 @@ from scanmill.llm.words import pieces
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|iframe|svg|textarea|select)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|noscript|template|iframe|svg|textarea|select)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*+>.*?(?:(?P<end></(?P=raw)\s*>)|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>"
     r"|<[!?][^>]*>",
     re.DOTALL | re.IGNORECASE,
@@ -57,50 +57,83 @@ class Item:
     block: bool = False  # a tag that ends a block
 
 
+@dataclass(slots=True)
+class _Open:
+    """An open tag. What depends on the tags round it is carried along, so that no tag or text walks the stack."""
+
+    tag: str
+    name: str
+    element: int
+    marked: bool
+    holder: str  # name of the nearest open element that words count for: a link, or one that is not inline
+    block: int  # place in the stack of the nearest open element that is not inline
+
+
+def _goes_on(m: re.Match[str]) -> bool:
+    """Whether a comment or raw element lacks its end."""
+    if m[0].startswith("<!--"):
+        return not m[0].endswith("-->") or len(m[0]) < 7
+    return m["raw"] is not None and m["end"] is None
+
+
 def items(page: str) -> list[Item]:
     out: list[Item] = []
-    stack: list[tuple[str, str, int, bool]] = [("", "", 0, False)]  # tag, name with class, element, marked; the first is the page
+    stack = [_Open("", "", 0, False, "", 0)]  # the first is the page
+    opened: Counter[str] = Counter()
     elements = [_Element(0, False, False)]
     of: list[int] = []  # the element that decides about each item
     at = 0
 
     def text(piece: str) -> None:
         if piece and not piece.isspace():
-            holder = next(x for x in reversed(stack) if x[0] not in _INLINE or x[0] == "a")
-            out.append(Item(holder[1], piece, False, stack[-1][3]))
-            of.append(stack[-1][2])
-            elements[stack[-1][2]].words += len(piece.split())
-
-    for m in _TOKEN.finditer(page):
+            top = stack[-1]
+            out.append(Item(top.holder, piece, False, top.marked))
+            of.append(top.element)
+            elements[top.element].words += len(piece.split())
+
+    def close(place: int) -> None:
+        opened.subtract(x.tag for x in stack[place:])
+        del stack[place:]
+
+    # Behind the last ">" no tag can end; to look for one there from each "<" would not be linear.
+    last = page.rfind(">") + 1
+    for m in _TOKEN.finditer(page, 0, last):
         text(page[at : m.start()])
-        at = m.end()
+        at = len(page) if m.end() == last and _goes_on(m) else m.end()
         tag = m["name"]
         if tag is None:
             continue
         tag = tag.lower()
         top = stack[-1]
         if m["close"]:
-            found = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), None)
-            name = stack[found][1] if found is not None else tag
-            out.append(Item("/" + name, None, False, top[3], tag not in _INLINE))
-            of.append(top[2])
-            if found is not None:
-                del stack[found:]
+            if opened[tag] > 0:
+                found = len(stack) - 1
+                while stack[found].tag != tag:
+                    found -= 1
+                name = stack[found].name
+                close(found)
+            else:
+                name = tag
+            out.append(Item("/" + name, None, False, top.marked, tag not in _INLINE))
+            of.append(top.element)
             continue
-        while tag in _CLOSED_BY.get(_open_block(stack), ()):
-            del stack[max(k for k in range(len(stack)) if stack[k][0] not in _INLINE) :]
+        while tag in _CLOSED_BY.get(stack[stack[-1].block].tag, ()):
+            close(stack[-1].block)
         top = stack[-1]
         kind = " ".join(next(filter(None, g), "") for g in _KIND.findall(m["attrs"]))
         name = f"{tag}.{kind.lower().strip()}" if kind.strip() else tag
         bad = tag not in _NEVER and (tag in _BOILERPLATE_TAGS or bool(_BOILERPLATE_KIND.search(kind)))
-        good = top[3] or tag in ("article", "main")
+        good = top.marked or tag in ("article", "main")
         own = len(elements)
-        elements.append(_Element(top[2], bad, tag in _WRAPS or tag not in _BOILERPLATE_TAGS, int(tag in ("article", "main", "h1"))))
+        elements.append(_Element(top.element, bad, tag in _WRAPS or tag not in _BOILERPLATE_TAGS, int(tag in ("article", "main", "h1"))))
         out.append(Item(name, None, False, good, tag not in _INLINE))
         of.append(own)
         if tag not in _VOID and not m["attrs"].endswith("/"):
-            stack.append((tag, name, own, good))
-    text(page[at:])
+            inline = tag in _INLINE
+            opened[tag] += 1
+            stack.append(_Open(tag, name, own, good, top.holder if inline and tag != "a" else name, top.block if inline else len(stack)))
+    comment = page.find("<!--", max(at, last))
+    text(page[at:] if comment < 0 else page[at:comment])
     left_out = _left_out(elements)
     for item, e in zip(out, of, strict=True):
         item.boilerplate = left_out[e]
@@ -129,10 +162,6 @@ def _left_out(elements: list[_Element]) -> list[bool]:
     return out
 
 
-def _open_block(stack: list[tuple[str, str, int, bool]]) -> str:
-    return next((x[0] for x in reversed(stack) if x[0] not in _INLINE), "")
-
-
 @dataclass
 class Weights:
     words: dict[str, float] = field(default_factory=dict)

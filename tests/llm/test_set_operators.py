@@ -339,6 +339,20 @@ def test_mix_odd_rows(odd, empty):
 # --- main text
 
 
+@pytest.mark.parametrize("page", ["<b>x" * 20_000, "<a " * 40_000, "<p>x" + "<a " * 40_000 + ">", "<b>" * 20_000 + "</b>" * 20_000, "<b>" * 20_000 + "</i>" * 20_000, "<p><b>x" * 20_000])
+def test_pages_of_unclosed_tags_take_linear_time(page):
+    """Twice the page takes about twice the time; walks over all open tags would take seconds."""
+    start = time.process_time()
+    main_text.extract(page, main_text.Weights())
+    assert time.process_time() - start < 2
+
+
+def test_what_goes_on_to_the_end_of_a_page():
+    for tail in ("<!-- a <b>c</b> d", "<!-- no end", "<script>x > y", "<style>p", "<!-->x"):
+        assert main_text.extract("<p>one two</p>" + tail, main_text.Weights({}, {"p": -0.1, "/p": -0.1})) == "one two"
+    assert main_text.extract("<p>one two 3 < 4", main_text.Weights({}, {"p": -0.1})) == "one two 3 < 4"
+
+
 def test_main_text_of_pages(spark, sf):
     got = {r["page_id"]: r for r in queries.QUERIES["op9_main_text"](spark, sf).collect()}
     import html
