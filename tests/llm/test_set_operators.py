@@ -3,6 +3,7 @@
 import collections
 import itertools
 import re
+import time
 from fractions import Fraction
 
 import corpus_pipeline
