@@ -18,12 +18,13 @@ def grams(text: Column, q: int) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{q}}}))"), F.lit(1))
 
 
-def phrase_index(hits: DataFrame, of_phrase: DataFrame) -> DataFrame:
-    """(phrase, gram) with the gram of each phrase that the fewest texts hold, the smallest of equals.
+def phrase_index(of_text: DataFrame, of_phrase: DataFrame) -> DataFrame:
+    """(phrase, gram) with the gram of each phrase that occurs least often in the texts, the smallest of equals.
 
-    A phrase with a gram that no text holds is in no text and gets no row.
+    A phrase with a gram that does not occur is in no text and gets no row. Occurrences are counted before the shuffle,
+    which has at most one row per task and gram of a phrase.
     """
-    seen = hits.groupBy("gram").agg(F.count("*").alias("n"))
+    seen = of_text.join(of_phrase.select("gram"), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
     counted = of_phrase.join(seen, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     rarest = counted.groupBy("phrase").agg(F.min(F.struct("n", "gram")).alias("m"))
     return rarest.where("m.n > 0").select("phrase", "m.gram")
@@ -33,21 +34,22 @@ def phrase_matches(docs: DataFrame, phrases: DataFrame, text: str = "text", phra
     """A row for each row of ``docs`` and each row of ``phrases`` whose phrase it contains, case aside: the columns of both but the text.
 
     Phrases shorter than q characters are their own gram. A null or empty phrase is in no text, a null text holds none;
-    repeated rows on either side give repeated rows. Equal texts are matched once and joined by their hash. The two tables
+    repeated rows on either side give repeated rows. Candidates name a text by its hash, so ids may repeat or be null. The two tables
     may share no column name. Planning reads the lengths of the phrases
-    below q (at most q numbers) and writes the q-grams of the phrases and those that the texts share with them.
+    below q (at most q numbers) and writes the index, of one row per phrase; the texts are read for the counts, for the
+    candidates and for the rows.
     """
     low = F.lower(F.col(phrase))
     table = phrases.where(F.length(phrase) > 0).withColumn("_p", low)
     names = table.select(F.col("_p").alias("phrase")).distinct()
     short = [r[0] for r in names.select(F.length("phrase").alias("n")).where(F.col("n") < q).distinct().collect()]
     own = F.when(F.length("phrase") < q, F.array("phrase")).otherwise(F.array_distinct(grams(F.col("phrase"), q)))
-    # Written, so that the engine knows its size: a small index is broadcast before the texts' q-grams are shuffled.
+    # Written, so that the engine knows their size: small ones are broadcast and the texts' q-grams are not shuffled.
     of_phrase = stored(names.select("phrase", F.explode(own).alias("gram")))
-    # A key, not the row's id: ids may repeat or be null, and copies of a text are one text.
-    keyed = docs.where(F.col(text).isNotNull()).withColumn("_t", F.sha2(text, 256)).withColumn("_low", F.lower(text))
-    of_text = F.concat(*[grams(F.col("_low"), n) for n in sorted({q, *short})])
-    hits = stored(keyed.select("_t", F.explode(of_text).alias("gram")).join(of_phrase.select("gram"), "gram", "left_semi").distinct())
-    met = hits.join(phrase_index(hits, of_phrase), "gram").select("_t", F.col("phrase").alias("_p"))
+    # Texts of equal hash share their candidates; the text itself decides.
+    keyed = docs.where(F.col(text).isNotNull()).withColumn("_t", F.xxhash64(text)).withColumn("_low", F.lower(text))
+    of_text = keyed.select("_t", F.explode(F.concat(*[grams(F.col("_low"), n) for n in sorted({q, *short})])).alias("gram"))
+    index = stored(phrase_index(of_text, of_phrase))
+    met = of_text.join(index, "gram").select("_t", F.col("phrase").alias("_p")).distinct()
     found = keyed.join(met, "_t").where(F.contains("_low", "_p"))
     return found.join(table, "_p").select(*[c for c in docs.columns if c != text], *phrases.columns)
