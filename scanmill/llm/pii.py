@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from scanmill.llm.words import pieces
 
 KINDS = ("email", "ip", "card", "phone")
-MOST_TOKENS = 24
+#: The longest form of the kinds: a card of 19 digits with a mark between each two.
+MOST_TOKENS = 37
 Span = tuple[str, int, int]
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")

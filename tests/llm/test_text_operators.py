@@ -75,6 +75,9 @@ def test_random_field_finds_what_the_patterns_lose():
     assert base == [] and spans == [("card", 6, 22), ("card", 23, 39)]
     assert pii.all_spans("version 3.0 of 2024, 1234567812345678 items", weights)[1] == []
     assert pii.redacted(text, spans) == "cards [CARD] [CARD] end"
+    for digits in ("4111111111111111", "6304000000000000000"):  # one by one, behind another number
+        card = " ".join(digits)
+        assert ("card", 7, 7 + len(card)) in [(k, lattice.bounds[i], lattice.bounds[j]) for lattice in [pii.Lattice.of(f"ref 77 {card}", 4, 7 + len(card))] for j, e in enumerate(lattice.ending) for i, k, _ in e]
 
 
 def test_decoding_is_the_best_segmentation():
