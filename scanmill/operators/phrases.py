@@ -1,8 +1,9 @@
 """Documents and the phrases they contain, for rule tables of any size.
 
 A table of some dozen keywords is written into the plan (`joins.keyword_matches`). Here the phrases are rows. Each phrase
-is indexed by the rarest of its q-grams, counted over the documents that are searched, and documents meet phrases by an
-equi-join on their q-grams; `contains` then decides. Only q-grams that some phrase has leave the scan of the texts.
+is indexed by a rare one of its q-grams, counted over the documents that are searched, and documents meet phrases by an
+equi-join on their q-grams; `contains` then decides. Where the index, a row per phrase, is small enough for the engine to
+broadcast, only candidates leave the scan of the texts; beyond that the texts' q-grams are shuffled.
 """
 
 from __future__ import annotations
@@ -12,20 +13,24 @@ from pyspark.sql import functions as F
 
 from scanmill.session import stored
 
+#: Counters for the q-grams of all texts.
+BUCKETS = 1 << 16
+
 
 def grams(text: Column, q: int) -> Column:
     """All substrings of q characters, in linear time: an empty match with a look-ahead at each place."""
     return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{q}}}))"), F.lit(1))
 
 
-def phrase_index(of_text: DataFrame, of_phrase: DataFrame) -> DataFrame:
-    """(phrase, gram) with the gram of each phrase that occurs least often in the texts, the smallest of equals.
+def phrase_index(of_text: DataFrame, of_phrase: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """(phrase, gram) with a gram of each phrase that is rare in the texts, the smallest of equals.
 
-    A phrase with a gram that does not occur is in no text and gets no row. Occurrences are counted before the shuffle,
-    which has at most one row per task and gram of a phrase.
+    Occurrences are counted by bucket of the gram's hash, so a task shuffles at most ``buckets`` rows however many different
+    q-grams it reads; a count is never too low. A phrase with a gram in an empty bucket is in no text and gets no row.
     """
-    seen = of_text.join(of_phrase.select("gram"), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
-    counted = of_phrase.join(seen, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    bucket = F.pmod(F.xxhash64("gram"), F.lit(buckets)).alias("bucket")
+    seen = of_text.groupBy(bucket).agg(F.count("*").alias("n"))
+    counted = of_phrase.select("phrase", "gram", bucket).join(seen, "bucket", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     rarest = counted.groupBy("phrase").agg(F.min(F.struct("n", "gram")).alias("m"))
     return rarest.where("m.n > 0").select("phrase", "m.gram")
 
@@ -44,11 +49,11 @@ def phrase_matches(docs: DataFrame, phrases: DataFrame, text: str = "text", phra
     names = table.select(F.col("_p").alias("phrase")).distinct()
     short = [r[0] for r in names.select(F.length("phrase").alias("n")).where(F.col("n") < q).distinct().collect()]
     own = F.when(F.length("phrase") < q, F.array("phrase")).otherwise(F.array_distinct(grams(F.col("phrase"), q)))
-    # Written, so that the engine knows their size: small ones are broadcast and the texts' q-grams are not shuffled.
-    of_phrase = stored(names.select("phrase", F.explode(own).alias("gram")))
+    of_phrase = names.select("phrase", F.explode(own).alias("gram"))
     # Texts of equal hash share their candidates; the text itself decides.
     keyed = docs.where(F.col(text).isNotNull()).withColumn("_t", F.xxhash64(text)).withColumn("_low", F.lower(text))
     of_text = keyed.select("_t", F.explode(F.concat(*[grams(F.col("_low"), n) for n in sorted({q, *short})])).alias("gram"))
+    # Written, so that the engine knows its size: where it is small it is broadcast and the texts' q-grams are not shuffled.
     index = stored(phrase_index(of_text, of_phrase))
     met = of_text.join(index, "gram").select("_t", F.col("phrase").alias("_p")).distinct()
     found = keyed.join(met, "_t").where(F.contains("_low", "_p"))
