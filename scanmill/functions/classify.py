@@ -276,11 +276,14 @@ def java_digits(p: str) -> str:
     return p.replace(r"\d", "[0-9]")
 
 
+def rule_hits(rule: Sequence) -> str:
+    """SQL text: how many keywords, marks and number shapes of a country rule the bound lower-case text holds."""
+    _, _, _, _, keywords, shapes, marks = rule
+    return hits([w.lower() for w in [*keywords, *marks]], LOW) + "".join(f" + int({match_lower(LOW, java_digits(p))})" for p in shapes)
+
+
 def detect_global(df: DataFrame, rules: Sequence, text: str = "text", least: int = 2) -> DataFrame:
     """Country rules with at least two matches, as ``country/type`` names in rule order."""
-    found = []
-    for country, kind, _, _, keywords, shapes, marks in rules:
-        n = hits([w.lower() for w in [*keywords, *marks]], "low") + "".join(f" + int({match_lower('low', java_digits(p))})" for p in shapes)
-        found.append(f"CASE WHEN {n} >= {least} THEN {sql_str(f'{country}/{kind}')} END")
+    found = [f"CASE WHEN {rule_hits(r)} >= {least} THEN {sql_str(f'{r[0]}/{r[1]}')} END" for r in rules]
     body = let_sql("lower(t)", "low", f"array_compact(array({', '.join(found)}))")
     return df.withColumn("global_types", F.expr(let_sql(text, "t", body)))

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from scanmill.functions import classify as K
 from scanmill.functions import dates as Dt
+from scanmill.functions import global_fields as G
 from scanmill.functions import identifiers as I
 from scanmill.functions import names as N
 from scanmill.functions.catalogue import COUNTRY_RULES
 from scanmill.functions.packs import DEFAULT_WEIGHTS, EU_COUNTRIES, PACKS
-from scanmill.functions.rules import LEFT, RIGHT, let, sql_str
+from scanmill.functions.rules import LEFT, RIGHT
 from scanmill.plans import rule_sql as R
 from scanmill.plans.registry import query
 from scanmill.sources import tables as T
@@ -169,9 +170,12 @@ def issuing_country(spark, d):
     return I.issuing_country(corpus(spark, d)).select("doc_id", "country_code", "nationality")
 
 
-@query("gender_code", C(f"""SELECT doc_id, CASE WHEN g IN ('MALE', 'M', 'HOMME', 'MASCULINO') THEN 'M' WHEN g IN ('FEMALE', 'F', 'FEMME', 'FEMENINO') THEN 'F' END AS gender
+GENDER_SQL = f"""SELECT doc_id, CASE WHEN g IN ('MALE', 'M', 'HOMME', 'MASCULINO') THEN 'M' WHEN g IN ('FEMALE', 'F', 'FEMME', 'FEMENINO') THEN 'F' END AS gender
 FROM (SELECT doc_id, upper(coalesce(nullif(regexp_extract(text, {quote(I.GENDER_LABELLED.replace('(?iu)', '(?i)'))}, 1), ''),
-  nullif(regexp_extract(text, {quote(I.GENDER_BARE.replace('(?iu)', '(?i)'))}, 1), ''))) AS g FROM c)"""))
+  nullif(regexp_extract(text, {quote(I.GENDER_BARE.replace('(?iu)', '(?i)'))}, 1), ''))) AS g FROM c)"""
+
+
+@query("gender_code", C(GENDER_SQL))
 def gender_code(spark, d):
     return corpus(spark, d).select("doc_id", I.gender_code(F.col("text")).alias("gender"))
 
@@ -480,31 +484,15 @@ def route_counts(spark, d):
     return K.route_document(corpus(spark, d)).groupBy("pack").agg(F.count("*").alias("documents"))
 
 
-def _global_extract():
-    """Number, name, birth date and gender of the country rule that matched first."""
-    name_rx = r"(?i)(?:name[:\s]+|nom[:\s]+|nombre[:\s]+)([A-Za-z\s]+?)\n"
-    dob = r"([0-9]{1,2}[\s./-][0-9]{1,2}[\s./-][0-9]{2,4})"
-    dob_label = r"(?i)(?:birth|born|naissance|nacimiento)[:\s]*" + dob
-    return name_rx, dob_label, dob
-
+_GNUM = {f"{r[0]}/{r[1]}": G.number_pattern(r) for r in COUNTRY_RULES}
 
-_GN, _GL, _GD = _global_extract()
-_GNUM = {f"{c}/{k}": "|".join(K.java_digits(p) for p in ps) for c, k, _, _, _, ps, _ in COUNTRY_RULES}
 
-
-@query("extract_fields_global", C(f""", g AS (SELECT doc_id, text, string_split({_global_sql()}, '|')[1] AS rule FROM c),
-x AS (SELECT doc_id, rule, text, {R.strip(f"regexp_extract(text, {quote(_GN)}, 1)")} AS n FROM g WHERE rule <> '')
+@query("extract_fields_global", C(f""", g AS (SELECT doc_id, text, string_split({_global_sql()}, '|') AS matched FROM c),
+x AS (SELECT doc_id, text, unnest(matched) AS rule, {R.strip(f"regexp_extract(text, {quote(G.NAME_LABELLED)}, 1)")} AS n FROM g WHERE matched[1] <> '')
 SELECT doc_id, rule, nullif({R.strip('CASE rule ' + ' '.join(f"WHEN {quote(r)} THEN regexp_extract(text, {quote('(?i)' + p)}, 0)" for r, p in _GNUM.items()) + ' END')}, '') AS document_number,
   CASE WHEN length(n) > 2 THEN n END AS full_name,
-  coalesce(nullif(regexp_extract(text, {quote(_GL)}, 1), ''), nullif(regexp_extract(text, {quote(_GD)}, 1), '')) AS date_of_birth FROM x"""))
+  coalesce(nullif(regexp_extract(text, {quote(G.DATE_LABELLED)}, 1), ''), nullif(regexp_extract(text, {quote(G.DATE_BARE)}, 1), '')) AS date_of_birth,
+  gender FROM x JOIN ({GENDER_SQL}) USING (doc_id)"""))
 def extract_fields_global(spark, d):
-    g = K.detect_global(corpus(spark, d), COUNTRY_RULES).withColumn("rule", F.get("global_types", F.lit(0)))
-    cases = " ".join(f"WHEN {sql_str(r)} THEN regexp_extract(text, {sql_str('(?iu)' + p)}, 0)" for r, p in _GNUM.items())
-    num = F.expr(f"CASE rule {cases} END")
-    name = F.regexp_replace(F.regexp_extract("text", _GN, 1), r"^\s+|\s+$", "")
-    out = g.select(
-        "doc_id", "rule", I.found(F.regexp_replace(num, r"^\s+|\s+$", "")).alias("document_number"),
-        let(name, lambda n: F.when(F.length(n) > 2, n)).alias("full_name"),
-        F.coalesce(I.found(F.regexp_extract("text", _GL, 1)), I.found(F.regexp_extract("text", _GD, 1))).alias("date_of_birth"),
-    )
-    return out.filter("rule IS NOT NULL")
+    """Every country rule that matches a document is a row."""
+    return G.extract_global(corpus(spark, d), COUNTRY_RULES)

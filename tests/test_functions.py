@@ -149,3 +149,16 @@ def test_payloads_of_any_size_and_depth_are_scanned(spark):
     assert len(big) > 5 << 20
     got = sorted((r["k"], (r["reason"], r["hits"], r["depth"], r["too_large"])) for r in df.collect())
     assert got == [(k, want) for k, _, want in cases]
+
+
+def test_every_matching_country_rule_is_a_row(spark):
+    from scanmill.functions.catalogue import COUNTRY_RULES
+    from scanmill.functions.global_fields import extract_global
+
+    text = "Reino de España\nDocumento Nacional de Identidad DNI 12345678Z\nNombre: Ana Ruiz\nNacimiento: 01/02/1990\nSexe: femme"
+    docs = spark.createDataFrame([(1, text), (2, "nothing here"), (3, ""), (4, None)], "doc_id long, text string")
+    got = {(r.doc_id, r.rule): r for r in extract_global(docs, COUNTRY_RULES).collect()}
+    assert {k for k in got} >= {(1, "Spain/dni"), (1, "Argentina/dni")} and {k[0] for k in got} == {1}
+    spain, argentina = got[1, "Spain/dni"], got[1, "Argentina/dni"]
+    assert (spain.document_number, argentina.document_number) == ("12345678Z", "12345678")
+    assert {(r.full_name, r.date_of_birth, r.gender) for r in got.values()} == {("Ana Ruiz", "01/02/1990", "F")}
