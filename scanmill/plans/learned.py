@@ -13,6 +13,7 @@ from scanmill.operators.ranking import top_k_per
 from scanmill.plans import rule_sql as R
 from scanmill.plans.registry import query
 from scanmill.plans.textual import C, MERGED_SQL, merged
+from scanmill.session import stored
 from scanmill.sources import tables as T
 from scanmill.sources.identity import corpus, identity_docs
 
@@ -27,13 +28,13 @@ def labelled_vectors(spark, d):
 def tfidf_features(spark, d):
     docs = T.spread(T.table(spark, d, "documents").select("doc_id", "text"))
     v = L.vector_to_array(F.col("tfidf"))
-    out = L.tfidf(docs).transform(docs)
+    out = L.tfidf(docs).transform(L.terms(docs))
     return out.select("doc_id", F.size(F.filter(v, lambda x: x > 0)).alias("terms"), F.round(F.array_max(v), 6).alias("heaviest"))
 
 
 @query("train_random_forest")
 def train_random_forest(spark, d):
-    train, test = L.hash_split(labelled_vectors(spark, d), "vec_id")
+    train, test = L.stratified_split(labelled_vectors(spark, d), "label", "vec_id")
     model = L.train_random_forest(train, trees=100)
     return L.accuracy(model.transform(train)).withColumn("part", F.lit("train")).unionByName(
         L.accuracy(model.transform(test)).withColumn("part", F.lit("test"))
@@ -42,8 +43,27 @@ def train_random_forest(spark, d):
 
 @query("train_soft_voting")
 def train_soft_voting(spark, d):
-    train, test = L.hash_split(labelled_vectors(spark, d), "vec_id")
-    return L.soft_vote(L.train_soft_voting(train, trees=100), test, "vec_id")
+    train, test = L.stratified_split(labelled_vectors(spark, d), "label", "vec_id")
+    return L.soft_vote(L.train_soft_voting(train, "vec_id", trees=100), test, "vec_id")
+
+
+@query("stratified_split_sizes", """SELECT CAST(label AS DOUBLE) AS label, (count(*) * 80 + 50) // 100 AS train, count(*) - (count(*) * 80 + 50) // 100 AS test
+FROM embeddings WHERE label IS NOT NULL GROUP BY label""")
+def stratified_split_sizes(spark, d):
+    """Rows of each class in both parts."""
+    train, test = L.stratified_split(labelled_vectors(spark, d), "label", "vec_id")
+    n = train.select("label", F.lit(1).alias("t")).unionAll(test.select("label", F.lit(0)))
+    return n.groupBy("label").agg(F.count_if(F.col("t") == 1).alias("train"), F.count_if(F.col("t") == 0).alias("test"))
+
+
+@query("calibration_gap", "SELECT CAST(label AS DOUBLE) AS label, TRUE AS calibrated FROM embeddings WHERE label IS NOT NULL GROUP BY label")
+def calibration_gap(spark, d):
+    """Whether the mean probability of each class is within 0.1 of its share of the test rows."""
+    train, test = L.stratified_split(labelled_vectors(spark, d), "label", "vec_id")
+    out = L.train_calibrated_margins(train, "vec_id", "features").transform(test)
+    p = out.select("label", F.posexplode(L.vector_to_array("probability")).alias("i", "p"))
+    own = F.when(F.col("label") == F.col("i"), 1.0).otherwise(0.0)
+    return p.groupBy(F.col("i").cast("double").alias("label")).agg((F.abs(F.avg("p") - F.avg(own)) <= 0.1).alias("calibrated"))
 
 
 @query("classify_chain", C(f""", {MERGED_SQL}, b AS (SELECT doc_id, type, confidence FROM merged WHERE rank = 1)
@@ -58,6 +78,30 @@ def classify_chain(spark, d):
     return L.classify_chain(model, best_types(spark, d), "doc_id")
 
 
+def chain_model(spark, d):
+    """Rules, the classes that they label, and a text model trained on four fifths of each class: (rules, classes, model, test rows)."""
+    rules = stored(best_types(spark, d))
+    labelled = stored(corpus(spark, d).select("doc_id", "text").join(L.weak_labels(rules, "doc_id"), "doc_id"))
+    classes = [r.label for r in labelled.select("label").distinct().orderBy("label").collect()]
+    train, test = L.stratified_split(labelled, "label", "doc_id")
+    return rules, classes, L.train_text_model(train, classes), test
+
+
+@query("classify_chain_trained")
+def classify_chain_trained(spark, d):
+    """A model trained on the rules' sure labels decides first, the rules where it is unsure."""
+    rules, classes, model, _ = chain_model(spark, d)
+    return L.classify_chain(L.predict_text(model, corpus(spark, d), classes, "doc_id"), rules, "doc_id")
+
+
+@query("classify_chain_accuracy", C(f", {MERGED_SQL} SELECT type AS label, TRUE AS accurate FROM merged WHERE rank = 1 AND confidence >= 0.5 GROUP BY type"))
+def classify_chain_accuracy(spark, d):
+    """Whether the model gives at least nine in ten held-out texts of each class the rules' label."""
+    _, classes, model, test = chain_model(spark, d)
+    p = L.predict_text(model, test, classes, "doc_id").join(test.select("doc_id", "label"), "doc_id")
+    return p.groupBy("label").agg((F.count_if(F.col("label") == F.col("predicted")) >= 0.9 * F.count("*")).alias("accurate"))
+
+
 def best_types(spark, d):
     return top_k_per(merged(spark, d).drop("rank"), "doc_id", [F.desc("confidence"), F.asc("type")], 1)
 

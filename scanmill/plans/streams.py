@@ -12,13 +12,16 @@ from scanmill.operators import windows as W
 from scanmill.plans.analytics import ROLLUP_SQL, mean_sql
 from scanmill.plans.registry import AS_OF, query
 from scanmill.plans.relational import webhook_configs
-from scanmill.plans.textual import _cascade_sql
+from scanmill.plans.textual import C, ROUTE_SQL, _cascade_sql, _fields_sql
 from scanmill.sources import tables as T
+from scanmill.sources.identity import corpus
 from scanmill.streaming import alerts as AL
 from scanmill.streaming import duplicates as SD
+from scanmill.streaming import limits as SL
 from scanmill.streaming import stateful as St
 from scanmill.streaming import windows as SW
-from scanmill.streaming.runner import run_append, run_update, shared_folder, stream_table, timed
+from scanmill.streaming.frames import extract_frames
+from scanmill.streaming.runner import local_sessions, run_append, run_update, shared_folder, stream_of, stream_table, timed
 
 # Append results are final once the watermark, ten minutes behind the newest event, passes the window end.
 FINAL = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
@@ -73,6 +76,15 @@ def stream_frames(spark, d):
     return run_update(SW.frame_stats(K.classify_cascade(s)), ["document_type"])
 
 
+@query("stream_frame_fields", f"""WITH f AS ({_fields_sql(ROUTE_SQL)}), t AS ({C(f"SELECT doc_id, {_cascade_sql()} FROM c")})
+SELECT doc_id, document_type, pack, field, value FROM f JOIN t USING (doc_id) WHERE doc_id % 101 / 100 >= 0.6::DOUBLE""")
+def stream_frame_fields(spark, d):
+    """The fields of each accepted frame of a stream of documents and identity documents."""
+    frames = stream_of(corpus(spark, d)).withColumn("quality", F.col("doc_id") % 101 / 100)
+    out = extract_frames(frames, F.col("quality"))
+    return run_append(out.select("doc_id", "document_type", "pack", F.explode("fields").alias("field", "value")))
+
+
 @query("stream_quality_history", f"""WITH {T.SCAN_SQL} SELECT CAST(user_id AS VARCHAR) AS key, count(*) AS kept, CAST(sum(CAST(round(quality_score * 100) AS BIGINT)) AS BIGINT) AS hundredths
 FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY id DESC) AS rn FROM scan_history) WHERE rn <= 50 GROUP BY 1""")
 def stream_quality_history(spark, d):
@@ -97,6 +109,23 @@ def fixed_window_limits(spark, d):
     return out
 
 
+# Groups by user, with limits lowered to the density of the test events.
+TEST_GROUPS = {"public": "1 per second; 1 per minute, 2 per hour", "user": "2 per hour, 5 per day", "health": "1 per day"}
+_GROUP_SQL = "CASE user_id % 4 WHEN 0 THEN 'public' WHEN 1 THEN 'user' WHEN 2 THEN 'health' ELSE 'unlimited' END"
+_GROUP_VALUES = ", ".join(f"('{g}', {s}, {n})" for g, text in TEST_GROUPS.items() for s, n in SL.parse_limits(text))
+
+
+@query("group_limits", f"""WITH l(limit_group, seconds, most) AS (VALUES {_GROUP_VALUES}), e AS (SELECT *, {_GROUP_SQL} AS limit_group, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events)
+SELECT limit_group, user_id, seconds, make_timestamp((s - s % seconds) * 1000000) AS window_start, count(*) AS n, most, count(*) > most AS exceeded
+FROM e JOIN l USING (limit_group) GROUP BY limit_group, user_id, seconds, s - s % seconds, most""")
+def group_limits(spark, d):
+    """All groups and windows in one stream."""
+    u = F.col("user_id") % 4
+    s = timed(scan_stream(spark, d)).withColumn("g", F.when(u == 0, "public").when(u == 1, "user").when(u == 2, "health").otherwise("unlimited"))
+    g = SL.grouped_limits(s.select("ts", "user_id", "g"), SL.limits_table(spark, TEST_GROUPS), "ts", "user_id", "g")
+    return run_update(g, ["limit_group", "user_id", "seconds", "window_start"])
+
+
 @query("identifier_priority", """SELECT event_id, CASE WHEN user_id % 3 = 0 THEN 'user:' || user_id WHEN user_id % 3 = 1 THEN 'api_key:' || event_type ELSE '10.0.0.' || user_id END AS identifier FROM events""")
 def identifier_priority(spark, d):
     e = T.table(spark, d, "events")
@@ -150,12 +179,23 @@ def ttl_latest(spark, d):
     return latest.filter(F.col("expires_at") > F.unix_micros(F.lit(AS_OF).cast("timestamp")))
 
 
-@query("session_usage", f"""WITH o AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 6 HOUR THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+SESSION_SQL = """WITH o AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 6 HOUR THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM o)
 SELECT user_id, min(ts) AS start_time, max(ts) AS end_time, date_sub('second', min(ts), max(ts)) AS duration_seconds, count(*) AS documents
-FROM s GROUP BY user_id, sid HAVING max(ts) + INTERVAL 6 HOUR <= {FINAL}""")
+FROM s GROUP BY user_id, sid"""
+
+
+@query("session_usage", f"{SESSION_SQL} HAVING max(ts) + INTERVAL 6 HOUR <= {FINAL}")
 def session_usage(spark, d):
-    return run_append(SW.session_usage(timed(scan_stream(spark, d)), "user_id", "ts", "6 hours"))
+    df = SW.session_usage(timed(scan_stream(spark, d)), "user_id", "ts", "6 hours")
+    with local_sessions(df):
+        return run_append(df)
+
+
+@query("session_usage_table", SESSION_SQL)
+def session_usage_table(spark, d):
+    """All sessions of the table, open ones too, over slices of a day."""
+    return SW.sessions_by_slice(T.spread(T.table(spark, d, "events")), "user_id", "ts", "6 hours")
 
 
 _BUCKETS = [5, 10, 25, 50, 100, 250, 500]

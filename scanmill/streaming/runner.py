@@ -27,6 +27,13 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str, files_per_trigger:
     return r.parquet(sf_dir)
 
 
+def stream_of(df: DataFrame) -> DataFrame:
+    """A table written to the shared folder and read as a file stream."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).parquet(path)
+
+
 def timed(df: DataFrame, ts: str = "ts", delay: str = "10 minutes") -> DataFrame:
     """Event time with a watermark: rows later than the delay are dropped and counted by the engine."""
     return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
@@ -50,6 +57,21 @@ def rocksdb(df: DataFrame) -> Iterator[None]:
         spark.conf.set(_PROVIDER, before)
 
 
+_LOCAL_SESSIONS = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
+
+
+@contextlib.contextmanager
+def local_sessions(df: DataFrame) -> Iterator[None]:
+    """Sessions are merged inside each input task before the shuffle, so a hot key sends its sessions, not its rows."""
+    spark = df.sparkSession
+    before = spark.conf.get(_LOCAL_SESSIONS, "false")
+    spark.conf.set(_LOCAL_SESSIONS, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_LOCAL_SESSIONS, before)
+
+
 def run_append(df: DataFrame, folder: str | None = None) -> DataFrame:
     """Append results of everything available now; ``folder`` (a new one by default) holds them and, in ``_state``, the state."""
     spark = df.sparkSession

@@ -58,6 +58,30 @@ def session_usage(df: DataFrame, key: str, ts: str, gap: str = "30 minutes") ->
     )
 
 
+def sessions_by_slice(df: DataFrame, key: str, ts: str, gap: str = "30 minutes", slice_seconds: int = 86400) -> DataFrame:
+    """As :func:`session_usage`, of a table: sessions inside time slices of a key first, then merged over the slices' borders.
+
+    A hot key's rows go to as many tasks as it has slices; the second step sees one row per session and slice, and gives each
+    the gap after its last activity, so sessions merge exactly where those of all rows together would. Activity just one
+    gap after the last still belongs to the session. Rows without a time are left out; a null key is a key.
+    """
+    part = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (slice_seconds * 1000000))
+    t = df.select(key, F.col(ts).cast("timestamp").alias("_ts"), part.alias("_slice")).filter("_ts IS NOT NULL")
+    inside = t.groupBy("_slice", key, F.session_window("_ts", gap).alias("_s")).agg(
+        F.count("*").alias("_n"), F.min("_ts").alias("_first"), F.max("_ts").alias("_last")
+    )
+    micros = F.unix_micros("_s.end") - F.unix_micros("_s.start")
+    reach = F.make_interval(secs=(micros.cast("decimal(20,0)") / 1000000).cast("decimal(18,6)"))
+    slim = inside.select(key, "_n", "_first", "_last", reach.alias("_reach"))
+    g = slim.groupBy(key, F.session_window("_first", F.col("_reach")).alias("_s")).agg(
+        F.sum("_n").alias("documents"), F.min("_first").alias("start_time"), F.max("_last").alias("end_time")
+    )
+    return g.select(
+        key, F.col("start_time").cast("timestamp_ntz").alias("start_time"), F.col("end_time").cast("timestamp_ntz").alias("end_time"),
+        F.timestamp_diff("SECOND", F.col("start_time"), F.col("end_time")).alias("duration_seconds"), "documents",
+    )
+
+
 # Default request limits as (window, most requests).
 LIMITS = [("1 minute", 100), ("1 hour", 500), ("1 day", 5000)]
 

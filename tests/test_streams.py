@@ -232,3 +232,52 @@ def test_all_alert_rules_compile(spark):
     df = spark.createDataFrame([('up{job="redis"}', "i", None, m, 0.0) for m in range(3)], "series string, instance string, le double, minute bigint, value double")
     assert [r["alert"] for r in AL.evaluate(df).collect()] == ["RedisDown"]
     assert len(AL.RULES) == 24
+
+
+def test_limit_texts_and_grouped_limits(spark, split_dir, sf):
+    from scanmill.streaming import limits as SL
+
+    assert SL.parse_limits("2 per second; 20 per minute, 100 per hour") == [(1, 2), (60, 20), (3600, 100)]
+    with pytest.raises(ValueError):
+        SL.parse_limits("many per hour")
+    limits = SL.limits_table(spark, {"info": "1 per hour, 2 per day"})
+    streamed = SL.grouped_limits(files(spark, split_dir), limits, "ts", "user_id", "event_type")
+    table = SL.grouped_limits(T.table(spark, sf, "events").withColumn("event_type", F.lit("info")), limits, "ts", "user_id", "event_type")
+    assert table.groupBy("seconds").agg(F.sum("n")).collect()[0][1] == T.table(spark, sf, "events").count()
+    kinds = T.table(spark, sf, "events").select("event_type").distinct().limit(1).first()[0]
+    limits = SL.limits_table(spark, {kinds: "1 per hour, 2 per day"})
+    streamed = SL.grouped_limits(files(spark, split_dir), limits, "ts", "user_id", "event_type")
+    keys = ["limit_group", "user_id", "seconds", "window_start"]
+    assert same(run_update(streamed, keys), SL.grouped_limits(T.table(spark, sf, "events"), limits, "ts", "user_id", "event_type"))
+
+
+def test_sessions_by_slice_with_a_hot_key(spark):
+    """Random times with a hot key over several slices, gaps of exactly the limit, repeats and nulls, against a plain loop."""
+    import random
+
+    from scanmill.streaming import windows as SW
+
+    rnd, base = random.Random(5), datetime.datetime(2024, 1, 1)
+    rows = [(rnd.choice([0, 0, rnd.randrange(5)]), base + datetime.timedelta(minutes=10 * rnd.randrange(3000))) for _ in range(1200)]
+    rows += rows[:50] + [(7, None), (None, base)]
+    df = spark.createDataFrame(rows, "k int, ts timestamp_ntz")
+    got = SW.sessions_by_slice(df, "k", "ts", "30 minutes", slice_seconds=7200)
+    assert same(got, SW.session_usage(df.withColumn("ts", F.col("ts").cast("timestamp")), "k", "ts", "30 minutes"))
+    want, last = [], {}
+    for k, t in sorted((r for r in rows if r[1]), key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        s = last.get(k)
+        if s and t - s[2] <= datetime.timedelta(minutes=30):
+            s[2], s[3] = t, s[3] + 1
+        else:
+            last[k] = s = [k, t, t, 1]
+            want.append(s)
+    assert sorted((str(r.k), r.start_time, r.end_time, r.documents) for r in got.collect()) == sorted((str(k), a, b, n) for k, a, b, n in want)
+    assert SW.sessions_by_slice(spark.createDataFrame([], "k int, ts timestamp_ntz"), "k", "ts").count() == 0
+
+
+def test_frames_below_the_least_quality_are_left_out(spark):
+    from scanmill.streaming.frames import extract_frames
+
+    rows = [(1, 0.9, "Government of India Aadhaar 1234 5678 9012"), (2, 0.5, "Aadhaar 1234 5678 9012"), (3, None, "Aadhaar"), (4, 0.6, None)]
+    out = {r.doc_id: r for r in extract_frames(spark.createDataFrame(rows, "doc_id int, q double, text string"), F.col("q")).collect()}
+    assert set(out) == {1, 4} and out[1].pack == "aadhaar" and out[4].pack is None
