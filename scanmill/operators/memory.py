@@ -45,9 +45,13 @@ def search_memories(
 
 
 def memory_score(as_of: str, boost: float = 0.0) -> Column:
-    """Half importance, 0.3 for recency (10 % decay a day), 0.2 for accesses, capped at one."""
+    """Half importance, 0.3 for recency (10 % decay a day), 0.2 for accesses, capped at one.
+
+    A memory dated ten days after ``as_of`` divides by zero: its recency has no bound, as in SQL over doubles.
+    """
     age = F.timestamp_diff("SECOND", F.col("timestamp"), F.lit(as_of).cast("timestamp_ntz")).cast("double") / 86400.0
-    recency = F.lit(1.0) / (F.lit(1.0) + age * 0.1)
+    decay = F.lit(1.0) + age * 0.1
+    recency = F.when(decay == 0, F.lit(float("inf"))).otherwise(F.try_divide(F.lit(1.0), decay))
     access = F.least(F.lit(1.0), F.col("access_count") * 0.1)
     return F.least(F.lit(1.0), F.col("importance") * 0.5 + recency * 0.3 + access * 0.2 + boost)
 

@@ -13,6 +13,7 @@ from scanmill.functions import screening as X
 from scanmill.functions.extension import pack_from_json, pack_to_json, register_pack
 from scanmill.functions.packs import PACKS
 from scanmill.operators import filters as Fi
+from scanmill.operators import memory as M
 
 
 def values(spark, fn, inputs):
@@ -162,3 +163,10 @@ def test_every_matching_country_rule_is_a_row(spark):
     spain, argentina = got[1, "Spain/dni"], got[1, "Argentina/dni"]
     assert (spain.document_number, argentina.document_number) == ("12345678Z", "12345678")
     assert {(r.full_name, r.date_of_birth, r.gender) for r in got.values()} == {("Ana Ruiz", "01/02/1990", "F")}
+
+
+def test_memory_dated_ten_days_ahead_has_a_score(spark):
+    """One plus a tenth of minus ten days is zero."""
+    df = spark.sql("SELECT timestamp_ntz '2024-03-11 00:00:00' AS timestamp, 0.5D AS importance, 2L AS access_count UNION ALL SELECT timestamp_ntz '2024-03-01 00:00:00', 0.5D, 2L")
+    got = [r[0] for r in df.select(M.memory_score("2024-03-01 00:00:00").alias("s")).collect()]
+    assert got == [1.0, pytest.approx(0.25 + 0.3 + 0.04)]
