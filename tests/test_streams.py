@@ -12,7 +12,7 @@ from scanmill.streaming import alerts as AL
 from scanmill.streaming import duplicates as SD
 from scanmill.streaming import stateful as St
 from scanmill.streaming.dropped import counting_dropped, dropped_rows
-from scanmill.streaming.runner import run_append, run_update
+from scanmill.streaming.runner import run_append, run_update, stream_table
 
 
 @pytest.fixture(scope="module")
@@ -281,3 +281,17 @@ def test_frames_below_the_least_quality_are_left_out(spark):
     rows = [(1, 0.9, "Government of India Aadhaar 1234 5678 9012"), (2, 0.5, "Aadhaar 1234 5678 9012"), (3, None, "Aadhaar"), (4, 0.6, None)]
     out = {r.doc_id: r for r in extract_frames(spark.createDataFrame(rows, "doc_id int, q double, text string"), F.col("q")).collect()}
     assert set(out) == {1, 4} and out[1].pack == "aadhaar" and out[4].pack is None
+
+
+@pytest.mark.parametrize("layout", ["one file", "part files", "named files"])
+def test_a_table_streams_from_any_layout(spark, tmp_path, layout):
+    """One file, a folder of part files whose names say nothing, or files of the table's name beside each other."""
+    spark.range(10).select("id", F.lit("x").alias("x")).coalesce(1).write.parquet(f"{tmp_path}/other.parquet")
+    rows = spark.createDataFrame([(i, f"t{i}", "en", "s", 2) for i in range(20)], T.SCHEMAS["documents"])
+    d = f"{tmp_path}/documents.parquet"
+    rows.repartition(1 if layout == "one file" else 3).write.parquet(d if layout == "part files" else f"{tmp_path}/made")
+    if layout != "part files":
+        for i, f in enumerate(sorted(f for f in os.listdir(f"{tmp_path}/made") if f.endswith(".parquet"))):
+            os.rename(f"{tmp_path}/made/{f}", d if layout == "one file" else f"{tmp_path}/documents{i}.parquet")
+    got = run_append(stream_table(spark, str(tmp_path), "documents"))
+    assert same(got, rows)
