@@ -91,6 +91,15 @@ def test_near_pairs_start_no_job_while_planned(spark):
     assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == before
 
 
+def test_keyed_hashes_are_not_broadcast(spark):
+    """A hash has 56 keyed rows, which the engine's estimate leaves out: they must not be collected by the driver."""
+    h = spark.createDataFrame([(x, i, 1) for i, x in enumerate(clustered())], "h bigint, first_id bigint, copies bigint")
+    for df in (D.near_pairs(h), D.earliest_within(h), D.earliest_within(h, h)):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+        df.collect()
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
 def test_counts_in_window_across_blocks(spark):
     rnd = random.Random(1)
     secs = sorted(rnd.randint(0, 4000) for _ in range(300))
