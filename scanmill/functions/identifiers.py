@@ -275,9 +275,10 @@ def nationality(text: Column | str, countries: Sequence[tuple[str, str]], number
     rows = [(c, k.lower()) for c, k in countries]
     pattern = lambda k: LEFT + "(?:" + quoted(k) + ")" + RIGHT
     if isinstance(text, str):
-        whole = [f"WHEN contains(t, {sql_str(k)}) AND rlike(t, {sql_str(pattern(k))}) THEN '{c}'" for c, k in rows]
-        part = [f"WHEN contains(t, {sql_str(k)}) THEN '{c}'" for c, k in rows]
-        named = F.expr(let_sql(f"lower({text})", "t", f"CASE {' '.join(whole)} {' '.join(part)} END"))
+        # The keywords that occur are found once; most texts hold none and try no pattern.
+        table = ", ".join(f"named_struct('c', '{c}', 'k', {sql_str(k)}, 'p', {sql_str(pattern(k))})" for c, k in rows)
+        first = "coalesce(get(filter(held, x -> rlike(t, x.p)), 0).c, get(held, 0).c)"
+        named = F.expr(let_sql(f"lower({text})", "t", let_sql(f"filter(array({table}), x -> contains(t, x.k))", "held", first)))
     else:
         named = let(
             F.lower(text),
