@@ -3,8 +3,11 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from scanmill.functions.rules import predicate
 from scanmill.plans import load
+from scanmill.sources.identity import identity_docs
 
 QUERIES, _ = load()
 
@@ -38,3 +41,16 @@ def test_rank_limits_run_before_the_shuffle(spark, sf):
 
 def test_extraction_has_no_shuffle_beyond_spreading(spark, sf):
     assert "hashpartitioning" not in plan(spark, sf, "extract_fields")
+
+
+def test_identity_documents_are_rendered_by_all_cores(spark, sf):
+    """The file of keys is one split; the texts made of them must not be one task."""
+    docs = identity_docs(spark, sf)
+    sizes = [n for n, in docs.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert len(sizes) >= spark.sparkContext.defaultParallelism and max(sizes) < 0.3 * sum(sizes)
+
+
+def test_cheapest_detection_is_tried_first():
+    few, many = ("any", ["x"]), ("any", [f"w{i}" for i in range(50)])
+    sql = predicate(("and", many, few), "t", "low")
+    assert sql.index("'x'") < sql.index("'w0'")
