@@ -12,7 +12,7 @@ from scanmill.streaming import alerts as AL
 from scanmill.streaming import duplicates as SD
 from scanmill.streaming import stateful as St
 from scanmill.streaming.dropped import counting_dropped, dropped_rows
-from scanmill.streaming.runner import run_append, run_update, stream_table
+from scanmill.streaming.runner import rocksdb, run_append, run_update, stream_table
 
 
 @pytest.fixture(scope="module")
@@ -295,3 +295,13 @@ def test_a_table_streams_from_any_layout(spark, tmp_path, layout):
             os.rename(f"{tmp_path}/made/{f}", d if layout == "one file" else f"{tmp_path}/documents{i}.parquet")
     got = run_append(stream_table(spark, str(tmp_path), "documents"))
     assert same(got, rows)
+
+
+def test_large_state_is_kept_on_disk(spark, split_dir):
+    """The default store holds every key in memory; it is set back afterwards."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    counts, before = files(spark, split_dir).groupBy("user_id").count(), spark.conf.get(key)
+    with rocksdb(counts, large=True):
+        assert spark.conf.get(key).endswith("RocksDBStateStoreProvider")
+    assert spark.conf.get(key) == before
+    assert sum(r["count"] for r in run_update(counts, ["user_id"], large=True).collect()) == T.table(spark, "/root/testdata/sf0.001", "events").count()
