@@ -6,7 +6,9 @@ counts and the node's largest counts; only pairs that pass this bound are verifi
 
 How the join is spread: sets that are equal are one point. Sets with Jaccard at least t share one of the first
 n - ceil(t n) + 1 n-grams in any common order, so points meet by those; the order takes rare n-grams first, by a table of
-counts over all documents in a fixed number of cells. Among the points that meet, an R-tree is searched in units of at most
+counts over all documents in a fixed number of cells. A pair is looked at where it meets first: two sets whose n-grams before
+a shared one are equal too have met there, and from their first shared n-gram on they share at most what is left of either.
+Keys at which no pair meets first or has enough left go no further. Among the points that meet, an R-tree is searched in units of at most
 `UNIT` by `UNIT` points, so a frequent n-gram is shared by many tasks. First the pairs with the largest bounds that would
 join points into one tree are verified, at most one per point; then all pairs that pass the bound and are not yet in one
 component. No pair that could change a component is left out, and pairs inside a component are not written.
@@ -190,8 +192,10 @@ def _forest(a: np.ndarray, b: np.ndarray, bound: np.ndarray) -> np.ndarray:
     return np.array(used, np.int64)
 
 
-def _unit_pairs(ids: np.ndarray, label: np.ndarray, size: np.ndarray, count: np.ndarray, left: np.ndarray, same: bool, t: Fraction, forest: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one unit that pass the bound and have two labels: within its points, or between its left and right ones."""
+def _unit_pairs(
+    ids: np.ndarray, label: np.ndarray, size: np.ndarray, count: np.ndarray, rest: np.ndarray, prev: np.ndarray, left: np.ndarray, same: bool, t: Fraction, forest: bool
+) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one unit that meet here first, pass the bound and have two labels: within its points, or between its left and right ones."""
     one, two = (np.arange(len(ids)),) * 2 if same else (np.flatnonzero(left), np.flatnonzero(~left))
     if not len(one) or not len(two):
         return ids[:0], ids[:0]
@@ -201,6 +205,7 @@ def _unit_pairs(ids: np.ndarray, label: np.ndarray, size: np.ndarray, count: np.
         found, bound = tree.search(count[i], int(size[i]), t)
         j = two[found]
         ok = (label[j] != label[i]) & ((j > i) if same else True)
+        ok &= (prev[j] != prev[i]) & (np.minimum(rest[j], rest[i]) >= _needed(size[j], size[i], t))
         if ok.any():
             j, bound = j[ok], bound[ok]
             a.append(np.full(len(j), i))
@@ -215,8 +220,27 @@ def _unit_pairs(ids: np.ndarray, label: np.ndarray, size: np.ndarray, count: np.
     return ids[x], ids[y]
 
 
+def _meetings(reps: DataFrame, t: Fraction) -> DataFrame:
+    """(key, id, n_grams, rest, prev): keys at which two points meet first, and of their points those with enough n-grams left.
+
+    `rest` counts the n-grams of the set from the key on, `prev` is the n-gram before it; the first has its id there. Where all
+    have one `prev`, all have met before. With a set of b n-grams, a set of a shares its first n-gram at a key only if both
+    have t (a + b) / (1 + t) n-grams left.
+    """
+    keyed = reps.select(F.col("doc_id").alias("id"), "n_grams", "keys", F.posexplode("keys").alias("pos", "key"))
+    prev = F.coalesce(F.get("keys", F.col("pos") - 1), F.col("id"))
+    keyed = keyed.select("key", "id", "n_grams", (F.col("n_grams") - F.col("pos")).alias("rest"), prev.alias("prev"))
+    room = (t.numerator + t.denominator) * F.col("rest") - t.numerator * F.col("n_grams")
+    each = Window.partitionBy("key")
+    seen = keyed.withColumns({
+        "_lo": F.min("prev").over(each), "_hi": F.max("prev").over(each), "_room": F.max(room).over(each), "_least": F.min("n_grams").over(each),
+    })
+    enough = (F.col("_room") >= t.numerator * F.col("n_grams")) & (room >= t.numerator * F.col("_least"))
+    return seen.where((F.col("_lo") < F.col("_hi")) & enough).select(*keyed.columns)
+
+
 def _candidates(meet: DataFrame, points: DataFrame, labels: DataFrame | None, t: Fraction, forest: bool) -> DataFrame:
-    """Distinct pairs (a, b) of points that share a key, have two labels and pass the bound."""
+    """Distinct pairs (a, b) of points that share a key, have two labels and pass the bounds."""
     if labels is None:
         labelled = meet.withColumn("label", F.col("id"))
     else:
@@ -225,8 +249,8 @@ def _candidates(meet: DataFrame, points: DataFrame, labels: DataFrame | None, t:
     open_keys = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", F.ceil(F.col("n") / UNIT).cast("int").alias("blocks"))
     rows = labelled.join(open_keys, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = rows.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), (F.col("block") <= F.col("other")).alias("left"), "id", "label")
-    units = units.join(points.select(F.col("doc_id").alias("id"), "n_grams", "point"), "id")
+    units = rows.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), (F.col("block") <= F.col("other")).alias("left"), "id", "label", "n_grams", "rest", "prev")
+    units = units.join(points.select(F.col("doc_id").alias("id"), "n_grams", "point"), ["id", "n_grams"])
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,13 +271,14 @@ def _candidates(meet: DataFrame, points: DataFrame, labels: DataFrame | None, t:
             yield from solve(rest, np.array([0, rest.num_rows]))
 
     def solve(table: pa.Table, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
-        ids, label, size, x, y = (table.column(c).to_numpy() for c in ("id", "label", "n_grams", "x", "y"))
+        ids, label, size, left_over, prev, x, y = (table.column(c).to_numpy() for c in ("id", "label", "n_grams", "rest", "prev", "x", "y"))
         left = table.column("left").to_numpy()
         packed = table.column("point").to_pylist()
         a, b = [], []
         length = np.diff(ends)
         two = ends[:-1][length == 2]  # most units: one pair, without a tree
-        two = two[label[two] != label[two + 1]]
+        two = two[(label[two] != label[two + 1]) & (prev[two] != prev[two + 1])]
+        two = two[np.minimum(left_over[two], left_over[two + 1]) >= _needed(size[two], size[two + 1], t)]
         for part in np.array_split(two, len(two) // 4096 + 1):
             if len(part):
                 p, q = _unpack([packed[i] for i in part]), _unpack([packed[i + 1] for i in part])
@@ -262,7 +287,7 @@ def _candidates(meet: DataFrame, points: DataFrame, labels: DataFrame | None, t:
                 b.append(ids[part[ok] + 1])
         for start, n in zip(ends[:-1][length > 2], length[length > 2], strict=True):
             s = slice(start, start + n)
-            i, j = _unit_pairs(ids[s], label[s], size[s], _unpack(packed[s]), left[s], bool(x[start] == y[start]), t, forest)
+            i, j = _unit_pairs(ids[s], label[s], size[s], _unpack(packed[s]), left_over[s], prev[s], left[s], bool(x[start] == y[start]), t, forest)
             a.append(i)
             b.append(j)
         if a and sum(map(len, a)):
@@ -306,10 +331,7 @@ def join(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5)) -> D
     first = stored(first)
     same_row = (F.col("doc_id") == F.col("rep")) & (F.col("sid") == F.col("_sid"))
     reps = every.join(first.withColumnRenamed("sid", "_sid"), same_row, "left_semi").dropDuplicates(["doc_id", "sid"])
-    # Only n-grams at which two points meet go on.
-    keyed = reps.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key"))
-    shared = keyed.select("key", "id", F.count("*").over(Window.partitionBy("key")).alias("n")).where("n > 1").drop("n")
-    meet = stored(shared)
+    meet = stored(_meetings(reps, threshold))
     at = reps.select("doc_id", "n_grams", "point")
     links = stored(verified(_candidates(meet, at, None, threshold, True), docs, n, threshold))
     rest = stored(verified(_candidates(meet, at, components(links), threshold, False), docs, n, threshold))

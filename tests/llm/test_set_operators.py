@@ -109,6 +109,23 @@ def test_units_of_a_frequent_key(make, monkeypatch):
     assert sorted(tuple(r) for r in jaccard_join.join(make(rows)).collect()) == joined([(i, t) for i, t, _ in rows])
 
 
+def test_copies_meet_once_not_at_each_shared_ngram(make, monkeypatch):
+    met = []
+    candidates = jaccard_join._candidates
+
+    def spy(meet, *args):
+        pairs = candidates(meet, *args)
+        met.append((meet.count(), pairs.count()))
+        return pairs
+
+    monkeypatch.setattr(jaccard_join, "_candidates", spy)
+    words = [[f"w{k}x{i}" for i in range(200)] for k in range(20)]
+    rows = [(2 * k + c, " ".join([*w[: 100 + 80 * c], "other", *w[101 + 80 * c :]]), "a") for k, w in enumerate(words) for c in (0, 1)]
+    assert sorted(tuple(r) for r in jaccard_join.join(make(rows)).collect()) == joined([(i, t) for i, t, _ in rows])
+    # each of the 40 texts has 41 n-grams to meet by, of which its copy has nearly all
+    assert met[0][0] < 40 * 41 / 3 and met[0][1] == 20
+
+
 def test_tree_loses_no_pair():
     rng = np.random.default_rng(0)
     t = Fraction(4, 5)
