@@ -36,7 +36,8 @@ from scanmill.session import stored
 VOCAB, SENT, CLASSES, SIZE, WINDOW, LANES, ROUNDS = 4096, 100_000, 64, 16, 32, 512, 2
 #: Lanes in training: fewer tokens for each step of the weights.
 TRAIN_LANES = 384
-#: Bytes of text that are laid out in lanes at once: many texts, so that the longest leaves few steps for itself.
+#: Bytes of text that are laid out in lanes at once: many texts, so that the longest leaves few steps for itself. Their words are
+#: read in the smaller pieces of `words.pieces`, which leave only a number for each token.
 PIECE = 16 << 20
 #: Windows over which a task's rate rises to its full value.
 WARM = 20
@@ -220,7 +221,7 @@ class Lanes:
         prev = np.concatenate([[END], token[:-1]]).astype(np.int32) if len(token) else token
         prev[new] = END
         length = np.array([sum(len(ids[i]) for i in lane) for lane in own], np.int64)
-        return Lanes(token, prev, new, np.repeat(np.array(order, np.int64), lengths), np.cumsum(length) - length, length)
+        return Lanes(token, prev, new, np.repeat(np.array(order, np.int32), lengths), np.cumsum(length) - length, length)
 
     def windows(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(positions, valid), lanes x WINDOW each; lanes that have ended are left out."""
@@ -297,8 +298,7 @@ def train(docs: DataFrame, counts: Counts, rounds: int = ROUNDS, rate: float = 0
             mean, var, t, seen = np.zeros_like(model.vector), np.zeros_like(model.vector), 0, 0
             salt = 0
             for batch in pieces(batches, most=PIECE):
-                begin, number, _, _ = reader.read(batch.column("text"))
-                lanes = Lanes.of(reader.texts(begin, number), TRAIN_LANES)
+                lanes = Lanes.of([x for part in pieces(iter([batch])) for x in reader.texts(*reader.read(part.column("text"))[:2])], TRAIN_LANES)
                 salt ^= xxhash.xxh3_64_intdigest(lanes.token.tobytes())
                 h = np.zeros((len(lanes.length), SIZE), np.float32)
                 for at, valid in lanes.windows():
@@ -339,10 +339,13 @@ def score(docs: DataFrame, held_out: int = 1) -> DataFrame:
         model.vector[...] = vector.value
         logc = np.log10(np.append(counts.count, 0) + 0.5)
         for batch in pieces(batches, most=PIECE):
-            start, number, words, codes = reader.read(batch.column("text"))
-            n_rows, n_words = batch.num_rows, np.diff(start)
-            rows = np.repeat(np.arange(n_rows), n_words)
-            lanes = Lanes.of(reader.texts(start, number))
+            ids, parts = [], []
+            for part in pieces(iter([batch])):
+                tokens, columns = counted_words(part, reader, counts, logc)
+                ids += tokens
+                parts.append(columns)
+            lanes, n_rows = Lanes.of(ids), len(ids)
+            del ids
             likely = np.zeros(n_rows)
             h = np.zeros((len(lanes.length), SIZE), np.float32)
             for at, valid in lanes.windows():
@@ -351,28 +354,39 @@ def score(docs: DataFrame, held_out: int = 1) -> DataFrame:
                 logp, _ = model.outputs(after[valid], lanes.token[at][valid])
                 likely += np.bincount(lanes.text[at][valid], logp, n_rows)
                 h = h_next
-            sent, own = number >= 0, (number >= 0) & (number < VOCAB)
-            base = np.bincount(rows, np.where(sent, logc[number], 0.0), n_rows) + np.log10(counts.texts + 0.5)
-            other = np.bincount(rows, np.where(sent & ~own, logc[number], 0.0), n_rows)
-            n_other = np.bincount(rows, ~own, n_rows)
-            # words that were not sent go on with their number in the text
-            rare = np.flatnonzero(~sent)
-            pairs, times = np.unique(rows[rare] * max(len(words), 1) + codes[rare], return_counts=True)
-            ends = np.searchsorted(pairs // max(len(words), 1), np.arange(n_rows + 1)).astype(np.int32)
-            taken = words.take(pa.array(pairs % max(len(words), 1))).cast(pa.string())
-            texts = pc.fill_null(batch.column("text"), "").to_pylist()
-            columns = {
-                "doc_id": batch.column("doc_id"),
-                "fold": batch.column("fold"),
-                "h": pa.array(np.array([xxhash.xxh3_64_intdigest(t) for t in texts], np.uint64).astype(np.int64)),
-                "n_tokens": pa.array(n_words + 1),
-                "n_sent": pa.array(np.bincount(rows, sent, n_rows).astype(np.int64)),
-                "base": pa.array(base),
-                "part_score": pa.array(likely / np.log(10) + other - n_other * np.log10(counts.other_floor)),
-                "rare": pa.ListArray.from_arrays(pa.array(ends), taken),
-                "times": pa.ListArray.from_arrays(pa.array(ends), pa.array(times.astype(np.int64))),
-            }
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+            first = 0
+            for columns in parts:
+                of_part = likely[first : first + len(columns["doc_id"])] / np.log(10)
+                first += len(of_part)
+                columns["part_score"] = pa.array(of_part + columns["part_score"])
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    def counted_words(part: pa.RecordBatch, reader: Reader, counts: Counts, logc: np.ndarray) -> tuple[list[np.ndarray], dict]:
+        """(model tokens of each text, columns); `part_score` lacks what the recurrent model gives."""
+        start, number, words, codes = reader.read(part.column("text"))
+        n_rows, n_words = part.num_rows, np.diff(start)
+        rows = np.repeat(np.arange(n_rows), n_words)
+        sent, own = number >= 0, (number >= 0) & (number < VOCAB)
+        base = np.bincount(rows, np.where(sent, logc[number], 0.0), n_rows) + np.log10(counts.texts + 0.5)
+        other = np.bincount(rows, np.where(sent & ~own, logc[number], 0.0), n_rows)
+        n_other = np.bincount(rows, ~own, n_rows)
+        # words that were not sent go on with their number in the text
+        rare = np.flatnonzero(~sent)
+        pairs, times = np.unique(rows[rare] * max(len(words), 1) + codes[rare], return_counts=True)
+        ends = np.searchsorted(pairs // max(len(words), 1), np.arange(n_rows + 1)).astype(np.int32)
+        taken = words.take(pa.array(pairs % max(len(words), 1))).cast(pa.string())
+        texts = pc.fill_null(part.column("text"), "").to_pylist()
+        return reader.texts(start, number), {
+            "doc_id": part.column("doc_id"),
+            "fold": part.column("fold"),
+            "h": pa.array(np.array([xxhash.xxh3_64_intdigest(t) for t in texts], np.uint64).astype(np.int64)),
+            "n_tokens": pa.array(n_words + 1),
+            "n_sent": pa.array(np.bincount(rows, sent, n_rows).astype(np.int64)),
+            "base": pa.array(base),
+            "part_score": other - n_other * np.log10(counts.other_floor),
+            "rare": pa.ListArray.from_arrays(pa.array(ends), taken),
+            "times": pa.ListArray.from_arrays(pa.array(ends), pa.array(times.astype(np.int64))),
+        }
 
     schema = "doc_id long, fold long, h long, n_tokens long, n_sent long, base double, part_score double, rare array<string>, times array<long>"
     scored = stored(docs.mapInArrow(run, schema))

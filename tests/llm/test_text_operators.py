@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -133,6 +134,20 @@ def test_base_scores_and_counts(spark, sf, table):
         assert r["score"] < 0
 
 
+def test_scoring_reads_the_words_of_a_piece_at_a_time(make, monkeypatch):
+    tasks, read = [], []
+    docs, split = make([(i, "a b c d", "a") for i in range(20)]), gru_lm.split
+    through = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, *a, **k: (tasks.append(f), through(self, f, *a, **k))[1])
+    scored = gru_lm.score(docs)
+    texts = [f"b {chr(97 + i)} word{i} " * 120_000 for i in range(6)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(6)), "text": texts, "fold": [0] * 6})
+    monkeypatch.setattr(gru_lm, "split", lambda t, **k: (read.append(t.nbytes), split(t, **k))[1])
+    got = [r for out in tasks[-1](iter([batch])) for r in out.to_pylist()]
+    assert [(r["doc_id"], r["n_tokens"]) for r in got] == [(i, 360_001) for i in range(6)] and scored.count() == 20
+    assert sum(read) > 6_000_000 and max(read) < 4_500_000
+
+
 def small_counts():
     return gru_lm.Counts(list("abcdefgh"), np.array([40, 30, 20, 10, 5, 4, 3, 2]), 10, 200, 100)
 
