@@ -2,6 +2,7 @@
 
 import collections
 import itertools
+import pathlib
 import re
 import time
 from fractions import Fraction
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from scanmill.llm import jaccard_join, main_text, mixing, queries, rp_forest
 from scanmill.llm.components import components
 from scanmill.llm.dealt import runs
+from scanmill.session import stored
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({c: c + 32 for c in range(65, 91)})
@@ -126,6 +128,21 @@ def test_copies_meet_once_not_at_each_shared_ngram(make, monkeypatch):
     assert met[0][0] < 40 * 41 / 3 and met[0][1] == 20
 
 
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        return {p.name for folder in manager.localDirsString() for p in pathlib.Path(folder).rglob("shuffle_*.data")}
+
+    before = files()
+    df = spark.range(10_000).selectExpr("id % 100 AS k", "id").repartition(4, "k")
+    got = stored(df)
+    end = time.monotonic() + 30
+    while (left := files() - before) and time.monotonic() < end:
+        time.sleep(0.2)
+    assert not left and got.count() == stored(got.join(df.select("id"), "id")).count() == df.count() == 10_000
+
+
 def test_tree_loses_no_pair():
     rng = np.random.default_rng(0)
     t = Fraction(4, 5)
