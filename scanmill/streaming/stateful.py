@@ -9,8 +9,10 @@ removes it, so idle keys hold no state. The input needs a watermark; rows later
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -269,28 +271,67 @@ def quality_history(df: DataFrame, key: str, value: str, order: str, ts: str, ke
     return grouped.transformWithStateInPandas(_History(keep, life), "key string, kept bigint, hundredths bigint", "Update", "EventTime")
 
 
-def idempotent(df: DataFrame, keys: list[str], ts: str = "ts", life: int = 300) -> DataFrame:
+def lives(code: np.ndarray, at: np.ndarray, life: int) -> np.ndarray:
+    """Which events start a life: `life` after the last that did. Events are in order of key and time.
+
+    An event that is `life` behind the one before it starts one in any case; only the others are decided one by one.
+    """
+    kept = np.ones(len(at), bool)
+    kept[1:] = (code[1:] != code[:-1]) | (at[1:] - at[:-1] >= life)
+    last, before = 0, -2
+    for i in np.flatnonzero(~kept).tolist():
+        if before != i - 1:
+            last = int(at[i - 1])
+        before, x = i, int(at[i])
+        if x - last >= life:
+            kept[i], last = True, x
+    return kept
+
+
+def idempotent(df: DataFrame, keys: list[str], ts: str = "ts", life: int = 300, buckets: int = 512) -> DataFrame:
     """Events that start a new life of their key: at least ``life`` seconds after the last one kept.
 
     A repeat does not renew the life. Events of a key are taken in event time, so the cut into micro-batches of an ordered
     input does not matter; state ends when the watermark of the input passes the life.
+
+    A call of Python costs as much as thousands of events, so keys are called in buckets of their hash: the calls are bounded
+    by ``buckets`` a batch, however many keys there are. A bucket's state holds the last event of each of its keys that lives. Keys pass through
+    Python as text, so they are of types whose text gives the value back; null is a key.
     """
-    narrow = df.select(*keys, ts, F.unix_micros(ts).alias("at"))
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias("_bucket")
+    names = [f"k{i}" for i in range(len(keys))]
+    narrow = df.select(bucket, *(F.col(c).cast("string").alias(n) for c, n in zip(keys, names, strict=True)), ts, F.unix_micros(ts).alias("at"))
+    span = life * 1_000_000
 
-    def step(k, batches, state):
+    def step(_, batches, state):
         if state.hasTimedOut:
             state.remove()
             return
-        last = state.get[0] if state.exists else None
-        kept = []
-        for at in sorted(int(x) for b in batches for x in b["at"]):
-            if last is None or at >= last + life * 1_000_000:
-                kept.append(at)
-                last = at
-        state.update((last,))
-        state.setTimeoutTimestamp(max(last // 1000 + life * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({**{c: [v] * len(kept) for c, v in zip(keys, k, strict=True)}, "at": kept})
-
+        held = [pd.DataFrame(pickle.loads(state.get[0]))] if state.exists else []
+        n_held = len(held[0]) if held else 0
+        rows = pd.concat([*held, *(b[[*names, "at"]] for b in batches)], ignore_index=True)
+        if rows["at"].hasnans:
+            raise ValueError("an event has no time")
+        code = rows.groupby(names, sort=False, dropna=False).ngroup().to_numpy()
+        at = rows["at"].to_numpy(np.int64)
+        last = np.full(code.max(initial=-1) + 1, np.iinfo(np.int64).min)
+        last[code[:n_held]] = at[:n_held]
+        # a key's first event may follow no other: the least number is no time
+        new = np.arange(n_held, len(rows))
+        old = last[code[new]]
+        new = new[(old == np.iinfo(np.int64).min) | (at[new] - span >= old)]
+        new = new[np.lexsort((at[new], code[new]))]
+        new = new[lives(code[new], at[new], span)]
+        last[code[new]] = at[new]  # in order of time, so the latest stays
+        watermark = state.getCurrentWatermarkMs()
+        first = np.unique(code, return_index=True)[1]
+        living = first[last // 1000 + life * 1000 >= watermark]
+        kept = {c: rows[c].to_numpy()[living].tolist() for c in names} | {"at": last[code[living]].tolist()}
+        state.update((pickle.dumps(kept, protocol=4),))
+        state.setTimeoutTimestamp(int(max(last.max() // 1000 + life * 1000, watermark + 1)))
+        yield rows.loc[new, [*names, "at"]]
+
+    schema = ", ".join([*(f"{n} string" for n in names), "at bigint"])
+    out = narrow.groupBy("_bucket").applyInPandasWithState(step, schema, "living binary", "append", GroupStateTimeout.EventTimeTimeout)
     types = dict(df.dtypes)
-    schema = ", ".join([*(f"{c} {types[c]}" for c in keys), "at bigint"])
-    return narrow.groupBy(*keys).applyInPandasWithState(step, schema, "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    return out.select(*(F.col(n).cast(types[c]).alias(c) for c, n in zip(keys, names, strict=True)), "at")

@@ -2,6 +2,7 @@
 
 import datetime
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -146,6 +147,25 @@ def few_partitions(spark):
     spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_lives_of_many_keys_take_few_calls(spark, tmp_path):
+    """Keys share the state rows of their buckets; null and empty keys, large ids and gaps of exactly one life, in files."""
+    rnd = random.Random(6)
+    start = datetime.datetime(2024, 1, 1)
+    keys = [(None, "a"), (None, None), (2**60 + 1, ""), (2**60 + 2, None), *((u, "b") for u in range(300))]
+    rows = sorted(((start + datetime.timedelta(seconds=rnd.randrange(0, 1500, 100)), *k) for k in keys for _ in range(4)), key=lambda r: r[0])
+    want, last = [], {}
+    for ts, *k in rows:
+        at = round((ts - start).total_seconds())
+        if tuple(k) not in last or at >= last[tuple(k)] + 300:
+            last[tuple(k)] = at
+            want.append((*k, (BASE + at) * 1_000_000))
+    for n in (1, 3):
+        s = in_files(spark, rows, "ts timestamp, user_id bigint, document_type string", n, f"{tmp_path}/f{n}").withWatermark("ts", "300 seconds")
+        got = run_append(St.idempotent(s, ["user_id", "document_type"], life=300, buckets=4), f"{tmp_path}/o{n}")
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+        assert 0 < spark.read.format("statestore").load(f"{tmp_path}/o{n}/_state").count() <= 4
+
+
 def test_limiter_decides_by_event_time_whatever_the_files(spark, tmp_path):
     """A second in two files is one row, a late second is decided before those after it."""
     rows = [("a", 10), ("a", 10), ("b", 5), ("a", 10), ("a", 40), ("a", 20), ("b", 30), ("a", 21), ("b", 400), ("a", 500), ("c", 9000), ("c", 9001)]
