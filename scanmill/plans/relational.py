@@ -366,10 +366,11 @@ p AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 1), lambd
 SELECT doc_id, lang, item_id, phrase FROM documents JOIN p ON contains(lower(text), phrase)""")
 def phrase_match_join(spark, d):
     """Documents that contain three successive words of a benchmark item: a rule table that grows with its source."""
-    w = F.regexp_extract_all(F.lower("text"), F.lit(r"([^\x20\x09-\x0D]+)"))
-    three = F.transform("w", lambda x, i: F.array_join(F.slice("w", i + 1, 3), " "))
-    items = T.table(spark, d, "benchmark").select("item_id", w.alias("w")).where("size(w) > 2")
-    table = items.select("item_id", F.explode(F.slice(three, F.lit(1), F.size("w") - 2)).alias("phrase")).distinct()
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"([^\x20\x09-\x0D]+)"))
+    # The words are bound once for each item: written in place of `w` they would be found again for each three.
+    threes = lambda w: F.when(F.size(w) > 2, F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.array_join(F.slice(w, i, 3), " ")))
+    items = T.spread(T.table(spark, d, "benchmark"))
+    table = items.select("item_id", F.explode(F.transform(F.array(words), threes)[0]).alias("phrase")).distinct()
     return P.phrase_matches(T.spread(T.table(spark, d, "documents").select("doc_id", "lang", "text")), table)
 
 

@@ -136,6 +136,37 @@ def test_phrases_meet_by_key(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_grams_of_texts_are_their_bytes(spark):
+    """Every piece of 8 bytes and of a smaller size, none over the end of a text; the texts are not cut into a row for each q-gram."""
+    import numpy as np
+    import pyarrow as pa
+
+    texts = ["invoice number", "", None, "a\U0001F600b", "short", "é" * 9]
+    batch = pa.RecordBatch.from_arrays([pa.array(["skipped", *texts])], names=["low"]).slice(1)
+    got = sorted((int(r), int(g)) for _, row, gram in P.text_grams(iter([batch]), [3]) for r, g in zip(row, gram))
+    raw = [(t or "").encode() for t in texts]
+    want = [(r, int.from_bytes(b[i : i + 8], "little")) for r, b in enumerate(raw) for i in range(len(b) - 7)]
+    want += [(r, int.from_bytes(b[i : i + 3], "little") | 3 << 56) for r, b in enumerate(raw) for i in range(len(b) - 2)]
+    assert got == sorted(want)
+    bits = np.unpackbits(P.taken_cells(spark.createDataFrame([(0,), (65_535,), (65_536,), (P.CELLS - 1,)], "cell long")), bitorder="little")
+    assert np.flatnonzero(bits).tolist() == [0, 65_535, 65_536, P.CELLS - 1]
+
+
+def test_long_items_give_their_phrases_in_linear_time(spark, tmp_path):
+    """An item of 20,000 words: its words were found once for each three of them."""
+    import time
+
+    from scanmill.plans import relational as R
+
+    words = [f"w{i}" for i in range(20_000)]
+    spark.createDataFrame([(1, " ".join(words)), (2, "one two"), (3, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = [(1, "Xw5 w6 w7x", "en", "s", 10), (2, None, "en", "s", None)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    start = time.monotonic()
+    assert [tuple(r) for r in R.phrase_match_join(spark, str(tmp_path)).collect()] == [(1, "en", 1, "w5 w6 w7")]
+    assert time.monotonic() - start < 60
+
+
 def test_a_batch_writes_its_days_only(spark, tmp_path):
     path = f"{tmp_path}/fact"
     rows = lambda days: spark.createDataFrame([(k, datetime.date(2024, 1, n) if n else None, 1) for n in days for k in range(5)], "k long, date date, n long")
