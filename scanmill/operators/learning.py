@@ -35,7 +35,11 @@ def tfidf(df: DataFrame, text: str = "text", vocabulary: int = VOCABULARY) -> Pi
 
     Counts are combined before the shuffle and only the vocabulary reaches the driver. The model reads the column ``terms``.
     """
-    t = terms(df, text)
+    return weights(terms(df, text), vocabulary)
+
+
+def weights(t: DataFrame, vocabulary: int = VOCABULARY) -> PipelineModel:
+    """`tfidf` of rows that have their ``terms``, which are read twice."""
     counts = t.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
     known = [r.term for r in counts.orderBy(F.desc("n"), "term").limit(vocabulary).collect()]
     if not known:
@@ -184,9 +188,12 @@ def classify_chain(model: DataFrame, rules: DataFrame, key: str, least: float =
 def train_text_model(labelled: DataFrame, classes: Sequence[str], text: str = "text", label: str = "label") -> PipelineModel:
     """Multinomial logistic regression on weighted terms; labels are positions in the list of classes."""
     train = labelled.withColumn("_y", (F.array_position(F.array(*[F.lit(x) for x in classes]), F.col(label)) - 1).cast("double"))
-    weights = tfidf(train, text)
-    model = LogisticRegression(featuresCol="tfidf", labelCol="_y", family="multinomial", regParam=0.001, maxIter=50)
-    return PipelineModel([*weights.stages, model.fit(weights.transform(terms(train.filter("_y >= 0"), text)))])
+    # Terms are dear and the fits read their rows many times: terms and weights are written once.
+    found = stored(terms(train, text).select("_y", "terms"))
+    model = weights(found)
+    weighed = stored(model.transform(found.filter("_y >= 0")).select("_y", "tfidf"))
+    fit = LogisticRegression(featuresCol="tfidf", labelCol="_y", family="multinomial", regParam=0.001, maxIter=50).fit(weighed)
+    return PipelineModel([*model.stages, fit])
 
 
 def predict_text(model: PipelineModel, df: DataFrame, classes: Sequence[str], key: str, text: str = "text") -> DataFrame:

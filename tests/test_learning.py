@@ -63,3 +63,21 @@ def test_calibrated_margins_tell_probabilities(spark):
     assert all(abs(p[:, c].mean() - (y == c).mean()) < 0.05 for c in range(3))
     sure = p.max(axis=1) > 0.8
     assert abs(p.max(axis=1)[sure].mean() - (p.argmax(axis=1) == y)[sure].mean()) < 0.1
+
+
+def test_a_text_model_finds_the_terms_of_a_text_once(spark):
+    """Terms were found again for the vocabulary, the weights and each pass of the fit."""
+    passes = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        passes.add(1)
+        return text
+
+    rows = [(i, ("red apple tree " if i % 2 else "blue sea wave ") + f"n{i % 7}", "land" if i % 2 else "water") for i in range(60)] + [(60, None, "none")]
+    df = spark.createDataFrame(rows, "id int, text string, label string")
+    classes = ["land", "water"]
+    model = L.train_text_model(df.withColumn("text", seen("text")), classes)
+    assert passes.value == len(rows)
+    got = {r.id: r.predicted for r in L.predict_text(model, df.filter("id < 60"), classes, "id").collect()}
+    assert got == {i: label for i, _, label in rows[:60]}
