@@ -67,6 +67,30 @@ class Counts:
         return self.tokens - self.texts - int(self.count[:own].sum()) + 0.5 * (rest + 1)
 
 
+#: Spread of logits up to which their exponentials are taken from one bound for all rows, without each row's largest.
+SAFE = 60.0
+
+
+def _reach(weights: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each group of rows from `first` on: what no logit exceeds, and what the largest one reaches. No component of a state exceeds 1."""
+    size = np.abs(weights[:, :-1]).sum(1)
+    return np.maximum.reduceat(weights[:, -1] + size, first), np.maximum.reduceat(weights[:, -1] - size, first)
+
+
+def _softmax(hs: np.ndarray, weights: np.ndarray, own: np.ndarray, most: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(logit of each row's own column, exponentials, their sums), all from one offset for a row."""
+    safe = most[0] - least[0] < SAFE
+    if safe:
+        weights = weights.copy()
+        weights[:, -1] -= most[0]
+    x = hs @ weights.T
+    if not safe:
+        x -= x.max(1, keepdims=True)
+    logit = x[np.arange(len(x)), own]
+    np.exp(x, out=x)
+    return logit, x, x @ np.ones(x.shape[1], x.dtype)
+
+
 class Model:
     """Parameters in one vector: embedding, recurrent, class and word weights; the last two start as the shares of the counts."""
 
@@ -96,15 +120,29 @@ class Model:
     def steps(self, prev: np.ndarray, new: np.ndarray, h: np.ndarray) -> tuple[list[tuple[np.ndarray, ...]], np.ndarray]:
         """Run the cell over prev (lanes x steps), from state h; new marks the start of a text."""
         e, w, u, b = (self.part(self.vector, k) for k in "ewub")
-        gx = e[prev] @ w + b[0]
+        lanes, steps = prev.shape
+        # one product over all steps, in order of time: a step reads its own rows
+        gx = e[prev.T.ravel()] @ w
+        gx += b[0]
+        gx = gx.reshape(steps, lanes, 3 * SIZE)
         trace = []
-        for t in range(prev.shape[1]):
-            h = np.where(new[:, t, None], np.float32(0), h)
-            gh = h @ u + b[1]
-            zr = 0.5 * np.tanh(0.5 * (gx[:, t, : 2 * SIZE] + gh[:, : 2 * SIZE])) + 0.5
+        for t in range(steps):
+            if new[:, t].any():
+                h = np.where(new[:, t, None], np.float32(0), h)
+            gh = h @ u
+            gh += b[1]
+            zr = gx[t, :, : 2 * SIZE] + gh[:, : 2 * SIZE]
+            zr *= np.float32(0.5)
+            np.tanh(zr, out=zr)
+            zr *= np.float32(0.5)
+            zr += np.float32(0.5)
             z, r, q = zr[:, :SIZE], zr[:, SIZE:], gh[:, 2 * SIZE :]
-            n = np.tanh(gx[:, t, 2 * SIZE :] + r * q)
-            out = n + z * (h - n)
+            n = r * q
+            n += gx[t, :, 2 * SIZE :]
+            np.tanh(n, out=n)
+            out = h - n
+            out *= z
+            out += n
             trace.append((h, z, r, q, n))
             h = out
         return trace, h
@@ -113,39 +151,40 @@ class Model:
         """Log probability of each token given its state; with `grad`, adds the gradients of their negative sum and returns that of h."""
         cw, cb, ow, ob = (self.part(self.vector, k) for k in ("cw", "cb", "ow", "ob"))
         order = np.argsort(self.cls[token], kind="stable")
-        token, hs = token[order], h[order]
+        token = token[order]
         cls = self.cls[token]
-        logits = hs @ cw + cb
-        logits -= logits.max(1, keepdims=True)
-        p = np.exp(logits)
-        total = p.sum(1)
+        # a last component of one takes the bias into the products
+        hs = np.concatenate([h, np.ones((len(h), 1), h.dtype)], 1)[order]
         at = np.arange(len(token))
-        logp = (logits[at, cls] - np.log(total)).astype(np.float64)
+        classes, words = np.concatenate([cw.T, cb[:, None]], 1), np.concatenate([ow, ob[:, None]], 1)
+        logit, p, total = _softmax(hs, classes, cls, *_reach(classes, np.zeros(1, int)))
+        logp = (logit - np.log(total)).astype(np.float64)
         dh = None
         if grad is not None:
-            p /= total[:, None]
+            p *= (1 / total)[:, None]
             p[at, cls] -= 1
-            self.part(grad, "cw")[...] += hs.T @ p
-            self.part(grad, "cb")[...] += p.sum(0)
-            dh = p @ cw.T
+            g = hs.T @ p
+            self.part(grad, "cw")[...] += g[:SIZE]
+            self.part(grad, "cb")[...] += g[SIZE]
+            dh = p @ classes[:, :SIZE]
         ends = np.concatenate([[0], np.flatnonzero(np.diff(cls)) + 1, [len(cls)]])
+        most, least = _reach(words, self.first[:-1])
         for a, z in zip(ends[:-1], ends[1:], strict=True):
             if a == z:
                 continue
-            i, j = self.first[cls[a]], self.first[cls[a] + 1]
+            c = cls[a]
+            i, j = self.first[c], self.first[c + 1]
             if j - i == 1:
                 continue
-            x = hs[a:z] @ ow[i:j].T + ob[i:j]
-            x -= x.max(1, keepdims=True)
-            q = np.exp(x)
-            s = q.sum(1)
-            rows = at[: z - a]
-            logp[a:z] += x[rows, token[a:z] - i] - np.log(s)
+            own = token[a:z] - i
+            logit, q, s = _softmax(hs[a:z], words[i:j], own, most[c : c + 1], least[c : c + 1])
+            logp[a:z] += logit - np.log(s)
             if grad is not None:
-                q /= s[:, None]
-                q[rows, token[a:z] - i] -= 1
-                self.part(grad, "ow")[i:j] += q.T @ hs[a:z]
-                self.part(grad, "ob")[i:j] += q.sum(0)
+                q *= (1 / s)[:, None]
+                q[at[: z - a], own] -= 1
+                g = q.T @ hs[a:z]
+                self.part(grad, "ow")[i:j] += g[:, :SIZE]
+                self.part(grad, "ob")[i:j] += g[:, SIZE]
                 dh[a:z] += q @ ow[i:j]
         back = np.empty_like(order)
         back[order] = at

@@ -177,6 +177,26 @@ def test_gradient_of_the_cell_and_outputs():
         assert math.isclose(grad[k], (up - down) / 2e-5, rel_tol=1e-3, abs_tol=1e-5)
 
 
+@pytest.mark.parametrize("scale", [0.1, 100.0])
+def test_outputs_equal_a_plain_softmax(scale):
+    """Small weights, whose logits have one bound for all rows, and weights beyond it; no row's largest is looked for below the bound."""
+    model = gru_lm.Model(small_counts())
+    rng = np.random.default_rng(2)
+    model.vector[...] = rng.normal(size=len(model.vector)) * scale
+    h = rng.uniform(-1, 1, (40, gru_lm.SIZE)).astype(np.float32)
+    token = rng.integers(0, 10, 40)
+    cw, cb, ow, ob = (model.part(model.vector, k).astype(np.float64) for k in ("cw", "cb", "ow", "ob"))
+    log_softmax = lambda x, i: x[i] - x.max() - math.log(np.exp(x - x.max()).sum())
+    want = []
+    for x, k in zip(h.astype(np.float64), token):
+        c = model.cls[k]
+        i, j = model.first[c], model.first[c + 1]
+        want.append(log_softmax(x @ cw + cb, c) + log_softmax(ow[i:j] @ x + ob[i:j], k - i))
+    assert np.allclose(model.outputs(h, token)[0], want, rtol=1e-4, atol=1e-3 * max(1, scale / 10))
+    most, least = gru_lm._reach(np.concatenate([cw.T, cb[:, None]], 1), np.zeros(1, int))
+    assert (most[0] - least[0] < gru_lm.SAFE) == (scale < 1)
+
+
 def test_factored_outputs_sum_to_one_and_state_is_carried():
     model = gru_lm.Model(small_counts())
     h = np.random.default_rng(0).normal(size=(1, gru_lm.SIZE)).astype(np.float32)
