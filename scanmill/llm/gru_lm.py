@@ -39,6 +39,8 @@ TRAIN_LANES = 384
 #: Bytes of text that are laid out in lanes at once: many texts, so that the longest leaves few steps for itself. Their words are
 #: read in the smaller pieces of `words.pieces`, which leave only a number for each token.
 PIECE = 16 << 20
+#: Rows whose outputs are worked on at once.
+BLOCK = 2048
 #: Windows over which a task's rate rises to its full value.
 WARM = 20
 OTHER, END = 0, 1
@@ -77,18 +79,42 @@ def _reach(weights: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.maximum.reduceat(weights[:, -1] + size, first), np.maximum.reduceat(weights[:, -1] - size, first)
 
 
-def _softmax(hs: np.ndarray, weights: np.ndarray, own: np.ndarray, most: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(logit of each row's own column, exponentials, their sums), all from one offset for a row."""
-    safe = most[0] - least[0] < SAFE
-    if safe:
-        weights = weights.copy()
-        weights[:, -1] -= most[0]
+def _lowered(weights: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(weights whose biases lack what no logit of their group exceeds, which groups of rows this is safe for)."""
+    most, least = _reach(weights, first)
+    safe = most - least < SAFE
+    weights = weights.copy()
+    weights[:, -1] -= np.repeat(np.where(safe, most, 0), np.diff(first, append=len(weights))).astype(weights.dtype)
+    return weights, safe
+
+
+def _softmax(hs: np.ndarray, weights: np.ndarray, own: np.ndarray, safe: bool, learn: bool) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray] | None]:
+    """(log probability of each row's own column, gradients of their negative sum: of weights, of biases, of the rows).
+
+    The shares are never written out: what multiplies them is divided by their sums, which is a quarter as wide."""
     x = hs @ weights.T
     if not safe:
         x -= x.max(1, keepdims=True)
-    logit = x[np.arange(len(x)), own]
+    at = np.arange(len(x))
+    logit = x[at, own]
+    np.exp(x, out=x)
+    total = x @ np.ones(x.shape[1], x.dtype)
+    logp = logit - np.log(total)
+    if not learn:
+        return logp, None
+    x[at, own] -= total
+    part = 1 / total
+    back = x @ weights[:, :SIZE]
+    back *= part[:, None]
+    return logp, (x.T @ (hs[:, :SIZE] * part[:, None]), part @ x, back)
+
+
+def _sigmoid(x: np.ndarray) -> None:
+    """In place; by exponentials, which take half the time of tanh."""
+    np.negative(x, out=x)
     np.exp(x, out=x)
-    return logit, x, x @ np.ones(x.shape[1], x.dtype)
+    x += 1
+    np.reciprocal(x, out=x)
 
 
 class Model:
@@ -100,7 +126,7 @@ class Model:
         n, share = len(mass), mass / mass.sum()
         # OTHER and END are classes of their own; then words by falling counts, cut at equal shares of the mass
         part = np.cumsum(share[2:]) - share[2:] / 2
-        self.cls = np.concatenate([[0, 1], 2 + np.unique(np.minimum((part / max(part.max(initial=0), 1e-9) * (CLASSES - 2)).astype(int), CLASSES - 3), return_inverse=True)[1]]).astype(np.int32)
+        self.cls = np.concatenate([[0, 1], 2 + np.unique(np.minimum((part / max(part.max(initial=0), 1e-9) * (CLASSES - 2)).astype(int), CLASSES - 3), return_inverse=True)[1]]).astype(np.int16)
         self.first = np.concatenate([np.flatnonzero(np.diff(self.cls, prepend=-1)), [n]])
         n_cls = len(self.first) - 1
         rng = np.random.default_rng(SEED)
@@ -110,6 +136,7 @@ class Model:
         self.views = {k: (slice(e - int(np.prod(s)), e), s) for (k, s), e in zip(shapes.items(), ends, strict=True)}
         for k, scale in (("e", 0.5), ("w", SIZE**-0.5), ("u", SIZE**-0.5)):
             self.part(self.vector, k)[...] = rng.standard_normal(shapes[k]) * scale
+        self.rooms: dict[str, np.ndarray] = {}
         self.part(self.vector, "cb")[...] = np.log(np.add.reduceat(share, self.first[:-1]))
         self.part(self.vector, "ob")[...] = np.log(share)
 
@@ -117,116 +144,150 @@ class Model:
         where, shape = self.views[name]
         return vector[where].reshape(shape)
 
+    def room(self, name: str, *shape: int, dtype: np.dtype | type = np.float32) -> np.ndarray:
+        """Memory that windows share: to get it anew from the system for each window takes a sixth of the time."""
+        size, held = int(np.prod(shape)), self.rooms.get(name)
+        if held is None or held.size < size or held.dtype != dtype:
+            held = self.rooms[name] = np.empty(size, dtype)
+        return held[:size].reshape(shape)
+
+    def after(self, trace: list[tuple[np.ndarray, ...]], at: np.ndarray) -> np.ndarray:
+        """The states after the steps, as rows; `at` are their numbers by step, then by lane. Held until the next call."""
+        lanes = len(trace[0][0])
+        out = self.room("after", len(trace), lanes, SIZE, dtype=trace[0][0].dtype)
+        for t, (h, z, _, _, n) in enumerate(trace):
+            x = h - n
+            x *= z
+            x += n
+            out[t] = x
+        out = out.reshape(-1, SIZE)
+        return out if len(at) == len(out) else out.take(at, 0)
+
     def steps(self, prev: np.ndarray, new: np.ndarray, h: np.ndarray) -> tuple[list[tuple[np.ndarray, ...]], np.ndarray]:
-        """Run the cell over prev (lanes x steps), from state h; new marks the start of a text."""
+        """Run the cell over prev (lanes x steps), from state h; new marks the start of a text.
+
+        States and gates are lanes x components, but each component's lanes lie together, so that a gate is one run of memory. The
+        trace is held until the next call."""
         e, w, u, b = (self.part(self.vector, k) for k in "ewub")
         lanes, steps = prev.shape
+        kind = h.dtype
         # one product over all steps, in order of time: a step reads its own rows
-        gx = e[prev.T.ravel()] @ w
-        gx += b[0]
-        gx = gx.reshape(steps, lanes, 3 * SIZE)
-        trace = []
-        for t in range(steps):
-            if new[:, t].any():
-                h = np.where(new[:, t, None], np.float32(0), h)
-            gh = h @ u
-            gh += b[1]
-            zr = gx[t, :, : 2 * SIZE] + gh[:, : 2 * SIZE]
-            zr *= np.float32(0.5)
-            np.tanh(zr, out=zr)
-            zr *= np.float32(0.5)
-            zr += np.float32(0.5)
-            z, r, q = zr[:, :SIZE], zr[:, SIZE:], gh[:, 2 * SIZE :]
-            n = r * q
-            n += gx[t, :, 2 * SIZE :]
-            np.tanh(n, out=n)
-            out = h - n
-            out *= z
-            out += n
-            trace.append((h, z, r, q, n))
-            h = out
-        return trace, h
+        read = self.room("read", steps, lanes, SIZE, dtype=kind)
+        np.take(e, prev.T, 0, out=read, mode="clip")
+        gx = np.matmul(w.T, read.transpose(0, 2, 1), out=self.room("gx", steps, 3 * SIZE, lanes, dtype=kind))
+        gx += b[0][:, None]
+        fresh, ut, bias = new.any(0), np.ascontiguousarray(u.T), b[1][:, None]
+        hs, zrs, ghs, ns = (self.room(k, steps, n * SIZE, lanes, dtype=kind) for k, n in (("h", 1), ("zr", 2), ("gh", 3), ("n", 1)))
+        h, trace = h.T, []
+        with np.errstate(over="ignore"):
+            for t in range(steps):
+                h0, zr, gh, n = hs[t], zrs[t], ghs[t], ns[t]
+                h0[...] = h
+                if fresh[t]:
+                    h0[:, new[:, t]] = 0
+                np.matmul(ut, h0, out=gh)
+                gh += bias
+                np.add(gx[t, : 2 * SIZE], gh[: 2 * SIZE], out=zr)
+                _sigmoid(zr)
+                z, r, q = zr[:SIZE], zr[SIZE:], gh[2 * SIZE :]
+                np.multiply(r, q, out=n)
+                n += gx[t, 2 * SIZE :]
+                # tanh(x) = 2 sigmoid(2 x) - 1
+                n += n
+                _sigmoid(n)
+                n += n
+                n -= 1
+                h = h0 - n
+                h *= z
+                h += n
+                trace.append((h0.T, z.T, r.T, q.T, n.T))
+        return trace, h.T
 
     def outputs(self, h: np.ndarray, token: np.ndarray, grad: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Log probability of each token given its state; with `grad`, adds the gradients of their negative sum and returns that of h."""
         cw, cb, ow, ob = (self.part(self.vector, k) for k in ("cw", "cb", "ow", "ob"))
-        order = np.argsort(self.cls[token], kind="stable")
-        token = token[order]
-        cls = self.cls[token]
+        learn = grad is not None
+        # classes of 16 bits are sorted by counting
+        order = np.argsort(self.cls.take(token), kind="stable")
+        token = token.take(order)
+        cls = self.cls.take(token)
         # a last component of one takes the bias into the products
-        hs = np.concatenate([h, np.ones((len(h), 1), h.dtype)], 1)[order]
-        at = np.arange(len(token))
-        classes, words = np.concatenate([cw.T, cb[:, None]], 1), np.concatenate([ow, ob[:, None]], 1)
-        logit, p, total = _softmax(hs, classes, cls, *_reach(classes, np.zeros(1, int)))
-        logp = (logit - np.log(total)).astype(np.float64)
-        dh = None
-        if grad is not None:
-            p *= (1 / total)[:, None]
-            p[at, cls] -= 1
-            g = hs.T @ p
-            self.part(grad, "cw")[...] += g[:SIZE]
-            self.part(grad, "cb")[...] += g[SIZE]
-            dh = p @ classes[:, :SIZE]
+        hs = np.ones((len(h), SIZE + 1), h.dtype)
+        hs[:, :SIZE] = h.take(order, 0)
+        logp, dh = np.empty(len(h)), np.empty_like(hs[:, :SIZE]) if learn else None
+        classes, safe = _lowered(np.concatenate([cw.T, cb[:, None]], 1), np.zeros(1, int))
+        for a in range(0, len(h), BLOCK):
+            rows = slice(a, a + BLOCK)
+            logp[rows], g = _softmax(hs[rows], classes, cls[rows], safe[0], learn)
+            if g:
+                self.part(grad, "cw")[...] += g[0].T
+                self.part(grad, "cb")[...] += g[1]
+                dh[rows] = g[2]
+        words, safe = _lowered(np.concatenate([ow, ob[:, None]], 1), self.first[:-1])
         ends = np.concatenate([[0], np.flatnonzero(np.diff(cls)) + 1, [len(cls)]])
-        most, least = _reach(words, self.first[:-1])
-        for a, z in zip(ends[:-1], ends[1:], strict=True):
+        for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
             if a == z:
                 continue
             c = cls[a]
             i, j = self.first[c], self.first[c + 1]
             if j - i == 1:
                 continue
-            own = token[a:z] - i
-            logit, q, s = _softmax(hs[a:z], words[i:j], own, most[c : c + 1], least[c : c + 1])
-            logp[a:z] += logit - np.log(s)
-            if grad is not None:
-                q *= (1 / s)[:, None]
-                q[at[: z - a], own] -= 1
-                g = q.T @ hs[a:z]
-                self.part(grad, "ow")[i:j] += g[:, :SIZE]
-                self.part(grad, "ob")[i:j] += g[:, SIZE]
-                dh[a:z] += q @ ow[i:j]
+            of_words, g = _softmax(hs[a:z], words[i:j], token[a:z] - i, safe[c], learn)
+            logp[a:z] += of_words
+            if g:
+                self.part(grad, "ow")[i:j] += g[0]
+                self.part(grad, "ob")[i:j] += g[1]
+                dh[a:z] += g[2]
         back = np.empty_like(order)
-        back[order] = at
-        return logp[back], None if dh is None else dh[back]
+        back[order] = np.arange(len(order))
+        return logp.take(back), None if dh is None else dh.take(back, 0)
 
     def train_window(self, prev: np.ndarray, new: np.ndarray, token: np.ndarray, valid: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(state after the window, gradient of the mean negative log-likelihood); nothing flows back beyond the window."""
         grad = np.zeros_like(self.vector)
         trace, last = self.steps(prev, new, h)
-        after = np.stack([n + z * (h - n) for h, z, _, _, n in trace], 1)
-        dout = np.zeros_like(after)
-        _, dout[valid] = self.outputs(after[valid], token[valid], grad)
-        e, w, u = (self.part(self.vector, k) for k in "ewu")
         lanes, steps = prev.shape
-        gate = np.empty((steps, lanes, 3 * SIZE), h.dtype)  # gradients of what the recurrent weights give
-        cell = np.empty((steps, lanes, SIZE), h.dtype)
-        back, dh = np.ascontiguousarray(u.T), np.zeros_like(h)
+        kind = h.dtype
+        used = np.flatnonzero(valid.T)
+        dh = self.outputs(self.after(trace, used), token.T.take(used), grad)[1]
+        if len(used) < valid.size:
+            dh, given = np.zeros((valid.size, SIZE), kind), dh
+            dh[used] = given
+        dout = self.room("dout", steps, SIZE, lanes, dtype=kind)
+        dout[...] = dh.reshape(steps, lanes, SIZE).transpose(0, 2, 1)
+        e, w, u = (self.part(self.vector, k) for k in "ewu")
+        gate = self.room("gate", steps, 3 * SIZE, lanes, dtype=kind)  # gradients of what the recurrent weights give
+        cell = self.room("cell", steps, SIZE, lanes, dtype=kind)
+        dh = np.zeros((SIZE, lanes), kind)
+        fresh = new.any(0)
         for t in range(steps - 1, -1, -1):
-            h0, z, r, q, n = trace[t]
-            dh += dout[:, t]
-            dn = dh * (1 - z)
+            h0, z, r, q, n = (x.T for x in trace[t])
+            dh += dout[t]
+            rest = 1 - z
+            dn = np.multiply(dh, rest, out=cell[t])
             dn *= 1 - n * n
             g = gate[t]
-            np.multiply(dh * (h0 - n), z * (1 - z), out=g[:, :SIZE])
-            np.multiply(dn * q, r * (1 - r), out=g[:, SIZE : 2 * SIZE])
-            np.multiply(dn, r, out=g[:, 2 * SIZE :])
-            cell[t] = dn
-            dh = dh * z
-            dh += g @ back
-            dh[new[:, t]] = 0
-        before = np.stack([x[0] for x in trace]).reshape(-1, SIZE)
-        flat = gate.reshape(-1, 3 * SIZE)
-        self.part(grad, "u")[...] += before.T @ flat
-        self.part(grad, "b")[1] += flat.sum(0)
-        flat[:, 2 * SIZE :] = cell.reshape(-1, SIZE)
-        self.part(grad, "b")[0] += flat.sum(0)
-        read = prev.T.ravel()
-        self.part(grad, "w")[...] += e[read].T @ flat
-        de = flat @ w.T
-        ge = self.part(grad, "e")
+            rest *= z
+            rest *= dh
+            np.multiply(rest, h0 - n, out=g[:SIZE])
+            np.multiply(dn, r, out=g[2 * SIZE :])
+            x = 1 - r
+            x *= q
+            np.multiply(x, g[2 * SIZE :], out=g[SIZE : 2 * SIZE])
+            dh *= z
+            dh += u @ g
+            if fresh[t]:
+                dh[:, new[:, t]] = 0
+        before, read = (self.room(k, steps, n, lanes, dtype=kind) for k, n in (("h", SIZE), ("read", SIZE)))
+        self.part(grad, "u")[...] += (gate @ before.transpose(0, 2, 1)).sum(0).T
+        self.part(grad, "b")[1] += gate.sum((0, 2))
+        gate[:, 2 * SIZE :] = cell
+        self.part(grad, "b")[0] += gate.sum((0, 2))
+        self.part(grad, "w")[...] += (gate @ read.reshape(steps, lanes, SIZE)).sum(0).T
+        de = np.matmul(w, gate, out=self.room("de", steps, SIZE, lanes, dtype=kind))
+        of, ge = prev.T.astype(np.intp).ravel(), self.part(grad, "e")
         for k in range(SIZE):
-            ge[:, k] += np.bincount(read, de[:, k], len(ge))
+            ge[:, k] += np.bincount(of, de[:, k].ravel(), len(ge))
         grad /= max(1, int(valid.sum()))
         return last, grad
 
@@ -334,21 +395,29 @@ def train(docs: DataFrame, counts: Counts, rounds: int = ROUNDS, rate: float = 0
         def run(batches: Iterator[pa.RecordBatch], given: Broadcast = given) -> Iterator[pa.RecordBatch]:
             model, reader = Model(known.value), Reader(known.value)
             model.vector[...] = given.value
-            mean, var, t, seen = np.zeros_like(model.vector), np.zeros_like(model.vector), 0, 0
+            mean, var, step = (np.zeros_like(model.vector) for _ in range(3))
+            t, seen = 0, 0
             salt = 0
             for batch in pieces(batches, most=PIECE):
                 lanes = Lanes.of([x for part in pieces(iter([batch])) for x in reader.texts(*reader.read(part.column("text"))[:2])], TRAIN_LANES)
                 salt ^= xxhash.xxh3_64_intdigest(lanes.token.tobytes())
                 h = np.zeros((len(lanes.length), SIZE), np.float32)
                 for at, valid in lanes.windows():
-                    last, g = model.train_window(lanes.prev[at], lanes.new[at], lanes.token[at], valid, h[: len(at)])
+                    last, g = model.train_window(lanes.prev.take(at), lanes.new.take(at), lanes.token.take(at), valid, h[: len(at)])
                     h = last
                     t, seen = t + 1, seen + int(valid.sum())
                     # a window of few lanes tells less and moves the weights less
                     g *= min(1.0, valid.sum() / (TRAIN_LANES * WINDOW / 4))
-                    mean = 0.9 * mean + 0.1 * g
-                    var = 0.999 * var + 0.001 * g * g
-                    model.vector -= rate * min(1.0, t / WARM) * np.sqrt(1 - 0.999**t) / (1 - 0.9**t) * mean / (np.sqrt(var) + 1e-6)
+                    mean *= 0.9
+                    mean += np.multiply(g, 0.1, out=step)
+                    var *= 0.999
+                    g *= g
+                    var += np.multiply(g, 0.001, out=step)
+                    np.sqrt(var, out=step)
+                    step += 1e-6
+                    np.divide(mean, step, out=step)
+                    step *= rate * min(1.0, t / WARM) * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
+                    model.vector -= step
             for i, x in enumerate(np.array_split(model.vector.astype(np.float64) * seen, parts) if seen else []):
                 row = [pa.array([i], pa.int32()), pa.array([salt % 32], pa.int32()), pa.array([seen], pa.int64()), pa.array([x.tobytes()], pa.binary())]
                 yield pa.RecordBatch.from_arrays(row, names=["part", "salt", "seen", "total"])
@@ -388,11 +457,11 @@ def score(docs: DataFrame, held_out: int = 1) -> DataFrame:
             likely = np.zeros(n_rows)
             h = np.zeros((len(lanes.length), SIZE), np.float32)
             for at, valid in lanes.windows():
-                trace, h_next = model.steps(lanes.prev[at], lanes.new[at], h[: len(at)])
-                after = np.stack([n + z * (h0 - n) for h0, z, _, _, n in trace], 1)
-                logp, _ = model.outputs(after[valid], lanes.token[at][valid])
-                likely += np.bincount(lanes.text[at][valid], logp, n_rows)
-                h = h_next
+                trace, h = model.steps(lanes.prev.take(at), lanes.new.take(at), h[: len(at)])
+                used = np.flatnonzero(valid.T)
+                at = at.T.take(used)
+                logp, _ = model.outputs(model.after(trace, used), lanes.token.take(at))
+                likely += np.bincount(lanes.text.take(at), logp, n_rows)
             first = 0
             for columns in parts:
                 of_part = likely[first : first + len(columns["doc_id"])] / np.log(10)

@@ -5,6 +5,7 @@ import collections
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -197,6 +198,48 @@ def test_outputs_equal_a_plain_softmax(scale):
     assert (most[0] - least[0] < gru_lm.SAFE) == (scale < 1)
 
 
+@pytest.mark.parametrize("scale", [1.0, 1000.0])
+def test_cell_equals_a_plain_one_over_windows_of_fewer_lanes(scale):
+    """Windows share memory: a later one of fewer lanes must not change what the next reads; gates beyond the range of exp end at 0 or 1."""
+    model = gru_lm.Model(small_counts())
+    rng = np.random.default_rng(3)
+    model.part(model.vector, "b")[...] = rng.normal(size=(2, 3 * gru_lm.SIZE)) * scale
+    e, w, u, b = (model.part(model.vector, k).astype(np.float64) for k in "ewub")
+    sigmoid = lambda x: 0.5 + 0.5 * np.tanh(0.5 * x)
+    state = plain = rng.uniform(-1, 1, (6, gru_lm.SIZE)).astype(np.float32)
+    for lanes in (6, 4, 4, 1):
+        prev, new = rng.integers(0, 10, (lanes, 8)), rng.random((lanes, 8)) < 0.2
+        trace, state = model.steps(prev, new, state[:lanes])
+        want, plain = [], plain[:lanes].astype(np.float64)
+        for t in range(8):
+            plain = np.where(new[:, t, None], 0, plain)
+            x, y = e[prev[:, t]] @ w + b[0], plain @ u + b[1]
+            z, r = (sigmoid(x[:, i : i + gru_lm.SIZE] + y[:, i : i + gru_lm.SIZE]) for i in (0, gru_lm.SIZE))
+            n = np.tanh(x[:, 2 * gru_lm.SIZE :] + r * y[:, 2 * gru_lm.SIZE :])
+            plain = n + z * (plain - n)
+            want.append(plain)
+        got = model.after(trace, np.arange(8 * lanes)).reshape(8, lanes, gru_lm.SIZE)
+        assert np.allclose(got, want, atol=2e-3 if scale > 1 else 1e-5) and np.allclose(state, plain, atol=2e-3 if scale > 1 else 1e-5)
+
+
+def test_a_window_takes_no_new_memory_for_states_and_gates():
+    """They are kept from window to window, and each gate of a step is one run of memory."""
+    model, lanes = gru_lm.Model(small_counts()), 256
+    rng = np.random.default_rng(4)
+    token, prev = rng.integers(0, 10, (2, lanes, 32)).astype(np.int32)
+    new, h = np.zeros((lanes, 32), bool), np.zeros((lanes, gru_lm.SIZE), np.float32)
+    window = lambda: model.train_window(prev, new, token, np.ones((lanes, 32), bool), h)
+    _, first = window()
+    tracemalloc.start()
+    _, again = window()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(first, again)
+    # the trace alone has five states a token
+    assert peak < 5 * gru_lm.SIZE * 4 * token.size
+    assert all(x.T.flags.c_contiguous for x in model.steps(prev, new, h)[0][1])
+
+
 def test_factored_outputs_sum_to_one_and_state_is_carried():
     model = gru_lm.Model(small_counts())
     h = np.random.default_rng(0).normal(size=(1, gru_lm.SIZE)).astype(np.float32)
