@@ -41,6 +41,8 @@ TRAIN_LANES = 384
 PIECE = 16 << 20
 #: Rows whose outputs are worked on at once.
 BLOCK = 2048
+#: Tokens of which scoring takes the outputs at once, from as many windows as hold them: those at the end of long texts hold few.
+TOGETHER = 32768
 #: Windows over which a task's rate rises to its full value.
 WARM = 20
 OTHER, END = 0, 1
@@ -203,6 +205,19 @@ class Model:
                 trace.append((h0.T, z.T, r.T, q.T, n.T))
         return trace, h.T
 
+    def through(self, lanes: Lanes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(states, their positions in `lanes`), at least TOGETHER at a time but the last; the model must not change meanwhile."""
+        h, held = np.zeros((len(lanes.length), SIZE), np.float32), []
+        for at, valid in lanes.windows():
+            trace, h = self.steps(lanes.prev.take(at), lanes.new.take(at), h[: len(at)])
+            used = np.flatnonzero(valid.T)
+            held.append((self.after(trace, used).copy(), at.T.take(used)))
+            if sum(len(x) for _, x in held) >= TOGETHER:
+                yield np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
+                held = []
+        if held:
+            yield np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
+
     def outputs(self, h: np.ndarray, token: np.ndarray, grad: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Log probability of each token given its state; with `grad`, adds the gradients of their negative sum and returns that of h."""
         cw, cb, ow, ob = (self.part(self.vector, k) for k in ("cw", "cb", "ow", "ob"))
@@ -455,12 +470,8 @@ def score(docs: DataFrame, held_out: int = 1) -> DataFrame:
             lanes, n_rows = Lanes.of(ids), len(ids)
             del ids
             likely = np.zeros(n_rows)
-            h = np.zeros((len(lanes.length), SIZE), np.float32)
-            for at, valid in lanes.windows():
-                trace, h = model.steps(lanes.prev.take(at), lanes.new.take(at), h[: len(at)])
-                used = np.flatnonzero(valid.T)
-                at = at.T.take(used)
-                logp, _ = model.outputs(model.after(trace, used), lanes.token.take(at))
+            for states, at in model.through(lanes):
+                logp, _ = model.outputs(states, lanes.token.take(at))
                 likely += np.bincount(lanes.text.take(at), logp, n_rows)
             first = 0
             for columns in parts:

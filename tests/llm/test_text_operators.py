@@ -240,6 +240,24 @@ def test_a_window_takes_no_new_memory_for_states_and_gates():
     assert all(x.T.flags.c_contiguous for x in model.steps(prev, new, h)[0][1])
 
 
+def test_scoring_takes_the_outputs_of_many_windows_at_once(monkeypatch):
+    model = gru_lm.Model(small_counts())
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(0, 10, n).astype(np.int32) for n in (4000, 90, 1, 33, 1500, 64)]
+    lanes = gru_lm.Lanes.of(texts, 4)
+    monkeypatch.setattr(gru_lm, "TOGETHER", 1000)
+    got = list(model.through(lanes))
+    assert all(1000 <= len(at) < 1000 + 4 * gru_lm.WINDOW for _, at in got[:-1]) and len(got) < 7 < 4000 // gru_lm.WINDOW
+    at = np.concatenate([x for _, x in got])
+    assert sorted(at) == list(range(len(lanes.token)))
+    logp = np.empty(len(at))
+    logp[at] = np.concatenate([model.outputs(h, lanes.token[x])[0] for h, x in got])
+    likely = np.bincount(lanes.text, logp, len(texts))
+    for i, text in enumerate(texts):
+        alone = gru_lm.Lanes.of([text])
+        assert math.isclose(likely[i], sum(model.outputs(h, alone.token[x])[0].sum() for h, x in model.through(alone)), rel_tol=1e-5)
+
+
 def test_factored_outputs_sum_to_one_and_state_is_carried():
     model = gru_lm.Model(small_counts())
     h = np.random.default_rng(0).normal(size=(1, gru_lm.SIZE)).astype(np.float32)
