@@ -56,8 +56,8 @@ def cells(a: DataFrame, b: DataFrame | None, distance: int, unit: int = UNIT) ->
     Keys that only one row holds go no further. A key with more rows than ``unit`` on a side is cut into a grid of
     cells by the hash of the row, so that no task holds all of its rows.
 
-    The keyed rows are joined by sort and merge: the engine takes the rows before the choices of blocks for their
-    size, 56 times too few at a distance of 5, and would broadcast them through the driver.
+    The keyed rows are joined by sort and merge, those dealt to cells too: the engine takes the rows before the choices
+    of blocks for their size, 56 times too few at a distance of 5, and would broadcast them through the driver.
     """
     ka = keyed(a, distance).hint("merge")
     na = ka.groupBy("c", "v").agg(F.count("*").alias("na")).hint("merge")
@@ -74,7 +74,7 @@ def cells(a: DataFrame, b: DataFrame | None, distance: int, unit: int = UNIT) ->
     right = kb.join(sizes, ["c", "v"]).withColumn("j", own("pb")).withColumn("i", every("pa")).drop("pa", "pb").alias("b")
     same = [F.col(f"a.{x}") == F.col(f"b.{x}") for x in ("c", "v", "i", "j")]
     near = hamming(F.col("a.h"), F.col("b.h")) <= distance
-    return left.join(right, same[0] & same[1] & same[2] & same[3] & near)
+    return left.hint("merge").join(right.hint("merge"), same[0] & same[1] & same[2] & same[3] & near)
 
 
 def distinct_hashes(df: DataFrame, id_col: str, hash_col: str) -> DataFrame:

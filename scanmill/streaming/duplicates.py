@@ -34,7 +34,8 @@ def run_stream_duplicates(hashes: DataFrame, folder: str) -> DataFrame:
             pool = past.unionByName(fresh)
         fresh.write.mode("overwrite").parquet(f"{folder}/registry/b={n}")
         found = earliest_within(new, pool).select("h", "m")
-        out = rows.join(found, "h").where("m.id < id").select("id", F.col("m.id").alias("matching_id"), F.col("m.distance").alias("distance"))
+        # Cached rows are taken for their size when packed, which says little of them in a broadcast.
+        out = rows.hint("merge").join(found, "h").where("m.id < id").select("id", F.col("m.id").alias("matching_id"), F.col("m.distance").alias("distance"))
         out.write.mode("overwrite").parquet(f"{folder}/matches/b={n}")
         rows.unpersist()
 

@@ -98,6 +98,16 @@ def test_keyed_hashes_are_not_broadcast(spark):
         assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_keys_dealt_to_cells_are_not_broadcast(spark):
+    """The size of cached hashes is known and small, and that of their cells follows from it without the 56 keys."""
+    h = spark.createDataFrame([(x, i, 1) for i, x in enumerate(clustered())], "h bigint, first_id bigint, copies bigint").persist()
+    h.count()
+    new = h.groupBy("h").agg(F.min("first_id").alias("first_id"), F.min("copies").alias("copies"))
+    for df in (D.near_pairs(new), D.earliest_within(new), D.earliest_within(new, new)):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+    h.unpersist()
+
+
 def test_counts_in_window_across_blocks(spark):
     rnd = random.Random(1)
     secs = sorted(rnd.randint(0, 4000) for _ in range(300))
