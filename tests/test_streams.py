@@ -325,3 +325,16 @@ def test_large_state_is_kept_on_disk(spark, split_dir):
         assert spark.conf.get(key).endswith("RocksDBStateStoreProvider")
     assert spark.conf.get(key) == before
     assert sum(r["count"] for r in run_update(counts, ["user_id"], large=True).collect()) == T.table(spark, "/root/testdata/sf0.001", "events").count()
+
+
+def test_fields_of_a_stream_are_found_once(spark, sf, monkeypatch):
+    """No filter holds the search for fields again, and the least quality is tested on keys, before frames are dealt or rendered."""
+    from scanmill.plans import streams
+
+    monkeypatch.setattr(streams, "run_append", lambda df: df)
+    monkeypatch.setattr(streams, "stream_table", T.table)
+    plan = streams.stream_frame_fields(spark, sf)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    filters = [i for i, x in enumerate(plan) if x.lstrip(" :|+-").startswith("Filter")]
+    assert not any("regexp_extract" in plan[i] for i in filters)
+    dealt = [i for i, x in enumerate(plan) if x.lstrip(" :|+-").startswith("Repartition")]
+    assert len(dealt) == 2 and all(any("% 101" in plan[i] for i in filters if a < i < b) for a, b in zip(dealt, [*dealt[1:], len(plan)]))
